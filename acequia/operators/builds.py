@@ -164,11 +164,11 @@ def flow_range_per_point(fact: DataFrame) -> DataFrame:
 _FILTER_COLUMNS = ("nivel", "nom_cuenca", "nom_subcuenca", "avgMin", "avgMax", "total_puntos")
 
 
-def _flow_range() -> list[Column]:
+def _flow_range(points: Column) -> list[Column]:
     return [
         F.min("avgMin").alias("avgMin"),
         F.max("avgMax").alias("avgMax"),
-        F.count_distinct(coordinate()).alias("total_puntos"),
+        points.alias("total_puntos"),
     ]
 
 
@@ -176,14 +176,17 @@ def filter_stats(per_point: DataFrame) -> DataFrame:
     """Flow range and points per basin and per sub-basin, stacked.
 
     Both halves read the same per-point ranges; Spark computes that exchange once.
+    A point may lie in several sub-basins of a basin but is listed once in each, so
+    only the basins need a distinct count.
     """
-    basins = per_point.groupBy("NOM_CUENCA").agg(*_flow_range()).select(
+    distinct = F.count_distinct(coordinate())
+    basins = per_point.groupBy("NOM_CUENCA").agg(*_flow_range(distinct)).select(
         F.lit("cuenca").alias("nivel"),
         F.col("NOM_CUENCA").alias("nom_cuenca"),
         F.lit(None).cast("string").alias("nom_subcuenca"),
         "avgMin", "avgMax", "total_puntos",
     )
-    subbasins = per_point.groupBy("NOM_CUENCA", "NOM_SUBCUENCA").agg(*_flow_range()).select(
+    subbasins = per_point.groupBy("NOM_CUENCA", "NOM_SUBCUENCA").agg(*_flow_range(F.count("*"))).select(
         F.lit("subcuenca").alias("nivel"),
         F.col("NOM_CUENCA").alias("nom_cuenca"),
         F.col("NOM_SUBCUENCA").alias("nom_subcuenca"),
@@ -197,7 +200,7 @@ def filter_stats_grouping_sets(per_point: DataFrame) -> DataFrame:
     c, s = F.col("NOM_CUENCA"), F.col("NOM_SUBCUENCA")
     return (
         per_point.groupingSets([[c], [c, s]], c, s)
-        .agg(*_flow_range(), F.grouping_id().alias("total_de"))
+        .agg(*_flow_range(F.count_distinct(coordinate())), F.grouping_id().alias("total_de"))
         .select(
             F.when(F.col("total_de") == 0, "subcuenca").otherwise("cuenca").alias("nivel"),
             c.alias("nom_cuenca"), s.alias("nom_subcuenca"), *_FILTER_COLUMNS[3:],

@@ -27,6 +27,13 @@ def coordinate_is(norte: int, este: int) -> list[Column]:
     return [F.col("UTM_NORTE") == norte, F.col("UTM_ESTE") == este]
 
 
+def _date(text: str) -> Column:
+    # Words such as "yesterday" are dates to Spark; here they are malformed.
+    if not text[:1].isdigit():
+        raise ValueError(f"not a date: {text!r}")
+    return F.lit(text).cast("date")
+
+
 def date_range(df: DataFrame, start: str | None, end: str | None) -> list[Column]:
     """Inclusive bounds on FECHA_MEDICION; empty text means no bound.
 
@@ -37,13 +44,13 @@ def date_range(df: DataFrame, start: str | None, end: str | None) -> list[Column
     found = []
     by_year = "ANIO" in df.columns
     if start:
-        found.append(F.col("FECHA_MEDICION") >= F.lit(start).cast("date"))
+        found.append(F.col("FECHA_MEDICION") >= _date(start))
         if by_year:
-            found.append(F.col("ANIO") >= F.year(F.lit(start).cast("date")))
+            found.append(F.col("ANIO") >= F.year(_date(start)))
     if end:
-        found.append(F.col("FECHA_MEDICION") <= F.lit(end).cast("date"))
+        found.append(F.col("FECHA_MEDICION") <= _date(end))
         if by_year:
-            found.append(F.col("ANIO") <= F.year(F.lit(end).cast("date")))
+            found.append(F.col("ANIO") <= F.year(_date(end)))
     return found
 
 

@@ -110,16 +110,18 @@ def multi_point_flow_stats(series: DataFrame, locations: Sequence[tuple[int, int
     """Pooled flow statistics of several points.
 
     A place listed twice counts twice as asked but its rows once. The places are the
-    few that the caller names; their north values also go to the scan as a filter.
+    few that a caller names, so they become a constant set that each row is looked up
+    in, with no join; their north values alone also prune row groups in the scan.
     """
     if not locations:
         raise ValueError("at least one location is needed")
-    spark = series.sparkSession
-    wanted = spark.createDataFrame([(int(n), int(e)) for n, e in locations], "norte int, este int")
+    places = sorted({(int(n), int(e)) for n, e in locations})
     flow = F.col("CAUDAL")
+    listed = F.struct("UTM_NORTE", "UTM_ESTE").isin(
+        [F.struct(F.lit(n).alias("UTM_NORTE"), F.lit(e).alias("UTM_ESTE")) for n, e in places]
+    )
     return (
-        series.filter(flow.isNotNull() & F.col("UTM_NORTE").isin(sorted({int(n) for n, _ in locations})))
-        .join(wanted, [F.col("UTM_NORTE") == F.col("norte"), F.col("UTM_ESTE") == F.col("este")], "left_semi")
+        series.filter(flow.isNotNull() & F.col("UTM_NORTE").isin(sorted({n for n, _ in places})) & listed)
         .agg(
             F.count("*").alias("total_registros_con_caudal"),
             F.avg(flow).alias("caudal_promedio"),
@@ -136,6 +138,10 @@ def multi_point_flow_stats(series: DataFrame, locations: Sequence[tuple[int, int
     )
 
 
+def is_valid_location(norte: int, este: int) -> bool:
+    return 0 <= norte <= S.MAX_UTM_NORTE and 0 <= este <= S.MAX_UTM_ESTE
+
+
 def mark_valid_locations(locations: DataFrame) -> DataFrame:
     """Locations with ``es_valida``: both coordinates known and within the grid."""
     valid = F.col("UTM_NORTE").between(0, S.MAX_UTM_NORTE) & F.col("UTM_ESTE").between(0, S.MAX_UTM_ESTE)

@@ -33,11 +33,15 @@ def warehouse(spark: SparkSession, folder: str) -> Warehouse:
     return _warehouses[key]
 
 
-def presented(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, dates and timestamps as text, so engines compare equal."""
+# Queries whose doubles are stored or largest values, not sums or means.
+EXACT = {"fact_scan", "build_measurements", "scan_measurements", "measurements_sample", "rights_per_point"}
+
+
+def presented(df: DataFrame, exact: bool) -> DataFrame:
+    """Computed doubles to six decimals, dates and timestamps as text, so engines compare equal."""
     def shown(field: T.StructField):
         c = F.col(field.name)
-        if isinstance(field.dataType, T.DoubleType):
+        if isinstance(field.dataType, T.DoubleType) and not exact:
             c = F.round(c, 6)
         elif isinstance(field.dataType, (T.DateType, T.TimestampNTZType, T.TimestampType)):
             c = c.cast("string")
@@ -263,10 +267,10 @@ QUERIES: dict[str, Query] = {
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bound(query: Query) -> Callable[[SparkSession, str], DataFrame]:
+    def bound(key: str, query: Query) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             folder = folder.rstrip("/")
-            return presented(query(warehouse(spark, folder), folder))
+            return presented(query(warehouse(spark, folder), folder), exact=key in EXACT)
         return run
 
-    return {key: bound(query) for key, query in QUERIES.items()}
+    return {key: bound(key, query) for key, query in QUERIES.items()}

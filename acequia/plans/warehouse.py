@@ -132,6 +132,9 @@ class Warehouse:
 
     def point_statistics(self, locations: Sequence[tuple[int, int]]) -> DataFrame:
         """Per metric for one location, pooled flow for several."""
+        for place in locations:
+            if not points.is_valid_location(*place):
+                raise ValueError(f"location outside the grid: {place}")
         daily = self.table("series_tiempo")
         if len(locations) == 1:
             return points.point_metric_stats(daily, *locations[0])

@@ -260,8 +260,7 @@ GROUP BY COD_SECTOR_SHA, SECTOR_SHA""", "puntos_mapa")
 
 _TABLE_TEXT = {
     "datos": with_tables(f"""
-SELECT UTM_Norte, UTM_Este, Huso, {r6("Caudal", "Altura_Limnimetrica")}, Totalizador, {r6("Nivel_Freatico")},
-       {text("Fecha_Medicion")}, es_pozo_subterraneo FROM datos""", "datos"),
+SELECT * REPLACE ({text("Fecha_Medicion")}) FROM datos""", "datos"),
     "cuencas_regiones": with_tables("SELECT * FROM cuencas_regiones", "cuencas_regiones"),
     "informante": with_tables(f"""
 SELECT * EXCLUDE (ULTIMA_FECHA_MEDICION), {text("ULTIMA_FECHA_MEDICION")} FROM informante""", "informante"),
@@ -279,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         # Sources, sinks, updates.
         "fact_scan": with_tables(f"""
-SELECT * REPLACE ({r6("ID_JUNTA", *AMOUNTS, *LEVELS)}, {text("FECHA_MEDICION")}) FROM mf""", "mf"),
+SELECT * REPLACE ({text("FECHA_MEDICION")}) FROM mf""", "mf"),
         "fact_row_count": with_tables("SELECT count(*) AS total_records FROM mf", "mf"),
         "gold_write_roundtrip": _TABLE_TEXT["puntos_mapa"],
         "points_add_rights_columns": with_tables(f"""
@@ -310,8 +309,7 @@ FROM puntos_por_coordenada""", "puntos_por_coordenada"),
         "build_daily_series_by_coord": with_tables(
             f"SELECT {_SERIES} FROM series_por_coordenada", "series_por_coordenada"),
         "rights_per_point": with_tables(f"""
-SELECT COD_CUENCA, COD_SUBCUENCA, COD_SUBSUBCUENCA, REGION, UTM_NORTE, UTM_ESTE, {r6(*AMOUNTS)}
-FROM derechos_punto""", "derechos_punto"),
+SELECT * FROM derechos_punto""", "derechos_punto"),
         "rights_per_basin": with_tables(f"""
 SELECT COD_CUENCA, COD_SUBCUENCA, COD_SUBSUBCUENCA, REGION, puntos_con_derechos, {r6(*SUMS)}
 FROM derechos_cuenca""", "derechos_cuenca"),
@@ -416,8 +414,7 @@ WHERE COD_SECTOR_SHA IS NOT NULL OR APR IS NOT NULL
 ORDER BY {nulls_first("COD_SECTOR_SHA", "SECTOR_SHA", "APR", "ID_JUNTA", "CANAL_TRANSMISION")} LIMIT 5
 """, "puntos_mapa"),
         "measurements_sample": with_tables(f"""
-SELECT UTM_Norte, UTM_Este, Huso, {r6("Caudal", "Altura_Limnimetrica")}, Totalizador, {r6("Nivel_Freatico")},
-       {text("Fecha_Medicion")}, es_pozo_subterraneo
+SELECT * REPLACE ({text("Fecha_Medicion")})
 FROM (SELECT * FROM datos ORDER BY {nulls_first("UTM_Norte", "UTM_Este", "Huso", "Caudal", "Altura_Limnimetrica",
       "Totalizador", "Nivel_Freatico", "Fecha_Medicion", "es_pozo_subterraneo")} LIMIT 1)""", "datos"),
         "series_sample": with_tables(f"""
