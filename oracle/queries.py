@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from acequia.schema import EXPECTED_COLUMNS, MONTHS
 from oracle.tables import (
-    AMOUNTS, BASIN_RIGHTS, FLOWS, LEVELS, MONTHLY, MONTHS, PATH, POINT_KEYS, RIGHTS, SUMS,
+    AMOUNTS, BASIN_RIGHTS, FLOWS, LEVELS, MONTHLY, PATH, POINT_KEYS, RIGHTS, SUMS,
     cols, with_tables,
 )
 
@@ -215,21 +216,12 @@ _NAME = ("coalesce(nullif(concat_ws(' ', " + ", ".join(_TRIM.format(c) for c in
          + "), ''), 'Desconocido')")
 
 
-def coverage(table: str, label: str, expected: list[str]) -> str:
+def coverage(table: str, label: str, expected) -> str:
     return " UNION ALL ".join(
         f"SELECT '{label}' AS tabla, '{c}' AS columna, true AS presente, count({c}) AS no_nulos FROM {table}"
         for c in expected)
 
 
-_EXPECTED_POINTS = ["UTM_Norte", "UTM_Este", "Huso", "Region", "Cod_Cuenca", "Cod_Subcuenca", "Cod_Subsubcuenca",
-                    "es_pozo_subterraneo", "codigo", "caudal_promedio", "COD_SECTOR_SHA", "SECTOR_SHA", "APR",
-                    "ID_JUNTA", "PARTE_JUNTA", "REPRESENTA_JUNTA", "CANAL_TRANSMISION"]
-_EXPECTED_SERIES = ["UTM_NORTE", "UTM_ESTE", "FECHA_MEDICION", "CAUDAL", "ALTURA_LIMNIMETRICA", "NIVEL_FREATICO",
-                    "TOTALIZADOR", *_UPPER_PATH]
-_EXPECTED_FACT = ["UTM_NORTE", "UTM_ESTE", "FECHA_MEDICION", "SECTOR_SHA", "APR", "ID_JUNTA", "PARTE_JUNTA",
-                  "REPRESENTA_JUNTA", "CANAL_TRANSMISION", "Cod_Cuenca", "Cod_Subcuenca", "Cod_Subsubcuenca"]
-
-
 def basin_stats(where: str = "true", with_global: bool = False) -> str:
     glob = ""
     if with_global:
@@ -405,9 +397,9 @@ SELECT DISTINCT NOMB_INF, A_PAT_INF, A_MAT_INF, {_NAME} AS nombre_completo FROM
 
         # Checks and the request log.
         "column_coverage": with_tables(" UNION ALL ".join([
-            coverage("puntos_mapa", "Puntos_Mapa", _EXPECTED_POINTS),
-            coverage("series_tiempo", "Series_Tiempo", _EXPECTED_SERIES),
-            coverage("mf", "Mediciones_full", _EXPECTED_FACT)]), "puntos_mapa", "series_tiempo"),
+            coverage(table, label, EXPECTED_COLUMNS[label])
+            for table, label in (("puntos_mapa", "Puntos_Mapa"), ("series_tiempo", "Series_Tiempo"),
+                                 ("mf", "Mediciones_full"))]), "puntos_mapa", "series_tiempo"),
         "points_sample": with_tables(f"""
 SELECT COD_SECTOR_SHA, SECTOR_SHA, APR, ID_JUNTA, CANAL_TRANSMISION FROM puntos_mapa
 WHERE COD_SECTOR_SHA IS NOT NULL OR APR IS NOT NULL

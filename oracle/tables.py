@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-MONTHS = (
-    "enero", "febrero", "marzo", "abril", "mayo", "junio",
-    "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre",
-)
+from acequia.schema import MONTHS
+
 MONTHLY = [f"CAUDAL_{m.upper()}" for m in MONTHS]
 AMOUNTS = ["VOLUMEN_ANUAL", *MONTHLY]
 RIGHTS = ["TIPO_DERECHO", *AMOUNTS]

@@ -112,6 +112,8 @@ def test_tables_go_to_the_folder_the_session_names(spark):
 
 
 def test_settings_follow_the_data():
-    small, large = session_settings(1, 8), session_settings(100 * 10**12, 4000)
+    small, large = session_settings(1, 8), session_settings(100 * 10**12, 4000, shuffle_bytes=10**12)
     assert small["spark.sql.shuffle.partitions"] == "8"
-    assert int(large["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (128 * 1024**2))
+    assert int(large["spark.sql.shuffle.partitions"]) == -(-(10**12) // (128 * 1024**2))
+    assert int(large["spark.sql.files.maxPartitionBytes"]) * 50_000 >= 100 * 10**12
+    assert int(session_settings(100 * 10**12, 4000)["spark.sql.shuffle.partitions"]) <= 50_000
