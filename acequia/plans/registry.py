@@ -153,7 +153,7 @@ QUERIES: dict[str, Query] = {
     "build_basin_catalog": _build(builds.basin_catalog),
     "build_reporters": _build(builds.reporters),
     "build_points": _build(lambda fact: rollup.points(rollup.point_rollup(fact))),
-    "build_points_by_coord": _build(lambda fact: rollup.points_by_coord(rollup.point_rollup(fact))),
+    "build_points_by_coord": _read(lambda w: rollup.points_by_coord(w.table("rollup_puntos"))),
     "build_daily_series": _build(builds.daily_series),
     "build_daily_series_by_coord": _build(builds.daily_series_by_coord),
     "rights_per_point": _build(builds.rights_per_point),

@@ -1,6 +1,7 @@
 """Writing, reopening and refreshing the stored tables; settings and sinks."""
 
 import glob
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -111,6 +112,13 @@ def test_tables_go_to_the_folder_the_session_names(spark):
     assert warehouse(spark, SF_SMALL) is warehouse(spark, SF_SMALL)
 
 
+@pytest.mark.parametrize("master, folder", [("local[4]", True), ("yarn", False)])
+def test_without_a_named_folder_only_a_local_session_has_one(master, folder):
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master=master))
+    assert bool(shared_folder(session)) is folder
+
+
 def test_settings_follow_the_data():
     small, large = session_settings(1, 8), session_settings(100 * 10**12, 4000, shuffle_bytes=10**12)
     assert small["spark.sql.shuffle.partitions"] == "8"
