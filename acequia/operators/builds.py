@@ -75,7 +75,9 @@ def daily_series_by_coord(fact: DataFrame) -> DataFrame:
     """Variant with one row per coordinate and day; NULL keys are dropped.
 
     Spark sorts its input for MAX of a string. Grouping by the path first keeps the
-    pass over the fact on hash aggregation, and only the merged rows are sorted.
+    pass over the fact on hash aggregation, and only the merged rows are sorted. They
+    hold one row per path of a coordinate and day, so they are brought together as
+    they are and sorted once: combining them again before the shuffle would sort twice.
     """
     keys = (*S.COORD, "FECHA_MEDICION")
     dated = fact.select(
@@ -88,7 +90,7 @@ def daily_series_by_coord(fact: DataFrame) -> DataFrame:
         *(F.count(c).alias(f"n_{c}") for c in S.LEVELS),
         F.max("TOTALIZADOR").alias("TOTALIZADOR"),
     )
-    return parts.groupBy(*keys).agg(
+    return parts.repartition(*keys).groupBy(*keys).agg(
         *(F.max(c).alias(c) for c in S.BASIN_PATH),
         *(F.try_divide(F.sum(f"suma_{c}"), F.sum(f"n_{c}")).alias(c) for c in S.LEVELS),
         F.max("TOTALIZADOR").alias("TOTALIZADOR"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from hashlib import sha256
 
@@ -19,18 +20,20 @@ Query = Callable[[Warehouse, str], DataFrame]
 
 _POINT = (6000000, 300000)
 _warehouses: dict[tuple[str, str], Warehouse] = {}
+_lock = threading.Lock()
 
 
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
     """Derived tables of one folder of sample tables, written once per application."""
     application = spark.sparkContext.applicationId
     key = (application, folder)
-    if key not in _warehouses:
-        shared = shared_folder(spark)
-        label = sha256(folder.encode()).hexdigest()[:12]
-        root = f"{shared}/acequia/{application}/{label}" if shared else None
-        _warehouses[key] = Warehouse(spark, sample_fact(spark, folder), root)
-    return _warehouses[key]
+    with _lock:
+        if key not in _warehouses:
+            shared = shared_folder(spark)
+            label = sha256(folder.encode()).hexdigest()[:12]
+            root = f"{shared}/acequia/{application}/{label}" if shared else None
+            _warehouses[key] = Warehouse(spark, sample_fact(spark, folder), root)
+        return _warehouses[key]
 
 
 # Queries whose doubles are stored or largest values, not sums or means.
