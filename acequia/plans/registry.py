@@ -161,6 +161,10 @@ QUERIES: dict[str, Query] = {
     "build_daily_series_by_coord": _build(builds.daily_series_by_coord),
     "rights_per_point": _build(builds.rights_per_point),
     "rights_per_basin": _build(lambda fact: builds.rights_per_basin(builds.rights_per_point(fact))),
+    "rights_per_coord": _build(builds.rights_per_coord),
+    "rollup_rights_per_basin": _read(lambda w: builds.rights_per_basin(
+        rollup.rights_per_point(w.table("rollup_puntos")))),
+    "rollup_rights_per_coord": _read(lambda w: rollup.rights_per_coord(w.table("rollup_puntos"))),
     "build_basin_stats": _build(builds.basin_stats),
     "build_filter_stats": _build(lambda fact: builds.filter_stats(builds.flow_range_per_point(fact))),
     "build_filter_stats_gsets": _build(

@@ -108,6 +108,11 @@ class Warehouse:
                 if name in names:
                     self._write(name)
 
+    def create_views(self) -> None:
+        """Make every table readable by name in ``spark.sql``, in this session."""
+        for name in TABLES:
+            self.table(name).createOrReplaceTempView(name)
+
     def _write(self, name: str) -> None:
         spec, path = TABLES[name], f"{self.root}/{name}"
         df = spec.compute(self)

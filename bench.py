@@ -22,6 +22,13 @@ from acequia.plans.warehouse import TABLES  # noqa: E402
 from acequia.session import session_settings  # noqa: E402
 
 
+def scale(name: str) -> float | str:
+    try:
+        return float(name.removeprefix("sf"))
+    except ValueError:
+        return name
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
@@ -59,7 +66,7 @@ def main() -> None:
         "value": round(sum(seconds.values()), 4),
         "unit": "sec",
         "queries": seconds,
-        "sf": Path(folder).name.removeprefix("sf"),
+        "sf": scale(Path(folder).name),
     }))
 
 

@@ -263,6 +263,12 @@ SELECT * EXCLUDE (ULTIMA_FECHA_MEDICION), {text("ULTIMA_FECHA_MEDICION")} FROM i
     "filtros": with_tables("SELECT * FROM filtros", "filtros"),
 }
 
+_RIGHTS_PER_BASIN = with_tables(
+    f"SELECT COD_CUENCA, COD_SUBCUENCA, COD_SUBSUBCUENCA, REGION, puntos_con_derechos, {r6(*SUMS)} "
+    "FROM derechos_cuenca", "derechos_cuenca")
+_RIGHTS_PER_COORD = with_tables(
+    f"SELECT UTM_NORTE, UTM_ESTE, TIPO_DERECHO, {r6(*AMOUNTS)} FROM derechos_coordenada", "derechos_coordenada")
+
 _WELL_115 = "Cod_Cuenca = 115 AND es_pozo_subterraneo AND codigo LIKE '%OB-%' AND APR = 0"
 
 
@@ -302,9 +308,10 @@ FROM puntos_por_coordenada""", "puntos_por_coordenada"),
             f"SELECT {_SERIES} FROM series_por_coordenada", "series_por_coordenada"),
         "rights_per_point": with_tables(f"""
 SELECT * FROM derechos_punto""", "derechos_punto"),
-        "rights_per_basin": with_tables(f"""
-SELECT COD_CUENCA, COD_SUBCUENCA, COD_SUBSUBCUENCA, REGION, puntos_con_derechos, {r6(*SUMS)}
-FROM derechos_cuenca""", "derechos_cuenca"),
+        "rights_per_basin": _RIGHTS_PER_BASIN,
+        "rollup_rights_per_basin": _RIGHTS_PER_BASIN,
+        "rights_per_coord": _RIGHTS_PER_COORD,
+        "rollup_rights_per_coord": _RIGHTS_PER_COORD,
         "build_basin_stats": _TABLE_TEXT["cuenca_stats"],
         "build_filter_stats": _TABLE_TEXT["filtros"],
         "build_filter_stats_gsets": _TABLE_TEXT["filtros"],

@@ -72,6 +72,15 @@ def test_a_table_is_written_once(spark, tmp_path):
     assert {p.name for p in tmp_path.iterdir()} == {"puntos_mapa", "rollup_puntos"}
 
 
+def test_tables_answer_sql_by_name(spark, stored):
+    stored.create_views()
+    (row,) = spark.sql("""
+        SELECT count(*) AS n, max(p.es_pozo_subterraneo) AS pozo
+        FROM Series_Tiempo s JOIN Puntos_Mapa p ON s.UTM_NORTE = p.UTM_Norte AND s.UTM_ESTE = p.UTM_Este
+        WHERE s.COD_CUENCA = 115 AND s.ANIO = 1996""").collect()
+    assert row.n > 0 and row.pozo is True
+
+
 def test_refresh_needs_a_folder(spark):
     with pytest.raises(ValueError):
         Warehouse(spark, fact(spark, {})).refresh()
