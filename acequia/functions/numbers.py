@@ -24,12 +24,11 @@ def round_half_even(x: Column, decimals: int = 2) -> Column:
     spread = x * F.lit(_SPLIT)
     high = spread - (spread - x)
     error = (high * scale - scaled) + (x - high) * scale
-    below = F.floor(scaled).cast("double")
-    beyond = scaled - below - F.lit(0.5)
-    odd = below % F.lit(2.0) != F.lit(0.0)
-    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & odd)))
-    nearest = F.when(up, below + F.lit(1.0)).otherwise(below) / scale
-    return F.when((F.abs(x) >= F.lit(_LARGE)) | F.isnan(x), x).otherwise(nearest)
+    nearest = F.rint(scaled)
+    seems_tie = F.abs(scaled - nearest) == F.lit(0.5)
+    decided = F.when(seems_tie & (error != 0), scaled + F.signum(error) * F.lit(0.5)).otherwise(nearest)
+    # NaN compares as larger than any number, so it passes through as well.
+    return F.when(F.abs(x) >= F.lit(_LARGE), x).otherwise(decided / scale)
 
 
 def round_or_null_if_zero(x: Column, decimals: int = 2) -> Column:

@@ -103,7 +103,11 @@ def read_basin_stats(
 
 
 def subbasin_names(catalog: DataFrame) -> DataFrame:
-    """Sub-basin names of each basin as one text, in name order."""
+    """Sub-basin names of each basin as one text, in name order.
+
+    A group holds the distinct names of one basin, so its size does not grow with the
+    number of reports or points.
+    """
     named = catalog.filter(F.col("Nom_Subcuenca").isNotNull()).select(
         F.col("Cod_Cuenca").alias("cod_cuenca"), F.col("Nom_Subcuenca").alias("nom_subcuenca")
     ).distinct()
