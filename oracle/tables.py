@@ -42,23 +42,23 @@ SELECT
  cast(n_regionkey + 1 AS int) AS REGION,
  n_name AS PROVINCIA,
  n_name || '-' || cast(s % 3 AS varchar) AS COMUNA,
- CASE WHEN s % 17 = 16 THEN NULL ELSE cast(100 + n_nationkey AS int) END AS COD_CUENCA,
+ CASE WHEN s % 17 = 16 THEN NULL ELSE cast(100 + s_nationkey AS int) END AS COD_CUENCA,
  CASE WHEN s % 17 = 16 THEN NULL ELSE n_name END AS NOM_CUENCA,
- CASE WHEN {_NO_SUB} THEN NULL ELSE cast((100 + n_nationkey) * 100 + s % 3 AS int) END AS COD_SUBCUENCA,
+ CASE WHEN {_NO_SUB} THEN NULL ELSE cast((100 + s_nationkey) * 100 + s % 3 AS int) END AS COD_SUBCUENCA,
  CASE WHEN {_NO_SUB} THEN NULL ELSE n_name || ' sub ' || cast(s % 3 AS varchar) END AS NOM_SUBCUENCA,
  CASE WHEN {_NO_SUB} OR k = 3 THEN NULL
-      ELSE cast(((100 + n_nationkey) * 100 + s % 3) * 10 + k AS int) END AS COD_SUBSUBCUENCA,
+      ELSE cast(((100 + s_nationkey) * 100 + s % 3) * 10 + k AS int) END AS COD_SUBSUBCUENCA,
  CASE WHEN {_NO_SUB} OR k = 3 THEN NULL
       ELSE n_name || ' subsub ' || cast(k AS varchar)
            || CASE WHEN l_orderkey % 991 = 0 THEN ' (alt)' ELSE '' END END AS NOM_SUBSUBCUENCA,
  'OB-' || cast(s AS varchar) || '-' || cast(k AS varchar) AS CODIGO,
  cast(CASE WHEN k < 2 THEN 1 ELSE 2 END AS int) AS NATURALEZA,
- CASE WHEN s % 5 = 4 THEN NULL ELSE cast(120 + s % 5 AS int) END AS COD_SECTOR_SHA,
- CASE WHEN s % 5 = 4 THEN NULL ELSE 'Sector ' || cast(s % 5 AS varchar) END AS SECTOR_SHA,
+ CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE cast(120 + s_suppkey % 5 AS int) END AS COD_SECTOR_SHA,
+ CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE 'Sector ' || cast(s_suppkey % 5 AS varchar) END AS SECTOR_SHA,
  CASE WHEN k = 2 THEN NULL ELSE cast(s % 2 AS int) END AS APR,
- CASE WHEN s % 7 > 3 THEN NULL ELSE cast(s % 7 AS double) END AS ID_JUNTA,
- CASE WHEN s % 7 > 3 THEN NULL ELSE cast(k % 2 AS int) END AS PARTE_JUNTA,
- CASE WHEN s % 7 > 3 THEN NULL ELSE cast(s % 2 AS int) END AS REPRESENTA_JUNTA,
+ CASE WHEN s_suppkey % 7 > 3 THEN NULL ELSE cast(s_suppkey % 7 AS double) END AS ID_JUNTA,
+ CASE WHEN s_suppkey % 7 <= 3 THEN cast(k % 2 AS int) END AS PARTE_JUNTA,
+ CASE WHEN s_suppkey % 7 > 3 THEN NULL ELSE cast(s_suppkey % 2 AS int) END AS REPRESENTA_JUNTA,
  cast(s % 4 AS int) AS CANAL_TRANSMISION,
  cast(CASE s % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 99 ELSE NULL END AS int) AS TIPO_DERECHO,
  CASE WHEN s % 4 = 3 THEN NULL ELSE cast(s * 1000 + k * 10 AS double) END AS VOLUMEN_ANUAL,
@@ -70,14 +70,14 @@ SELECT
  CASE WHEN l_orderkey % 499 = 0 THEN NULL ELSE l_shipdate END AS FECHA_MEDICION,
  CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE cast(o_custkey % 10 AS int) END AS INF,
  CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE 'Inf' || cast(o_custkey % 10 AS varchar) END AS NOMB_INF,
- CASE WHEN o_custkey % 10 = 0 THEN '  ' ELSE ' Perez ' END AS A_PAT_INF,
- CASE WHEN o_custkey % 10 < 5 THEN NULL ELSE 'Soto' END AS A_MAT_INF
+ CASE WHEN o_custkey % 10 = 0 THEN '  ' WHEN o_custkey IS NOT NULL THEN ' Perez ' END AS A_PAT_INF,
+ CASE WHEN o_custkey % 10 >= 5 THEN 'Soto' END AS A_MAT_INF
 FROM (SELECT l.*, l_suppkey AS s, l_partkey % 4 AS k FROM lineitem l
       UNION ALL
       SELECT l.*, l_suppkey AS s, l_partkey % 4 AS k FROM lineitem l WHERE l_orderkey % 50 = 0) l
-JOIN orders ON l_orderkey = o_orderkey
-JOIN supplier ON s_suppkey = s
-JOIN nation ON n_nationkey = s_nationkey"""),
+LEFT JOIN orders ON l_orderkey = o_orderkey
+LEFT JOIN supplier ON s_suppkey = s
+LEFT JOIN nation ON n_nationkey = s_nationkey"""),
 
     "datos": (("mf",), """
 SELECT DISTINCT UTM_NORTE AS UTM_Norte, UTM_ESTE AS UTM_Este, HUSO AS Huso, CAUDAL AS Caudal,

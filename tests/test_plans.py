@@ -41,6 +41,17 @@ def test_no_cross_join_and_no_python(spark, key):
         assert node not in text, node
 
 
+@pytest.mark.parametrize("build, joined", [
+    (builds.measurements, set()),
+    (builds.daily_series, {"supplier", "nation"}),
+    (rollup.point_rollup, {"supplier", "nation"}),
+    (builds.reporters, {"supplier", "orders"}),
+])
+def test_sample_fact_joins_only_what_is_read(spark, build, joined):
+    text = plan(build(sample_fact(spark, SF_SMALL)))
+    assert {t for t in ("supplier", "nation", "orders") if f"/{t}.parquet" in text} == joined
+
+
 def test_series_read_prunes_years_rows_and_columns(stored):
     text = plan(stored.area_series("cuenca", "caudal", "115", start="1996-01-01", end="1996-12-31"))
     assert re.search(r"PartitionFilters: \[[^\]]*ANIO#\d+ >= 1996\)[^\]]*ANIO#\d+ <= 1996\)", text)
