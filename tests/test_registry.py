@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import database, rows_of_duckdb, rows_of_spark, spark_types
+from acequia.plans.registry import registered
 from conftest import SF
+from oracle import oracle_sql
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = registered(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -30,5 +32,10 @@ def test_query_matches_sql(spark, db, key):
     assert got, "the parameters should select something"
 
 
+def test_driver_has_every_query():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(SQL) <= set(driver.oracle_sql()) <= set(driver.queries())
+
+
 def test_entry_returns_rows(spark):
     assert driver.entry(spark).count() > 0
