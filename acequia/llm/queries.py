@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acequia.llm.exact_dedup import exact_dedup
+from acequia.llm.jaccard_join import jaccard_join
 from acequia.llm.mixing import mix
+from acequia.llm.piece_encoding import decode_pieces, encode_pieces
 from acequia.llm.quality_rules import quality_rules
+from acequia.llm.suffix_dedup import suffix_dedup
+from acequia.llm.suffix_tree_lm import suffix_tree_scores
+from acequia.llm.token_files import token_files
 from acequia.llm.url_filters import Rule, filter_urls, listed_by_host_words
+from acequia.llm.warc_fixity import warc_fixity
 
 RULES = (
     Rule("block", "net", "/"),
@@ -20,6 +27,13 @@ RULES = (
 #: Host labels of advertising, gambling and spam sites.
 BAD_LABELS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 
+#: Where every machine of the cluster has the public vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def tokenizer(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
@@ -29,24 +43,62 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(_documents(spark, folder)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(_documents(spark, folder), n=3, percent=90)
+
+
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, folder), length=100).select(
+        "doc_id", "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree_scores(_documents(spark, folder))
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     return filter_urls(pages, listed_by_host_words(pages, BAD_LABELS), RULES).select(
         "page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(_documents(spark, folder), tokenizer("word_bpe_49k.json"), end_id=2).select(
+        "doc_id", "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_fixity(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_documents(spark, folder)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "removed_words", "kept")
 
 
+def op9_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    return decode_pieces(encode_pieces(_documents(spark, folder), model), model).select(
+        "doc_id", "score", "n_chunks",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_documents(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op5_url_filters, op8_quality_rules, op10_mixing)
+    f.__name__: f for f in (
+        op1_exact_dedup, op2_jaccard_join, op3_suffix_dedup, op4_suffix_tree_scores, op5_url_filters,
+        op6_token_files, op7_warc_fixity, op8_quality_rules, op9_piece_encoding, op10_mixing)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -87,7 +87,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Slice]:
     """The texts of a string column, null as empty, in slices of about ``limit`` bytes."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+        column = pa.concat_arrays(column.chunks)
     if not len(column):
         return
     _, offsets, data = column.buffers()

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from acequia.llm.exact_dedup import distinct_documents
+from acequia.llm.jaccard_join import near_distinct
 from acequia.llm.mixing import mixed_documents
+from acequia.llm.piece_encoding import encode_pieces
 from acequia.llm.quality_rules import clean
+from acequia.llm.queries import tokenizer
 from acequia.llm.shared import saved
 
 
@@ -20,12 +23,28 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return distinct_documents(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_distinct(docs, n=5, percent=80)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or sample documents so that sources meet their weights."""
     return mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("mixing", mixture)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document: doc_id, ids, score and number of chunks."""
+    return encode_pieces(docs, tokenizer("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("mixing", mixture),
+    ("SentencePiece encoding", pieces),
+]
 
 #: Shingle hashes, seeded orders and piece scores have no SQL form.
 ORACLE_SQL = None
