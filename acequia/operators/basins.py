@@ -87,15 +87,14 @@ def read_basin_stats(
         F.col("total_puntos_unicos"), F.col("total_mediciones"),
     ]
     if include_global:
-        overall = stats.filter(F.col("caudal_promedio").isNotNull()).agg(F.struct(
+        parts = ("promedio", "minimo", "maximo")
+        # Rounded in the one-row aggregate: the rounding names its argument many times.
+        overall = stats.filter(F.col("caudal_promedio").isNotNull()).agg(
             F.avg("caudal_promedio").alias("promedio"),
             F.min("caudal_minimo").alias("minimo"),
             F.max("caudal_maximo").alias("maximo"),
-        )).scalar()
-        columns += [
-            round_half_even(overall[part]).alias(f"global_{part}")
-            for part in ("promedio", "minimo", "maximo")
-        ]
+        ).select(F.struct(*(round_half_even(F.col(p)).alias(p) for p in parts))).scalar()
+        columns += [overall[part].alias(f"global_{part}") for part in parts]
     return (
         where(stats, equal_to(given)).select(*columns)
         .orderBy("cod_cuenca", "cod_subcuenca", "cod_subsubcuenca")

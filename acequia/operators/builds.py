@@ -75,22 +75,22 @@ def daily_series_by_coord(fact: DataFrame) -> DataFrame:
     """Variant with one row per coordinate and day; NULL keys are dropped.
 
     Spark sorts its input for MAX of a string. Grouping by the path first keeps the
-    pass over the fact on hash aggregation, and only the merged rows are sorted. They
-    hold one row per path of a coordinate and day, so they are brought together as
-    they are and sorted once: combining them again before the shuffle would sort twice.
+    pass over the fact on hash aggregation, and only the merged rows are sorted. Rows
+    are shuffled once, by the three keys, which serves both groupings; a coordinate has
+    a few reports a day, so combining them before the shuffle would save little.
     """
     keys = (*S.COORD, "FECHA_MEDICION")
     dated = fact.select(
         *S.BASIN_PATH, *S.COORD,
         F.col("FECHA_MEDICION").cast("date").alias("FECHA_MEDICION"),
         *S.LEVELS, "TOTALIZADOR",
-    ).dropna(subset=list(keys))
+    ).dropna(subset=list(keys)).repartition(*keys)
     parts = dated.groupBy(*keys, *S.BASIN_PATH).agg(
         *(F.sum(c).alias(f"suma_{c}") for c in S.LEVELS),
         *(F.count(c).alias(f"n_{c}") for c in S.LEVELS),
         F.max("TOTALIZADOR").alias("TOTALIZADOR"),
     )
-    return parts.repartition(*keys).groupBy(*keys).agg(
+    return parts.groupBy(*keys).agg(
         *(F.max(c).alias(c) for c in S.BASIN_PATH),
         *(F.try_divide(F.sum(f"suma_{c}"), F.sum(f"n_{c}")).alias(c) for c in S.LEVELS),
         F.max("TOTALIZADOR").alias("TOTALIZADOR"),
@@ -123,19 +123,6 @@ def rights_per_coord(fact: DataFrame) -> DataFrame:
     )
 
 
-def basin_flows(fact: DataFrame) -> DataFrame:
-    """Flow statistics, distinct points and rows per basin path and region.
-
-    Spark first groups by path and point to count the distinct points, so a basin
-    with a third of all rows is spread over its points.
-    """
-    return fact.groupBy(*S.BASIN_KEYS).agg(
-        *flow_statistics(F.col("CAUDAL")),
-        F.count_distinct(coordinate()).alias("total_puntos_unicos"),
-        F.count("*").alias("total_mediciones"),
-    ).withColumnsRenamed(S.BASIN_KEYS)
-
-
 def with_basin_rights(flows: DataFrame, rights: DataFrame) -> DataFrame:
     """Basin statistics: rights joined on the four codes, 0 where there are none.
 
@@ -152,10 +139,6 @@ def with_basin_rights(flows: DataFrame, rights: DataFrame) -> DataFrame:
     )
 
 
-def basin_stats(fact: DataFrame) -> DataFrame:
-    return with_basin_rights(basin_flows(fact), rights_per_basin(rights_per_point(fact)))
-
-
 def flow_range_per_point(fact: DataFrame) -> DataFrame:
     """Lowest and highest flow of each coordinate within a sub-basin."""
     return fact.groupBy("NOM_CUENCA", "NOM_SUBCUENCA", *S.COORD).agg(

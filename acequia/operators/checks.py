@@ -33,11 +33,10 @@ def sample_rows(table: DataFrame, columns: Sequence[str], any_of: Sequence[str],
     return first_rows(rows.select(*columns), n)
 
 
-def _rows_per_coord(table: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """Rows of a table at each wanted coordinate; other rows leave before the shuffle."""
-    t = table.select(F.col("UTM_NORTE").alias("n"), F.col("UTM_ESTE").alias("e"))
-    kept = t.join(wanted, [F.col("n") == F.col("utm_norte"), F.col("e") == F.col("utm_este")], "left_semi")
-    return kept.groupBy("n", "e").agg(F.count("*").alias(name))
+def _rows_per_coord(table: DataFrame, name: str) -> DataFrame:
+    """Rows of a table at each coordinate. Every task counts before the shuffle, so a
+    coordinate with very many rows moves as one row per task."""
+    return table.groupBy(F.col("UTM_NORTE").alias("n"), F.col("UTM_ESTE").alias("e")).agg(F.count("*").alias(name))
 
 
 def point_coverage(
@@ -49,7 +48,7 @@ def point_coverage(
     ).distinct()
     out = wanted
     for table, name in ((measurements, "n_datos"), (series, "n_series")):
-        counts = _rows_per_coord(table, wanted, name)
+        counts = _rows_per_coord(table, name)
         out = out.join(
             counts, [F.col("utm_norte") == F.col("n"), F.col("utm_este") == F.col("e")], "left"
         ).drop("n", "e")

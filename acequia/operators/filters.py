@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
+from datetime import date
 from functools import reduce
 from operator import and_
 
@@ -27,11 +28,9 @@ def coordinate_is(norte: int, este: int) -> list[Column]:
     return [F.col("UTM_NORTE") == norte, F.col("UTM_ESTE") == este]
 
 
-def _date(text: str) -> Column:
-    # Words such as "yesterday" are dates to Spark; here they are malformed.
-    if not text[:1].isdigit():
-        raise ValueError(f"not a date: {text!r}")
-    return F.lit(text).cast("date")
+def _date(text: str) -> date:
+    """A malformed date fails here, whatever the session's ANSI mode."""
+    return date.fromisoformat(text)
 
 
 def date_range(df: DataFrame, start: str | None, end: str | None) -> list[Column]:
@@ -44,13 +43,13 @@ def date_range(df: DataFrame, start: str | None, end: str | None) -> list[Column
     found = []
     by_year = "ANIO" in df.columns
     if start:
-        found.append(F.col("FECHA_MEDICION") >= _date(start))
+        found.append(F.col("FECHA_MEDICION") >= F.lit(_date(start)))
         if by_year:
-            found.append(F.col("ANIO") >= F.year(_date(start)))
+            found.append(F.col("ANIO") >= _date(start).year)
     if end:
-        found.append(F.col("FECHA_MEDICION") <= _date(end))
+        found.append(F.col("FECHA_MEDICION") <= F.lit(_date(end)))
         if by_year:
-            found.append(F.col("ANIO") <= F.year(_date(end)))
+            found.append(F.col("ANIO") <= _date(end).year)
     return found
 
 

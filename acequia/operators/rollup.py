@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from acequia import schema as S
 from acequia.functions import coordinate
-from acequia.operators.builds import flow_statistics, named
+from acequia.operators.builds import named
 
 _STATED = {c: f"con_derecho_{c}" for c in S.RIGHT_AMOUNTS}
 
@@ -25,7 +25,9 @@ def point_rollup(fact: DataFrame) -> DataFrame:
         fact.select(*named(S.POINT_KEYS), flow, "NATURALEZA", *S.RIGHTS)
         .groupBy(*S.POINT_KEYS.values())
         .agg(
-            *flow_statistics(flow),
+            F.avg(flow).alias("caudal_promedio"),
+            F.min(flow).alias("caudal_minimo"),
+            F.max(flow).alias("caudal_maximo"),
             F.count("*").alias("n_mediciones"),
             F.count(flow).alias("n_caudal"),
             F.sum(flow).alias("caudal_suma"),
@@ -34,6 +36,8 @@ def point_rollup(fact: DataFrame) -> DataFrame:
             *(F.max(c).alias(c) for c in S.RIGHTS),
             *(F.max(F.when(stated, F.col(c))).alias(n) for c, n in _STATED.items()),
         )
+        .withColumn("caudal_desviacion_estandar", F.when(
+            F.col("n_caudal") > 1, F.sqrt(F.col("caudal_m2") / (F.col("n_caudal") - 1))))
     )
 
 
@@ -42,13 +46,12 @@ def points(rollup: DataFrame) -> DataFrame:
 
     A point is a well when the highest nature code reported for it is 1.
     """
-    keys = list(S.POINT_KEYS.values())
     return rollup.select(
-        *keys[:12],
+        *S.POINT_PLACE,
         "caudal_promedio", "caudal_minimo", "caudal_maximo", "caudal_desviacion_estandar",
-        "n_mediciones", keys[12],
+        "n_mediciones", "codigo",
         F.coalesce(F.col("naturaleza") == 1, F.lit(False)).alias("es_pozo_subterraneo"),
-        *keys[13:],
+        *S.POINT_ATTRIBUTES,
         *S.RIGHTS,
     )
 
@@ -100,17 +103,17 @@ def basin_flows(rollup: DataFrame) -> DataFrame:
 def points_by_coord(rollup: DataFrame) -> DataFrame:
     """Variant of the catalog with one row per coordinate; NULL coordinates are dropped."""
     located = rollup.dropna(subset=["UTM_Norte", "UTM_Este"])
-    keys = list(S.POINT_KEYS.values())
+    place = ["UTM_Norte", "UTM_Este"]
     pooled = _pooled_flows(
-        located, keys[:2],
-        *(F.max(c).alias(c) for c in keys[2:]),
+        located, place,
+        *(F.max(c).alias(c) for c in S.POINT_KEYS.values() if c not in place),
         F.sum("n_mediciones").alias("n_mediciones"),
         *(F.max(c).alias(c) for c in S.RIGHTS),
     )
     return pooled.select(
-        *keys[:12],
+        *S.POINT_PLACE,
         "caudal_promedio", "caudal_minimo", "caudal_maximo", "caudal_desviacion_estandar",
-        "n_mediciones", *keys[12:], *S.RIGHTS,
+        "n_mediciones", "codigo", *S.POINT_ATTRIBUTES, *S.RIGHTS,
     )
 
 

@@ -25,12 +25,18 @@ _DAY = "FECHA_MEDICION"
 
 
 def catalog_rows_per_coord(points: DataFrame, conditions: list[Column]) -> DataFrame:
-    """How many catalog rows under the conditions share each coordinate."""
-    return (
+    """How many catalog rows under the conditions share each coordinate.
+
+    The coordinates come out wider than they went in, so the join on them does not take
+    over the aggregate's partitioning: both its sides are shuffled for the join alone,
+    and adaptive execution may then split a coordinate with very many series rows.
+    """
+    listed = (
         where(points, conditions)
         .groupBy(F.col("UTM_Norte").alias("norte"), F.col("UTM_Este").alias("este"))
         .agg(F.count("*").alias("filas"))
     )
+    return listed.select(F.col("norte").cast("long").alias("norte"), F.col("este").cast("long").alias("este"), "filas")
 
 
 def area_series(
@@ -65,7 +71,7 @@ def area_series(
     if in_catalog:
         listed = catalog_rows_per_coord(points, in_catalog)
         rows = rows.join(
-            listed, [F.col("UTM_NORTE") == F.col("norte"), F.col("UTM_ESTE") == F.col("este")]
+            listed, [F.col("UTM_NORTE").cast("long") == F.col("norte"), F.col("UTM_ESTE").cast("long") == F.col("este")]
         )
         weight = F.col("filas")
         total = F.sum(F.col(value) * weight)

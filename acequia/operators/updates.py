@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DataType
 
+from acequia.operators.filters import where
+
 
 def with_missing_columns(df: DataFrame, columns: dict[str, DataType]) -> DataFrame:
     """Add every column that is not there yet, as NULL. Names compare without case."""
@@ -24,15 +26,17 @@ def update_from(
 ) -> DataFrame:
     """Target rows with ``columns`` taken from the matching source row.
 
-    Rows without a match keep their values. ``source`` must be unique on its keys,
-    as an aggregate grouped by them is; then no target row is repeated. Keys compare
-    with ``=``, so a NULL key matches nothing.
+    Rows without a match keep their values. A key that ``source`` holds twice fails the
+    query, so no target row is repeated. Keys compare with ``=``, so a NULL key matches
+    nothing. Where ``source`` is an aggregate by these keys, the check moves no rows.
     """
     t = target.alias("t")
-    s = source.select(
-        *(F.col(b).alias(f"clave_{i}") for i, b in enumerate(on.values())),
-        *(F.col(c).alias(f"nuevo_{c}") for c in columns),
-        F.lit(True).alias("coincide"),
+    keys = [F.col(b).alias(f"clave_{i}") for i, b in enumerate(on.values())]
+    known = [F.col(b).isNotNull() for b in on.values()]
+    s = where(source, known).groupBy(*keys).agg(
+        *(F.any_value(c).alias(f"nuevo_{c}") for c in columns), F.count(F.lit(1)).alias("filas"),
+    ).withColumn(
+        "coincide", F.when(F.col("filas") == 1, True).otherwise(F.raise_error("the source repeats a key"))
     ).alias("s")
     match = [F.col(f"t.{a}") == F.col(f"s.clave_{i}") for i, a in enumerate(on)]
     taken = {c.lower(): c for c in columns}

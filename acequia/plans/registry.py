@@ -2,38 +2,63 @@
 
 from __future__ import annotations
 
+import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 from hashlib import sha256
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from acequia import schema as S
 from acequia.operators import basins, builds, checks, points, reporters, request_log, rights, rollup, updates
 from acequia.operators.filters import PointFilter
-from acequia.plans.warehouse import Warehouse
+from acequia.plans.warehouse import Source, Warehouse, basin_stats
 from acequia.sources.sample import sample_fact
-from acequia.sources.tables import read_table, shared_folder, write_table
+from acequia.sources.tables import read_csv, read_table, shared_folder, write_csv, write_table
 
 Query = Callable[[Warehouse, str], DataFrame]
 
 _POINT = (6000000, 300000)
-_warehouses: dict[tuple[str, str], Warehouse] = {}
+_warehouses: dict[str, Warehouse] = {}
+_own_folder: list[str] = []
 _lock = threading.Lock()
 
 
+def sample_root(spark: SparkSession) -> str:
+    """Where the tables of the samples go: the shared folder that the session names.
+
+    A local session that names none, as in tests, gets a folder of its own. Executors of
+    a cluster share no local disk, so there it is an error.
+    """
+    master = spark.sparkContext.master
+    if spark.conf.get("spark.checkpoint.dir", None) or not master.startswith("local") or "cluster" in master:
+        return shared_folder(spark)
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="acequia-"))
+    return _own_folder[0]
+
+
+def _version(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the sample's files, so that changed files are read anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return ";".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
+
+
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    """Derived tables of one folder of sample tables, written once per application."""
-    application = spark.sparkContext.applicationId
-    key = (application, folder)
+    """Derived tables of one folder of sample tables, refreshed once per application and version
+    of the files."""
+    label = sha256(f"{folder}\n{_version(spark, folder)}".encode()).hexdigest()[:16]
+    root = f"{sample_root(spark)}/acequia/{spark.sparkContext.applicationId}/{label}"
     with _lock:
-        if key not in _warehouses:
-            shared = shared_folder(spark)
-            label = sha256(folder.encode()).hexdigest()[:12]
-            root = f"{shared}/acequia/{application}/{label}" if shared else None
-            _warehouses[key] = Warehouse(spark, sample_fact(spark, folder), root)
-        return _warehouses[key]
+        if root not in _warehouses:
+            built = Warehouse(spark, sample_fact(spark, folder), root)
+            built.refresh()
+            _warehouses[root] = built
+        return _warehouses[root]
 
 
 # Queries whose doubles are stored or largest values, not sums or means.
@@ -72,37 +97,58 @@ def _area(level: str, metric: str, identifier: str, **given) -> Query:
 def _roundtrip(w: Warehouse, _: str) -> DataFrame:
     """Write the point catalog over its previous version and read it back."""
     df = rollup.points(w.table("rollup_puntos"))
-    if w.root is None:
-        return df
     path = f"{w.root}/ida_y_vuelta"
     write_table(df, path, sort_by=("Cod_Cuenca", "UTM_Norte", "UTM_Este"))
     return read_table(w.spark, path, df.schema)
 
 
+def _csv_roundtrip(w: Warehouse, _: str) -> DataFrame:
+    """Write the reporters as CSV files with a header and read them back."""
+    df, path = w.reporters(limit=None), f"{w.root}/informantes_csv"
+    write_csv(df, path)
+    return read_csv(w.spark, path, df.schema)
+
+
+def _create_once(w: Warehouse, _: str) -> DataFrame:
+    """A first build into a folder of its own; a second one there must not replace it."""
+    path = f"{w.root}/una_vez/{uuid.uuid4().hex}"
+    write_table(w.table("cuencas_regiones"), path, mode="errorifexists")
+    try:
+        write_table(w.table("cuencas_regiones").limit(0), path, mode="errorifexists")
+    except AnalysisException:
+        return read_table(w.spark, path, w.table("cuencas_regiones").schema)
+    raise RuntimeError("the first build was replaced")
+
+
+def _first(n: int, f: Callable[[Warehouse], DataFrame]) -> Query:
+    """The first ``n`` rows in the read's own order, so that the order decides the rows."""
+    return lambda w, _: f(w).limit(n)
+
+
 def _points_without_rights(w: Warehouse) -> DataFrame:
     return updates.with_missing_columns(w.table("puntos_mapa").drop(*S.RIGHTS), S.POINT_RIGHT_TYPES)
 
 
-def _points_rights_update(w: Warehouse, _: str) -> DataFrame:
-    updated = updates.update_from(
-        _points_without_rights(w),
-        rollup.rights_per_coord(w.table("rollup_puntos")),
-        {"UTM_Norte": "UTM_NORTE", "UTM_Este": "UTM_ESTE"},
-        S.RIGHTS,
-    )
-    return updated.select(*S.POINT_KEYS.values(), *S.RIGHTS)
+def _updated(table: str) -> Query:
+    """Publish points and basins without rights under a root of their own, update them there, and read
+    the stored result."""
+    def run(w: Warehouse, _: str) -> DataFrame:
+        old = Warehouse(w.spark, None, f"{w.root}/sin_derechos/{uuid.uuid4().hex}")
+        old.publish({
+            "rollup_puntos": w.table("rollup_puntos"),
+            "puntos_mapa": w.table("puntos_mapa").drop(*S.RIGHTS),
+            "cuenca_stats": w.table("cuenca_stats").drop(*S.BASIN_RIGHTS),
+        })
+        old.update_rights()
+        return Warehouse.open(w.spark, old.root).table(table)
+    return run
 
 
-def _basin_rights_update(w: Warehouse, _: str) -> DataFrame:
-    target = updates.with_missing_columns(w.table("cuenca_stats").drop(*S.BASIN_RIGHTS), S.BASIN_RIGHT_TYPES)
-    updated = updates.update_from(
-        target,
-        builds.rights_per_basin(rollup.rights_per_point(w.table("rollup_puntos"))),
-        {"Cod_Cuenca": "COD_CUENCA", "Cod_Subcuenca": "COD_SUBCUENCA",
-         "Cod_Subsubcuenca": "COD_SUBSUBCUENCA", "Cod_Region": "REGION"},
-        S.BASIN_RIGHTS,
-    )
-    return updated.select(*S.BASIN_KEYS.values(), *S.BASIN_RIGHTS)
+def _pooled_locations(w: Warehouse, folder: str) -> DataFrame:
+    """Statistics of all points that lie in a sector, as a table of locations."""
+    places = w.table("puntos_mapa").where(F.col("COD_SECTOR_SHA").isNotNull()).select(
+        F.col("UTM_Norte").alias("UTM_NORTE"), F.col("UTM_Este").alias("UTM_ESTE"))
+    return w.pooled_statistics(places)
 
 
 def _valid_locations(w: Warehouse, _: str) -> DataFrame:
@@ -122,6 +168,8 @@ def _column_coverage(w: Warehouse, _: str) -> DataFrame:
     tables = {"Puntos_Mapa": w.table("puntos_mapa"), "Series_Tiempo": w.table("series_tiempo"),
               "Mediciones_full": w.fact}
     first, *rest = (checks.column_coverage(t, n, S.EXPECTED_COLUMNS[n]) for n, t in tables.items())
+    rest.append(checks.column_coverage(
+        tables["Puntos_Mapa"].drop("APR"), "Puntos_Mapa_sin_APR", ("UTM_Norte", "APR")))
     for other in rest:
         first = first.unionByName(other)
     return first
@@ -149,8 +197,10 @@ QUERIES: dict[str, Query] = {
     "fact_row_count": _read(Warehouse.record_count),
     "gold_write_roundtrip": _roundtrip,
     "points_add_rights_columns": _read(_points_without_rights),
-    "points_rights_update": _points_rights_update,
-    "basin_rights_update": _basin_rights_update,
+    "points_rights_update": _updated("puntos_mapa"),
+    "basin_rights_update": _updated("cuenca_stats"),
+    "csv_roundtrip": _csv_roundtrip,
+    "create_once": _create_once,
     # Builds from the fact.
     "build_measurements": _build(builds.measurements),
     "build_basin_catalog": _build(builds.basin_catalog),
@@ -165,7 +215,7 @@ QUERIES: dict[str, Query] = {
     "rollup_rights_per_basin": _read(lambda w: builds.rights_per_basin(
         rollup.rights_per_point(w.table("rollup_puntos")))),
     "rollup_rights_per_coord": _read(lambda w: rollup.rights_per_coord(w.table("rollup_puntos"))),
-    "build_basin_stats": _build(builds.basin_stats),
+    "build_basin_stats": _read(lambda w: basin_stats(Source(w))),
     "build_filter_stats": _build(lambda fact: builds.filter_stats(builds.flow_range_per_point(fact))),
     "build_filter_stats_gsets": _build(
         lambda fact: builds.filter_stats_grouping_sets(builds.flow_range_per_point(fact))),
@@ -188,10 +238,12 @@ QUERIES: dict[str, Query] = {
     "points_list": _read(lambda w: w.list_points(PointFilter(
         cod_cuenca=115, pozo=True, codigo_obra="OB-", apr=False))),
     "points_list_default": _read(Warehouse.list_points),
+    "points_list_class": _read(lambda w: w.list_points(PointFilter(codigo_obra="OB-[1-3]_-[^0]"), limit=None)),
     "points_list_wildcard": _read(lambda w: w.list_points(PointFilter(codigo_obra="OB-_1-"), limit=None)),
     "point_info": _read(lambda w: w.point_info(*_POINT)),
     "point_metric_stats": _read(lambda w: w.point_statistics([_POINT])),
     "multi_point_flow_stats": _read(lambda w: w.point_statistics([_POINT, (6000100, 301000), _POINT])),
+    "multi_point_flow_stats_table": _pooled_locations,
     "valid_locations": _valid_locations,
     "valid_locations_range": _valid_locations_range,
     "admin_divisions": _read(Warehouse.admin_divisions),
@@ -210,6 +262,13 @@ QUERIES: dict[str, Query] = {
     "basin_stats_path": _read(lambda w: w.basin_stats(
         cod_cuenca=115, cod_subcuenca=11500, cod_subsubcuenca=115000)),
     "basin_stats_global": _read(lambda w: w.basin_stats(include_global=True)),
+    # The first rows of ordered reads.
+    "basin_list_first": _first(5, Warehouse.basins),
+    "basin_stats_first": _first(7, Warehouse.basin_stats),
+    "sector_list_first": _first(2, Warehouse.sectors),
+    "filter_stats_first": _first(30, Warehouse.filter_ranges),
+    "series_basin_flow_first": _first(3, lambda w: w.area_series("cuenca", "caudal", "115")),
+    "series_point_flow_first": _first(3, lambda w: w.point_series("caudal", *_POINT)),
     "basin_subbasin_names": _read(lambda w: basins.subbasin_names(w.table("cuencas_regiones"))),
     # Series of areas.
     "series_basin_flow": _area("cuenca", "caudal", "115"),

@@ -2,87 +2,134 @@
 
 A full refresh scans the fact four times, each scan reading only its own columns:
 for the point rollup, the daily series, the reporters and the distinct measurements.
-All other tables follow from the point rollup.
+All other tables follow from the point rollup or the daily series.
+
+Only ``refresh`` and the updates write. Each writes new files under a folder of its own
+and then replaces one pointer file, so a reader sees the tables of one version.
 """
 
 from __future__ import annotations
 
 import threading
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from acequia import schema as S
-from acequia.operators import basins, builds, points, reporters, rights, rollup, series
+from acequia.operators import basins, builds, points, reporters, rights, rollup, series, updates
 from acequia.operators.filters import PointFilter
+from acequia.sources.pointer import read_pointer, write_pointer
 from acequia.sources.tables import read_table, write_table
 
 
 @dataclass(frozen=True)
 class StoredTable:
-    """How a table is computed from the warehouse and how its files are laid out."""
+    """How a table is computed, from which others, and how its files are laid out."""
 
-    compute: Callable[[Warehouse], DataFrame]
+    compute: Callable[[Source], DataFrame]
+    reads: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
     cluster_by: tuple[str, ...] = ()
+    range_by: tuple[str, ...] = ()
     sort_by: tuple[str, ...] = ()
 
 
-def _basin_stats(w: Warehouse) -> DataFrame:
-    points_ = w.table("rollup_puntos")
+def basin_stats(source: Source) -> DataFrame:
+    points_ = source.table("rollup_puntos")
     sums = builds.rights_per_basin(rollup.rights_per_point(points_))
     return builds.with_basin_rights(rollup.basin_flows(points_), sums)
 
 
-# In build order. The series is the only large table that reads select from: whole
-# years are skipped by partition, and within a year rows lie together by basin path,
-# coordinate and day, so filters on any of these skip row groups.
+# In build order. Reads of areas select from the series: whole years are skipped by
+# partition, and within a year rows lie together by basin path. Reads of points select
+# from a copy of its measured columns in which every file holds a range of coordinates;
+# the date ends the range, so even a coordinate with very many days is split.
 TABLES: dict[str, StoredTable] = {
-    "rollup_puntos": StoredTable(lambda w: rollup.point_rollup(w.fact)),
-    "datos": StoredTable(lambda w: builds.measurements(w.fact)),
-    "cuencas_regiones": StoredTable(lambda w: builds.basin_catalog(w.table("rollup_puntos"))),
+    "rollup_puntos": StoredTable(lambda s: rollup.point_rollup(s.fact)),
+    "datos": StoredTable(
+        lambda s: builds.measurements(s.fact), range_by=("UTM_Norte", "UTM_Este", "Fecha_Medicion"),
+    ),
+    "cuencas_regiones": StoredTable(
+        lambda s: builds.basin_catalog(s.table("rollup_puntos")), reads=("rollup_puntos",)
+    ),
     "informante": StoredTable(
-        lambda w: builds.reporters(w.fact), sort_by=("COD_CUENCA", *S.COORD)
+        lambda s: builds.reporters(s.fact), cluster_by=("COD_CUENCA",), sort_by=("COD_CUENCA", *S.COORD)
     ),
     "puntos_mapa": StoredTable(
-        lambda w: rollup.points(w.table("rollup_puntos")),
-        sort_by=("Cod_Cuenca", "UTM_Norte", "UTM_Este"),
+        lambda s: rollup.points(s.table("rollup_puntos")), reads=("rollup_puntos",),
+        cluster_by=("Cod_Cuenca",), sort_by=("Cod_Cuenca", "UTM_Norte", "UTM_Este"),
     ),
     "series_tiempo": StoredTable(
-        lambda w: builds.daily_series(w.fact).withColumn("ANIO", F.year("FECHA_MEDICION")),
+        lambda s: builds.daily_series(s.fact).withColumn("ANIO", F.year("FECHA_MEDICION")),
         partition_by=("ANIO",),
         cluster_by=("ANIO", "COD_CUENCA"),
         sort_by=(*S.BASIN_CODES, *S.COORD, "FECHA_MEDICION"),
     ),
-    "cuenca_stats": StoredTable(_basin_stats),
+    "series_puntos": StoredTable(
+        lambda s: s.table("series_tiempo").select(*S.COORD, "FECHA_MEDICION", *S.LEVELS, "TOTALIZADOR"),
+        reads=("series_tiempo",), range_by=(*S.COORD, "FECHA_MEDICION"),
+    ),
+    "cuenca_stats": StoredTable(basin_stats, reads=("rollup_puntos",)),
     "filtros_reactivos_stats": StoredTable(
-        lambda w: builds.filter_stats(rollup.flow_range_per_point(w.table("rollup_puntos")))
+        lambda s: builds.filter_stats(rollup.flow_range_per_point(s.table("rollup_puntos"))),
+        reads=("rollup_puntos",),
     ),
 }
 
 
+def dependants(names: Sequence[str]) -> list[str]:
+    """The named tables and all that follow from them, in build order."""
+    found: list[str] = []
+    for name, spec in TABLES.items():
+        if name in names or any(r in found for r in spec.reads):
+            found.append(name)
+    unknown = set(names) - set(TABLES)
+    if unknown:
+        raise ValueError(f"unknown tables: {sorted(unknown)}")
+    return found
+
+
+class Source:
+    """What a table is computed from: the fact, and tables as the running refresh leaves them."""
+
+    def __init__(self, warehouse: Warehouse):
+        self._warehouse = warehouse
+        self.built: dict[str, DataFrame] = {}
+
+    @property
+    def fact(self) -> DataFrame:
+        return self._warehouse.fact
+
+    def table(self, name: str) -> DataFrame:
+        return self.built[name] if name in self.built else self._warehouse.table(name)
+
+
 class Warehouse:
     """Derived tables of one fact.
 
-    With ``root`` every table is written there once, when it is first needed or by
-    ``refresh``, and read back after that. ``root`` must be a folder all executors
-    reach. Without it each table stays a plan over the fact.
+    With ``root``, a folder that all executors reach, tables are those that the last
+    refresh or update published there; a read never writes, and a table that was never
+    built is an error. Without it each table is a plan over the fact.
     """
 
     def __init__(self, spark: SparkSession, fact: DataFrame | None, root: str | None = None):
         self.spark = spark
         self._fact = fact
         self.root = root.rstrip("/") if root else None
-        self._written: dict[str, DataFrame] = {}
+        self._published: dict[str, dict] | None = None
+        self._tables: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> Warehouse:
-        """Tables that an earlier refresh has written under ``root``."""
-        found = cls(spark, None, root)
-        for name in TABLES:
-            found._written[name] = spark.read.parquet(f"{found.root}/{name}")
+    def open(cls, spark: SparkSession, root: str, fact: DataFrame | None = None) -> Warehouse:
+        """Tables that an earlier refresh has published under ``root``."""
+        found = cls(spark, fact, root)
+        if not found._current():
+            raise ValueError(f"no tables under {root}: refresh first")
         return found
 
     @property
@@ -91,37 +138,93 @@ class Warehouse:
             raise ValueError("this warehouse was opened without its fact table")
         return self._fact
 
+    @property
+    def _pointer(self) -> str:
+        return f"{self.root}/current.json"
+
+    def _current(self) -> dict[str, dict]:
+        """Published path and schema of each table, as read when this warehouse first asks."""
+        if self._published is None:
+            self._published = (read_pointer(self.spark, self._pointer) or {"tables": {}})["tables"]
+        return self._published
+
     def table(self, name: str) -> DataFrame:
         if self.root is None:
-            return TABLES[name].compute(self)
+            return TABLES[name].compute(Source(self))
         with self._lock:
-            if name not in self._written:
-                self._write(name)
-            return self._written[name]
-
-    def refresh(self, names: Sequence[str] = tuple(TABLES)) -> None:
-        """Rebuild and overwrite the named tables, in build order."""
+            if name not in self._tables:
+                entry = self._current().get(name)
+                if entry is None:
+                    raise ValueError(f"table {name!r} is not built under {self.root}: refresh first")
+                self._tables[name] = read_table(
+                    self.spark, f"{self.root}/{entry['path']}", StructType.fromJson(entry["schema"]))
+            return self._tables[name]
+
+    def refresh(self, names: Sequence[str] = tuple(TABLES)) -> dict[str, float]:
+        """Rebuild the named tables and all that follow from them; publish them together.
+
+        Returns the seconds that each took.
+        """
+        source = Source(self)
+        return self._publish({n: TABLES[n].compute for n in dependants(names)}, source)
+
+    def publish(self, tables: dict[str, DataFrame]) -> None:
+        """Publish tables computed elsewhere, laid out as this warehouse lays them out."""
+        self._publish({n: lambda source, df=df: df for n, df in tables.items()}, Source(self))
+
+    def update(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Publish a new version of one table: its present rows under ``change``."""
+        self._publish({name: lambda source: change(source.table(name))}, Source(self))
+
+    def update_rights(self) -> None:
+        """Add the rights columns to points and basins where they are missing, and fill them.
+
+        Points take the rights of their coordinate, basin paths the sums of their points;
+        rows without rights keep what they have. Both tables are published together.
+        """
+        def of_points(source: Source) -> DataFrame:
+            return updates.update_from(
+                updates.with_missing_columns(source.table("puntos_mapa"), S.POINT_RIGHT_TYPES),
+                rollup.rights_per_coord(source.table("rollup_puntos")),
+                {"UTM_Norte": "UTM_NORTE", "UTM_Este": "UTM_ESTE"}, S.RIGHTS)
+
+        def of_basins(source: Source) -> DataFrame:
+            return updates.update_from(
+                updates.with_missing_columns(source.table("cuenca_stats"), S.BASIN_RIGHT_TYPES),
+                builds.rights_per_basin(rollup.rights_per_point(source.table("rollup_puntos"))),
+                {"Cod_Cuenca": "COD_CUENCA", "Cod_Subcuenca": "COD_SUBCUENCA",
+                 "Cod_Subsubcuenca": "COD_SUBSUBCUENCA", "Cod_Region": "REGION"}, S.BASIN_RIGHTS)
+
+        self._publish({"puntos_mapa": of_points, "cuenca_stats": of_basins}, Source(self))
+
+    def _publish(self, tables: dict[str, Callable[[Source], DataFrame]], source: Source) -> dict[str, float]:
         if self.root is None:
-            raise ValueError("a refresh needs a root folder")
+            raise ValueError("writing tables needs a root folder")
         with self._lock:
-            for name in TABLES:
-                if name in names:
-                    self._write(name)
+            self._published = None  # another session may have published since
+            version = f"versiones/{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:8]}"
+            seconds, entries = {}, {}
+            for name, compute in tables.items():
+                start, spec, path = time.perf_counter(), TABLES[name], f"{version}/{name}"
+                df = compute(source)
+                write_table(
+                    df, f"{self.root}/{path}", mode="errorifexists", partition_by=spec.partition_by,
+                    cluster_by=spec.cluster_by, range_by=spec.range_by, sort_by=spec.sort_by,
+                )
+                source.built[name] = read_table(self.spark, f"{self.root}/{path}", df.schema)
+                entries[name] = {"path": path, "schema": df.schema.jsonValue()}
+                seconds[name] = time.perf_counter() - start
+            published = {**self._current(), **entries}
+            write_pointer(self.spark, self._pointer, {"tables": published})
+            self._published = published
+            self._tables.update(source.built)
+            return seconds
 
     def create_views(self) -> None:
         """Make every table readable by name in ``spark.sql``, in this session."""
         for name in TABLES:
             self.table(name).createOrReplaceTempView(name)
 
-    def _write(self, name: str) -> None:
-        spec, path = TABLES[name], f"{self.root}/{name}"
-        df = spec.compute(self)
-        write_table(
-            df, path,
-            partition_by=spec.partition_by, cluster_by=spec.cluster_by, sort_by=spec.sort_by,
-        )
-        self._written[name] = read_table(self.spark, path, df.schema)
-
     # -- Reads -------------------------------------------------------------------
 
     def count_points(self, filters: PointFilter = PointFilter()) -> DataFrame:
@@ -140,11 +243,15 @@ class Warehouse:
         for place in locations:
             if not points.is_valid_location(*place):
                 raise ValueError(f"location outside the grid: {place}")
-        daily = self.table("series_tiempo")
+        daily = self.table("series_puntos")
         if len(locations) == 1:
             return points.point_metric_stats(daily, *locations[0])
         return points.multi_point_flow_stats(daily, locations)
 
+    def pooled_statistics(self, locations: DataFrame) -> DataFrame:
+        """Pooled flow of the points in a table of locations (``UTM_NORTE``, ``UTM_ESTE``)."""
+        return points.pooled_flow_stats(self.table("series_puntos"), locations)
+
     def admin_divisions(self) -> DataFrame:
         return points.admin_divisions(self.table("puntos_mapa"))
 
@@ -170,10 +277,10 @@ class Warehouse:
         return series.area_series(self.table("series_tiempo"), catalog, level, metric, identifier, **given)
 
     def point_series(self, metric: str, norte: int, este: int, **given) -> DataFrame:
-        return series.point_series(self.table("series_tiempo"), metric, norte, este, **given)
+        return series.point_series(self.table("series_puntos"), metric, norte, este, **given)
 
     def point_series_count(self, metric: str, norte: int, este: int, **given) -> DataFrame:
-        return series.point_series_count(self.table("series_tiempo"), metric, norte, este, **given)
+        return series.point_series_count(self.table("series_puntos"), metric, norte, este, **given)
 
     def point_rights(self, norte: int, este: int) -> DataFrame:
         return rights.point_rights(self.table("puntos_mapa"), norte, este)

@@ -40,7 +40,7 @@ BASIN_CODES = ("COD_CUENCA", "COD_SUBCUENCA", "COD_SUBSUBCUENCA")
 # The measured quantities of the daily series.
 LEVELS = ("CAUDAL", "ALTURA_LIMNIMETRICA", "NIVEL_FREATICO")
 
-# Source column -> name in the stored table.
+# Source column -> name in the stored table.
 BASIN_PATH_NAMES = {
     "COD_CUENCA": "Cod_Cuenca", "NOM_CUENCA": "Nom_Cuenca",
     "COD_SUBCUENCA": "Cod_Subcuenca", "NOM_SUBCUENCA": "Nom_Subcuenca",
@@ -58,8 +58,17 @@ POINT_KEYS = {
     "CANAL_TRANSMISION": "CANAL_TRANSMISION",
 }
 
+# The same keys as the point catalog orders them: where a point is, and what it has besides its code.
+POINT_PLACE = (
+    "UTM_Norte", "UTM_Este", "Huso", "Region", "Provincia", "Comuna", *BASIN_PATH_NAMES.values(),
+)
+POINT_ATTRIBUTES = (
+    "COD_SECTOR_SHA", "SECTOR_SHA", "APR", "ID_JUNTA", "PARTE_JUNTA", "REPRESENTA_JUNTA", "CANAL_TRANSMISION",
+)
+
 _INT, _LONG, _DOUBLE, _STR = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
 
+# Columns and types of the source table.
 FACT = T.StructType(
     [T.StructField(n, t) for n, t in (
         ("UTM_NORTE", _INT), ("UTM_ESTE", _INT), ("HUSO", _INT),

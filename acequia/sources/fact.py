@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acequia import schema as S
@@ -18,32 +21,50 @@ def read_fact_jdbc(
     table: str,
     *,
     partition_column: str,
-    lower: str | int,
-    upper: str | int,
-    partitions: int,
+    bounds: Sequence[int | date],
+    null_key: str | None = None,
+    null_parts: int = 8,
     fetch_size: int = 10_000,
     **options: str,
 ) -> DataFrame:
-    """Scan the same table over JDBC in ``partitions`` parallel range reads.
+    """Scan the same table over JDBC, one task for each slice.
 
-    ``lower`` and ``upper`` set the stride only: rows outside the range, and rows
-    where the column is NULL, are still read. Filters and the column list are
-    pushed into the source query by Spark.
+    ``bounds`` are ascending values of ``partition_column``: a slice lies between two
+    neighbours, and one before the first and one after the last hold the rest. Rows
+    where the column is NULL are slices of their own, split by the whole-number column
+    ``null_key`` where one is named. The column list is pushed into the source query;
+    filters are too, where a column's type needs no cast (see ``conform``).
     """
-    reader = spark.read.format("jdbc").options(
-        url=url,
-        dbtable=table,
-        partitionColumn=partition_column,
-        lowerBound=str(lower),
-        upperBound=str(upper),
-        numPartitions=str(partitions),
-        fetchsize=str(fetch_size),
-        preferTimestampNTZ="true",
-        **options,
-    )
-    return conform(reader.load())
+    slices = jdbc_slices(partition_column, bounds, null_key, null_parts)
+    properties = {"fetchsize": str(fetch_size), "preferTimestampNTZ": "true", **options}
+    return conform(spark.read.jdbc(url, table, predicates=slices, properties=properties))
+
+
+def jdbc_slices(
+    column: str, bounds: Sequence[int | date], null_key: str | None = None, null_parts: int = 8
+) -> list[str]:
+    """Conditions that together hold every row of the table once, NULLs of ``column`` included."""
+    def text(value: int | date) -> str:
+        return f"'{value.isoformat()}'" if isinstance(value, date) else str(int(value))
+
+    if list(bounds) != sorted(set(bounds)) or not bounds:
+        raise ValueError("bounds must be ascending and distinct")
+    inner = [f"{column} >= {text(a)} AND {column} < {text(b)}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    nulls = [f"{column} IS NULL"]
+    if null_key:
+        part = f"ABS({null_key} % {int(null_parts)})"
+        nulls = [f"{column} IS NULL AND {part} = {i}" for i in range(null_parts)]
+        nulls.append(f"{column} IS NULL AND {null_key} IS NULL")
+    return [f"{column} < {text(bounds[0])}", *inner, f"{column} >= {text(bounds[-1])}", *nulls]
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Name and type the columns as ``schema.FACT`` does, whatever case and width they have."""
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in S.FACT))
+    """Name and type the columns as ``schema.FACT`` does, whatever case and width they have.
+
+    A column that has its type already is only renamed, so filters on it reach the
+    source; a filter on a column that must be cast is applied after the read.
+    """
+    given = {f.name.lower(): f.dataType for f in df.schema}
+    return df.select(*(
+        (F.col(f.name) if given.get(f.name.lower()) == f.dataType else F.col(f.name).cast(f.dataType)).alias(f.name)
+        for f in S.FACT))

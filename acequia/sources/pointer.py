@@ -1,0 +1,36 @@
+"""One small file that says which files are the current tables."""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def read_pointer(spark: SparkSession, name: str) -> dict | None:
+    """Content of the file, None where there is none yet."""
+    path, conf = _path(spark, name), spark._jsc.hadoopConfiguration()
+    if not path.getFileSystem(conf).exists(path):
+        return None
+    (row,) = spark.read.option("wholetext", True).text(name).collect()
+    return json.loads(row.value)
+
+
+def write_pointer(spark: SparkSession, name: str, content: dict) -> None:
+    """Replace the file by a rename, so a reader finds the old content or the new one."""
+    path, conf = _path(spark, name), spark._jsc.hadoopConfiguration()
+    draft = _path(spark, f"{name}.{uuid.uuid4().hex}")
+    out = path.getFileSystem(conf).create(draft, False)
+    out.write(json.dumps(content).encode())
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        path.getFileSystem(conf).getUri(), conf)
+    files.rename(draft, path, options)

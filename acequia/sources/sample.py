@@ -5,7 +5,8 @@ divisible by 50 reports twice, which gives exact duplicates. Supplier and nation
 a point in a basin, sector and region, and the order names the reporter; where one of
 them is unknown these columns are NULL.
 
-Each table is reduced to one row per key before it joins. Knowing the key unique,
+Each table is reduced to one row per key before it joins: keys are unique in the
+samples, which a test asserts; a repeated key would be merged. Knowing the key unique,
 Spark drops the left join from every plan that reads none of its columns: only builds
 that read reporters join the orders, and distinct measurements join nothing.
 """

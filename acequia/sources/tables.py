@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_local_folder: tempfile.TemporaryDirectory | None = None
 
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder that all executors can reach, as ``spark.checkpoint.dir`` names it.
-
-    Where it is unset, a temporary folder serves a local session (tests); on a
-    cluster there is none, since executors do not share a local disk.
-    """
-    global _local_folder
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors can reach, as ``spark.checkpoint.dir`` names it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if _local_folder is None:
-        _local_folder = tempfile.TemporaryDirectory(prefix="acequia-")
-    return _local_folder.name
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or name a root")
+    return named.rstrip("/")
 
 
 def write_table(
@@ -35,23 +23,28 @@ def write_table(
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
     cluster_by: Sequence[str] = (),
+    range_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
 ) -> None:
     """Write a derived table as Parquet.
 
-    ``mode="overwrite"`` is the full refresh, ``"errorifexists"`` the first build
-    that must not replace anything. ``cluster_by`` rebalances rows on those columns:
-    adaptive execution then splits a hot value over several files and merges small
-    ones. ``sort_by`` orders rows within files, which makes the min/max statistics
-    and dictionaries of the row groups selective for these columns.
+    ``mode="overwrite"`` is the full refresh: it replaces all partitions, whatever
+    overwrite mode the session has. ``"errorifexists"`` is the first build that must
+    not replace anything. ``cluster_by`` rebalances rows on those columns: adaptive
+    execution then splits a hot value over several files and merges small ones.
+    ``range_by`` gives every file a range of these columns. ``sort_by`` orders rows
+    within files, which makes the min/max statistics and dictionaries of the row
+    groups selective for these columns.
     """
     if mode not in ("overwrite", "errorifexists"):
         raise ValueError(f"unsupported mode {mode!r}")
     if cluster_by:
         df = df.hint("rebalance", *cluster_by)
-    if sort_by:
-        df = df.sortWithinPartitions(*partition_by, *sort_by)
-    writer = df.write.mode(mode)
+    if range_by:
+        df = df.repartitionByRange(*range_by)
+    if sort_by or range_by:
+        df = df.sortWithinPartitions(*partition_by, *(sort_by or range_by))
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -64,3 +57,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Write a result as CSV part files with a header line, one per partition."""
     df.write.mode(mode).option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)

@@ -116,6 +116,20 @@ FROM (SELECT count(*) AS total_registros_con_caudal, avg(CAUDAL) AS caudal_prome
       FROM series_tiempo WHERE ({any_of}) AND CAUDAL IS NOT NULL) t""", "series_tiempo")
 
 
+def pooled_stats_of_sectors() -> str:
+    names = ("caudal_promedio", "caudal_minimo", "caudal_maximo", "desviacion_estandar_caudal")
+    rounded = ", ".join(f"{cents_or_null(f't.{c}')} AS {c}" for c in names)
+    return with_tables(f"""
+SELECT (SELECT count(*)::int FROM puntos_mapa WHERE COD_SECTOR_SHA IS NOT NULL) AS puntos_consultados,
+       total_registros_con_caudal, {rounded}
+FROM (SELECT count(*) AS total_registros_con_caudal, avg(CAUDAL) AS caudal_promedio,
+             min(CAUDAL) AS caudal_minimo, max(CAUDAL) AS caudal_maximo,
+             stddev_samp(CAUDAL) AS desviacion_estandar_caudal
+      FROM series_tiempo s WHERE CAUDAL IS NOT NULL AND EXISTS (
+        SELECT 1 FROM puntos_mapa p WHERE p.COD_SECTOR_SHA IS NOT NULL
+         AND p.UTM_Norte = s.UTM_NORTE AND p.UTM_Este = s.UTM_ESTE)) t""", "series_tiempo", "puntos_mapa")
+
+
 _AREA = {
     "cuenca": ("s.COD_CUENCA", "s.NOM_CUENCA"),
     "subcuenca": ("s.COD_SUBCUENCA", "s.NOM_SUBCUENCA"),
@@ -283,17 +297,23 @@ SELECT * REPLACE ({text("FECHA_MEDICION")}) FROM mf""", "mf"),
 SELECT {_POINT_ROW}, {", ".join(f"cast(NULL AS {t}) AS {c}" for c, t in _RIGHT_TYPES.items())}
 FROM puntos_mapa""", "puntos_mapa"),
         "points_rights_update": with_tables(f"""
-SELECT {", ".join(f"p.{c} AS {c}" for c in POINT_KEYS)}, d.TIPO_DERECHO AS TIPO_DERECHO,
+SELECT {", ".join(f"p.{c} AS {c}" for c in POINT_KEYS)},
+       {", ".join(f"round(p.{c}, 6) AS {c}" for c in FLOWS)}, p.n_mediciones AS n_mediciones,
+       p.es_pozo_subterraneo AS es_pozo_subterraneo, d.TIPO_DERECHO AS TIPO_DERECHO,
        {", ".join(f"round(d.{c}, 6) AS {c}" for c in AMOUNTS)}
 FROM puntos_mapa p LEFT JOIN derechos_coordenada d ON p.UTM_Norte = d.UTM_NORTE AND p.UTM_Este = d.UTM_ESTE
 """, "puntos_mapa", "derechos_coordenada"),
         "basin_rights_update": with_tables(f"""
 SELECT {", ".join(f"c.{n} AS {n}" for n in PATH)}, c.Cod_Region AS Cod_Region,
+       {", ".join(f"round(c.{n}, 6) AS {n}" for n in FLOWS)},
+       c.total_puntos_unicos AS total_puntos_unicos, c.total_mediciones AS total_mediciones,
        d.puntos_con_derechos AS puntos_con_derechos, {", ".join(f"round(d.{n}, 6) AS {n}" for n in SUMS)}
 FROM cuenca_stats c LEFT JOIN derechos_cuenca d
   ON c.Cod_Cuenca = d.COD_CUENCA AND c.Cod_Subcuenca = d.COD_SUBCUENCA
  AND c.Cod_Subsubcuenca = d.COD_SUBSUBCUENCA AND c.Cod_Region = d.REGION
 """, "cuenca_stats", "derechos_cuenca"),
+        "csv_roundtrip": list_reporters(limit=None),
+        "create_once": _TABLE_TEXT["cuencas_regiones"],
 
         # Builds from the fact.
         "build_measurements": _TABLE_TEXT["datos"],
@@ -339,8 +359,10 @@ SELECT * FROM derechos_punto""", "derechos_punto"),
             cod_subcuenca=11500, cod_subsubcuenca=115000, apr=True),
         "points_list": list_points(_WELL_115),
         "points_list_default": list_points(),
+        "points_list_class": list_points("regexp_matches(codigo, 'OB-[1-3].-[^0]')", None),
         "points_list_wildcard": list_points("codigo LIKE '%OB-_1-%'", None),
         "point_info": point_info(6000000, 300000),
+        "multi_point_flow_stats_table": pooled_stats_of_sectors(),
         "point_metric_stats": metric_stats(6000000, 300000),
         "multi_point_flow_stats": pooled_stats([(6000000, 300000), (6000100, 301000), (6000000, 300000)]),
         "valid_locations": with_tables("""
@@ -406,7 +428,9 @@ SELECT DISTINCT NOMB_INF, A_PAT_INF, A_MAT_INF, {_NAME} AS nombre_completo FROM
         "column_coverage": with_tables(" UNION ALL ".join([
             coverage(table, label, EXPECTED_COLUMNS[label])
             for table, label in (("puntos_mapa", "Puntos_Mapa"), ("series_tiempo", "Series_Tiempo"),
-                                 ("mf", "Mediciones_full"))]), "puntos_mapa", "series_tiempo"),
+                                 ("mf", "Mediciones_full"))] + [coverage("puntos_mapa", "Puntos_Mapa_sin_APR", ["UTM_Norte"]), """
+SELECT 'Puntos_Mapa_sin_APR' AS tabla, 'APR' AS columna, false AS presente, cast(NULL AS bigint) AS no_nulos"""]),
+            "puntos_mapa", "series_tiempo"),
         "points_sample": with_tables(f"""
 SELECT COD_SECTOR_SHA, SECTOR_SHA, APR, ID_JUNTA, CANAL_TRANSMISION FROM puntos_mapa
 WHERE COD_SECTOR_SHA IS NOT NULL OR APR IS NOT NULL
@@ -447,6 +471,20 @@ SELECT round(time_ms, 6) AS time_ms, method, endpoint, run_id, status,
 FROM registro ORDER BY time_ms DESC, method, endpoint, run_id, status LIMIT 5""", "registro"),
     }
 
+    by_code = nulls_first("cod_cuenca", "cod_subcuenca", "cod_subsubcuenca")
+    sql.update({
+        # Of rows that tie in the order all columns are equal, or all tied rows are taken.
+        "basin_list_first": f"SELECT * FROM ({sql['basin_list']}) ORDER BY {by_code} LIMIT 5",
+        "basin_stats_first": f"SELECT * FROM ({basin_stats()}) ORDER BY {by_code} LIMIT 7",
+        "sector_list_first": f"SELECT * FROM ({sectors()}) ORDER BY {nulls_first('cod_sector_sha')} LIMIT 2",
+        "filter_stats_first": f"""SELECT * FROM ({sql['filter_stats_read']})
+ORDER BY CASE nivel WHEN 'global' THEN 1 WHEN 'cuenca' THEN 2 ELSE 3 END, {nulls_first('nom_cuenca', 'nom_subcuenca')} LIMIT 30""",
+        "series_basin_flow_first":
+            f"SELECT * FROM ({area_series('cuenca', 'caudal', '115')}) ORDER BY fecha_medicion DESC LIMIT 3",
+        "series_point_flow_first":
+            f"SELECT * FROM ({point_series('caudal', 6000000, 300000)}) ORDER BY fecha_medicion DESC LIMIT 3",
+    })
+
     series = {
         "series_basin_flow": ("cuenca", "caudal", "115"),
         "series_basin_flow_by_name": ("cuenca", "caudal", "NATION_15"),

@@ -5,8 +5,9 @@ from statistics import stdev
 
 import pytest
 
-from acequia import schema as S
+from acequia import Warehouse, schema as S
 from acequia.operators import builds, rollup, updates
+from acequia.plans.warehouse import Source, basin_stats
 from facts import dicts, fact
 
 
@@ -38,7 +39,7 @@ def test_null_keys_stay_in_the_tables_and_leave_the_variants(spark):
 def test_rows_without_coordinates_count_as_one_point(spark):
     f = fact(spark, {}, {"UTM_NORTE": None, "UTM_ESTE": None}, {"UTM_NORTE": None, "UTM_ESTE": None},
              {"UTM_NORTE": None})
-    assert [r["total_puntos_unicos"] for r in dicts(builds.basin_stats(f))] == [3]
+    assert [r["total_puntos_unicos"] for r in dicts(basin_stats(Source(Warehouse(f.sparkSession, f))))] == [3]
     for stats in (builds.filter_stats, builds.filter_stats_grouping_sets):
         assert {r["total_puntos"] for r in dicts(stats(builds.flow_range_per_point(f)))} == {3}
 
@@ -61,7 +62,7 @@ def test_rights_count_once_per_point_and_skip_null_levels(spark):
         {"COD_SUBSUBCUENCA": None, "NOM_SUBSUBCUENCA": None, **right(1, 100.0)},
         {"VOLUMEN_ANUAL": 999.0},
     )
-    rows = {r["Cod_Subsubcuenca"]: r for r in dicts(builds.basin_stats(f))}
+    rows = {r["Cod_Subsubcuenca"]: r for r in dicts(basin_stats(Source(Warehouse(f.sparkSession, f))))}
     assert (rows[101011]["puntos_con_derechos"], rows[101011]["volumen_anual_total"]) == (2, 17.0)
     assert rows[101011]["caudal_enero_sum"] == 2.0
     assert (rows[None]["puntos_con_derechos"], rows[None]["volumen_anual_total"]) == (0, 0.0)
@@ -69,7 +70,7 @@ def test_rights_count_once_per_point_and_skip_null_levels(spark):
 
 def test_two_spellings_of_a_basin_carry_the_same_rights(spark):
     f = fact(spark, right(1, 10.0), {"NOM_SUBSUBCUENCA": "Rio alto 1", **right(1, 10.0)})
-    assert [r["volumen_anual_total"] for r in dicts(builds.basin_stats(f))] == [10.0, 10.0]
+    assert [r["volumen_anual_total"] for r in dicts(basin_stats(Source(Warehouse(f.sparkSession, f))))] == [10.0, 10.0]
 
 
 def test_rights_of_the_rollup_ignore_reports_without_a_type(spark):

@@ -1,12 +1,15 @@
 """The physical plans: what reaches the scan, how tables join, what is shuffled."""
 
+import glob
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from acequia import Warehouse, schema as S
-from acequia.operators import builds, rollup
+from acequia.operators import builds, checks, rollup
 from acequia.plans.registry import registered
+from acequia.plans.warehouse import Source, basin_stats
 from acequia.sources import read_fact, write_table
 from acequia.sources.sample import sample_fact
 from conftest import SF_SMALL
@@ -76,7 +79,6 @@ def test_several_points_need_no_join(stored):
     (builds.reporters, 10),
     (builds.daily_series, 13),
     (rollup.point_rollup, 20 + 2 + len(S.RIGHTS)),
-    (builds.basin_flows, 10),
     (builds.flow_range_per_point, 5),
 ])
 def test_builds_scan_the_fact_once_and_read_their_columns(fact, build, columns):
@@ -104,3 +106,54 @@ def test_filter_ranges_share_one_exchange(spark, fact):
     df = builds.filter_stats(builds.flow_range_per_point(fact))
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def test_basin_statistics_read_the_fact_once(spark, fact, tmp_path):
+    w = Warehouse(spark, fact, str(tmp_path))
+    w.refresh(["rollup_puntos"])
+    text = plan(basin_stats(Source(w)))
+    assert "rollup_puntos" in text and "hechos" not in text
+
+
+def test_series_by_coordinate_is_shuffled_once(fact):
+    assert plan(builds.daily_series_by_coord(fact)).count("Exchange hashpartitioning") == 1
+
+
+def test_overall_figures_are_one_subquery(stored):
+    df = stored.basin_stats(include_global=True)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("scalar-subquery") <= 4 and len(text) < 20_000
+
+
+def overlapping(folder, columns, place):
+    """Files and row groups, and how many of them may hold a coordinate by their statistics."""
+    files = groups = hit_files = hit_groups = 0
+    for path in glob.glob(f"{folder}/**/*.parquet", recursive=True):
+        meta, hit = pq.read_metadata(path), False
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        for g in range(meta.num_row_groups):
+            stats = [meta.row_group(g).column(names.index(c)).statistics for c in columns]
+            inside = all(s.has_min_max and s.min <= v <= s.max for s, v in zip(stats, place, strict=True))
+            groups, hit_groups, hit = groups + 1, hit_groups + inside, hit or inside
+        files, hit_files = files + 1, hit_files + hit
+    return files, hit_files, groups, hit_groups
+
+
+@pytest.mark.parametrize("table, columns", [
+    ("series_puntos", ("UTM_NORTE", "UTM_ESTE")), ("datos", ("UTM_Norte", "UTM_Este"))])
+def test_a_coordinate_lies_in_few_files(spark, tmp_path, table, columns):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        w = Warehouse(spark, sample_fact(spark, SF_SMALL), str(tmp_path))
+        w.refresh(["series_tiempo", "datos"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folder = w.table(table).inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    files, hit_files, groups, hit_groups = overlapping(folder, columns, (6000500, 301000))
+    assert files >= 6 and 1 <= hit_files <= 2 and hit_groups <= 2
+
+
+def test_coverage_shuffles_counts_only(stored):
+    df = checks.point_coverage(stored.table("puntos_mapa"), stored.table("datos"), stored.table("series_puntos"), "tor")
+    text = plan(df)
+    assert "LeftSemi" not in text and text.count("partial_count(1)") >= 2

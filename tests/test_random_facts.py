@@ -10,6 +10,7 @@ import pytest
 from acequia import Warehouse, schema as S
 from acequia.operators import builds, rollup
 from acequia.plans.registry import presented
+from acequia.plans.warehouse import Source, basin_stats
 from compare import rows_of_duckdb, rows_of_spark
 from acequia.sources import read_fact, write_table
 from oracle import queries as expected
@@ -59,6 +60,7 @@ def both(request, spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("hechos") / "fact")
     write_table(spark.createDataFrame([tuple(r[c] for c in S.FACT.names) for r in rows], S.FACT).coalesce(2), path)
     w = Warehouse(spark, read_fact(spark, path), str(tmp_path_factory.mktemp("tablas")))
+    w.refresh()
     types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(),
              "timestamp_ntz": pa.timestamp("us")}
     schema = pa.schema([(f.name, types[f.dataType.simpleString()]) for f in S.FACT])
@@ -86,7 +88,7 @@ BUILDS = {
     "build_daily_series": lambda w: builds.daily_series(w.fact),
     "build_daily_series_by_coord": lambda w: builds.daily_series_by_coord(w.fact),
     "rights_per_point": lambda w: builds.rights_per_point(w.fact),
-    "build_basin_stats": lambda w: builds.basin_stats(w.fact),
+    "build_basin_stats": lambda w: basin_stats(Source(w)),
     "scan_basin_stats": lambda w: w.table("cuenca_stats"),
     "build_filter_stats": lambda w: builds.filter_stats(builds.flow_range_per_point(w.fact)),
     "build_filter_stats_gsets": lambda w: builds.filter_stats_grouping_sets(builds.flow_range_per_point(w.fact)),
