@@ -104,9 +104,9 @@ def exact_dedup(docs: DataFrame, capacity: int = 4096, key_bits: int = 64) -> Da
 
 def distinct_documents(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     """The documents that ``exact_dedup`` keeps, one for each text, with all their columns."""
-    index = build_index(docs, capacity).select("key", "sha256", F.col("newest").alias("keep_id"))
+    index = build_index(docs, capacity).alias("i")
     rows = _keyed(docs, 64).drop("acequia_text").withColumn(
-        "acequia_sha", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    match = (F.col("acequia_key") == F.col("key")) & (F.col("acequia_sha") == F.col("sha256"))
-    kept = rows.join(index, match & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+        "acequia_sha", F.unhex(F.sha2(normalised(F.col("text")), 256))).alias("d")
+    match = (F.col("d.acequia_key") == F.col("i.key")) & (F.col("d.acequia_sha") == F.col("i.sha256"))
+    kept = rows.join(index, match & F.col("d.doc_id").eqNullSafe(F.col("i.newest")), "left_semi")
     return kept.dropDuplicates(["acequia_key", "acequia_sha"]).select(*docs.columns)

@@ -19,9 +19,9 @@ from acequia.llm.shared import saved
 RANGES = 12
 
 
-def _order(seed: int) -> Column:
+def _order(seed: int, of: str = "") -> Column:
     """Place of a document in its source's seeded order, 0 to 2**63 - 1."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")).bitwiseAND((1 << 63) - 1)
+    return F.xxhash64(F.lit(seed), F.col(f"{of}doc_id"), F.col(f"{of}source")).bitwiseAND((1 << 63) - 1)
 
 
 def word_count(text: Column) -> Column:
@@ -93,10 +93,12 @@ def plan(measured: DataFrame, weights: Sequence[float], share: float, max_epochs
         F.coalesce(F.when(F.col("c.range").isNotNull(), cutoff), none_left).alias("cutoff")), "mix-plan")
 
 
-def _with_times(rows: DataFrame, planned: DataFrame) -> DataFrame:
-    p = planned.withColumnRenamed("source", "planned_source").alias("p")
-    times = F.col("p.whole") + F.when(F.col("place") <= F.col("p.cutoff"), 1).otherwise(0)
-    return rows.join(p, F.col("source").eqNullSafe(F.col("planned_source"))).withColumn("times", times)
+def _with_times(rows: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
+    """Rows as ``d`` with the plan of their source as ``p`` and how often each is taken as ``acequia_times``."""
+    place = _order(seed, "d.")
+    times = F.col("p.whole") + F.when(place <= F.col("p.cutoff"), 1).otherwise(0)
+    joined = rows.alias("d").join(planned.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    return joined.withColumn("acequia_times", times)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
@@ -111,14 +113,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     source are taken alike, the seed fixes all choices, and an empty table gives no rows.
     """
     measured = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("place")), "sizes")
-    rows = _with_times(measured, plan(measured, weights, share, max_epochs, seed))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    rows = _with_times(measured, plan(measured, weights, share, max_epochs, seed), seed)
+    return rows.select("d.doc_id", "d.size", "p.source_size", "p.target", (F.col("d.size") * F.col("acequia_times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
                     max_epochs: float = 2, seed: int = 20) -> DataFrame:
     """The documents of the mix with all their columns, each as often as ``mix`` takes it."""
     measured = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("place")), "sizes")
-    rows = _with_times(docs.withColumn("place", _order(seed)), plan(measured, weights, share, max_epochs, seed))
-    again = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return rows.where(F.col("times") > 0).select(*docs.columns, again.alias("acequia_time")).select(*docs.columns)
+    rows = _with_times(docs, plan(measured, weights, share, max_epochs, seed), seed)
+    own = [F.col(f"d.{c}").alias(c) for c in docs.columns]
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("acequia_times"))).alias("acequia_time")
+    return rows.where(F.col("acequia_times") > 0).select(*own, again).drop("acequia_time")

@@ -149,7 +149,7 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def _drop_lines(batches):
     for batch in batches:
         column = batch.column("text")
-        texts, cuts = column.to_pylist(), batch.column("removed_lines").to_pylist()
+        texts, cuts = column.to_pylist(), batch.column("acequia_cut").to_pylist()
         for s in slices(column):
             if not any(cuts[s.rows[0] : s.rows[1]]):
                 continue
@@ -176,13 +176,13 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     All columns stay as they are, but for ``text`` and, where there is one, ``n_chars``.
     """
     judged = quality_rules(docs, limits).where("kept").groupBy("doc_id", "host", "text_hash").agg(
-        F.first("removed_lines").alias("removed_lines"))
+        F.first("removed_lines").alias("acequia_cut"))
     hashed = docs.mapInArrow(
         _with_hash, T.StructType([*docs.schema.fields, T.StructField("acequia_hash", T.LongType())])).alias("d")
-    joined = hashed.join(judged.alias("j"), (F.col("acequia_hash") == F.col("j.text_hash"))
+    joined = hashed.join(judged.alias("j"), (F.col("d.acequia_hash") == F.col("j.text_hash"))
                          & F.col("d.doc_id").eqNullSafe(F.col("j.doc_id")) & F.col("d.source").eqNullSafe(F.col("j.host")))
-    out = joined.select(*(F.col(f"d.{c}") for c in docs.columns), "j.removed_lines")
-    out = out.mapInArrow(_drop_lines, out.schema).drop("removed_lines")
+    out = joined.select(*(F.col(f"d.{c}") for c in docs.columns), "j.acequia_cut")
+    out = out.mapInArrow(_drop_lines, out.schema).drop("acequia_cut")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -101,7 +101,7 @@ def _encoded(symbols: Symbols):
                 tokens = np.bincount(doc, minlength=s.n)
                 frequent = sym > 0
                 known = np.bincount(doc[frequent], minlength=s.n)
-                base = np.bincount(doc[frequent], counts[sym[frequent] - 1], s.n)
+                base = np.bincount(doc[frequent], counts[sym[frequent] - 1], s.n).astype(float)
                 rd, rh = doc[~frequent], h[~frequent]
                 order = np.lexsort((rh, rd))
                 rd, rh = rd[order], rh[order]
@@ -300,7 +300,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
     def score(batches):
         for batch in batches:
             batch, doc, sym, first = _symbol_runs(batch, False)
-            total = np.bincount(doc, np.log10(tree.probabilities(sym, first)), batch.num_rows)
+            total = np.bincount(doc, np.log10(tree.probabilities(sym, first)), batch.num_rows).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(total)], ["row", "tree"])
 
     scored = coded.select("row", "held_out", "symbols").mapInArrow(score, "row long, tree double")

@@ -61,7 +61,7 @@ class _Model:
         self.at2 = ((self.two * 40503 + self.one * 30011) ^ (self.one >> 3)) & ((1 << _TABLE) - 1)
         self.p2, self.p1 = self.next2[self.at2], self.next1[self.one]
         self.row = (self.sure2[self.at2] << 4) | (self.sure1[self.one] << 1) | (self.p1 == self.p2)
-        share = (self.hits << 15) // self.hits.sum(axis=1, keepdims=True)
+        share = self.hits * 32512 // self.hits.sum(axis=1, keepdims=True)  # 256 of 2**15 are left for all that is rare
         end2 = share[:, 0] + 64
         end1 = end2 + share[:, 1] + np.where(self.hits[:, 1] > 0, 64, 0)
         return self.p2, self.p1, (end2 << 1)[self.row], (end1 << 1)[self.row]

@@ -122,28 +122,23 @@ def merkle_tree(records: DataFrame) -> list[DataFrame]:
             part.alias("part"), file.alias("file"), "idx", "hash",
             F.concat_ws("/", *(c.cast("string") for c in (up_part, up_file, up_idx))).alias("up")))
 
-    part, file = F.col("part"), F.col("file")
-    for keys in (["part", "file"], ["part"], []):
-        p, f = part if "part" in keys else none, file if "file" in keys else none
+    part, file, idx = F.col("part"), F.col("file"), F.col("idx")
+    for keys, up in ((["part", "file"], (part, none, file)), (["part"], (none, none, part))):
         most = nodes.agg(F.max("idx")).first()[0] or 0
-        while True:
-            if most == 0 and keys:
-                # The group's only node becomes a leaf of the next kind of group.
-                idx = F.col(keys[-1])
-                fewer = keys[:-1]
-                nodes = nodes.select(*fewer, idx.alias("idx"), F.col("begin"), F.col("end"), "hash")
-                break
-            up = F.floor(F.col("idx") / FANOUT)
-            if most == 0 and not keys:
-                keep(nodes, p, f, none, none, none)
-                return levels
-            above, most = saved(_climb(nodes, keys), "merkle"), most // FANOUT
-            if most == 0 and keys:
-                up_part = part if len(keys) == 2 else none
-                keep(nodes, p, f, up_part, none, file if len(keys) == 2 else part)
-            else:
-                keep(nodes, p, f, p, f, up)
-            nodes = above
+        f = file if "file" in keys else none
+        while most >= FANOUT:
+            keep(nodes, part, f, part, f, F.floor(idx / FANOUT))
+            nodes, most = saved(_climb(nodes, keys), "merkle"), most // FANOUT
+        # The only node of a group is a leaf of the next kind of group.
+        keep(nodes, part, f, *up)
+        nodes = saved(_climb(nodes, keys), "merkle")
+        nodes = nodes.select(*keys[:-1], F.col(keys[-1]).alias("idx"), "begin", "end", "hash")
+    most = nodes.agg(F.max("idx")).first()[0] or 0
+    while most:
+        keep(nodes, none, none, none, none, F.floor(idx / FANOUT))
+        nodes, most = saved(_climb(nodes, []), "merkle"), most // FANOUT
+    keep(nodes, none, none, none, none, none)
+    return levels
 
 
 def differing(one: list[DataFrame], two: list[DataFrame]) -> DataFrame | None:
@@ -161,12 +156,6 @@ def differing(one: list[DataFrame], two: list[DataFrame]) -> DataFrame | None:
     return wrong
 
 
-def _padded(levels: list[DataFrame], n: int) -> list[DataFrame]:
-    """Trees of different heights differ at the top: repeat the root, so that the descent lines up."""
-    root = levels[-1].select("part", "file", "idx", F.sha2("hash", 256).alias("hash"), F.lit("-1/-1/-1").alias("up"))
-    return levels + [root] * (n - len(levels))
-
-
 def audit(spark: SparkSession, one: str, two: str) -> DataFrame:
     """Compare two replicas of WARC files.
 
