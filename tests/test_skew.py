@@ -8,6 +8,7 @@ import pytest
 
 from acequia import Warehouse
 from acequia.operators import checks
+from acequia.operators.series import area_series
 from facts import dicts, fact
 
 HOT = 900
@@ -84,3 +85,27 @@ def test_hot_point_in_counts(spark, shuffled_joins):
     assert got[1] == (len({(r["CAUDAL"], r["TOTALIZADOR"]) for r in rows if r["UTM_NORTE"] == 1}),
                       len({r["FECHA_MEDICION"] for r in rows if r["UTM_NORTE"] == 1}))
     assert len(got) == len({r["UTM_NORTE"] for r in rows})
+
+
+def test_join_on_a_hot_coordinate_is_split(spark, shuffled_joins):
+    """A third of the series on one coordinate: the plan that ran divides its partition."""
+    given = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k",
+    }
+    hot = "IF(id % 3 = 0, 1, CAST(id % 5000 AS INT) + 2)"
+    series = spark.range(0, 300_000, 1, 8).selectExpr(
+        f"{hot} AS UTM_NORTE", "1 AS UTM_ESTE", "DATE'2000-01-01' + CAST(id % 700 AS INT) AS FECHA_MEDICION",
+        "CAST(id AS DOUBLE) AS CAUDAL", "id AS TOTALIZADOR")
+    points = spark.range(0, 5002).selectExpr(
+        "CAST(id AS INT) AS UTM_Norte", "1 AS UTM_Este", "7 AS COD_SECTOR_SHA", "'S' AS SECTOR_SHA", "true AS es_pozo_subterraneo")
+    for name, value in given.items():
+        spark.conf.set(name, value)
+    try:
+        df = area_series(series, points, "shac", "caudal", "7")
+        assert sum(r.caudal_sumado for r in df.collect()) == 300_000 * 299_999 / 2
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in given:
+            spark.conf.unset(name)
