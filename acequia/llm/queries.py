@@ -101,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_token_files, op7_warc_fixity, op8_quality_rules, op9_piece_encoding, op10_mixing)
 }
 
+_WORDS = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL: dict[str, str] = {
@@ -134,4 +135,54 @@ SQL: dict[str, str] = {
             WHEN rule IS NOT NULL THEN 'allow'
             WHEN listed THEN 'block' ELSE 'allow' END AS verdict
         FROM r""",
+    # Links of all pairs with a common shingle, then what links reach.
+    "op2_jaccard_join": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3
+                THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i : i + 2]) WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS s
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+        r AS (SELECT doc_id, doc_id AS found FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.found = l.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.found) AS component_id
+        FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op8_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, host, t, regexp_extract_all(t, '{_WORDS}') AS ws FROM d),
+        g AS (
+            SELECT doc_id, i, ws[i : i + 4] AS five FROM (
+                SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+        c AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (
+                SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1)
+            CROSS JOIN range(0, 5) AS five_places(k) GROUP BY doc_id),
+        y AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+        z AS (
+            SELECT doc_id, host, t, line, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS norm
+            FROM y WHERE regexp_matches(line, '{_WORDS}')),
+        u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM z GROUP BY doc_id),
+        h AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
+        f AS (
+            SELECT z.host, z.norm FROM z JOIN h ON h.host IS NOT DISTINCT FROM z.host
+            GROUP BY z.host, z.norm, h.texts HAVING count(DISTINCT z.t) > 50 AND count(DISTINCT z.t) > 0.02 * h.texts),
+        x AS (
+            SELECT z.doc_id, sum(len(z.norm))::bigint AS removed_words
+            FROM z JOIN f ON f.host IS NOT DISTINCT FROM z.host AND f.norm = z.norm GROUP BY z.doc_id),
+        m AS (
+            SELECT w.doc_id, len(ws) AS n_words,
+                   coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0)::bigint AS word_chars,
+                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   coalesce(removed_words, 0) AS removed_words
+            FROM w LEFT JOIN u USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+               AND n_words - removed_words >= 10 AND n_words - removed_words >= 0.2 * n_words AS kept
+        FROM m""",
 }
