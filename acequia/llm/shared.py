@@ -32,11 +32,3 @@ def saved(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table from ``saved`` that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,8 +26,10 @@ import numpy as np
 MAGIC = b"ACM1"
 _HEAD = "<4sIIIII"
 _HEAD_SIZE = struct.calcsize(_HEAD)
-_TOP, _BOTTOM, _MASK = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_W = np.uint64(16)
+# A word is written when the upper 16 bits of a lane's range are settled, or when the range
+# falls below 2**44, which leaves room for both parts of a step (2**16 and up to 2**26).
+_TOP, _BOTTOM, _MASK = np.uint64(1 << 48), np.uint64(1 << 44), np.uint64((1 << 44) - 1)
+_W, _ONE = np.uint64(16), np.uint64(1)
 _TABLE = 18
 _STEP = 16
 
@@ -37,10 +39,10 @@ class _Model:
 
     def __init__(self, lanes: int, alphabet: int):
         self.alphabet = alphabet
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
-        self.next1, self.sure1 = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
-        self.next2, self.sure2 = np.zeros(1 << _TABLE, np.int64), np.zeros(1 << _TABLE, np.int64)
+        self.one = np.zeros(lanes, np.int32)
+        self.two = np.zeros(lanes, np.int32)
+        # The id that followed each context, times eight, plus the confidence in it.
+        self.after1, self.after2 = np.zeros(alphabet, np.int32), np.zeros(1 << _TABLE, np.int32)
         # Hits of order 2, of order 1 alone, and of neither, by confidences and agreement.
         self.hits = np.full((128, 3), 2, np.int64)
         self.hits[1::2, 1] = 0
@@ -58,27 +60,34 @@ class _Model:
 
     def predict(self):
         """Predicted ids of order 2 and 1, and the ends of their parts of 0 .. 2**16."""
-        self.at2 = ((self.two * 40503 + self.one * 30011) ^ (self.one >> 3)) & ((1 << _TABLE) - 1)
-        self.p2, self.p1 = self.next2[self.at2], self.next1[self.one]
-        self.row = (self.sure2[self.at2] << 4) | (self.sure1[self.one] << 1) | (self.p1 == self.p2)
+        self.at2 = ((self.two * np.int32(40503) + self.one * np.int32(30011)) ^ (self.one >> 3)) & np.int32((1 << _TABLE) - 1)
+        self.e2, self.e1 = self.after2[self.at2], self.after1[self.one]
+        self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
+        self.row = ((self.e2 & 7) << 4) | ((self.e1 & 7) << 1) | (self.p1 == self.p2)
         share = self.hits * 32512 // self.hits.sum(axis=1, keepdims=True)  # 256 of 2**15 are left for all that is rare
         end2 = share[:, 0] + 64
         end1 = end2 + share[:, 1] + np.where(self.hits[:, 1] > 0, 64, 0)
-        return self.p2, self.p1, (end2 << 1)[self.row], (end1 << 1)[self.row]
-
-    def learn(self, ids: np.ndarray):
-        right2 = ids == self.p2
-        right1 = ids == self.p1
-        outcome = np.where(right2, 0, np.where(right1, 1, 2))
+        self.ends = np.zeros((128, 4), np.uint64)
+        self.ends[:, 1], self.ends[:, 2], self.ends[:, 3] = end2 << 1, end1 << 1, 1 << 16
+        return self.p2, self.p1, self.row
+
+    def parts(self, outcome: np.ndarray):
+        """Start and size of the part of each outcome (0: order 2, 1: order 1, 2: neither)."""
+        at = self.row * 4 + outcome
+        ends = self.ends.reshape(-1)
+        start = ends[at]
+        return start, ends[at + 1] - start
+
+    def learn(self, ids: np.ndarray, outcome: np.ndarray):
         self.hits += np.bincount(self.row * 3 + outcome, minlength=384).reshape(128, 3)
         full = self.hits.sum(axis=1) > 1 << 20
         if full.any():
             self.hits[full] = (self.hits[full] + 1) >> 1
             self.hits[1::2, 1] = 0
-        for at, right, after, sure in ((self.at2, right2, self.next2, self.sure2), (self.one, right1, self.next1, self.sure1)):
-            now = sure[at]
-            after[at] = np.where(right | (now > 1), after[at], ids)
-            sure[at] = np.where(right, np.minimum(now + 1, 7), np.where(now > 1, now - 1, 1))
+        for table, at, entry, right in ((self.after2, self.at2, self.e2, outcome == 0), (self.after1, self.one, self.e1, ids == self.p1)):
+            sure = entry & 7
+            wrong = np.where(sure > 1, entry - 1, (ids << 3) | 1)
+            table[at] = np.where(right, entry + (sure < 7), wrong)
         self.pending.append(ids[outcome == 2])
         self.two, self.one = self.one, ids
         self.steps += 1
@@ -86,129 +95,110 @@ class _Model:
             self._sum()
 
 
-class _Writer:
-    def __init__(self, lanes: int, steps: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.words = np.zeros((lanes, 4 * steps + 8), np.uint16)
-        self.used = np.zeros(lanes, np.int64)
+def _settle(low: np.ndarray, wide: np.ndarray, put) -> None:
+    """Shift out settled words of all lanes; ``put`` takes the lanes of each round before they shift."""
+    lanes, l, r = slice(None), low, wide
+    while True:
+        settled = (l ^ (l + r)) < _TOP
+        narrow = ~settled & (r < _BOTTOM)
+        if narrow.any():
+            r = np.where(narrow, (~l + _ONE) & _MASK, r)
+            wide[lanes] = r
+        go = np.flatnonzero(settled | narrow)
+        if not len(go):
+            return
+        lanes = go if isinstance(lanes, slice) else lanes[go]
+        put(lanes)
+        l, r = l[go] << _W, r[go] << _W
+        low[lanes], wide[lanes] = l, r
 
-    def put(self, lanes, start, size, unit):
-        """Narrow the range of ``lanes`` to ``size`` units from ``start``."""
-        low = self.low[lanes] + start * unit
-        wide = size * unit
-        todo = np.arange(len(low))
-        while len(todo):
-            l, r = low[todo], wide[todo]
-            settled = (l ^ (l + r)) < _TOP
-            narrow = ~settled & (r < _BOTTOM)
-            r = np.where(narrow, (~l + np.uint64(1)) & _MASK, r)
-            wide[todo] = r
-            todo = todo[settled | narrow]
-            lane = lanes[todo]
-            self.words[lane, self.used[lane]] = (low[todo] >> np.uint64(48)).astype(np.uint16)
-            self.used[lane] += 1
-            low[todo] <<= _W
-            wide[todo] <<= _W
-        self.low[lanes], self.range[lanes] = low, wide
-
-    def close(self) -> tuple[np.ndarray, bytes]:
-        lane = np.arange(len(self.low))
-        for _ in range(4):
-            self.words[lane, self.used] = (self.low >> np.uint64(48)).astype(np.uint16)
-            self.used += 1
-            self.low <<= _W
-        mask = np.arange(self.words.shape[1]) < self.used[:, None]
-        return self.used, self.words[mask].astype("<u2").tobytes()
+
+def _shape(n: int) -> tuple[int, int]:
+    lanes = int(min(8192, max(1, n // 256)))
+    return lanes, -(-n // lanes)
 
 
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """Code one block of ids below ``alphabet``."""
     n = len(ids)
-    lanes = int(min(4096, max(1, n // 512)))
-    steps = -(-n // lanes)
-    padded = np.zeros(lanes * steps, np.int64)
+    lanes, steps = _shape(n)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    model, out, every = _Model(lanes, alphabet), _Writer(lanes, steps), np.arange(lanes)
+    model = _Model(lanes, alphabet)
+    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    words, used = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+
+    def put(lane):
+        words[lane, used[lane]] = (low[lane] >> np.uint64(48)).astype(np.uint16)
+        used[lane] += 1
+
     for now in grid:
-        p2, p1, end2, end1 = model.predict()
-        is2 = now == p2
-        is1 = ~is2 & (now == p1)
-        start = np.where(is2, 0, np.where(is1, end2, end1)).astype(np.uint64)
-        stop = np.where(is2, end2, np.where(is1, end1, 1 << 16)).astype(np.uint64)
-        out.put(every, start, stop - start, out.range >> _W)
-        rest = np.flatnonzero(~(is2 | is1))
+        p2, p1, _ = model.predict()
+        outcome = np.where(now == p2, 0, np.where(now == p1, 1, 2))
+        start, size = model.parts(outcome)
+        unit = wide >> _W
+        low += start * unit
+        wide = size * unit
+        rest = np.flatnonzero(outcome == 2)
         if len(rest):
             x = now[rest]
             start = model.cumulative[x]
-            out.put(rest, start, model.cumulative[x + 1] - start, out.range[rest] // model.total)
-        model.learn(now)
-    used, words = out.close()
-    body = used.astype("<u4").tobytes() + words
+            unit = wide[rest] // model.total
+            low[rest] += start * unit
+            wide[rest] = (model.cumulative[x + 1] - start) * unit
+        _settle(low, wide, put)
+        model.learn(now, outcome)
+    every = np.arange(lanes)
+    for _ in range(4):
+        put(every)
+        low <<= _W
+    mask = np.arange(words.shape[1]) < used[:, None]
+    body = used.astype("<u4").tobytes() + words[mask].astype("<u2").tobytes()
     raw = zlib.crc32(np.asarray(ids).astype("<u4").tobytes())
     return struct.pack(_HEAD, MAGIC, n, lanes, alphabet, raw, zlib.crc32(body)) + body
 
 
-class _Reader:
-    def __init__(self, used: np.ndarray, words: np.ndarray):
-        self.words = np.concatenate([words.astype(np.uint64), np.zeros(8, np.uint64)])
-        self.next = np.cumsum(used) - used
-        self.low = np.zeros(len(used), np.uint64)
-        self.range = np.full(len(used), (1 << 64) - 1, np.uint64)
-        self.code = np.zeros(len(used), np.uint64)
-        for _ in range(4):
-            self.code = (self.code << _W) | self.words[self.next]
-            self.next = self.next + 1
-
-    def take(self, lanes, start, size, unit):
-        low = self.low[lanes] + start * unit
-        wide, code = size * unit, self.code[lanes]
-        todo = np.arange(len(low))
-        while len(todo):
-            l, r = low[todo], wide[todo]
-            settled = (l ^ (l + r)) < _TOP
-            narrow = ~settled & (r < _BOTTOM)
-            wide[todo] = np.where(narrow, (~l + np.uint64(1)) & _MASK, r)
-            todo = todo[settled | narrow]
-            lane = lanes[todo]
-            code[todo] = (code[todo] << _W) | self.words[np.minimum(self.next[lane], len(self.words) - 1)]
-            self.next[lane] += 1
-            low[todo] <<= _W
-            wide[todo] <<= _W
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, wide, code
-
-
 def decode_block(block: bytes) -> np.ndarray:
     """The ids of a block; raises ValueError if a checksum does not match."""
     magic, n, lanes, alphabet, raw, body = struct.unpack_from(_HEAD, block)
-    if magic != MAGIC or zlib.crc32(block[_HEAD_SIZE :]) != body:
+    if magic != MAGIC or lanes != _shape(n)[0] or zlib.crc32(block[_HEAD_SIZE:]) != body:
         raise ValueError("damaged block")
-    steps = -(-n // lanes)
+    steps = _shape(n)[1]
     used = np.frombuffer(block, "<u4", lanes, _HEAD_SIZE).astype(np.int64)
-    read = _Reader(used, np.frombuffer(block, "<u2", int(used.sum()), _HEAD_SIZE + 4 * lanes))
-    model, every = _Model(lanes, alphabet), np.arange(lanes)
-    grid = np.empty((steps, lanes), np.int64)
+    words = np.frombuffer(block, "<u2", int(used.sum()), _HEAD_SIZE + 4 * lanes).astype(np.uint64)
+    at = np.cumsum(used) - used
+    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    code = np.zeros(lanes, np.uint64)
+
+    def take(lane):
+        code[lane] = (code[lane] << _W) | words[at[lane]]
+        at[lane] += 1
+
+    for _ in range(4):
+        take(np.arange(lanes))
+    model, grid = _Model(lanes, alphabet), np.empty((steps, lanes), np.int32)
     for now in grid:
-        p2, p1, end2, end1 = model.predict()
-        unit = read.range >> _W
-        value = np.minimum((read.code - read.low) // unit, np.uint64((1 << 16) - 1)).astype(np.int64)
-        is2 = value < end2
-        is1 = ~is2 & (value < end1)
-        start = np.where(is2, 0, np.where(is1, end2, end1)).astype(np.uint64)
-        stop = np.where(is2, end2, np.where(is1, end1, 1 << 16)).astype(np.uint64)
-        read.take(every, start, stop - start, unit)
-        now[:] = np.where(is2, p2, p1)
-        rest = np.flatnonzero(~(is2 | is1))
+        p2, p1, row = model.predict()
+        unit = wide >> _W
+        value = (code - low) // unit
+        outcome = (value >= model.ends[row, 1]).astype(np.int64) + (value >= model.ends[row, 2])
+        start, size = model.parts(outcome)
+        low += start * unit
+        wide = size * unit
+        now[:] = np.where(outcome == 0, p2, p1)
+        rest = np.flatnonzero(outcome == 2)
         if len(rest):
-            unit = read.range[rest] // model.total
-            value = np.minimum((read.code[rest] - read.low[rest]) // unit, model.total - np.uint64(1))
+            unit = wide[rest] // model.total
+            value = np.minimum((code[rest] - low[rest]) // unit, model.total - _ONE)
             x = np.searchsorted(model.cumulative, value, "right") - 1
             start = model.cumulative[x]
-            read.take(rest, start, model.cumulative[x + 1] - start, unit)
+            low[rest] += start * unit
+            wide[rest] = (model.cumulative[x + 1] - start) * unit
             now[rest] = x
-        model.learn(now)
-    ids = grid.T.reshape(-1)[:n]
+        _settle(low, wide, take)
+        model.learn(now, outcome)
+    ids = grid.T.reshape(-1)[:n].astype(np.int64)
     if zlib.crc32(ids.astype("<u4").tobytes()) != raw:
         raise ValueError("damaged block")
     return ids

@@ -1,14 +1,14 @@
 """Token-id files: documents encoded by a public tokenizer, in the order of their ids.
 
 A file is a Parquet file whose rows are blocks: ``part`` and ``block`` (its place),
-``doc_ids`` and ``sizes`` (whose ids it holds, and how many each), ``n_ids``, and
-``payload``, the block as ``token_coder`` writes it. Spark's committer publishes the
+``doc_ids`` and ``sizes`` (whose ids it holds, and how many each), ``first`` (ids before
+it in its file), ``n_ids``, and ``payload``, the block as ``token_coder`` writes it. Spark's committer publishes the
 files, so a task that is lost or repeated leaves no trace.
 """
 
 from __future__ import annotations
 
-import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,54 +17,112 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from acequia.llm.shared import new_path
 from acequia.llm.token_coder import decode_block, encode_block
+from acequia.llm.words import Prefix, byte_values, mix, slices
 
-#: Ids after which a block is closed; a longer document is a block of its own.
-BLOCK = 1 << 20
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Ids after which a block is closed; documents are never cut.
+BLOCK = 1 << 21
+#: Parts of words whose ids a task remembers.
+REMEMBERED = 600_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable bytes are their own, the
+    others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that a text's ids are its words' ids.
-    Every distinct word is encoded by the tokenizer once."""
+
+    A plain word has letters, then perhaps closing marks; the tokenizer lower-cases and splits it
+    just there, so both parts go straight to its model. Letters are those of ASCII and of U+00C0 to
+    U+00FF, which are the same in composed text and have one lower-case form. Any other word goes
+    through the whole tokenizer. Every distinct part is encoded once; parts are known by hash.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.alphabet = self.tokenizer.get_vocab_size()
+        self.model, self.alphabet = self.tokenizer.model, self.tokenizer.get_vocab_size()
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self._clear()
 
     def _clear(self):
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.int64)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _add(self, words: list[bytes]):
+        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.size, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes], odd: np.ndarray):
+        """Add parts whose hashes, in ascending order, are new."""
+        ids: list[list[int]] = [[]] * len(parts)
+        tokenize = self.model.tokenize
+        for i in np.flatnonzero(~odd):
+            text = parts[i].decode("latin-1")
+            ids[i] = [t.id for t in tokenize(text if text.isascii() else text.translate(self.letters))]
+        strange = np.flatnonzero(odd)
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in fast([w.decode() for w in words], add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
+        for i, e in zip(strange, fast([parts[i].decode() for i in strange], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         start = len(self.flat) + np.cumsum(size) - size
-        self.known.update(zip(words, range(len(self.start), len(self.start) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int64)])
-        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self._clear()
-            new = list({w for words in split for w in words})
-        if new:
-            self._add(new)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            size = self.size[at]
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.start, self.size = (
+            np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.start, start), (self.size, size)))
+
+    def encode(self, s) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a slice, and how many each has."""
+        s.find_words()
+        raw = s.buf
+        s.lower()
+        low, n = s.buf, len(raw)
+        before = np.zeros(n, np.uint8)
+        before[1:] = low[:-1]
+        accent = (before == 0xC3) & (low >= 0x80) & (low < 0xC0) & (low != 0x97) & (low != 0xB7)
+        low = low + ((accent & (low < 0x9F)) * np.uint8(32))
+        letter = ((low >= 97) & (low <= 122)) | accent
+        letter[:-1] |= (low[:-1] == 0xC3) & accent[1:]
+        mark = np.zeros(256, bool)
+        mark[np.frombuffer(b".,;:!?", np.uint8)] = True
+        letters = np.concatenate([[0], np.cumsum(letter)])
+        marks = np.concatenate([[0], np.cumsum(mark[low])])
+        begin, end = s.starts, s.ends
+        cut = begin + letters[end] - letters[begin]  # where the letters end, if all of them come first
+        plain = (cut > begin) & (letters[cut] - letters[begin] == cut - begin) & (marks[end] - marks[cut] == end - cut)
+        two = plain & (cut < end)
+
+        # One or two parts for each word, in order.
+        at = np.arange(len(begin)) + np.cumsum(two) - two
+        first, last = np.empty(len(begin) + int(two.sum()), np.int64), np.empty(len(begin) + int(two.sum()), np.int64)
+        first[at], last[at] = begin, np.where(two, cut, end)
+        first[at[two] + 1], last[at[two] + 1] = cut[two], end[two]
+        odd = np.zeros(len(first), bool)
+        odd[at] = ~plain
+        hashes = Prefix(byte_values(low)).of(first, last)
+        if odd.any():
+            size = (last - first)[odd]
             ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)])
-        return out
+            own = raw[np.repeat(first[odd] - (ends - size), size) + np.arange(ends[-1])]
+            hashes[odd] = mix(Prefix(byte_values(own)).of(ends - size, ends) + np.uint64(0x5851F42D4C957F2D))
+        kinds, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED:
+            self._clear()
+        known = np.zeros(len(kinds), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)] == kinds
+        new = one[~known]
+        if len(new):
+            text, plain_text = raw.tobytes(), low.tobytes()
+            parts = [(text if o else plain_text)[a:b] for a, b, o in zip(
+                first[new].tolist(), last[new].tolist(), odd[new].tolist(), strict=True)]
+            self._learn(kinds[~known], parts, odd[new])
+        found = np.searchsorted(self.hashes, kinds)[inverse]
+        size = self.size[found]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[found] - (ends - size), size) + np.arange(int(size.sum()))]
+        return ids, np.bincount(np.repeat(s.doc, 1 + two), size, s.n).astype(np.int64)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -75,28 +133,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
     def run(batches):
         encoder, part, block = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        ids, doc_ids, total = [], [], 0
+        ids, sizes, doc_ids, total, first = [], [], [], 0, 0
 
         def closed():
             flat = np.concatenate(ids)
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()),
                 "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                "sizes": pa.array([[len(x) for x in ids]], pa.list_(pa.int64())),
-                "n_ids": pa.array([len(flat)], pa.int64()),
+                "sizes": pa.array([sizes], pa.list_(pa.int64())),
+                "first": pa.array([first], pa.int64()), "n_ids": pa.array([len(flat)], pa.int64()),
                 "payload": pa.array([encode_block(flat, max(encoder.alphabet, end_id + 1))], pa.binary()),
             })
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for i in range(0, batch.num_rows, 1000):
-                for name, own in zip(names[i : i + 1000], encoder.encode(batch.column("text").slice(i, 1000).to_pylist()), strict=True):
-                    ids.append(np.append(own, end_id))
-                    doc_ids.append(name)
-                    total += len(own) + 1
-                    if total >= BLOCK:
-                        yield closed()
-                        ids, doc_ids, total, block = [], [], 0, block + 1
+            for s in slices(batch.column("text")):
+                own, counts = encoder.encode(s)
+                ends = np.cumsum(counts + 1)
+                own = np.insert(own, np.cumsum(counts), end_id)
+                ids.append(own)
+                sizes += (counts + 1).tolist()
+                doc_ids += names[s.rows[0] : s.rows[1]]
+                total += int(ends[-1])
+                if total >= BLOCK:
+                    yield closed()
+                    ids, sizes, doc_ids, total, first, block = [], [], [], 0, first + total, block + 1
         if ids:
             yield closed()
 
@@ -104,39 +165,30 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     ordered.mapInArrow(run, _SCHEMA).write.option("compression", "none").parquet(path)
 
 
-_SCHEMA = "part int, block int, doc_ids array<long>, sizes array<long>, n_ids long, payload binary"
+_SCHEMA = "part int, block int, doc_ids array<long>, sizes array<long>, first long, n_ids long, payload binary"
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The documents of token files: ``doc_id``, ``start`` (ids of all documents before it), ``ids``."""
     blocks = spark.read.schema(_SCHEMA).parquet(path)
-    places = blocks.select("part", "block", "n_ids")
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = places.groupBy("part").agg(F.sum("n_ids").alias("n")).select(  # one row per file
-        F.col("part").alias("p"), F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
-    starts = places.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(
-        parts, F.col("part") == F.col("p")).select("part", "block", (F.col("before") + F.col("inside")).alias("first"))
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select(  # one row per file
+        "part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
+    placed = blocks.join(parts, "part").select("doc_ids", "sizes", (F.col("before") + F.col("first")).alias("first"), "payload")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = decode_block(batch.column("payload")[i].as_py())
+                raw = decode_block(batch.column("payload")[i].as_py()).astype("<u4")
                 sizes = batch.column("sizes").slice(i, 1).flatten().to_numpy()
                 ends = np.cumsum(sizes)
-                raw = ids.astype("<u4")
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_ids").slice(i, 1).flatten(),
-                    pa.array(np.full(len(sizes), batch.column("part")[i].as_py(), np.int32)),
-                    pa.array(np.full(len(sizes), batch.column("block")[i].as_py(), np.int32)),
-                    pa.array(ends - sizes),
+                    pa.array(batch.column("first")[i].as_py() + ends - sizes),
                     pa.array([raw[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)], pa.binary()),
-                ], ["doc_id", "part", "block", "at", "ids"])
+                ], ["doc_id", "start", "ids"])
 
-    docs = blocks.select("part", "block", "doc_ids", "sizes", "payload").mapInArrow(
-        run, "doc_id long, part int, block int, at long, ids binary")
-    return docs.join(starts.hint("shuffle_hash"), ["part", "block"]).select(
-        "doc_id", (F.col("first") + F.col("at")).alias("start"), "ids")
+    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

@@ -30,11 +30,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """1, base, base**2, ... modulo 2**64; those that a usual slice needs are kept."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, SLICE + SLICE // 4), base, np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if len(known) <= 2 * SLICE:
+            _powers[base] = known
+    return known[:n]
 
 
 class Prefix:
