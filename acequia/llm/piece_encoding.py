@@ -18,13 +18,16 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from acequia.llm.shared import saved
+from acequia.llm.words import Prefix, byte_values, mix, slices
 
 #: Characters in a chunk; documents of more than two chunks are cut.
 CHUNK = 1 << 14
@@ -45,6 +48,8 @@ class Vocabulary:
     byte_ids: list[int]
     byte_score: int
     output: list[bytes]
+    #: Lengths of the pieces that have each beginning of three characters.
+    lengths: dict[str, tuple[int, ...]]
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -65,7 +70,12 @@ def vocabulary(path: str) -> Vocabulary:
             ids[piece] = i
             scores[piece] = -round(1000 * math.log(min(-model.get_score(i), size) + 2))
             output.append(piece.replace(SPACE, " ").encode())
-    return Vocabulary(scores, ids, max(map(len, ids)), byte_ids, -round(1000 * (math.log(size) + 5)), output)
+    lengths: dict[str, set[int]] = {}
+    for piece in ids:
+        if len(piece) > 2:
+            lengths.setdefault(piece[:3], set()).add(len(piece))
+    return Vocabulary(scores, ids, max(map(len, ids)), byte_ids, -round(1000 * (math.log(size) + 5)), output,
+                      {k: tuple(sorted(n)) for k, n in lengths.items()})
 
 
 def prepared(text: str | None) -> str:
@@ -94,16 +104,22 @@ def _ids(v: Vocabulary, piece: str) -> list[int]:
 
 def best_cut(v: Vocabulary, text: str) -> tuple[int, list[str]]:
     """Largest score of a cut of ``text`` and its pieces."""
-    n, scores, longest = len(text), v.scores, v.longest
+    n, scores, lengths = len(text), v.scores.get, v.lengths.get
     best, back = [NEVER] * (n + 1), [0] * (n + 1)
     best[0] = 0
     for i in range(n):
-        base = best[i]
-        total = base + _single(v, text[i])
+        base, found = best[i], scores(text[i])
+        total = base + (v.byte_score * len(_plain_bytes(text[i])) if found is None else found)
         if total > best[i + 1]:
             best[i + 1], back[i + 1] = total, i
-        for j in range(i + 2, min(i + longest, n) + 1):
-            found = scores.get(text[i:j])
+        found = scores(text[i : i + 2]) if i + 2 <= n else None
+        if found is not None and base + found > best[i + 2]:
+            best[i + 2], back[i + 2] = base + found, i
+        for length in lengths(text[i : i + 3], ()):
+            j = i + length
+            if j > n:
+                break
+            found = scores(text[i:j])
             if found is not None and base + found > best[j]:
                 best[j], back[j] = base + found, i
     pieces, j = [], n
@@ -135,6 +151,60 @@ class UnitEncoder:
         return sum(u[0] for u in units), np.concatenate([u[1] for u in units])
 
 
+class SliceEncoder(UnitEncoder):
+    """Encodes the texts of a slice together; units are found and known by hash."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self._forget()
+
+    def _forget(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.size, self.score = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, np.uint32)
+
+    def encode_slice(self, s) -> tuple[list[bytes], np.ndarray]:
+        """Ids (as bytes) and score of each text."""
+        buf, n = s.buf, len(s.buf)
+        begins = np.zeros(n + 1, bool)
+        begins[1:n] = (buf[1:] == 32) & (buf[:-1] != 32)
+        heads = s.at[:-1][np.diff(s.at) > 0]
+        begins[heads] = True
+        first = np.flatnonzero(begins[:n])
+        last = np.append(first[1:], n) if len(first) else first
+        lead = np.zeros(n + 1, bool)
+        lead[heads] = True
+        lead = lead[first]  # a text's first unit has the space that is put before it
+        doc = np.searchsorted(s.at, first, "right") - 1
+        hashes = Prefix(byte_values(buf)).of(first, last)
+        hashes = np.where(lead, mix(hashes + np.uint64(0x2545F4914F6CDD1D)), hashes)
+        kinds, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED:
+            self._forget()
+        known = np.zeros(len(kinds), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)] == kinds
+        if not known.all():
+            new, raw = one[~known], buf.tobytes()
+            cuts = [best_cut(self.v, marked((" " if h else "") + raw[a:b].decode())) for a, b, h in zip(
+                first[new].tolist(), last[new].tolist(), lead[new].tolist(), strict=True)]
+            ids = [[i for p in pieces for i in _ids(self.v, p)] for _, pieces in cuts]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            start = len(self.flat) + np.cumsum(size) - size
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            score = np.array([c[0] for c in cuts], np.int64)
+            at = np.searchsorted(self.hashes, kinds[~known])
+            self.hashes, self.start, self.size, self.score = (np.insert(a, at, b) for a, b in (
+                (self.hashes, kinds[~known]), (self.start, start), (self.size, size), (self.score, score)))
+        found = np.searchsorted(self.hashes, kinds)[inverse]
+        size = self.size[found]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[found] - (ends - size), size) + np.arange(int(size.sum()))].astype("<u4").tobytes()
+        stop = np.cumsum(np.bincount(doc, size, s.n)).astype(np.int64) * 4
+        texts = [ids[a:b] for a, b in zip(np.append(0, stop[:-1]).tolist(), stop.tolist(), strict=True)]
+        return texts, np.bincount(doc, self.score[found], s.n).astype(np.int64)
+
+
 def _edges(text: str, size: int) -> tuple[int, int]:
     """Where the first whole unit of a chunk begins and the last one ends; the chunk is the first
     ``size`` characters of ``text``. The same place if there is no such unit."""
@@ -205,29 +275,31 @@ def states(matrices: list[np.ndarray]) -> tuple[int, list[int]]:
 
 def _first_pass(path: str, chunk: int):
     def run(batches):
-        encoder, row = UnitEncoder(path), TaskContext.get().partitionId() << 33
+        encoder, row = SliceEncoder(path), TaskContext.get().partitionId() << 33
         reach = encoder.v.longest - 1
-        for batch in batches:
-            names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            at, rows, chunks, parts, ids, scores, sizes = [], [], [], [], [], [], []
-
-            def add(i, k, part, own, score, n):
-                at.append(i), rows.append(row), chunks.append(k), parts.append(part)
-                ids.append(own), scores.append(score), sizes.append(n)
-
-            for i, text in enumerate(texts):
-                text = prepared(text)
-                if len(text) <= 2 * chunk:
-                    score, own = encoder.encode(marked(text))
-                    add(i, 0, None, own.astype("<u4").tobytes(), score, 1)
-                else:
-                    for k, a in enumerate(range(0, len(text), chunk)):
-                        add(i, k, text[a : a + chunk + reach], None, None, min(chunk, len(text) - a))
-                row += 1
-            yield pa.RecordBatch.from_arrays([
+
+        def table(names, at, rows, chunks, sizes, parts, ids, scores):
+            return pa.RecordBatch.from_arrays([
                 names.take(pa.array(at, pa.int64())), pa.array(rows, pa.int64()), pa.array(chunks, pa.int64()),
                 pa.array(sizes, pa.int64()), pa.array(parts, pa.string()), pa.array(ids, pa.binary()), pa.array(scores, pa.int64()),
             ], ["doc_id", "row", "chunk", "size", "part", "ids", "score"])
+
+        for batch in batches:
+            names, texts = batch.column("doc_id"), batch.column("text")
+            whole = np.asarray(pc.fill_null(pc.utf8_length(texts), 0)) + 1 <= 2 * chunk
+            rows = row + np.arange(batch.num_rows)
+            row += batch.num_rows
+            at = np.flatnonzero(whole)
+            for s in slices(texts.take(pa.array(at))):
+                ids, scores = encoder.encode_slice(s)
+                own = at[s.rows[0] : s.rows[1]]
+                yield table(names, own, rows[own], np.zeros(s.n, np.int64), np.ones(s.n, np.int64), [None] * s.n, ids, scores)
+            for i in np.flatnonzero(~whole):
+                text = prepared(texts[i].as_py())
+                starts = range(0, len(text), chunk)
+                n = len(starts)
+                yield table(names, [i] * n, [rows[i]] * n, list(range(n)), [min(chunk, len(text) - a) for a in starts],
+                            [text[a : a + chunk + reach] for a in starts], [None] * n, [None] * n)
     return run
 
 
