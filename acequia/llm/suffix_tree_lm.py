@@ -58,7 +58,7 @@ def _tokens(batch):
 
 
 def _count_words(batches):
-    for batch in batches:
+    for batch in _parts(batches):
         found = [h[~out[doc]] for _, doc, h, out in _tokens(batch)]
         word, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
@@ -158,6 +158,13 @@ class Strings:
         return np.where(first | (prior < 0), -1, prior * self.width + sym)
 
 
+def _parts(batches, rows: int = 3000):
+    """Batches cut small: a part's arrays are many times as large as its rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _symbol_runs(batch, only_training: bool):
     """(texts, symbols, whether a text begins) of the rows of an encoded batch."""
     if only_training:
@@ -186,7 +193,7 @@ def add_length(strings: Strings, coded: DataFrame, length: int, least: float) ->
 
     def buckets(batches):
         n = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             n += np.bincount(_bucket(_new_codes(strings, batch, length)), minlength=BUCKETS)
         full = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full])], ["bucket", "n"])
@@ -198,7 +205,7 @@ def add_length(strings: Strings, coded: DataFrame, length: int, least: float) ->
 
     def count(batches):
         heavy = np.unpackbits(packed).astype(bool)
-        for batch in batches:
+        for batch in _parts(batches):
             codes = _new_codes(strings, batch, length)
             code, n = np.unique(codes[heavy[_bucket(codes)]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
@@ -298,7 +305,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
                       settings.depth, settings.divergence)
 
     def score(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             batch, doc, sym, first = _symbol_runs(batch, False)
             total = np.bincount(doc, np.log10(tree.probabilities(sym, first)), batch.num_rows).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(total)], ["row", "tree"])
