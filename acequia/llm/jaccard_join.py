@@ -17,10 +17,12 @@ compared pair by pair; thus no link between components is missed.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from acequia.llm.components import components
 from acequia.llm.shared import saved
@@ -151,13 +153,13 @@ def sketched(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     "doc_id": batch.column("doc_id").slice(s.rows[0], s.n),
                     "size": pa.array(sizes.astype(np.int64)),
                     "node": pa.array(prints.view(np.int64)),
-                    "sketch": pa.array([x.tobytes() for x in _sketch(doc, hashes, s.n)], pa.binary()),
+                    "sketch": lists(np.full(s.n, BITS // 64), pa.array(_sketch(doc, hashes, s.n).reshape(-1).view(np.int64))),
                     "keys": lists(np.bincount(d, minlength=s.n), pa.array(keys.view(np.int64))),
                 })
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, size long, node long, sketch binary, keys array<long>")
+        run, f"doc_id {kind}, size long, node long, sketch array<long>, keys array<long>")
 
 
 def _by_key(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +217,11 @@ def shared_bands(rows: DataFrame) -> DataFrame:
     return saved(near.unionByName(lead.mapInArrow(_far, "key long, a long, b long")), "bands")
 
 
-def _may_link(percent: int, a: str, b: str):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _may_link(percent: int, a: str, b: str) -> Column:
+    """Whether the sizes and narrow sketches of two aliased rows allow a link."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    apart = reduce(add, (F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(BITS // 64)))
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (apart * (100 + percent) <= (100 - percent) * (x + y))
 
 
 class _Verifier:
@@ -243,22 +248,9 @@ class _Verifier:
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and narrow sketches allow a link."""
-        x = self.known.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("size").alias("na"))
-        y = self.known.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("size").alias("nb"))
-        percent = self.percent
-
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("sa", "sb"))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-                use = pa.array(apart * (100 + percent) <= (100 - percent) * total)
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(use) for c in ("a", "b")], ["a", "b"])
-
-        joined = pairs.join(x, "a").join(y, "b").where(_may_link(percent, "na", "nb"))
-        return joined.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+        x, y = self.known.alias("x"), self.known.alias("y")
+        joined = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+        return joined.where(_may_link(self.percent, "x", "y")).select("a", "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked."""
@@ -291,18 +283,19 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> Data
     more = saved(verify.links(verify.near(stars)), "pairs")
     links = links.unionByName(more)
     labels = components(links) if more.limit(1).count() else labels
-    # Groups whose nodes are still in different components: all pairs across components.
+    # Groups whose nodes are still in different components: all pairs across components. The join
+    # itself compares sizes and sketches, so of near misses hardly any pair is ever a row.
     ends = members.select("key", F.col("a").alias("x")).union(members.select("key", F.col("b").alias("x"))).distinct()
-    sizes = verify.known.select(F.col("node").alias("x"), "size")
+    sizes = verify.known.select(F.col("node").alias("x"), "size", "sketch")
     ends = saved(_labelled(ends, labels, ["x"]).join(sizes, "x"), "ends")
     mixed = ends.groupBy("key").agg(F.min("x_label").alias("low"), F.max("x_label").alias("high")).where("low < high").select("key")
     ends = saved(ends.join(mixed, "key", "left_semi"), "mixed-ends")
     l, r = ends.alias("l"), ends.alias("r")
     cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.x_label") < F.col("r.x_label"))
-                   & _may_link(percent, "l.size", "r.size"))
+                   & _may_link(percent, "l", "r"))
     cross = cross.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b")).distinct()
     cross = cross.join(first.unionByName(stars), ["a", "b"], "left_anti")
-    last = saved(verify.links(verify.near(cross)), "pairs")
+    last = saved(verify.links(cross), "pairs")
     return components(links.unionByName(last)) if last.limit(1).count() else labels
 
 
@@ -331,5 +324,5 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def near_distinct(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest doc_id."""
     kept = jaccard_join(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("kept_id")).distinct().hint("shuffle_hash")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+        F.col("doc_id").alias("acequia_kept")).distinct().hint("shuffle_hash")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("acequia_kept")), "left_semi")
