@@ -37,7 +37,8 @@ _OWN_LINE = "\udc81"
 NEVER = -(1 << 50)
 #: No piece goes on from a character that is no space to a space.
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-REMEMBERED = 300_000
+#: Units that a task remembers, as objects (of giant documents) and in arrays.
+REMEMBERED, REMEMBERED_BY_HASH = 100_000, 1_200_000
 
 
 @dataclass
@@ -179,7 +180,7 @@ class SliceEncoder(UnitEncoder):
         hashes = Prefix(byte_values(buf)).of(first, last)
         hashes = np.where(lead, mix(hashes + np.uint64(0x2545F4914F6CDD1D)), hashes)
         kinds, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED_BY_HASH:
             self._forget()
         known = np.zeros(len(kinds), bool)
         if len(self.hashes):
