@@ -287,9 +287,9 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> Data
     # itself compares sizes and sketches, so of near misses hardly any pair is ever a row.
     ends = members.select("key", F.col("a").alias("x")).union(members.select("key", F.col("b").alias("x"))).distinct()
     sizes = verify.known.select(F.col("node").alias("x"), "size", "sketch")
-    ends = saved(_labelled(ends, labels, ["x"]).join(sizes, "x"), "ends")
+    ends = saved(_labelled(ends, labels, ["x"]), "ends")
     mixed = ends.groupBy("key").agg(F.min("x_label").alias("low"), F.max("x_label").alias("high")).where("low < high").select("key")
-    ends = saved(ends.join(mixed, "key", "left_semi"), "mixed-ends")
+    ends = saved(ends.join(mixed, "key", "left_semi").join(sizes, "x"), "mixed-ends")
     l, r = ends.alias("l"), ends.alias("r")
     cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.x_label") < F.col("r.x_label"))
                    & _may_link(percent, "l", "r"))
