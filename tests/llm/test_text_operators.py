@@ -99,6 +99,19 @@ def test_copies_of_a_page_are_no_boilerplate(table):
     assert quality_rules(table([])).count() == 0 and clean(table([])).count() == 0
 
 
+def test_production_limits_remove_lines_and_reject_documents(table):
+    """51 of 60 texts hold the menu, 50 the notice; a document of little but the menu is depleted."""
+    menu, notice = "Home News Contact Press Jobs Help Terms", "all rights reserved by nobody"
+    rows = []
+    for i in range(60):
+        own = " ".join(f"own{i}x{k}" for k in range(3 if i < 5 else 20))
+        rows.append((i, "\n".join([own] + [menu] * (i < 51) + [notice] * (i < 50)), "h"))
+    assert brute_frequent(rows, Limits()) == {("h", tuple(words(lowered(menu))))}
+    got = by_id(quality_rules(table(rows)))
+    assert {i: r.removed_words for i, r in got.items()} == {i: 7 * (i < 51) for i in range(60)}
+    assert {i for i, r in got.items() if not r.kept and not r.base_failed} == set(range(5))
+
+
 # -- Mixing -----------------------------------------------------------------------
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, epochs=2):
