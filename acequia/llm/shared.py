@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,3 +33,14 @@ def saved(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote and no later step reads, and let Spark remove the shuffle
+    files of finished steps, which stay until the driver collects its garbage."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()

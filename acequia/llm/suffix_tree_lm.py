@@ -1,17 +1,20 @@
 """Scores of texts under a probabilistic suffix tree that is trained on most of them.
 
-Symbols are the words that make up at least ``word_share`` of all training tokens; all
-others share the symbol 0, within which a word has its own share. The tree's contexts
-are strings of up to ``depth`` symbols that make up ``string_share`` of the tokens, and
-a context stays in the tree only if what follows it diverges enough from what follows
-its suffix. Next-symbol distributions are smoothed: each count gives up a discount,
-which goes to the distribution of the suffix. A token is scored in the longest context
-of the tree that ends before it.
-
-A string that makes up a share p of the tokens is one of 1/p at most, so the model has
-a size that no corpus exceeds, and the same shares apply at every size. All counts are
-over all training documents: strings are counted in two passes a length, the first of
-which counts hash buckets and so rules out almost all rare strings (Park, Chen, Yu).
+Symbols are the words of the training texts. The tree's contexts are strings of up to
+``depth`` words that occur ``least`` times or more, at every size of the input, and a
+context stays in the tree only if what follows it diverges enough from what follows its
+suffix. Next-word distributions are smoothed: each count gives up a discount, which goes
+to the distribution of the suffix. A token is scored in the longest context of the tree
+that ends before it.
+
+All counts are over all training documents and are held as tables in
+``spark.checkpoint.dir``. A string is counted only where both its parts, without its last
+and without its first word, are frequent themselves (fixed bit fields rule out most
+others). The logarithm of a document's probability is a sum over its words and strings,
+so each of these has one value, which does not depend on where it occurs: documents look
+values up by a join on strings. Strings that make up a larger share of the tokens than
+``word_share`` or ``string_share`` are looked up in memory instead, which keeps hot keys
+out of the join and changes no result; they are one of 1/share at most.
 """
 
 from __future__ import annotations
@@ -22,22 +25,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from acequia.llm.shared import saved
-from acequia.llm.words import lists, mix, slices
+from acequia.llm.shared import dropped, saved
+from acequia.llm.words import mix, slices
 
 #: Hash of the token that ends each document.
 END = 0x1F83D9ABFB41BD6B
-BUCKETS = 1 << 20
 DISCOUNT = 0.75
+#: Bits of a field that tells which keys a table cannot hold, as a power of two.
+FIELD = 27
+#: Tokens for each bucket in which strings are summed and looked up.
+BUCKET = 2_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
+    #: Words and strings above these shares of the tokens are looked up in memory, others by a join.
     word_share: float = 2e-6
     string_share: float = 4e-6
     depth: int = 2
+    #: Strings are counted from so many occurrences on.
+    least: int = 2
     #: A context stays if its counts times the divergence from its suffix reach this (in nats).
     divergence: float = 10.0
 
@@ -74,62 +84,14 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in table.columns]
 
 
-class Symbols:
-    """The frequent words, at most 1 / word_share of them."""
-
-    def __init__(self, vocabulary: DataFrame, tokens: int, share: float):
-        word, n = _columns(vocabulary.where(F.col("n") >= max(1.0, share * tokens)).select("word", "n"))
-        order = np.argsort(word)
-        self.words, self.counts = word[order], n[order]
-        self.size = len(word) + 1
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        """Symbol of each word, 0 for those that are not frequent."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, 0)
-
-
-def _encoded(symbols: Symbols):
-    counts = np.log10(symbols.counts + 1.0)
-
-    def run(batches):
-        for batch in batches:
-            for s, doc, h, out in _tokens(batch):
-                sym = symbols.of(h)
-                tokens = np.bincount(doc, minlength=s.n)
-                frequent = sym > 0
-                known = np.bincount(doc[frequent], minlength=s.n)
-                base = np.bincount(doc[frequent], counts[sym[frequent] - 1], s.n).astype(float)
-                rd, rh = doc[~frequent], h[~frequent]
-                order = np.lexsort((rh, rd))
-                rd, rh = rd[order], rh[order]
-                new = np.ones(len(rd), bool)
-                new[1:] = (rd[1:] != rd[:-1]) | (rh[1:] != rh[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(rd)))
-                per = np.bincount(rd[at], minlength=s.n)
-                edge = np.concatenate([[0], np.cumsum(tokens)])
-                data = sym.astype(np.uint32)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(s.rows[0], s.n),
-                    "held_out": pa.array(out),
-                    "n_tokens": pa.array(tokens.astype(np.int64)),
-                    "known": pa.array(known.astype(np.int64)),
-                    "base": pa.array(base),
-                    "symbols": pa.array([data[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
-                    "rare": lists(per, pa.array(rh[at])),
-                    "times": lists(per, pa.array(times.astype(np.int32))),
-                })
-    return run
-
-
 class Strings:
-    """Frequent strings of 1, 2, ... symbols, each as the number of its beginning times the number
-    of symbols plus its last symbol; in each length sorted by that code."""
+    """The model in memory, over numbered symbols; the tables must agree with it.
+
+    Frequent strings of 1, 2, ... symbols, each as the number of its beginning times the number
+    of symbols plus its last symbol; in each length sorted by that code.
+    """
 
-    def __init__(self, symbols: Symbols):
+    def __init__(self, symbols):
         self.width = symbols.size
         self.codes: list[np.ndarray] = [np.arange(symbols.size)]
         self.counts: list[np.ndarray] = []
@@ -158,65 +120,6 @@ class Strings:
         return np.where(first | (prior < 0), -1, prior * self.width + sym)
 
 
-def _parts(batches, rows: int = 3000):
-    """Batches cut small: a part's arrays are many times as large as its rows."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
-def _symbol_runs(batch, only_training: bool):
-    """(texts, symbols, whether a text begins) of the rows of an encoded batch."""
-    if only_training:
-        batch = batch.filter(pa.compute.invert(batch.column("held_out")))
-    data = batch.column("symbols").to_pylist()
-    sym = np.frombuffer(b"".join(data), np.uint32).astype(np.int64)
-    sizes = np.array([len(x) // 4 for x in data], np.int64)
-    doc = np.repeat(np.arange(len(data)), sizes)
-    first = np.zeros(len(sym), bool)
-    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    return batch, doc, sym, first
-
-
-def _new_codes(strings: Strings, batch, length: int) -> np.ndarray:
-    _, _, sym, first = _symbol_runs(batch, True)
-    codes = strings.codes_of(strings.ending(sym, first, length - 1)[-1], sym, first)
-    return codes[codes >= 0]
-
-
-def _bucket(codes: np.ndarray) -> np.ndarray:
-    return (mix(codes.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def add_length(strings: Strings, coded: DataFrame, length: int, least: float) -> None:
-    """Count all strings of one more symbol that occur at least ``least`` times."""
-
-    def buckets(batches):
-        n = np.zeros(BUCKETS, np.int64)
-        for batch in _parts(batches):
-            n += np.bincount(_bucket(_new_codes(strings, batch, length)), minlength=BUCKETS)
-        full = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full])], ["bucket", "n"])
-
-    counted = _sum_by(coded.select("held_out", "symbols").mapInArrow(buckets, "bucket long, n long"), "bucket")
-    heavy = np.zeros(BUCKETS, bool)  # a bit for each of a fixed number of buckets
-    heavy[_columns(counted.where(F.col("n") >= least).select("bucket"))[0]] = True
-    packed = np.packbits(heavy)
-
-    def count(batches):
-        heavy = np.unpackbits(packed).astype(bool)
-        for batch in _parts(batches):
-            codes = _new_codes(strings, batch, length)
-            code, n = np.unique(codes[heavy[_bucket(codes)]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
-
-    frequent = _sum_by(coded.select("held_out", "symbols").mapInArrow(count, "code long, n long"), "code")
-    code, n = _columns(frequent.where(F.col("n") >= least).select("code", "n"))  # at most 1 / string_share rows
-    order = np.argsort(code)
-    strings.codes.append(code[order])
-    strings.counts.append(n[order])
-
-
 class SuffixTree:
     """Smoothed next-symbol probabilities of the contexts that the divergence test keeps."""
 
@@ -276,6 +179,158 @@ class SuffixTree:
         return p
 
 
+def _parts(batches, rows: int = 3000):
+    """Batches cut small: a part's arrays are many times as large as its rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Id of a string from the ids of its parts: without its last word, and without its first."""
+    return mix(mix(before + np.uint64(0x9E3779B97F4A7C15)) + after)
+
+
+def _ending(h: np.ndarray, doc: np.ndarray, length: int):
+    """For each length up to this one: ids of the string that ends at each token, whether the
+    text has one, and the ids of its part without the last word."""
+    ids, there = h.view(np.uint64), np.ones(len(h), bool)
+    goes_on = np.concatenate([[False], doc[1:] == doc[:-1]]) if len(h) else there
+    before = np.zeros(len(h), np.uint64)
+    yield ids, there, before
+    for _ in range(length - 1):
+        before = np.concatenate([ids[:1], ids[:-1]])
+        there = goes_on & np.concatenate([there[:1], there[:-1]])
+        ids = _joined(before, ids)
+        yield ids, there, before
+
+
+def _field(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit field of fixed size in which the bit of each key is set."""
+    bit = f"shiftrightunsigned({key}, {64 - FIELD})"
+    filled = keys.selectExpr(f"shiftright({bit}, 6) AS at", f"shiftleft(1L, int({bit} & 63)) AS bits")
+    at, bits = _columns(filled.groupBy("at").agg(F.bit_or("bits").alias("bits")))
+    out = np.zeros(1 << (FIELD - 6), np.uint64)
+    out[at] = bits.view(np.uint64)
+    return out
+
+
+def _may_hold(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys >> np.uint64(64 - FIELD)
+    return (field[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins and ends in sorted ids; buckets are equal ranges of ids."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buckets: int) -> DataFrame:
+    """Strings of a length that occur ``least`` times or more: string, before, after (its parts), n.
+
+    Sums are made for each part of a task's rows, then for each bucket of ids.
+    """
+
+    def part(batches):
+        for batch in _parts(batches):
+            found = [np.zeros((3, 0), np.uint64)]
+            for _, doc, h, out in _tokens(batch):
+                train = ~out[doc]
+                h, doc = h[train], doc[train]
+                *_, (after, _, _), (ids, there, before) = _ending(h, doc, length)
+                there = there & _may_hold(shorter, before) & _may_hold(shorter, after)
+                found.append(np.stack([ids[there], before[there], after[there]]))
+            found = np.concatenate(found, axis=1)
+            ids, at, n = np.unique(found[0], return_index=True, return_counts=True)
+            before, after, n = found[1][at], found[2][at], n.astype(np.uint32)
+            edge = _edges(ids, buckets)
+            full = np.flatnonzero(np.diff(edge))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full)} | {
+                k: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
+                for k, x in (("before", before), ("after", after), ("n", n))})
+
+    def total(table: pa.Table) -> pa.Table:
+        before, after, n = _bytes(table["before"], np.uint64), _bytes(table["after"], np.uint64), _bytes(table["n"], np.uint32)
+        ids, at, inverse = np.unique(_joined(before, after), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, n, len(ids)).astype(np.int64)
+        often = n >= least
+        return pa.table({"string": ids[often].view(np.int64), "before": before[at[often]].view(np.int64),
+                         "after": after[at[often]].view(np.int64), "n": n[often]})
+
+    packed = docs.select("doc_id", "text").mapInArrow(part, "bucket long, before binary, after binary, n binary")
+    return packed.groupBy("bucket").applyInArrow(total, "string long, before long, after long, n long")
+
+
+def _level(strings: DataFrame, shorter: DataFrame, divergence: float) -> tuple[DataFrame, DataFrame]:
+    """(strings with log10 of their last word's probability and what it adds to a text's score,
+    contexts of the tree with log10 of the share of their suffix)."""
+    before = shorter.select(F.col("string").alias("before"), F.col("n").alias("total"))
+    after = shorter.select(F.col("string").alias("after"), F.col("log_p").alias("lower"))
+    known = saved(strings.join(after, "after").join(before, "before").select("string", "before", "n", "total", "lower"), "known")
+    own = (F.col("n") - DISCOUNT) / F.col("total")
+    gain = F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("lower") * math.log(10))
+    contexts = known.groupBy("before").agg(F.sum(gain).alias("gain"), F.sum(own).alias("own")).where(
+        F.col("gain") >= divergence)
+    contexts = saved(contexts.select("before", F.log10(F.greatest(1 - F.col("own"), F.lit(1e-12))).alias("back")), "contexts")
+    in_tree = F.col("back").isNotNull()
+    p = own + F.pow(F.lit(10.0), F.col("back") + F.col("lower"))
+    level = known.join(contexts, "before", "left").select(
+        "string", "n", F.when(in_tree, F.log10(p)).otherwise(F.col("lower")).alias("log_p"),
+        F.when(in_tree, F.log10(p) - F.col("lower") - F.col("back")).otherwise(0.0).alias("adds"))
+    level = saved(level, "level")
+    dropped(known.sparkSession, known)
+    return level, contexts
+
+
+def suffix_tree_values(docs: DataFrame, vocabulary: DataFrame, tokens: int, buckets: int, settings: Settings) -> DataFrame:
+    """The trained model: for each word and each string of the tree, ``key`` (its id), ``value`` (what each
+    occurrence adds to log10 of a text's probability, over that of an unseen word), ``base`` (log10 of a
+    word's add-one count, 0 for longer strings) and ``hot`` (whether it is looked up in memory). Drops
+    ``vocabulary``."""
+    shorter = vocabulary.select(F.col("word").alias("string"), "n", F.log10(F.col("n") / (tokens + 1.0)).alias("log_p"),
+                                F.log10("n").alias("adds"))
+    tree, steps = None, [vocabulary]
+    for length in range(1, settings.depth + 2):
+        base, share = (F.log10(F.col("n") + 1), settings.word_share) if length == 1 else (F.lit(0.0), settings.string_share)
+        hot = F.col("n") >= share * tokens
+        level = shorter
+        if length <= settings.depth:
+            field = _field(shorter.where(F.col("n") >= settings.least), "string")
+            longer = saved(_strings(docs, length + 1, field, settings.least, buckets), "strings")
+            dropped(docs.sparkSession)  # no shuffle files of the count while the joins make theirs
+            shorter, contexts = _level(longer, shorter, settings.divergence)
+            dropped(docs.sparkSession, longer)
+            steps += [shorter, contexts]
+            level = level.join(contexts.withColumnRenamed("before", "string"), "string", "left").withColumn("adds", F.col("adds") + F.coalesce("back", F.lit(0.0)))
+        level = level.select(F.col("string").alias("key"), F.col("adds").alias("value"), base.alias("base"), hot.alias("hot"))
+        level = level.where("value <> 0 OR base > 0")
+        tree = level if tree is None else tree.unionAll(level)
+    tree = saved(tree, "tree")
+    dropped(docs.sparkSession, *steps)
+    return tree
+
+
+_SUMS = "known long, base double, value double"
+
+
+def _sums(index: np.ndarray, n: int, value: np.ndarray, base: np.ndarray, times=1) -> dict[str, np.ndarray]:
+    return {"known": np.bincount(index, (base > 0) * times, n).astype(np.int64),
+            "base": np.bincount(index, base * times, n).astype(float), "value": np.bincount(index, value * times, n).astype(float)}
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys hold the wanted ones, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Train on the documents that are not held out, and score all.
 
@@ -287,42 +342,83 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
     is trained on. Repeated rows count each. An empty table gives no rows; without any training
     document all words are unknown.
     """
+    if not 1 <= settings.depth <= 3:
+        raise ValueError("contexts have one to three symbols")
     vocabulary = saved(_sum_by(docs.select("doc_id", "text").mapInArrow(_count_words, "word long, n long"), "word"), "vocabulary")
     tokens, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    symbols = Symbols(vocabulary, tokens, settings.word_share)
+    buckets = max(1 + tokens // BUCKET, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tree = suffix_tree_values(docs, vocabulary, tokens, buckets, settings)
+    key, value, base = _columns(tree.where("hot").select("key", "value", "base"))  # at most 1 / share rows a length
+    order = np.argsort(key.view(np.uint64))
+    key, value, base = key.view(np.uint64)[order], value[order], base[order]
+    others = tree.where("NOT hot")
+    field = _field(others, "key")
     kind = dict(docs.dtypes)["doc_id"]
-    coded = docs.select("doc_id", "text").mapInArrow(
-        _encoded(symbols), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double,"
-        " symbols binary, rare array<long>, times array<int>")
-    coded = saved(coded.withColumn("row", F.monotonically_increasing_id()), "coded", "zstd")
-
-    strings = Strings(symbols)
-    for length in range(2, settings.depth + 2):
-        add_length(strings, coded, length, max(2.0, settings.string_share * tokens))
-    rare_tokens = int(tokens - symbols.counts.sum())
-    rare_kinds = int(kinds - len(symbols.counts))
-    tree = SuffixTree(strings, np.concatenate([[rare_tokens + 1], symbols.counts]).astype(float),
-                      settings.depth, settings.divergence)
-
-    def score(batches):
+
+    def ask(batches):
+        row = TaskContext.get().partitionId() << 33
         for batch in _parts(batches):
-            batch, doc, sym, first = _symbol_runs(batch, False)
-            total = np.bincount(doc, np.log10(tree.probabilities(sym, first)), batch.num_rows).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(total)], ["row", "tree"])
-
-    scored = coded.select("row", "held_out", "symbols").mapInArrow(score, "row long, tree double")
-    rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
-        "row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    seen = F.coalesce("n", F.lit(0))
-    rare = rare.join(vocabulary, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(seen + 1)).alias("rare_log"),
-        F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum("times").alias("rare_tokens"))
-    rows = coded.drop("symbols", "rare", "times").join(scored, "row").join(rare, "row", "left")
-    logs, many = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_tokens", F.lit(0))
+            keys, places, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], row
+            for s, doc, h, out in _tokens(batch):
+                sums = _sums(doc[:0], s.n, value[:0], base[:0])
+                for ids, there, _ in _ending(h, doc, settings.depth + 1):
+                    ids, at_doc = ids[there], doc[there]
+                    at, here = _found(key, ids)
+                    for k, x in _sums(at_doc[here], s.n, value[at[here]], base[at[here]]).items():
+                        sums[k] += x
+                    open_ = ~here & _may_hold(field, ids)
+                    keys.append(ids[open_])
+                    places.append(at_doc[open_] + (row - start))
+                rows = np.arange(row, row + s.n)
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array(rows % buckets), "row": pa.array(rows),
+                    "doc_id": batch.column("doc_id").slice(s.rows[0], s.n), "held_out": pa.array(out),
+                    "n_tokens": pa.array(np.bincount(doc, minlength=s.n).astype(np.int64)),
+                    **{k: pa.array(x) for k, x in sums.items()},
+                    **{k: pa.nulls(s.n, pa.binary()) for k in ("keys", "places", "times")}})
+                row += s.n
+            keys, places = np.concatenate(keys), np.concatenate(places)
+            order = np.lexsort((places, keys))
+            keys, places = keys[order], places[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(keys))).astype(np.uint32)
+            keys, places = keys[at], places[at].astype(np.uint32)
+            edge = _edges(keys, buckets)
+            full = np.flatnonzero(np.diff(edge))
+            none = {k: pa.nulls(len(full), t) for k, t in (
+                ("doc_id", batch.column("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                ("known", pa.int64()), ("base", pa.float64()), ("value", pa.float64()))}
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array(full), "row": pa.array(np.full(len(full), start)), **none,
+                **{k: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
+                   for k, x in (("keys", keys), ("places", places), ("times", times))}})
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "value"]
+        whole = asked.filter(pa.compute.is_valid(asked["n_tokens"])).select(names)
+        asked = asked.filter(pa.compute.is_valid(asked["keys"]))
+        wanted, places, times = _bytes(asked["keys"], np.uint64), _bytes(asked["places"], np.uint32), _bytes(asked["times"], np.uint32)
+        sizes = [len(x) // 8 for x in asked["keys"].to_pylist()]
+        rows = np.repeat(asked["row"].to_numpy(), sizes) + places
+        keys = held["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        at, here = _found(keys[order], wanted)
+        at = order[at[here]] if len(keys) else at[here]
+        rows, inverse = np.unique(rows[here], return_inverse=True)
+        sums = _sums(inverse, len(rows), held["value"].to_numpy()[at], held["base"].to_numpy()[at], times[here])
+        none = {k: pa.nulls(len(rows), whole.schema.field(k).type) for k in ("doc_id", "held_out", "n_tokens")}
+        return pa.concat_tables([whole, pa.table({"row": rows.astype(np.int64), **none, **sums}).select(names).cast(whole.schema)])
+
+    fields = f"row long, doc_id {kind}, held_out boolean, n_tokens long, {_SUMS}"
+    asked = docs.select("doc_id", "text").mapInArrow(ask, f"bucket long, {fields}, keys binary, places binary, times binary")
+    held = others.selectExpr(f"shiftright(shiftrightunsigned(key, 32) * {buckets}L, 32) AS bucket", "key", "value", "base")
+    rows = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(answer, fields)
+    rows = rows.groupBy("row").agg(
+        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("known", "base", "value")))
     return rows.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        "doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * math.log10(tokens + kinds + 1)).alias("base_score"),
-        (F.col("tree") + logs - many * math.log10(rare_tokens + rare_kinds + 1)).alias("score"))
+        (F.col("base") - F.col("n_tokens") * math.log10(tokens + kinds + 1)).alias("base_score"),
+        (F.col("value") - F.col("n_tokens") * math.log10(tokens + 1)).alias("score"))

@@ -229,6 +229,44 @@ def test_tree_distributions_sum_to_one():
             assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def brute_tree_scores(rows, least, divergence):
+    """Scores of each row under the model in memory, with all training words as symbols."""
+    def out(i):
+        return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+
+    texts = [[*words(lowered(t)), None] for _, t, _ in rows]
+    count = Counter(w for (i, _, _), t in zip(rows, texts, strict=True) if not out(i) for w in t)
+    number = {w: k + 1 for k, w in enumerate(count)}
+    coded = [np.array([number.get(w, 0) for w in t]) for t in texts]
+    train = [c for (i, _, _), c in zip(rows, coded, strict=True) if not out(i)]
+
+    class Words:
+        size = len(number) + 1
+    strings = Strings(Words)
+
+    def begins(c):
+        return np.arange(len(c)) == 0
+    for length in (2, 3):
+        codes = np.concatenate([strings.codes_of(strings.ending(c, begins(c), length - 1)[-1], c, begins(c)) for c in train])
+        code, n = np.unique(codes[codes >= 0], return_counts=True)
+        strings.codes.append(code[n >= least])
+        strings.counts.append(n[n >= least])
+    tree = SuffixTree(strings, np.array([1, *count.values()], float), 2, divergence)
+    assert min(tree.kept) > 0
+    return sorted((str(i), round(float(np.log10(tree.probabilities(c, begins(c))).sum()), 6))
+                  for (i, _, _), c in zip(rows, coded, strict=True))
+
+
+@pytest.mark.parametrize("share", [1.0, 0.01, 0.0])
+def test_contexts_do_not_depend_on_the_share_of_tokens(table, share):
+    """Strings of two occurrences count however many tokens there are, in memory or joined."""
+    rng = random.Random(4)
+    rows = [(i, markov(rng, rng.randrange(0, 80)) + (f" name{i % 90} of place{i % 90} W1" if i % 3 else ""), "s") for i in range(400)]
+    rows += [(1000, None, "s"), (None, markov(rng, 20), "s"), (1002, markov(rng, 3000), "s"), (1003, "a b", "s"), (1003, "a b", "s")]
+    got = suffix_tree_scores(table(rows).repartition(4), Settings(word_share=share, string_share=share)).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == brute_tree_scores(rows, 2, 10.0)
+
+
 def test_scores_without_training_or_rows(table):
     assert suffix_tree_scores(table([])).count() == 0
     out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
