@@ -5,8 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _own: list[str] = []
 
@@ -44,3 +45,16 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str, label: str) -> DataFrame:
+    """Rows with ``name``, their place from 0 in the given order. Every task numbers a range of the
+    order; only one row a task is summed to find where each range starts."""
+    split = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    split = saved(split.withColumn("acequia_at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("acequia_at", 33)
+    sizes = split.groupBy(part.alias("acequia_part")).agg(F.count(F.lit(1)).alias("acequia_rows"))
+    earlier = Window.orderBy("acequia_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("acequia_part", F.coalesce(F.sum("acequia_rows").over(earlier), F.lit(0)).alias("acequia_start"))
+    return split.join(starts, part == F.col("acequia_part")).select(
+        *df.columns, (F.col("acequia_start") + F.col("acequia_at").bitwiseAND((1 << 33) - 1)).alias(name))
