@@ -58,8 +58,7 @@ def reporters(fact: DataFrame) -> DataFrame:
     )
 
 
-def daily_series(fact: DataFrame) -> DataFrame:
-    """One row per basin path, coordinate and day. NULL coordinates and dates stay."""
+def _daily(fact: DataFrame, *extra: Column) -> DataFrame:
     return (
         fact.select(
             *S.BASIN_PATH, *S.COORD,
@@ -67,10 +66,20 @@ def daily_series(fact: DataFrame) -> DataFrame:
             *S.LEVELS, "TOTALIZADOR",
         )
         .groupBy(*S.BASIN_PATH, *S.COORD, "FECHA_MEDICION")
-        .agg(*(F.avg(c).alias(c) for c in S.LEVELS), F.max("TOTALIZADOR").alias("TOTALIZADOR"))
+        .agg(*(F.avg(c).alias(c) for c in S.LEVELS), F.max("TOTALIZADOR").alias("TOTALIZADOR"), *extra)
     )
 
 
+def daily_series(fact: DataFrame) -> DataFrame:
+    """One row per basin path, coordinate and day. NULL coordinates and dates stay."""
+    return _daily(fact)
+
+
+def daily_states(fact: DataFrame) -> DataFrame:
+    """The daily series with the reports behind each mean, so that later reports can be merged in."""
+    return _daily(fact, *(F.count(c).alias(n) for c, n in S.LEVEL_COUNTS.items()))
+
+
 def daily_series_by_coord(fact: DataFrame) -> DataFrame:
     """Variant with one row per coordinate and day; NULL keys are dropped.
 

@@ -24,6 +24,20 @@ def column_coverage(table: DataFrame, name: str, expected: Sequence[str]) -> Dat
     return table.agg(rows.alias("filas")).select(F.lit(name).alias("tabla"), F.inline("filas"))
 
 
+def coverage_by_year(series: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """One row per year of a series: its rows, and how many have a value in each expected column."""
+    return series.groupBy("ANIO").agg(F.count(F.lit(1)).alias("filas"), *(F.count(F.col(c)).alias(c) for c in expected))
+
+
+def stored_coverage(figures: DataFrame, name: str, expected: Sequence[str]) -> DataFrame:
+    """As ``column_coverage``, from rows that hold the number of values of each expected column."""
+    rows = F.array(*(
+        F.struct(F.lit(c).alias("columna"), F.lit(True).alias("presente"),
+                 F.coalesce(F.sum(F.col(c)), F.lit(0)).alias("no_nulos"))
+        for c in expected))
+    return figures.agg(rows.alias("filas")).select(F.lit(name).alias("tabla"), F.inline("filas"))
+
+
 def sample_rows(table: DataFrame, columns: Sequence[str], any_of: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows in which at least one of ``any_of`` is not NULL."""
     found = F.lit(False)

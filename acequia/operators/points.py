@@ -139,28 +139,25 @@ def multi_point_flow_stats(series: DataFrame, locations: Sequence[tuple[int, int
 
 
 def pooled_flow_stats(series: DataFrame, locations: DataFrame) -> DataFrame:
-    """As ``multi_point_flow_stats`` for a table of locations of any size, read by a semi join.
+    """As ``multi_point_flow_stats`` for a table of locations of any size.
 
-    The series is reduced to one row per coordinate before the join, so a coordinate
-    with very many rows moves as one row per task. The squared deviations of the pool are
-    those of its points plus ``n * (mean - pooled mean)**2``.
+    A semi join keeps the rows of the places asked, then one aggregate merges counts, means and squared
+    deviations of all tasks, so the series is read once. The places come out wider than the series has
+    them: both sides are then shuffled for this join alone, if at all, and adaptive execution
+    may split a coordinate with very many rows.
     """
     flow = F.col("CAUDAL")
     asked = locations.agg(F.count(F.lit(1)).cast("int").alias("puntos_consultados"))
-    places = locations.select("UTM_NORTE", "UTM_ESTE").distinct()
-    each = series.filter(flow.isNotNull()).groupBy("UTM_NORTE", "UTM_ESTE").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(flow).alias("suma"), F.min(flow).alias("minimo"),
-        F.max(flow).alias("maximo"), (F.var_pop(flow) * F.count(flow)).alias("m2"),
-    ).join(places, ["UTM_NORTE", "UTM_ESTE"], "left_semi")
-    mean = each.agg(F.try_divide(F.sum("suma"), F.sum("n"))).scalar()
-    apart = F.col("suma") / F.col("n") - mean
-    pooled = each.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_registros_con_caudal"),
-        F.try_divide(F.sum("suma"), F.sum("n")).alias("caudal_promedio"),
-        F.min("minimo").alias("caudal_minimo"), F.max("maximo").alias("caudal_maximo"),
-        F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2"),
-    ).withColumn("desviacion_estandar_caudal", F.when(
-        F.col("total_registros_con_caudal") > 1, F.sqrt(F.col("m2") / (F.col("total_registros_con_caudal") - 1))))
+    places = locations.select("UTM_NORTE", "UTM_ESTE").distinct().select(
+        F.col("UTM_NORTE").cast("long").alias("norte"), F.col("UTM_ESTE").cast("long").alias("este"))
+    on = [F.col("UTM_NORTE").cast("long") == F.col("norte"), F.col("UTM_ESTE").cast("long") == F.col("este")]
+    pooled = series.filter(flow.isNotNull()).join(places, on, "left_semi").agg(
+        F.count(F.lit(1)).alias("total_registros_con_caudal"),
+        F.avg(flow).alias("caudal_promedio"),
+        F.min(flow).alias("caudal_minimo"),
+        F.max(flow).alias("caudal_maximo"),
+        F.stddev_samp(flow).alias("desviacion_estandar_caudal"),
+    )
     return pooled.select(
         asked.scalar().alias("puntos_consultados"), "total_registros_con_caudal",
         *(round_or_null_if_zero(F.col(c)).alias(c) for c in (

@@ -9,6 +9,8 @@ points, not the number of reports.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from acequia import schema as S
@@ -22,13 +24,14 @@ def point_rollup(fact: DataFrame) -> DataFrame:
     flow = F.col("CAUDAL")
     stated = F.col("TIPO_DERECHO").isNotNull()
     return (
-        fact.select(*named(S.POINT_KEYS), flow, "NATURALEZA", *S.RIGHTS)
+        fact.select(*named(S.POINT_KEYS), flow, "NATURALEZA", "FECHA_MEDICION", *S.RIGHTS)
         .groupBy(*S.POINT_KEYS.values())
         .agg(
             F.avg(flow).alias("caudal_promedio"),
             F.min(flow).alias("caudal_minimo"),
             F.max(flow).alias("caudal_maximo"),
             F.count("*").alias("n_mediciones"),
+            F.count("FECHA_MEDICION").alias("n_fecha"),
             F.count(flow).alias("n_caudal"),
             F.sum(flow).alias("caudal_suma"),
             (F.var_pop(flow) * F.count(flow)).alias("caudal_m2"),
@@ -41,6 +44,20 @@ def point_rollup(fact: DataFrame) -> DataFrame:
     )
 
 
+def fact_figures(rollup: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of the fact and, for each of its columns that the rollup knows, how many rows have a value:
+    one row with ``filas`` and the columns. Sums of counts equal a scan of the fact."""
+    n = F.col("n_mediciones")
+    known = {c.lower() for c in S.POINT_KEYS.values()}
+
+    def filled(c: str):
+        if c.lower() in known:
+            return F.sum(F.when(F.col(c).isNotNull(), n).otherwise(0))
+        return F.sum({"fecha_medicion": "n_fecha", "caudal": "n_caudal"}[c.lower()])
+    return rollup.agg(F.coalesce(F.sum(n), F.lit(0)).alias("filas"),
+                      *(F.coalesce(filled(c), F.lit(0)).alias(c) for c in columns))
+
+
 def points(rollup: DataFrame) -> DataFrame:
     """Point catalog: one row per combination of the twenty attributes.
 

@@ -9,13 +9,14 @@ from collections.abc import Callable
 from hashlib import sha256
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from acequia import schema as S
 from acequia.operators import basins, builds, checks, points, reporters, request_log, rights, rollup, updates
 from acequia.operators.filters import PointFilter
 from acequia.plans.warehouse import Source, Warehouse, basin_stats
+from acequia.sources.fact import StoredFact
 from acequia.sources.sample import sample_fact
 from acequia.sources.tables import read_csv, read_table, shared_folder, write_csv, write_table
 
@@ -24,7 +25,7 @@ Query = Callable[[Warehouse, str], DataFrame]
 _POINT = (6000000, 300000)
 _warehouses: dict[str, Warehouse] = {}
 _own_folder: list[str] = []
-_lock = threading.Lock()
+_lock = threading.RLock()
 
 
 def sample_root(spark: SparkSession) -> str:
@@ -62,7 +63,8 @@ def warehouse(spark: SparkSession, folder: str) -> Warehouse:
 
 
 # Queries whose doubles are stored or largest values, not sums or means.
-EXACT = {"fact_scan", "build_measurements", "scan_measurements", "measurements_sample", "rights_per_point"}
+EXACT = {"fact_scan", "build_measurements", "scan_measurements", "merged_measurements",
+         "measurements_sample", "rights_per_point"}
 
 
 def presented(df: DataFrame, exact: bool) -> DataFrame:
@@ -83,7 +85,7 @@ def _build(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _stored(name: str) -> Query:
-    return lambda w, _: w.table(name).drop("ANIO")
+    return lambda w, _: w.table(name).drop(*S.SERIES_STATE)
 
 
 def _read(f: Callable[[Warehouse], DataFrame]) -> Query:
@@ -129,19 +131,78 @@ def _points_without_rights(w: Warehouse) -> DataFrame:
     return updates.with_missing_columns(w.table("puntos_mapa").drop(*S.RIGHTS), S.POINT_RIGHT_TYPES)
 
 
+def _once(name: str, make: Callable[[Warehouse, str], Warehouse]) -> Callable[[Warehouse, str], Warehouse]:
+    """A further warehouse under a root of its own, made once for each warehouse of samples."""
+    def made(w: Warehouse, folder: str) -> Warehouse:
+        root = f"{w.root}/{name}"
+        with _lock:
+            if root not in _warehouses:
+                _warehouses[root] = make(w, root)
+            return _warehouses[root]
+    return made
+
+
+def _with_rights_updated(w: Warehouse, root: str) -> Warehouse:
+    """Points and basins are stored without rights, then updated."""
+    old = Warehouse(w.spark, None, root)
+    old.publish({
+        "rollup_puntos": w.table("rollup_puntos"),
+        "puntos_mapa": w.table("puntos_mapa").drop(*S.RIGHTS),
+        "cuenca_stats": w.table("cuenca_stats").drop(*S.BASIN_RIGHTS),
+    })
+    old.update_rights()
+    return old
+
+
+def _with_one_basin_updated(w: Warehouse, root: str) -> Warehouse:
+    """Points and basins whose rights are all NULL, then updated in one basin."""
+    old = Warehouse(w.spark, None, root)
+    old.publish({
+        "rollup_puntos": w.table("rollup_puntos"),
+        "puntos_mapa": w.table("puntos_mapa").withColumns(
+            {c: F.lit(None).cast(t) for c, t in S.POINT_RIGHT_TYPES.items()}),
+        "cuenca_stats": w.table("cuenca_stats").withColumns(
+            {c: F.lit(None).cast(t) for c, t in S.BASIN_RIGHT_TYPES.items()}),
+    })
+    old.update_rights(cod_cuenca=115)
+    return old
+
+
+def _arrives_late() -> Column:
+    """Reports of the last months, and some of another year or without a date."""
+    date = F.col("FECHA_MEDICION")
+    recent = F.coalesce(date >= F.lit("1998-07-01").cast("timestamp_ntz"), F.lit(False))
+    return recent | (F.coalesce(F.col("CAUDAL") > 49, F.lit(False)) & F.coalesce(F.year(date) == 1997, F.lit(True)))
+
+
+def _with_new_files(w: Warehouse, root: str) -> Warehouse:
+    """A fact of stored files, refreshed, to which later reports are added in a second file and merged."""
+    late, path = _arrives_late(), f"{root}/hechos"
+    w.fact.where(~late).write.mode("overwrite").parquet(path)
+    found = Warehouse(w.spark, StoredFact(w.spark, path), f"{root}/tablas")
+    found.refresh()
+    w.fact.where(late).write.mode("append").parquet(path)
+    found.refresh_new()
+    return found
+
+
+_updated_warehouse = _once("derechos", _with_rights_updated)
+_basin_warehouse = _once("derechos_cuenca", _with_one_basin_updated)
+_delta_warehouse = _once("incremental", _with_new_files)
+
+
 def _updated(table: str) -> Query:
-    """Publish points and basins without rights under a root of their own, update them there, and read
-    the stored result."""
-    def run(w: Warehouse, _: str) -> DataFrame:
-        old = Warehouse(w.spark, None, f"{w.root}/sin_derechos/{uuid.uuid4().hex}")
-        old.publish({
-            "rollup_puntos": w.table("rollup_puntos"),
-            "puntos_mapa": w.table("puntos_mapa").drop(*S.RIGHTS),
-            "cuenca_stats": w.table("cuenca_stats").drop(*S.BASIN_RIGHTS),
-        })
-        old.update_rights()
-        return Warehouse.open(w.spark, old.root).table(table)
-    return run
+    """The stored result of an update of rights."""
+    return lambda w, folder: _updated_warehouse(w, folder).table(table)
+
+
+def _updated_basin(table: str) -> Query:
+    return lambda w, folder: _basin_warehouse(w, folder).table(table)
+
+
+def _merged(read: Callable[[Warehouse], DataFrame]) -> Query:
+    """A read after new files were merged into stored tables."""
+    return lambda w, folder: read(_delta_warehouse(w, folder))
 
 
 def _pooled_locations(w: Warehouse, folder: str) -> DataFrame:
@@ -165,14 +226,10 @@ def _valid_locations_range(w: Warehouse, folder: str) -> DataFrame:
 
 
 def _column_coverage(w: Warehouse, _: str) -> DataFrame:
-    tables = {"Puntos_Mapa": w.table("puntos_mapa"), "Series_Tiempo": w.table("series_tiempo"),
-              "Mediciones_full": w.fact}
-    first, *rest = (checks.column_coverage(t, n, S.EXPECTED_COLUMNS[n]) for n, t in tables.items())
-    rest.append(checks.column_coverage(
-        tables["Puntos_Mapa"].drop("APR"), "Puntos_Mapa_sin_APR", ("UTM_Norte", "APR")))
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    """The stored figures, and those of a catalog that lacks a column."""
+    without = w.table("puntos_mapa").drop("APR")
+    return w.column_coverage().unionByName(
+        checks.column_coverage(without, "Puntos_Mapa_sin_APR", ("UTM_Norte", "APR")))
 
 
 def _request_log(w: Warehouse, folder: str) -> DataFrame:
@@ -199,6 +256,8 @@ QUERIES: dict[str, Query] = {
     "points_add_rights_columns": _read(_points_without_rights),
     "points_rights_update": _updated("puntos_mapa"),
     "basin_rights_update": _updated("cuenca_stats"),
+    "points_rights_update_basin": _updated_basin("puntos_mapa"),
+    "basin_rights_update_basin": _updated_basin("cuenca_stats"),
     "csv_roundtrip": _csv_roundtrip,
     "create_once": _create_once,
     # Builds from the fact.
@@ -227,6 +286,17 @@ QUERIES: dict[str, Query] = {
     "scan_daily_series": _stored("series_tiempo"),
     "scan_basin_stats": _stored("cuenca_stats"),
     "scan_filter_stats": _stored("filtros_reactivos_stats"),
+    # The same tables after new reports were merged in.
+    "merged_measurements": _merged(lambda w: w.table("datos")),
+    "merged_basin_catalog": _merged(lambda w: w.table("cuencas_regiones")),
+    "merged_reporters": _merged(lambda w: w.table("informante")),
+    "merged_points": _merged(lambda w: w.table("puntos_mapa")),
+    "merged_daily_series": _merged(lambda w: w.table("series_tiempo").drop(*S.SERIES_STATE)),
+    "merged_basin_stats": _merged(lambda w: w.table("cuenca_stats")),
+    "merged_filter_stats": _merged(lambda w: w.table("filtros_reactivos_stats")),
+    "merged_series_sector_flow": _merged(lambda w: w.area_series("shac", "caudal", "121")),
+    "merged_series_point_flow": _merged(lambda w: w.point_series("caudal", *_POINT)),
+    "merged_fact_row_count": _merged(Warehouse.record_count),
     # Points.
     "points_count": _read(Warehouse.count_points),
     "points_count_filtered": _read(lambda w: w.count_points(PointFilter(
@@ -321,7 +391,7 @@ QUERIES: dict[str, Query] = {
         ("COD_SECTOR_SHA", "SECTOR_SHA", "APR", "ID_JUNTA", "CANAL_TRANSMISION"),
         any_of=("COD_SECTOR_SHA", "APR"), n=5)),
     "measurements_sample": _read(lambda w: points.first_rows(w.table("datos"), 1)),
-    "series_sample": _read(lambda w: points.first_rows(w.table("series_tiempo").drop("ANIO"), 2)),
+    "series_sample": _read(lambda w: points.first_rows(w.table("series_tiempo").drop(*S.SERIES_STATE), 2)),
     "point_coverage": _read(lambda w: checks.point_coverage(
         w.table("puntos_mapa"), w.table("datos"), w.table("series_tiempo"), "tor 1")),
     "sectors_with_data": _read(lambda w: checks.sectors_with_data(

@@ -39,6 +39,9 @@ BASIN_CODES = ("COD_CUENCA", "COD_SUBCUENCA", "COD_SUBSUBCUENCA")
 
 # The measured quantities of the daily series.
 LEVELS = ("CAUDAL", "ALTURA_LIMNIMETRICA", "NIVEL_FREATICO")
+LEVEL_COUNTS = {c: f"n_{c}" for c in LEVELS}
+#: Columns of the stored daily series that its published form does not have.
+SERIES_STATE = ("ANIO", *LEVEL_COUNTS.values())
 
 # Source column -> name in the stored table.
 BASIN_PATH_NAMES = {

@@ -15,6 +15,33 @@ def read_fact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.FACT).parquet(path)
 
 
+class StoredFact:
+    """Reports in the Parquet files of one folder, to which files are added."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self) -> DataFrame:
+        return read_fact(self.spark, self.path)
+
+    def read_files(self, names: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(S.FACT).parquet(*(f"{self.path}/{n}" for n in names))
+
+    def files(self) -> set[tuple[str, int, int]]:
+        """Name below the folder, size and time of each file that a scan would read."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        base = files.makeQualified(folder).toString().rstrip("/") + "/"
+        found, left = set(), files.listFiles(folder, True)
+        while left.hasNext():
+            status = left.next()
+            name = status.getPath().toString().removeprefix(base)
+            if not any(part.startswith(("_", ".")) for part in name.split("/")):
+                found.add((name, status.getLen(), status.getModificationTime()))
+        return found
+
+
 def read_fact_jdbc(
     spark: SparkSession,
     url: str,

@@ -283,6 +283,30 @@ _RIGHTS_PER_BASIN = with_tables(
 _RIGHTS_PER_COORD = with_tables(
     f"SELECT UTM_NORTE, UTM_ESTE, TIPO_DERECHO, {r6(*AMOUNTS)} FROM derechos_coordenada", "derechos_coordenada")
 
+def _points_updated(which: str) -> str:
+    """Points whose rights were NULL, after an update of some of them."""
+    return with_tables(f"""
+SELECT {", ".join(f"p.{c} AS {c}" for c in POINT_KEYS)},
+       {", ".join(f"round(p.{c}, 6) AS {c}" for c in FLOWS)}, p.n_mediciones AS n_mediciones,
+       p.es_pozo_subterraneo AS es_pozo_subterraneo, d.TIPO_DERECHO AS TIPO_DERECHO,
+       {", ".join(f"round(d.{c}, 6) AS {c}" for c in AMOUNTS)}
+FROM puntos_mapa p LEFT JOIN derechos_coordenada d
+  ON p.UTM_Norte = d.UTM_NORTE AND p.UTM_Este = d.UTM_ESTE AND {which}
+""", "puntos_mapa", "derechos_coordenada")
+
+
+def _basins_updated(which: str) -> str:
+    return with_tables(f"""
+SELECT {", ".join(f"c.{n} AS {n}" for n in PATH)}, c.Cod_Region AS Cod_Region,
+       {", ".join(f"round(c.{n}, 6) AS {n}" for n in FLOWS)},
+       c.total_puntos_unicos AS total_puntos_unicos, c.total_mediciones AS total_mediciones,
+       d.puntos_con_derechos AS puntos_con_derechos, {", ".join(f"round(d.{n}, 6) AS {n}" for n in SUMS)}
+FROM cuenca_stats c LEFT JOIN derechos_cuenca d
+  ON c.Cod_Cuenca = d.COD_CUENCA AND c.Cod_Subcuenca = d.COD_SUBCUENCA
+ AND c.Cod_Subsubcuenca = d.COD_SUBSUBCUENCA AND c.Cod_Region = d.REGION AND {which}
+""", "cuenca_stats", "derechos_cuenca")
+
+
 _WELL_115 = "Cod_Cuenca = 115 AND es_pozo_subterraneo AND codigo LIKE '%OB-%' AND APR = 0"
 
 
@@ -296,22 +320,10 @@ SELECT * REPLACE ({text("FECHA_MEDICION")}) FROM mf""", "mf"),
         "points_add_rights_columns": with_tables(f"""
 SELECT {_POINT_ROW}, {", ".join(f"cast(NULL AS {t}) AS {c}" for c, t in _RIGHT_TYPES.items())}
 FROM puntos_mapa""", "puntos_mapa"),
-        "points_rights_update": with_tables(f"""
-SELECT {", ".join(f"p.{c} AS {c}" for c in POINT_KEYS)},
-       {", ".join(f"round(p.{c}, 6) AS {c}" for c in FLOWS)}, p.n_mediciones AS n_mediciones,
-       p.es_pozo_subterraneo AS es_pozo_subterraneo, d.TIPO_DERECHO AS TIPO_DERECHO,
-       {", ".join(f"round(d.{c}, 6) AS {c}" for c in AMOUNTS)}
-FROM puntos_mapa p LEFT JOIN derechos_coordenada d ON p.UTM_Norte = d.UTM_NORTE AND p.UTM_Este = d.UTM_ESTE
-""", "puntos_mapa", "derechos_coordenada"),
-        "basin_rights_update": with_tables(f"""
-SELECT {", ".join(f"c.{n} AS {n}" for n in PATH)}, c.Cod_Region AS Cod_Region,
-       {", ".join(f"round(c.{n}, 6) AS {n}" for n in FLOWS)},
-       c.total_puntos_unicos AS total_puntos_unicos, c.total_mediciones AS total_mediciones,
-       d.puntos_con_derechos AS puntos_con_derechos, {", ".join(f"round(d.{n}, 6) AS {n}" for n in SUMS)}
-FROM cuenca_stats c LEFT JOIN derechos_cuenca d
-  ON c.Cod_Cuenca = d.COD_CUENCA AND c.Cod_Subcuenca = d.COD_SUBCUENCA
- AND c.Cod_Subsubcuenca = d.COD_SUBSUBCUENCA AND c.Cod_Region = d.REGION
-""", "cuenca_stats", "derechos_cuenca"),
+        "points_rights_update": _points_updated("true"),
+        "basin_rights_update": _basins_updated("true"),
+        "points_rights_update_basin": _points_updated("p.Cod_Cuenca = 115"),
+        "basin_rights_update_basin": _basins_updated("c.Cod_Cuenca = 115"),
         "csv_roundtrip": list_reporters(limit=None),
         "create_once": _TABLE_TEXT["cuencas_regiones"],
 
@@ -517,4 +529,17 @@ ORDER BY CASE nivel WHEN 'global' THEN 1 WHEN 'cuenca' THEN 2 ELSE 3 END, {nulls
         "series_point_gauge_count": point_series_count("altura_linimetrica", 6000000, 300000),
         "series_point_table_count": point_series_count("nivel_freatico", 6000000, 300000),
     })
+    merged = {
+        "merged_measurements": "scan_measurements",
+        "merged_basin_catalog": "scan_basin_catalog",
+        "merged_reporters": "scan_reporters",
+        "merged_points": "scan_points",
+        "merged_daily_series": "scan_daily_series",
+        "merged_basin_stats": "scan_basin_stats",
+        "merged_filter_stats": "scan_filter_stats",
+        "merged_series_sector_flow": "series_sector_flow",
+        "merged_series_point_flow": "series_point_flow",
+        "merged_fact_row_count": "fact_row_count",
+    }
+    sql.update({key: sql[same] for key, same in merged.items()})
     return sql
