@@ -24,6 +24,11 @@ def contains_text(column: Column, text: str) -> Column:
     return F.like(column, F.lit(f"%{text}%"), F.lit(_NO_ESCAPE))
 
 
+def is_plain_text(text: str) -> bool:
+    """Whether a searched text has no wildcard, so that it is found letter by letter."""
+    return not any(c in text for c in "%_[")
+
+
 def _wildcards_to_regex(text: str) -> str:
     """Java regular expression of a LIKE text that holds character classes."""
     out, i = [], 0

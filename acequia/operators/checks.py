@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from acequia.functions import contains_text
 from acequia.operators.points import first_rows
+from acequia.operators.text_index import rows_with
 
 
 def column_coverage(table: DataFrame, name: str, expected: Sequence[str]) -> DataFrame:
@@ -54,10 +55,14 @@ def _rows_per_coord(table: DataFrame, name: str) -> DataFrame:
 
 
 def point_coverage(
-    points: DataFrame, measurements: DataFrame, series: DataFrame, sector_text: str
+    points: DataFrame, measurements: DataFrame, series: DataFrame, sector_text: str, index: DataFrame | None = None
 ) -> DataFrame:
     """Points whose sector name contains a text, with their rows in two tables."""
-    wanted = points.filter(contains_text(F.col("SECTOR_SHA"), sector_text)).select(
+    if index is None:
+        named = points.filter(contains_text(F.col("SECTOR_SHA"), sector_text))
+    else:
+        named = rows_with(points, index, "SECTOR_SHA", sector_text)
+    wanted = named.select(
         F.col("UTM_Norte").alias("utm_norte"), F.col("UTM_Este").alias("utm_este")
     ).distinct()
     out = wanted

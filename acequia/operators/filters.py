@@ -82,7 +82,8 @@ class PointFilter:
     apr: bool | None = None
     id_junta: float | None = None
 
-    def conditions(self) -> list[Column]:
+    def conditions(self, code: bool = True) -> list[Column]:
+        """All given conditions, or all but that on the code."""
         found = equal_to({
             "Region": self.region,
             "Cod_Cuenca": self.cod_cuenca,
@@ -99,7 +100,7 @@ class PointFilter:
             found.append(F.col("caudal_promedio") >= F.lit(self.caudal_minimo))
         if self.caudal_maximo is not None:
             found.append(F.col("caudal_promedio") <= F.lit(self.caudal_maximo))
-        if self.codigo_obra is not None:
+        if code and self.codigo_obra is not None:
             found.append(contains_text(F.col("codigo"), self.codigo_obra))
         return found
 

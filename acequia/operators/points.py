@@ -11,6 +11,7 @@ from acequia.functions import (
     date_text, false_if_null, lon_lat, round_half_even, round_or_null_if_zero, zero_if_null,
 )
 from acequia.operators.filters import PointFilter, coordinate_is, where
+from acequia.operators.text_index import rows_with
 
 
 def first_rows(df: DataFrame, n: int | None) -> DataFrame:
@@ -20,10 +21,19 @@ def first_rows(df: DataFrame, n: int | None) -> DataFrame:
     return df.orderBy(*(F.col(c).asc_nulls_first() for c in df.columns)).limit(n)
 
 
-def count_points(points: DataFrame, filters: PointFilter = PointFilter()) -> DataFrame:
+def filtered(points: DataFrame, filters: PointFilter, index: DataFrame | None) -> DataFrame:
+    """Catalog rows under the filters; with an index of texts, a code is searched there."""
+    if index is None or filters.codigo_obra is None:
+        return where(points, filters.conditions())
+    return rows_with(where(points, filters.conditions(code=False)), index, "codigo", filters.codigo_obra)
+
+
+def count_points(
+    points: DataFrame, filters: PointFilter = PointFilter(), index: DataFrame | None = None
+) -> DataFrame:
     """Catalog rows under the filters, with the filters echoed. Rows without coordinates count."""
     return (
-        where(points, filters.conditions())
+        filtered(points, filters, index)
         .agg(F.count("*").alias("total_puntos_unicos"))
         .select("total_puntos_unicos", *filters.echo())
     )
@@ -33,10 +43,11 @@ def list_points(
     points: DataFrame,
     filters: PointFilter = PointFilter(),
     limit: int | None = S.DEFAULT_POINT_LIMIT,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Located points under the filters, at most ``limit`` of them."""
-    located = [F.col("UTM_Norte").isNotNull(), F.col("UTM_Este").isNotNull()]
-    found = where(points, [*located, *filters.conditions()]).select(
+    located = points.where(F.col("UTM_Norte").isNotNull() & F.col("UTM_Este").isNotNull())
+    found = filtered(located, filters, index).select(
         F.col("UTM_Norte").alias("utm_norte"),
         F.col("UTM_Este").alias("utm_este"),
         F.col("Huso").alias("huso"),

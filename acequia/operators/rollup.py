@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from acequia import schema as S
-from acequia.functions import coordinate
+from acequia.operators.bitmaps import PATH, with_distinct_points
 from acequia.operators.builds import named
 
 _STATED = {c: f"con_derecho_{c}" for c in S.RIGHT_AMOUNTS}
@@ -102,16 +102,11 @@ def _pooled_flows(rollup: DataFrame, keys: list[str], *extra) -> DataFrame:
     )
 
 
-def basin_flows(rollup: DataFrame) -> DataFrame:
-    keys = ["Cod_Cuenca", "Nom_Cuenca", "Cod_Subcuenca", "Nom_Subcuenca",
-            "Cod_Subsubcuenca", "Nom_Subsubcuenca", "Region"]
-    pooled = _pooled_flows(
-        rollup, keys,
-        F.count_distinct(coordinate()).alias("total_puntos_unicos"),
-        F.sum("n_mediciones").alias("total_mediciones"),
-    )
-    return pooled.withColumnRenamed("Region", "Cod_Region").select(
-        *keys[:6], "Cod_Region",
+def basin_flows(rollup: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Flow statistics of basin paths; ``bitmaps`` (see ``operators.bitmaps``) count their points."""
+    pooled = _pooled_flows(rollup, list(PATH), F.sum("n_mediciones").alias("total_mediciones"))
+    return with_distinct_points(pooled, bitmaps, PATH).withColumnRenamed("Region", "Cod_Region").select(
+        *PATH[:6], "Cod_Region",
         "caudal_promedio", "caudal_minimo", "caudal_maximo", "caudal_desviacion_estandar",
         "total_puntos_unicos", "total_mediciones",
     )

@@ -296,6 +296,8 @@ QUERIES: dict[str, Query] = {
     "merged_filter_stats": _merged(lambda w: w.table("filtros_reactivos_stats")),
     "merged_series_sector_flow": _merged(lambda w: w.area_series("shac", "caudal", "121")),
     "merged_series_point_flow": _merged(lambda w: w.point_series("caudal", *_POINT)),
+    "merged_points_by_level": _merged(Warehouse.points_by_level),
+    "merged_points_text": _merged(lambda w: w.list_points(PointFilter(codigo_obra="B-1"), limit=None)),
     "merged_fact_row_count": _merged(Warehouse.record_count),
     # Points.
     "points_count": _read(Warehouse.count_points),
@@ -308,6 +310,8 @@ QUERIES: dict[str, Query] = {
     "points_list": _read(lambda w: w.list_points(PointFilter(
         cod_cuenca=115, pozo=True, codigo_obra="OB-", apr=False))),
     "points_list_default": _read(Warehouse.list_points),
+    "points_list_text": _read(lambda w: w.list_points(PointFilter(codigo_obra="B-1"), limit=None)),
+    "points_count_text": _read(lambda w: w.count_points(PointFilter(codigo_obra="-2-1"))),
     "points_list_class": _read(lambda w: w.list_points(PointFilter(codigo_obra="OB-[1-3]_-[^0]"), limit=None)),
     "points_list_wildcard": _read(lambda w: w.list_points(PointFilter(codigo_obra="OB-_1-"), limit=None)),
     "point_info": _read(lambda w: w.point_info(*_POINT)),
@@ -332,6 +336,7 @@ QUERIES: dict[str, Query] = {
     "basin_stats_path": _read(lambda w: w.basin_stats(
         cod_cuenca=115, cod_subcuenca=11500, cod_subsubcuenca=115000)),
     "basin_stats_global": _read(lambda w: w.basin_stats(include_global=True)),
+    "points_by_level": _read(Warehouse.points_by_level),
     # The first rows of ordered reads.
     "basin_list_first": _first(5, Warehouse.basins),
     "basin_stats_first": _first(7, Warehouse.basin_stats),
@@ -392,8 +397,7 @@ QUERIES: dict[str, Query] = {
         any_of=("COD_SECTOR_SHA", "APR"), n=5)),
     "measurements_sample": _read(lambda w: points.first_rows(w.table("datos"), 1)),
     "series_sample": _read(lambda w: points.first_rows(w.table("series_tiempo").drop(*S.SERIES_STATE), 2)),
-    "point_coverage": _read(lambda w: checks.point_coverage(
-        w.table("puntos_mapa"), w.table("datos"), w.table("series_tiempo"), "tor 1")),
+    "point_coverage": _read(lambda w: w.points_in_sectors("tor 1")),
     "sectors_with_data": _read(lambda w: checks.sectors_with_data(
         w.table("puntos_mapa"), w.table("series_tiempo"))),
     "latency_by_endpoint": _log(request_log.latency_by_endpoint),

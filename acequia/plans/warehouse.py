@@ -22,7 +22,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acequia import schema as S
-from acequia.operators import basins, builds, checks, cube, merges, points, reporters, rights, rollup, series, updates
+from acequia.operators import (
+    basins, bitmaps, builds, checks, cube, merges, points, reporters, rights, rollup, series, text_index, updates,
+)
 from acequia.operators.filters import PointFilter, equal_to, where
 from acequia.sources.fact import StoredFact
 from acequia.sources.log import Conflict, VersionLog
@@ -67,7 +69,23 @@ class StoredTable:
 def basin_stats(source: Source) -> DataFrame:
     points_ = source.table("rollup_puntos")
     sums = builds.rights_per_basin(rollup.rights_per_point(points_))
-    return builds.with_basin_rights(rollup.basin_flows(points_), sums)
+    return builds.with_basin_rights(rollup.basin_flows(points_, source.table("puntos_bitmap")), sums)
+
+
+def _numbers(source: Source) -> DataFrame:
+    found = bitmaps.places(source.table("rollup_puntos"))
+    if not source.stores:
+        return bitmaps.numbered_in_one_task(found)
+    return bitmaps.numbered(source.kept(bitmaps.ordered(found), "lugares"))
+
+
+def _more_numbers(source: Source) -> Change:
+    """Numbers of new points follow those of the known ones, which keep theirs."""
+    known = source.stored("puntos_numero")
+    new = bitmaps.places(source.table("rollup_puntos")).join(known, "punto", "left_anti")
+    last = known.agg(F.max("numero")).first()[0]
+    start = 0 if last is None else last + 1
+    return Change(bitmaps.numbered(source.kept(bitmaps.ordered(new), "lugares"), start), False)
 
 
 def _daily(source: Source) -> DataFrame:
@@ -127,6 +145,11 @@ TABLES: dict[str, StoredTable] = {
         lambda s: rollup.point_rollup(s.fact),
         extend=_merged("rollup_puntos", merges.merge_rollups, rollup.point_rollup),
     ),
+    "puntos_numero": StoredTable(_numbers, reads=("rollup_puntos",), extend=_more_numbers),
+    "puntos_bitmap": StoredTable(
+        lambda s: bitmaps.path_bitmaps(s.table("rollup_puntos"), s.table("puntos_numero")),
+        reads=("rollup_puntos", "puntos_numero"), cluster_by=("Cod_Cuenca",), sort_by=("Cod_Cuenca", "Cod_Subcuenca"),
+    ),
     "datos": StoredTable(
         lambda s: builds.measurements(s.fact), range_by=("UTM_Norte", "UTM_Este", "Fecha_Medicion"),
         extend=_new_measurements,
@@ -143,6 +166,11 @@ TABLES: dict[str, StoredTable] = {
         near_by=("UTM_Norte", "UTM_Este"), range_by=("Cod_Cuenca", "codigo"),
         options={"parquet.page.row.count.limit": "1000", "parquet.block.size": str(16 << 20)},
     ),
+    "textos_puntos": StoredTable(
+        lambda s: text_index.postings(s.table("puntos_mapa"), ("codigo", "SECTOR_SHA")), reads=("puntos_mapa",),
+        cluster_by=("columna", "trigrama"), sort_by=("columna", "trigrama"),
+        options={"parquet.page.row.count.limit": "1000"},
+    ),
     "series_tiempo": StoredTable(
         _daily,
         partition_by=("ANIO",),
@@ -165,10 +193,10 @@ TABLES: dict[str, StoredTable] = {
         lambda s: _coverage(s, s.table("series_tiempo")), reads=("series_tiempo",),
         extend=_of_years("cobertura_series", _coverage),
     ),
-    "cuenca_stats": StoredTable(basin_stats, reads=("rollup_puntos",)),
+    "cuenca_stats": StoredTable(basin_stats, reads=("rollup_puntos", "puntos_bitmap")),
     "filtros_reactivos_stats": StoredTable(
-        lambda s: builds.filter_stats(rollup.flow_range_per_point(s.table("rollup_puntos"))),
-        reads=("rollup_puntos",),
+        lambda s: bitmaps.filter_stats(s.table("rollup_puntos"), s.table("puntos_bitmap")),
+        reads=("rollup_puntos", "puntos_bitmap"),
     ),
 }
 
@@ -195,12 +223,18 @@ class Source:
         self._warehouse, self._fact, self._folder = warehouse, fact, folder
         self.built: dict[str, DataFrame] = {}
         self.reads: set[str] = set()
+        self.temporary: list[str] = []
         self.years: list[int | None] = []
 
     @property
     def fact(self) -> DataFrame:
         return self._warehouse.fact if self._fact is None else self._fact
 
+    @property
+    def stores(self) -> bool:
+        """Whether steps can be written, or all is one plan."""
+        return self._warehouse.root is not None
+
     def stored(self, name: str) -> DataFrame:
         self.reads.add(name)
         return self._warehouse.table(name)
@@ -211,6 +245,7 @@ class Source:
     def kept(self, df: DataFrame, label: str) -> DataFrame:
         """Rows that several steps of a change use, as a table in the folder of the change."""
         path = f"{self._warehouse.root}/{self._folder}/{label}"
+        self.temporary.append(f"{self._folder}/{label}")
         write_table(df, path, mode="errorifexists")
         return self._warehouse.spark.read.schema(df.schema).parquet(path)
 
@@ -419,7 +454,10 @@ class Warehouse:
                     extra["fact"] = f"{folder}/archivos"
                     self.spark.createDataFrame(sorted(files), "nombre string, bytes long, fecha long").write.parquet(
                         f"{self.root}/{extra['fact']}")
-                if self._put(base, entries, source.reads, extra):
+                done = self._put(base, entries, source.reads, extra)
+                for step in source.temporary:
+                    self.log.delete(step)
+                if done:
                     return seconds
             raise Conflict(f"{sorted(source.reads)} under {self.root} kept changing")
 
@@ -467,12 +505,25 @@ class Warehouse:
     # -- Reads -------------------------------------------------------------------
 
     def count_points(self, filters: PointFilter = PointFilter()) -> DataFrame:
-        return points.count_points(self.table("puntos_mapa"), filters)
+        return points.count_points(self.table("puntos_mapa"), filters, self._texts(filters.codigo_obra))
 
     def list_points(
         self, filters: PointFilter = PointFilter(), limit: int | None = S.DEFAULT_POINT_LIMIT
     ) -> DataFrame:
-        return points.list_points(self.table("puntos_mapa"), filters, limit)
+        return points.list_points(self.table("puntos_mapa"), filters, limit, self._texts(filters.codigo_obra))
+
+    def _texts(self, searched: str | None) -> DataFrame | None:
+        """The index of texts, where it is stored and something is searched."""
+        return self.table("textos_puntos") if self.root is not None and searched is not None else None
+
+    def points_in_sectors(self, sector_text: str) -> DataFrame:
+        """Points whose sector name contains a text, with their rows in measurements and series."""
+        return checks.point_coverage(self.table("puntos_mapa"), self.table("datos"), self.table("series_tiempo"),
+                                     sector_text, self._texts(sector_text))
+
+    def points_by_level(self) -> DataFrame:
+        """Distinct points of every region and basin at every level."""
+        return bitmaps.points_by_level(self.table("puntos_bitmap"))
 
     def point_info(self, norte: int, este: int) -> DataFrame:
         return points.point_info(self.table("puntos_mapa"), norte, este)

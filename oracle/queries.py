@@ -72,6 +72,16 @@ SELECT * FROM (
  FROM puntos_mapa WHERE UTM_Norte IS NOT NULL AND UTM_Este IS NOT NULL AND {where}) {top}""", "puntos_mapa")
 
 
+def points_by_level() -> str:
+    levels = {"region": ["REGION"], "cuenca": ["COD_CUENCA"], "subcuenca": ["COD_CUENCA", "COD_SUBCUENCA"],
+              "subsubcuenca": ["COD_CUENCA", "COD_SUBCUENCA", "COD_SUBSUBCUENCA"], "total": []}
+    columns = ["REGION", "COD_CUENCA", "COD_SUBCUENCA", "COD_SUBSUBCUENCA"]
+    return with_tables(" UNION ALL ".join(f"""
+SELECT '{level}' AS nivel, {", ".join(f"{c if c in keys else 'cast(NULL AS int)'} AS {c.lower()}" for c in columns)},
+       count(DISTINCT concat(UTM_NORTE, '-', UTM_ESTE)) AS total_puntos_unicos
+FROM mf {"GROUP BY " + ", ".join(f"mf.{k}" for k in keys) if keys else ""}""" for level, keys in levels.items()), "mf")
+
+
 def point_info(norte: int, este: int) -> str:
     out = ("utm_norte", "utm_este", "huso", "es_pozo_subterraneo", "codigo", "cod_cuenca", "cod_subcuenca",
            "cod_subsubcuenca", "nombre_cuenca", "nombre_subcuenca", "nombre_subsubcuenca", "caudal_promedio",
@@ -371,6 +381,9 @@ SELECT * FROM derechos_punto""", "derechos_punto"),
             cod_subcuenca=11500, cod_subsubcuenca=115000, apr=True),
         "points_list": list_points(_WELL_115),
         "points_list_default": list_points(),
+        "points_list_text": list_points("codigo LIKE '%B-1%'", None),
+        "points_count_text": count_points("codigo LIKE '%-2-1%'", codigo_obra="-2-1"),
+        "points_by_level": points_by_level(),
         "points_list_class": list_points("regexp_matches(codigo, 'OB-[1-3].-[^0]')", None),
         "points_list_wildcard": list_points("codigo LIKE '%OB-_1-%'", None),
         "point_info": point_info(6000000, 300000),
@@ -539,6 +552,8 @@ ORDER BY CASE nivel WHEN 'global' THEN 1 WHEN 'cuenca' THEN 2 ELSE 3 END, {nulls
         "merged_filter_stats": "scan_filter_stats",
         "merged_series_sector_flow": "series_sector_flow",
         "merged_series_point_flow": "series_point_flow",
+        "merged_points_by_level": "points_by_level",
+        "merged_points_text": "points_list_text",
         "merged_fact_row_count": "fact_row_count",
     }
     sql.update({key: sql[same] for key, same in merged.items()})

@@ -6,11 +6,16 @@ from statistics import stdev
 import pytest
 
 from acequia import Warehouse, schema as S
-from acequia.operators import builds, rollup, updates
+from acequia.operators import bitmaps, builds, rollup, updates
 from acequia.plans.warehouse import Source, basin_stats
 from facts import dicts, fact
 
 
+def basin_flows(points):
+    numbers = bitmaps.numbered_in_one_task(bitmaps.places(points))
+    return rollup.basin_flows(points, bitmaps.path_bitmaps(points, numbers))
+
+
 def right(kind, volume, january=1.0):
     return {"TIPO_DERECHO": kind, "VOLUMEN_ANUAL": volume, **{c: january for c in S.MONTHLY_FLOWS}}
 
@@ -87,7 +92,7 @@ def test_pooled_deviation_is_accurate(spark, offset):
     f = fact(spark, *({"CAUDAL": None if x is None else x + offset, "CODIGO": f"OB-{i % 3}"}
                       for i, x in enumerate(flows)),
              {"CODIGO": "OB-9", "COD_CUENCA": None, "CAUDAL": 3.0}, {"CODIGO": "OB-8", "REGION": 2})
-    pooled = {(r["Cod_Cuenca"], r["Cod_Region"]): r for r in dicts(rollup.basin_flows(rollup.point_rollup(f)))}
+    pooled = {(r["Cod_Cuenca"], r["Cod_Region"]): r for r in dicts(basin_flows(rollup.point_rollup(f)))}
     got = pooled[101, 1]
     assert got["caudal_desviacion_estandar"] == pytest.approx(stdev(flows[:5]), rel=1e-12)
     assert (got["caudal_promedio"], got["caudal_minimo"], got["caudal_maximo"]) == (

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from acequia import Warehouse, schema as S
-from acequia.operators import checks, cube
+from acequia.functions import contains_text
+from acequia.operators import checks, cube, text_index
+from acequia.operators.filters import PointFilter
 from acequia.operators.points import row_count
 from acequia.operators.series import METRICS, area_series
 from acequia.plans.warehouse import MAX_PARTS, TABLES
@@ -179,8 +181,13 @@ def test_merging_new_files_equals_a_full_rebuild(spark, tmp_path):
         fresh = Warehouse(spark, StoredFact(spark, path), str(tmp_path / f"nuevas{len(watched.asked)}"))
         fresh.refresh()
         opened = Warehouse.open(spark, w.root)
-        for name in TABLES:
+        for name in set(TABLES) - {"puntos_numero", "puntos_bitmap"}:  # new points have other numbers
             assert rows(opened.table(name)) == rows(fresh.table(name)), name
+        assert rows(opened.points_by_level()) == rows(fresh.points_by_level())
+        numbers = sorted(r.numero for r in opened.table("puntos_numero").collect())
+        assert numbers == list(range(len(numbers)))
+    w.clean(grace=0)  # the list of merged files stays
+    assert w.refresh_new() == {}
     assert any(len(e["parts"]) > 1 for e in w.log.latest()[1]["tables"].values())
 
 
@@ -264,6 +271,7 @@ def test_an_update_of_one_basin_writes_its_files_only(spark, tmp_path):
     w.update_rights(cod_cuenca=107)
     assert w.table("puntos_mapa").count() == 400
     assert {r.Cod_Cuenca for r in w.table("puntos_mapa").where("VOLUMEN_ANUAL IS NOT NULL").collect()} == {107, 108}
+    w.clean(grace=0)
     w.update_rights()
     assert len(w.log.latest()[1]["tables"]["puntos_mapa"]["parts"]) == 1
     assert w.table("puntos_mapa").where("VOLUMEN_ANUAL IS NULL").count() == 0
@@ -322,3 +330,44 @@ def test_figures_of_an_empty_fact_are_zero(spark, tmp_path):
     assert w.record_count().first()[0] == 0
     assert {r["no_nulos"] for r in dicts(w.column_coverage())} == {0}
     assert w.area_series("shac", "caudal", "1").count() == 0
+
+
+# -- Texts and bits ---------------------------------------------------------------------------
+
+
+def test_texts_are_found_through_the_index_as_by_a_scan(spark, tmp_path):
+    codes = ["OB-1", "ob-1", "OB-12", "ñandú-1", "aaaa", "aa", "", None, "a%b", "a_b-c", "x[1]y", "日本語です", "OB"]
+    w = Warehouse(spark, fact(spark, *({"CODIGO": c, "SECTOR_SHA": c} for c in codes)), str(tmp_path))
+    w.refresh()
+    points = w.table("puntos_mapa")
+    for text in ("OB-1", "OB-", "B-12", "aaa", "aa", "", "%", "a_b", "x[1]", "[0-9]", "本語で", "nada", "ñan", "aaaaa"):
+        for column in ("codigo", "SECTOR_SHA"):
+            found = text_index.rows_with(points, w.table("textos_puntos"), column, text)
+            assert rows(found) == rows(points.where(contains_text(F.col(column), text))), text
+        indexed = "textos_puntos" in w.list_points(PointFilter(codigo_obra=text))._jdf.queryExecution().executedPlan().toString()
+        assert indexed == (len(text) >= 3 and not set(text) & set("%_["))
+
+
+def test_a_text_search_reads_its_postings_only(random_store):
+    text = random_store.list_points(PointFilter(codigo_obra="B-1"))._jdf.queryExecution().executedPlan().toString()
+    assert "In(trigrama" in text or "EqualTo(trigrama,B-1)" in text
+    assert "LeftSemi" in text and "EqualTo(columna,codigo)" in text
+
+
+def test_points_are_counted_by_bits(spark, tmp_path):
+    many = [{"UTM_NORTE": i if i % 7 else None, "UTM_ESTE": i % 11, "COD_CUENCA": 100 + i % 3, "NOM_CUENCA": f"c{i % 2}", "COD_SUBCUENCA": i % 4 or None,
+             "REGION": i % 5} for i in range(700)]
+    w = Warehouse(spark, fact(spark, *many), str(tmp_path))
+    w.refresh()
+    got = {(r["nivel"], r["region"], r["cod_cuenca"], r["cod_subcuenca"]): r["total_puntos_unicos"]
+           for r in dicts(w.points_by_level()) if r["nivel"] != "subsubcuenca"}
+    places = {}
+    for r in many:
+        c, s, g = r["COD_CUENCA"], r["COD_SUBCUENCA"], r["REGION"]
+        for key in (("total", None, None, None), ("region", g, None, None), ("cuenca", None, c, None), ("subcuenca", None, c, s)):
+            places.setdefault(key, set()).add((r["UTM_NORTE"], r["UTM_ESTE"]))
+    assert got == {k: len(v) for k, v in places.items()}
+    names = {r["nom_cuenca"]: r["total_puntos"] for r in dicts(w.table("filtros_reactivos_stats")) if r["nivel"] == "cuenca"}
+    assert names == {f"c{n}": len({(r["UTM_NORTE"], r["UTM_ESTE"]) for r in many if r["NOM_CUENCA"] == f"c{n}"}) for n in (0, 1)}
+    for df in (w.points_by_level(), w.basin_stats()):
+        assert "distinct" not in df._jdf.queryExecution().executedPlan().toString()
