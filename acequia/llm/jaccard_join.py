@@ -10,8 +10,13 @@ is above d, and exact intersections decide the rest.
 
 Equal sets are one node. In each group that shares a band, nodes are compared with a
 representative, first within a task and then among tasks, so large groups of near copies
-cost one comparison a member. What remains in different components of a group is then
-compared pair by pair; thus no link between components is missed.
+cost one comparison a member. Groups whose nodes are still in different components are cut into
+small lots anew in each of a few rounds; the nodes of a lot meet, and links that are found merge
+components. What is then left outside a group's largest component is compared with the whole
+group, so no link between components is missed.
+
+Before sets are compared, sketches with bits in proportion to the set discard most pairs that
+the narrow one lets through; only the sets of the rest are read again.
 """
 
 from __future__ import annotations
@@ -24,12 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from acequia.llm.components import components
+from acequia.llm.components import components, relabelled
 from acequia.llm.shared import saved
 from acequia.llm.words import Prefix, lists, mix, slices, windows
 
 #: Bits of the narrow sketch.
 BITS = 1024
+#: Nodes of a group that meet in one round, and the number of rounds.
+LOT, ROUNDS = 16, 3
+#: Nodes of a group's largest component that one task compares with the rest.
+SHARE = 4096
 #: Sizes of one level are within this ratio.
 RATIO = 1.35
 
@@ -134,9 +143,47 @@ def _sketch(doc, hashes, n):
     return np.packbits((count & 1).astype(np.uint8).reshape(n, BITS), axis=1) if n else np.zeros((0, BITS // 8), np.uint8)
 
 
-def sketched(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """One row per document: ``doc_id``, ``size`` and ``node`` of its set, narrow ``sketch``, and the
-    ``keys`` of its bands (once for equal sets that lie near each other)."""
+def wide_sketches(doc: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of two to four bits for each shingle, a power of two: 64-bit words of each text, and
+    all words. A sketch folds into one of half its bits."""
+    words = np.where(sizes > 0, 2 ** np.ceil(np.log2(np.maximum(2 * sizes, 64) / 64)).astype(np.int64), 0)
+    first = np.cumsum(words) - words
+    bit = (mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) & (words[doc] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    count = np.bincount(first[doc] * 64 + bit, minlength=int(words.sum()) * 64)
+    return words, np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Hamming distance of two wide sketches; the longer one is folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
+def sketched(docs: DataFrame, n: int) -> DataFrame:
+    """One row per document: ``doc_id``, ``size`` and ``node`` of its set, narrow ``sketch``."""
+
+    def run(batches):
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                doc, hashes = shingles(s, n)
+                sizes, prints = nodes(doc, hashes, s.n)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").slice(s.rows[0], s.n),
+                    "size": pa.array(sizes.astype(np.int64)),
+                    "node": pa.array(prints.view(np.int64)),
+                    "sketch": lists(np.full(s.n, BITS // 64), pa.array(_sketch(doc, hashes, s.n).reshape(-1).view(np.int64))),
+                })
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, node long, sketch array<long>")
+
+
+def banded(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``node`` and the ``keys`` of its bands, once for equal sets that lie near each other. The keys take
+    more room than the texts' hashes, so they are made anew where they are read instead of stored."""
 
     def run(batches):
         levels = Levels(percent, 1 << 12)
@@ -150,16 +197,11 @@ def sketched(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 first[np.unique(prints, return_index=True)[1]] = True
                 d, keys = band_keys(doc, hashes, sizes, levels, percent, first)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(s.rows[0], s.n),
-                    "size": pa.array(sizes.astype(np.int64)),
                     "node": pa.array(prints.view(np.int64)),
-                    "sketch": lists(np.full(s.n, BITS // 64), pa.array(_sketch(doc, hashes, s.n).reshape(-1).view(np.int64))),
                     "keys": lists(np.bincount(d, minlength=s.n), pa.array(keys.view(np.int64))),
                 })
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, size long, node long, sketch array<long>, keys array<long>")
+    return docs.select("text").mapInArrow(run, "node long, keys array<long>")
 
 
 def _by_key(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,10 +250,9 @@ def _far(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key, leads, node)], ["key", "a", "b"])
 
 
-def shared_bands(rows: DataFrame) -> DataFrame:
+def shared_bands(keyed: DataFrame) -> DataFrame:
     """(key, a, b): nodes that share a band, each with a representative of its group. A group's rows
     are first joined within each task, which sends on one row a key, so no group floods a task."""
-    keyed = rows.select("node", "keys")
     near = keyed.mapInArrow(_near, "key long, a long, b long")
     lead = keyed.mapInArrow(_leaders, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
     return saved(near.unionByName(lead.mapInArrow(_far, "key long, a long, b long")), "bands")
@@ -225,10 +266,10 @@ def _may_link(percent: int, a: str, b: str) -> Column:
 
 
 class _Verifier:
-    """Exact comparison of pairs of nodes; sets are read again for the wanted nodes only."""
+    """Exact comparison of pairs of nodes; texts are read again for the wanted nodes only."""
 
     def __init__(self, docs: DataFrame, rows: DataFrame, members: DataFrame, n: int, percent: int):
-        self.percent = percent
+        self.docs, self.n, self.percent = docs, n, percent
         ends = members.select("a").union(members.select("b")).distinct()
         first = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch"), F.min("size").alias("size"))
         self.known = saved(ends.join(first, F.col("a") == F.col("node")).select("node", "first_id", "sketch", "size"), "nodes")
@@ -238,13 +279,22 @@ class _Verifier:
                 for s in slices(batch.column("text")):
                     doc, hashes = shingles(s, n)
                     sizes, prints = nodes(doc, hashes, s.n)
+                    words, wide = wide_sketches(doc, hashes, sizes)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(prints.view(np.int64)), lists(sizes, pa.array(hashes.view(np.int64)))], ["node", "items"])
+                        [pa.array(prints.view(np.int64)), pa.array(sizes.astype(np.int64)), lists(words, pa.array(wide))],
+                        ["node", "size", "wide"])
+
+        wide = self._texts(self.known).mapInArrow(run, "node long, size long, wide array<long>")
+        self.wide = saved(self._of(wide, self.known), "wide")
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        ids = wanted.select("first_id").distinct().hint("shuffle_hash")
+        texts = self.docs.select("doc_id", "text")
+        return texts.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
 
-        wanted = self.known.select("first_id").distinct().hint("shuffle_hash")
-        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-        sets = texts.select("text").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
-        self.sets = saved(sets.join(self.known.select("node"), "node", "left_semi"), "sets")
+    def _of(self, read: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows that were read for wanted nodes, once each: rows that repeat a doc_id may have other texts."""
+        return read.dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and narrow sketches allow a link."""
@@ -252,13 +302,46 @@ class _Verifier:
         joined = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
         return joined.where(_may_link(self.percent, "x", "y")).select("a", "b")
 
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose wide sketches allow a link."""
+        percent = self.percent
+
+        def run(batches):
+            for batch in batches:
+                size = batch.column("xs").to_numpy() + batch.column("ys").to_numpy()
+                sketches = [(c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column("xw"), batch.column("yw"))]
+                (x, xo), (y, yo) = sketches
+                apart = np.array([_apart(x[xo[i] : xo[i + 1]], y[yo[i] : yo[i + 1]]) for i in range(batch.num_rows)], np.int64)
+                fits = pa.array(apart * (100 + percent) <= (100 - percent) * size)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(fits) for c in ("a", "b")], ["a", "b"])
+
+        x, y = (self.wide.select(F.col("node").alias(c), F.col("size").alias(f"{d}s"), F.col("wide").alias(f"{d}w"))
+                for c, d in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked."""
-        x = self.sets.select(F.col("node").alias("a"), F.col("items").alias("xa"))
-        y = self.sets.select(F.col("node").alias("b"), F.col("items").alias("xb"))
+        n = self.n
+        pairs = saved(self.close(pairs), "close")
+        if pairs.isEmpty():
+            return pairs
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = saved(self.known.join(ends, "node", "left_semi").select("node", "first_id"), "wanted")
+
+        def run(batches):
+            for batch in batches:
+                for s in slices(batch.column("text")):
+                    doc, hashes = shingles(s, n)
+                    sizes, prints = nodes(doc, hashes, s.n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(prints.view(np.int64)), lists(sizes, pa.array(hashes.view(np.int64)))], ["node", "items"])
+
+        sets = saved(self._of(self._texts(wanted).mapInArrow(run, "node long, items array<long>"), wanted), "sets")
+        x = sets.select(F.col("node").alias("a"), F.col("items").alias("xa"))
+        y = sets.select(F.col("node").alias("b"), F.col("items").alias("xb"))
         both = F.size(F.array_intersect("xa", "xb"))
         union = F.size("xa") + F.size("xb") - both
-        return pairs.join(x, "a").join(y, "b").where(100 * both >= self.percent * union).select("a", "b")
+        return saved(pairs.join(x, "a").join(y, "b").where(100 * both >= self.percent * union).select("a", "b"), "pairs")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
@@ -269,34 +352,58 @@ def _labelled(rows: DataFrame, labels: DataFrame, columns: list[str]) -> DataFra
     return rows
 
 
+def _meetings(ends: DataFrame, round_: int) -> tuple[Column, DataFrame, DataFrame]:
+    """Condition and two sides of a join in which nodes (``x``, ``label``) of a group (``key`` of ``n``
+    members) meet. In the first rounds they meet in lots, a small group in one lot; then all nodes meet
+    those outside their group's largest component, dealt over tasks."""
+    if round_ < ROUNDS:
+        lots = F.ceil(F.col("n") / LOT).cast("long")
+        lot = F.when(lots > 1, F.pmod(F.xxhash64("x", "key", F.lit(round_)), lots)).otherwise(F.lit(0).cast("long"))
+        dealt = ends.withColumn("lot", lot)
+        return F.col("l.label") < F.col("r.label"), dealt.alias("l"), dealt.alias("r")
+    counts = ends.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = counts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("most"))
+    known = ends.join(largest, "key")
+    parts = F.ceil(F.col("n") / SHARE).cast("long")
+    outside = known.where("label <> most").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    every = known.withColumn("lot", F.pmod(F.xxhash64("x", "key"), parts))
+    once = (F.col("r.label") == F.col("r.most")) | (F.col("l.label") < F.col("r.label"))
+    return once & (F.col("l.label") != F.col("r.label")), outside.alias("l"), every.alias("r")
+
+
 def linked_nodes(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """``node`` and ``label`` of all nodes that have links."""
-    members = shared_bands(rows)
+    members = shared_bands(banded(docs, n, percent))
     verify = _Verifier(docs, rows, members, n, percent)
     # Each node with its smallest representative.
     first = saved(members.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links = saved(verify.links(verify.near(first)), "pairs")
-    labels = components(links)
+    labels = components(verify.links(verify.near(first)))
     # The other representatives, where that leaves two components.
     stars = _labelled(members.select("a", "b").distinct(), labels, ["a", "b"]).where(F.col("a_label") != F.col("b_label"))
-    stars = saved(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), "pairs")
-    more = saved(verify.links(verify.near(stars)), "pairs")
-    links = links.unionByName(more)
-    labels = components(links) if more.limit(1).count() else labels
-    # Groups whose nodes are still in different components: all pairs across components. The join
-    # itself compares sizes and sketches, so of near misses hardly any pair is ever a row.
+    stars = saved(verify.near(stars.select("a", "b").join(first, ["a", "b"], "left_anti")), "pairs")
+    labels = relabelled(labels, verify.links(stars))
+    # Groups whose nodes are still in different components.
+    tested = first.unionByName(stars)
     ends = members.select("key", F.col("a").alias("x")).union(members.select("key", F.col("b").alias("x"))).distinct()
-    sizes = verify.known.select(F.col("node").alias("x"), "size", "sketch")
-    ends = saved(_labelled(ends, labels, ["x"]), "ends")
-    mixed = ends.groupBy("key").agg(F.min("x_label").alias("low"), F.max("x_label").alias("high")).where("low < high").select("key")
-    ends = saved(ends.join(mixed, "key", "left_semi").join(sizes, "x"), "mixed-ends")
-    l, r = ends.alias("l"), ends.alias("r")
-    cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.x_label") < F.col("r.x_label"))
-                   & _may_link(percent, "l", "r"))
-    cross = cross.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b")).distinct()
-    cross = cross.join(first.unionByName(stars), ["a", "b"], "left_anti")
-    last = saved(verify.links(cross), "pairs")
-    return components(links.unionByName(last)) if last.limit(1).count() else labels
+    looks = verify.known.select(F.col("node").alias("x"), "size", "sketch")
+    round_ = 0
+    while round_ <= ROUNDS:
+        ends = saved(_labelled(ends, labels, ["x"]).select("key", "x", F.col("x_label").alias("label")), "ends")
+        groups = ends.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+        ends = saved(ends.join(groups.where("low < high").select("key", "n"), "key"), "mixed-ends")
+        if ends.isEmpty():
+            break
+        apart, l, r = _meetings(ends.join(looks, "x"), round_)
+        met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.lot") == F.col("r.lot")) & apart & _may_link(percent, "l", "r"))
+        pairs = met.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b")).distinct()
+        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        links = verify.links(pairs)
+        labels = relabelled(labels, links)
+        ends = ends.where(F.col("n") > LOT).select("key", "x")  # in smaller groups, all have met
+        # A round without links means that lots find little: all that is left meets.
+        round_ = round_ + 1 if round_ >= ROUNDS or not links.isEmpty() else ROUNDS
+    return labels
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -310,7 +417,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     nothing. Repeated rows are all returned. An empty table gives no rows. There is no cap on
     partners, candidates or group sizes.
     """
-    rows = saved(sketched(docs, n, percent), "sketches")
+    rows = saved(sketched(docs, n), "sketches")
     labels = linked_nodes(docs, rows, n, percent)
     firsts = rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     firsts = _labelled(firsts, labels, ["node"])
