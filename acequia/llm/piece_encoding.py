@@ -9,8 +9,13 @@ A giant document is cut into chunks anywhere. What a chunk must know of its left
 neighbour is by how many characters the neighbour's last piece reaches into it, and
 this boundary state has as many values as a piece has characters. A chunk's transfer
 matrix holds the best score from each state at its start to each at its end. Matrices
-combine by max-plus products, which are associative; the best states at all boundaries
-follow, and every chunk is traced back on its own.
+combine by max-plus products, which are associative: neighbours are combined in groups, the
+products in groups again, and the best scores at each chunk's start follow downwards. With these, a
+chunk knows for each state at its end from which state at its start the cut comes. These maps are
+composed in the same tree from the right, and then every chunk is traced back on its own.
+
+Of cuts with equal scores, the one with the longest last piece is taken, then that with the longest
+before it, and so on. This rule holds across the edges of chunks, so ids do not depend on them.
 """
 
 from __future__ import annotations
@@ -18,7 +23,6 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +39,16 @@ SPACE = "▁"
 #: Stands for a low line of the text itself, which must not turn into a space. No text holds it.
 _OWN_LINE = "\udc81"
 NEVER = -(1 << 50)
-#: No piece goes on from a character that is no space to a space.
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Units that a task remembers, as objects (of giant documents) and in arrays.
-REMEMBERED, REMEMBERED_BY_HASH = 100_000, 1_200_000
+#: Units that a task remembers by hash.
+REMEMBERED = 500_000
+#: Chunks, or products of chunks, that one task combines at a time.
+FAN = 64
+#: Units up to so many characters are cut together, and so many characters at once.
+SHORT, TOGETHER = 48, 200_000
+_LINE, _OWN_BYTES = SPACE.encode(), b"\xff\x80\x80"
+
+
+_SLOT_BITS = 18
 
 
 @dataclass
@@ -51,6 +61,22 @@ class Vocabulary:
     output: list[bytes]
     #: Lengths of the pieces that have each beginning of three characters.
     lengths: dict[str, tuple[int, ...]]
+    #: Pieces by the hash of their bytes: table of places, then hash, score and id of each place.
+    slots: np.ndarray
+    hashes: np.ndarray
+    by_place: np.ndarray
+    id_by_place: np.ndarray
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of the piece with each hash, -1 where there is none."""
+        at = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        found = self.slots[at]
+        open_ = np.flatnonzero((found >= 0) & (self.hashes[found] != hashes))
+        while len(open_):  # slots that another piece took: look in the next one
+            at[open_] = (at[open_] + 1) & ((1 << _SLOT_BITS) - 1)
+            found[open_] = self.slots[at[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.hashes[found[open_]] != hashes[open_])]
+        return found
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -75,8 +101,26 @@ def vocabulary(path: str) -> Vocabulary:
     for piece in ids:
         if len(piece) > 2:
             lengths.setdefault(piece[:3], set()).add(len(piece))
-    return Vocabulary(scores, ids, max(map(len, ids)), byte_ids, -round(1000 * (math.log(size) + 5)), output,
-                      {k: tuple(sorted(n)) for k, n in lengths.items()})
+    return with_places(Vocabulary(
+        scores, ids, max(map(len, ids)), byte_ids, -round(1000 * (math.log(size) + 5)), output,
+        {k: tuple(sorted(n)) for k, n in lengths.items()}, *(np.zeros(0, np.int64),) * 4))
+
+
+def with_places(v: Vocabulary) -> Vocabulary:
+    """Fill the table of pieces by hash."""
+    pieces = list(v.ids)
+    raw = [p.encode() for p in pieces]
+    ends = np.cumsum([len(x) for x in raw])
+    v.hashes = Prefix(byte_values(np.frombuffer(b"".join(raw), np.uint8))).of(ends - [len(x) for x in raw], ends)
+    v.by_place = np.array([v.scores[p] for p in pieces], np.int64)
+    v.id_by_place = np.array([v.ids[p] for p in pieces], np.int64)
+    v.slots = np.full(1 << _SLOT_BITS, -1, np.int64)
+    for place, h in enumerate(v.hashes.tolist()):
+        at = h >> (64 - _SLOT_BITS)
+        while v.slots[at] >= 0:
+            at = (at + 1) & ((1 << _SLOT_BITS) - 1)
+        v.slots[at] = place
+    return v
 
 
 def prepared(text: str | None) -> str:
@@ -130,33 +174,72 @@ def best_cut(v: Vocabulary, text: str) -> tuple[int, list[str]]:
     return best[n], pieces[::-1]
 
 
-class UnitEncoder:
-    """Encodes texts unit by unit (spaces and what follows up to the next); every distinct unit is cut once."""
-
-    def __init__(self, path: str):
-        self.v, self.known = vocabulary(path), {}
-
-    def unit(self, text: str) -> tuple[int, np.ndarray]:
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            score, pieces = best_cut(self.v, text)
-            found = self.known[text] = score, np.array([i for p in pieces for i in _ids(self.v, p)], np.uint32)
-        return found
-
-    def encode(self, text: str) -> tuple[int, np.ndarray]:
-        units = [self.unit(u) for u in _UNIT.findall(text)]
-        if not units:
-            return 0, np.zeros(0, np.uint32)
-        return sum(u[0] for u in units), np.concatenate([u[1] for u in units])
-
-
-class SliceEncoder(UnitEncoder):
-    """Encodes the texts of a slice together; units are found and known by hash."""
+def best_cuts(v: Vocabulary, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, numbers of ids and all ids of units given as marked bytes, cut together: one step of all
+    units at a time, with the rule of ``best_cut`` for equal scores."""
+    m, buf = len(units), np.frombuffer(b"".join(units), np.uint8)
+    byte_end = np.cumsum(np.fromiter(map(len, units), np.int64, m))
+    char_at = np.flatnonzero((buf & 0xC0) != 0x80)
+    n = len(char_at)
+    bounds = np.append(char_at, len(buf))
+    end = np.searchsorted(char_at, byte_end)
+    first = np.append(0, end[:-1])
+    size = end - first
+    stop = np.repeat(end, size)  # where the unit of each character ends
+    prefix = Prefix(byte_values(buf))
+    k = min(v.longest, int(size.max()))
+    score = np.full((k + 1, n), NEVER, np.int64)
+    piece = np.full((k + 1, n), -1, np.int64)
+    for length in range(1, k + 1):
+        at = np.flatnonzero(np.arange(n) + length <= stop)
+        found = v.places(prefix.of(bounds[at], bounds[at + length]))
+        at, found = at[found >= 0], found[found >= 0]
+        score[length, at], piece[length, at] = v.by_place[found], found
+    alone = np.flatnonzero(piece[1] < 0)
+    score[1, alone] = v.byte_score * (bounds[alone + 1] - bounds[alone])
+
+    # Places of a unit are its characters and its end, one more than it has characters.
+    base = first + np.arange(m)
+    best, back = np.full(n + m, NEVER, np.int64), np.zeros(n + m, np.int64)
+    best[base] = 0
+    order = np.argsort(-size, kind="stable")
+    by_size = -size[order]
+    for r in range(int(size.max())):
+        live = order[: np.searchsorted(by_size, -r, "left")]  # units of more than r characters
+        here, char = best[base[live] + r], first[live] + r
+        for length in range(1, min(k, int(size[order[0]]) - r) + 1):
+            total = here + score[length, char]
+            to = np.minimum(base[live] + r + length, n + m - 1)
+            better = (score[length, char] > NEVER) & (total > best[to])
+            best[to[better]], back[to[better]] = total[better], length
+    scores = best[base + size]
+
+    taken = np.zeros(n, np.int64)  # length of the piece that begins at a character
+    at, unit = size.copy(), np.arange(m)
+    while len(unit):
+        length = back[base[unit] + at]
+        at = at - length
+        taken[first[unit] + at] = length
+        unit, at = unit[at > 0], at[at > 0]
+    begins = np.flatnonzero(taken)
+    known = piece[taken[begins], begins]
+    wide = np.where(known >= 0, 1, bounds[begins + 1] - bounds[begins])
+    where = np.cumsum(wide) - wide
+    ids = np.zeros(int(wide.sum()), np.uint32)
+    ids[where[known >= 0]] = v.id_by_place[known[known >= 0]]
+    for i in np.flatnonzero(known < 0):
+        raw = buf[bounds[begins[i]] : bounds[begins[i] + 1]].tobytes()
+        ids[where[i] : where[i] + wide[i]] = [v.byte_ids[b] for b in (_LINE if raw == _OWN_BYTES else raw)]
+    counts = np.bincount(np.searchsorted(end, begins, "right"), wide, m).astype(np.int64)
+    return scores, counts, ids
+
+
+class SliceEncoder:
+    """Encodes the texts of a slice together, unit by unit (spaces and what follows up to the next); units
+    are found and known by hash, and every one that is not yet known is cut once."""
 
     def __init__(self, path: str):
-        super().__init__(path)
+        self.v = vocabulary(path)
         self._forget()
 
     def _forget(self):
@@ -164,8 +247,33 @@ class SliceEncoder(UnitEncoder):
         self.start, self.size, self.score = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = np.zeros(0, np.uint32)
 
-    def encode_slice(self, s) -> tuple[list[bytes], np.ndarray]:
-        """Ids (as bytes) and score of each text."""
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        """Cut new units, given as plain bytes, in ascending order of their hashes."""
+        marked_ = [u.replace(_LINE, _OWN_BYTES).replace(b" ", _LINE) for u in units]
+        score, size, ids = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [np.zeros(0, np.uint32)] * len(units)
+        lot, held = [], 0
+        for i, unit in enumerate([*marked_, None]):
+            if lot and (unit is None or held + len(unit) > TOGETHER):
+                score[lot], size[lot], flat = best_cuts(self.v, [marked_[j] for j in lot])
+                for j, x in zip(lot, np.split(flat, np.cumsum(size[lot])[:-1]), strict=True):
+                    ids[j] = x
+                lot, held = [], 0
+            if unit is not None and len(unit) <= SHORT:
+                lot.append(i)
+                held += len(unit)
+            elif unit is not None:
+                score[i], pieces = best_cut(self.v, marked(units[i].decode()))
+                ids[i] = np.array([x for p in pieces for x in _ids(self.v, p)], np.uint32)
+                size[i] = len(ids[i])
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, *ids])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.start, self.size, self.score = (np.insert(a, at, b) for a, b in (
+            (self.hashes, hashes), (self.start, start), (self.size, size), (self.score, score)))
+
+    def encode_slice(self, s, in_front: bool = True) -> tuple[list[bytes], np.ndarray]:
+        """Ids (as bytes) and score of each text, which has a space put in front unless it is the
+        middle of one."""
         buf, n = s.buf, len(s.buf)
         begins = np.zeros(n + 1, bool)
         begins[1:n] = (buf[1:] == 32) & (buf[:-1] != 32)
@@ -174,29 +282,21 @@ class SliceEncoder(UnitEncoder):
         first = np.flatnonzero(begins[:n])
         last = np.append(first[1:], n) if len(first) else first
         lead = np.zeros(n + 1, bool)
-        lead[heads] = True
+        lead[heads] = in_front
         lead = lead[first]  # a text's first unit has the space that is put before it
         doc = np.searchsorted(s.at, first, "right") - 1
         hashes = Prefix(byte_values(buf)).of(first, last)
         hashes = np.where(lead, mix(hashes + np.uint64(0x2545F4914F6CDD1D)), hashes)
         kinds, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED_BY_HASH:
+        if len(self.hashes) > REMEMBERED:
             self._forget()
         known = np.zeros(len(kinds), bool)
         if len(self.hashes):
             known = self.hashes[np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)] == kinds
         if not known.all():
             new, raw = one[~known], buf.tobytes()
-            cuts = [best_cut(self.v, marked((" " if h else "") + raw[a:b].decode())) for a, b, h in zip(
-                first[new].tolist(), last[new].tolist(), lead[new].tolist(), strict=True)]
-            ids = [[i for p in pieces for i in _ids(self.v, p)] for _, pieces in cuts]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-            score = np.array([c[0] for c in cuts], np.int64)
-            at = np.searchsorted(self.hashes, kinds[~known])
-            self.hashes, self.start, self.size, self.score = (np.insert(a, at, b) for a, b in (
-                (self.hashes, kinds[~known]), (self.start, start), (self.size, size), (self.score, score)))
+            self._learn(kinds[~known], [(b" " if h else b"") + raw[a:b] for a, b, h in zip(
+                first[new].tolist(), last[new].tolist(), lead[new].tolist(), strict=True)])
         found = np.searchsorted(self.hashes, kinds)[inverse]
         size = self.size[found]
         ends = np.cumsum(size)
@@ -205,6 +305,14 @@ class SliceEncoder(UnitEncoder):
         texts = [ids[a:b] for a, b in zip(np.append(0, stop[:-1]).tolist(), stop.tolist(), strict=True)]
         return texts, np.bincount(doc, self.score[found], s.n).astype(np.int64)
 
+    def encode(self, text: str) -> tuple[int, np.ndarray]:
+        """Score and ids of marked text between two places where a unit begins."""
+        if not text:
+            return 0, np.zeros(0, np.uint32)
+        (s,) = slices(pa.array([text.replace(SPACE, " ").replace(_OWN_LINE, SPACE)]))
+        (ids,), (score,) = self.encode_slice(s, in_front=False)
+        return int(score), np.frombuffer(ids, "<u4")
+
 
 def _edges(text: str, size: int) -> tuple[int, int]:
     """Where the first whole unit of a chunk begins and the last one ends; the chunk is the first
@@ -232,7 +340,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
 
 
-def transfer(encoder: UnitEncoder, text: str, size: int) -> np.ndarray:
+def transfer(encoder: SliceEncoder, text: str, size: int) -> np.ndarray:
     """Transfer matrix of a chunk: the first ``size`` characters of ``text``; what follows belongs to
     later chunks but may be in the chunk's last piece."""
     v, k = encoder.v, encoder.v.longest
@@ -248,30 +356,115 @@ def transfer(encoder: UnitEncoder, text: str, size: int) -> np.ndarray:
     return np.maximum(head[:, None] + middle + tail[None, :], NEVER)
 
 
-def trace(encoder: UnitEncoder, text: str, size: int, enter: int, leave: int) -> np.ndarray:
-    """Ids of the pieces that begin in a chunk, from state ``enter`` to state ``leave``."""
+def _traced(v: Vocabulary, text: str, start: np.ndarray, ends: list[int]) -> list[tuple[int, list[str]]]:
+    """For each place in ``ends``: the state at the start of ``text`` from which the best cut up to there
+    comes, and its pieces. ``start`` holds the best scores at the first places."""
+    n, top = len(start), max(ends)
+    best, back = [NEVER] * (top + 1), [0] * (top + 1)
+    best[: min(n, top + 1)] = [int(x) for x in start[: top + 1]]
+    # A place within the reach of the neighbour's last piece is reached by that piece or from before.
+    for i in range(top):
+        if best[i] <= NEVER // 2:
+            continue
+        for j in range(i + 1, min(i + v.longest, top) + 1):
+            found = _single(v, text[i]) if j == i + 1 else v.scores.get(text[i:j])
+            # The neighbour's piece began before the chunk: it is the longer one of equal cuts.
+            if found is not None and best[i] + found > best[j]:
+                best[j], back[j] = best[i] + found, j - i
+    found = []
+    for at in ends:
+        pieces = []
+        while back[at]:
+            pieces.append(text[at - back[at] : at])
+            at -= back[at]
+        found.append((at, pieces[::-1]))
+    return found
+
+
+def back_map(encoder: SliceEncoder, text: str, size: int, start: np.ndarray) -> list[int]:
+    """For each state at a chunk's end, the state at its start from which the best cut comes."""
+    k = encoder.v.longest
+    first, _ = _edges(text, size)
+    if first < size:  # a piece must begin there, whatever the end
+        return [_traced(encoder.v, text[:first], start, [first])[0][0]] * k
+    ends = [size + s for s in range(k) if size + s <= len(text)]
+    return ([at for at, _ in _traced(encoder.v, text, start, ends)] + [0] * k)[:k]
+
+
+def trace(encoder: SliceEncoder, text: str, size: int, start: np.ndarray, leave: int) -> np.ndarray:
+    """Ids of the pieces that begin in a chunk, on the best cut that ends it in state ``leave``."""
+    v = encoder.v
     first, last = _edges(text, size)
-    stop = size + leave
+
+    def ids(pieces: list[str]) -> np.ndarray:
+        return np.array([i for p in pieces for i in _ids(v, p)], np.uint32)
     if first == size:
-        return _cut_ids(encoder.v, text[enter:stop])
-    return np.concatenate([
-        _cut_ids(encoder.v, text[enter:first]), encoder.encode(text[first:last])[1], _cut_ids(encoder.v, text[last:stop])])
+        return ids(_traced(v, text, start, [size + leave])[0][1])
+    head = _traced(v, text[:first], start, [first])[0][1]
+    return np.concatenate([ids(head), encoder.encode(text[first:last])[1], ids(best_cut(v, text[last : size + leave])[1])])
+
+
+# -- Scans over the chunks of a document ------------------------------------------------
+
+
+def _matrix_product(matrices: list[bytes]) -> bytes:
+    found = None
+    for raw in matrices:
+        m = np.frombuffer(raw, np.int64)
+        m = m.reshape(math.isqrt(len(m)), -1)
+        found = m if found is None else product(found, m)
+    return found.tobytes()
 
 
-def _cut_ids(v: Vocabulary, text: str) -> np.ndarray:
-    return np.array([i for p in best_cut(v, text)[1] for i in _ids(v, p)], np.uint32)
+def _score_states(start: bytes, matrices: list[bytes]) -> list[bytes]:
+    """Best scores at the start of each chunk, from those at the start of the first."""
+    found = [start]
+    for raw in matrices[:-1]:
+        found.append(product(np.frombuffer(found[-1], np.int64)[None, :], np.frombuffer(raw, np.int64).reshape(-1, len(start) // 8))[0].tobytes())
+    return found
 
 
-def states(matrices: list[np.ndarray]) -> tuple[int, list[int]]:
-    """Best total score, and the state at every boundary of chunks, both ends included."""
-    k = len(matrices[0])
-    forward = [np.where(np.arange(k) == 0, 0, NEVER)[None, :].astype(np.int64)]
-    for m in matrices:
-        forward.append(product(forward[-1], m))
-    at = [0]  # no piece goes beyond the last chunk
-    for m, before in zip(reversed(matrices), reversed(forward[:-1]), strict=True):
-        at.append(int(np.argmax(before[0] + m[:, at[-1]])))
-    return int(forward[-1][0, 0]), at[::-1]
+def _map_product(maps: list[bytes]) -> bytes:
+    found = None
+    for raw in reversed(maps):
+        m = np.frombuffer(raw, np.int64)
+        found = m if found is None else m[found]
+    return found.tobytes()
+
+
+def _exit_states(leave: bytes, maps: list[bytes]) -> list[bytes]:
+    """State at the end of each chunk, from that at the end of the last."""
+    found = [leave]
+    for raw in maps[:0:-1]:
+        found.append(np.frombuffer(raw, np.int64)[np.frombuffer(found[-1], np.int64)].tobytes())
+    return found[::-1]
+
+
+def scanned(items: DataFrame, outside: bytes, combine, spread) -> DataFrame:
+    """``row``, ``chunk`` and ``state`` for a table of (row, chunk, item).
+
+    ``combine`` multiplies neighbouring items, which must be associative; ``spread`` gives the states of
+    neighbours from the one outside them. Up to ``FAN`` neighbours meet in a task; their products are
+    scanned first, in the same way, and hand the states down.
+    """
+    dealt = items.withColumn("lot", F.floor(F.col("chunk") / FAN).cast("long"))
+    above = items.where(F.col("chunk") >= FAN).limit(1)
+    if above.isEmpty():
+        dealt = dealt.withColumn("outside", F.lit(outside))
+    else:
+        def product_of(table: pa.Table) -> pa.Table:
+            table = table.sort_by("chunk")
+            whole = combine(table.column("item").to_pylist())
+            return pa.table({"row": table.column("row")[:1], "chunk": table.column("lot")[:1], "item": pa.array([whole], pa.binary())})
+        upper = saved(dealt.groupBy("row", "lot").applyInArrow(product_of, "row long, chunk long, item binary"), "products")
+        handed = scanned(upper, outside, combine, spread).select("row", F.col("chunk").alias("lot"), F.col("state").alias("outside"))
+        dealt = dealt.join(handed, ["row", "lot"])
+
+    def states(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        found = spread(table.column("outside")[0].as_py(), table.column("item").to_pylist())
+        return pa.table({"row": table.column("row"), "chunk": table.column("chunk"), "state": pa.array(found, pa.binary())})
+    return dealt.groupBy("row", "lot").applyInArrow(states, "row long, chunk long, state binary")
 
 
 def _first_pass(path: str, chunk: int):
@@ -309,61 +502,80 @@ def encode_pieces(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
 
     Reads ``doc_id`` and ``text``; other columns are ignored. Returns one row per row of ``docs``:
     ``doc_id``, ``ids`` (unsigned 32-bit little-endian), ``score`` (thousandths), ``n_chunks``. A null
-    or empty text has no ids and score 0. Repeated rows are encoded alike, an empty table gives no
-    rows. Of cuts with equal scores one is taken, the same in every run.
+    or empty text has no ids and score 0; a very long one is cut in chunks of ``chunk`` characters, which
+    does not change its ids. Repeated rows are encoded alike, an empty table gives no rows. Of cuts with
+    equal scores the one with the longest last piece is taken, and so on backwards.
     """
     kind = dict(docs.dtypes)["doc_id"]
     first = saved(docs.select("doc_id", "text").mapInArrow(
         _first_pass(model, chunk), f"doc_id {kind}, row long, chunk long, size long, part string, ids binary, score long"),
         "pieces", "zstd")
-    giant = first.where(F.col("part").isNotNull()).select("row", "chunk", "size", "part").repartition("row", "chunk")
+    heads = first.where(F.col("chunk") == 0).select("doc_id", "row", "ids", "score")
+    small = heads.where(F.col("ids").isNotNull()).select("doc_id", "ids", "score", F.lit(1).cast("long").alias("n_chunks"))
+    giant = first.where(F.col("part").isNotNull()).select("row", "chunk", "size", "part")
+    whole = _giant_documents(giant, model)
+    large = heads.where(F.col("ids").isNull()).select("doc_id", "row").join(whole, "row").select("doc_id", F.col("joined").alias("ids"), "score", "n_chunks")
+    return small.unionByName(large)
+
+
+def _giant_documents(giant: DataFrame, model: str) -> DataFrame:
+    """``row``, ``joined`` ids, ``score`` and ``n_chunks`` of documents in chunks (row, chunk, size, part)."""
+    giant = giant.repartition("row", "chunk")
+
+    def chunks(batch, *columns):
+        return zip(*([marked(t) for t in batch.column(c).to_pylist()] if c == "part" else batch.column(c).to_pylist() for c in columns), strict=True)
 
     def matrices(batches):
-        encoder = UnitEncoder(model)
+        encoder = SliceEncoder(model)
         for batch in batches:
-            found = [transfer(encoder, marked(t), n).tobytes() for t, n in zip(
-                batch.column("part").to_pylist(), batch.column("size").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], ["row", "chunk", "matrix"])
+            found = [transfer(encoder, t, n).tobytes() for t, n in chunks(batch, "part", "size")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], ["row", "chunk", "item"])
 
-    def combine(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        raw = [np.frombuffer(x, np.int64) for x in table.column("matrix").to_pylist()]
-        k = math.isqrt(len(raw[0]))
-        score, at = states([x.reshape(k, k) for x in raw])
-        return pa.table({
-            "row": table.column("row"), "chunk": table.column("chunk"),
-            "enter": pa.array(at[:-1], pa.int64()), "leave": pa.array(at[1:], pa.int64()),
-            "total": pa.array([score] * len(raw), pa.int64())})
+    def maps(batches):
+        encoder = SliceEncoder(model)
+        for batch in batches:
+            found = [np.array(back_map(encoder, t, n, np.frombuffer(x, np.int64)), np.int64).tobytes()
+                     for t, n, x in chunks(batch, "part", "size", "state")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], ["row", "chunk", "item"])
 
     def traced(batches):
-        encoder = UnitEncoder(model)
+        encoder = SliceEncoder(model)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("part", "size", "enter", "leave")]
-            ids = [trace(encoder, marked(x[0]), *x[1:]).astype("<u4").tobytes() for x in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("chunk"), batch.column("total"), pa.array(ids, pa.binary())],
-                ["row", "chunk", "total", "ids"])
-
-    # One document's matrices are small beside its text: a few kB for each chunk.
-    found = giant.mapInArrow(matrices, "row long, chunk long, matrix binary").groupBy("row").applyInArrow(
-        combine, "row long, chunk long, enter long, leave long, total long")
-    parts = giant.join(found, ["row", "chunk"]).select("row", "chunk", "part", "size", "enter", "leave", "total").mapInArrow(
-        traced, "row long, chunk long, total long, ids binary")
-    whole = parts.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"), F.first("total").alias("total"))
-    whole = whole.select(
-        "row", "total", F.expr("aggregate(parts, cast('' AS binary), (a, x) -> concat(a, x.ids))").alias("joined"),
-        F.size("parts").cast("long").alias("n_chunks"))
-    heads = first.where(F.col("chunk") == 0).select("doc_id", "row", "ids", "score")
-    small = heads.where(F.col("ids").isNotNull()).select("doc_id", "ids", "score", F.lit(1).cast("long").alias("n_chunks"))
-    large = heads.where(F.col("ids").isNull()).join(whole, "row").select(
-        "doc_id", F.col("joined").alias("ids"), F.col("total").alias("score"), "n_chunks")
-    return small.unionByName(large)
+            found = [trace(encoder, t, n, np.frombuffer(x, np.int64), int(np.frombuffer(y, np.int64)[0])).astype("<u4").tobytes()
+                     for t, n, x, y in chunks(batch, "part", "size", "state", "leave")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], ["row", "chunk", "ids"])
+
+    def totals(table: pa.Table) -> pa.Table:
+        """Score of a document: that of its last chunk's start, carried to the end."""
+        start, last = (table.column(c)[0].as_py() for c in ("state", "item"))
+        k = len(start) // 8
+        score = product(np.frombuffer(start, np.int64)[None, :], np.frombuffer(last, np.int64).reshape(k, k))[0, 0]
+        return pa.table({"row": table.column("row"), "score": pa.array([int(score)], pa.int64()), "n_chunks": pa.array([table.column("chunk")[0].as_py() + 1], pa.int64())})
+
+    def joined(batches):
+        for batch in batches:
+            ids = [b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["chunk"])) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.large_binary()).cast(pa.binary())], ["row", "joined"])
+
+    k = vocabulary(model).longest
+    start = np.where(np.arange(k) == 0, 0, NEVER).astype(np.int64).tobytes()
+    items = saved(giant.mapInArrow(matrices, "row long, chunk long, item binary"), "matrices")
+    states = saved(scanned(items, start, _matrix_product, _score_states), "states")
+    mapped = saved(giant.join(states, ["row", "chunk"]).select("row", "chunk", "part", "size", "state").mapInArrow(
+        maps, "row long, chunk long, item binary"), "maps")
+    leaves = scanned(mapped, np.zeros(1, np.int64).tobytes(), _map_product, _exit_states).withColumnRenamed("state", "leave")
+    parts = giant.join(states, ["row", "chunk"]).join(leaves, ["row", "chunk"]).select(
+        "row", "chunk", "part", "size", "state", "leave").mapInArrow(traced, "row long, chunk long, ids binary")
+    ids = parts.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("parts")).mapInArrow(joined, "row long, joined binary")
+    last = items.groupBy("row").agg(F.max("chunk").alias("chunk"))
+    scores = items.join(last, ["row", "chunk"]).join(states, ["row", "chunk"]).groupBy("row").applyInArrow(
+        totals, "row long, score long, n_chunks long")
+    return ids.join(scores, "row")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """Adds ``text``, decoded from ``ids``."""
+    """Adds ``text``, decoded from ``ids``; without ids it is empty. Rows and their other columns stay, repeated
+    ones too; an empty table gives no rows. Each text is decoded whole, however long."""
 
     def run(batches):
         output = vocabulary(model).output

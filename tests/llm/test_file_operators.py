@@ -169,6 +169,41 @@ def giant_texts():
     ]
 
 
+def ids_of(v, text):
+    """Ids of the best cut of a whole text, without chunks or units."""
+    return [i for p in pe.best_cut(v, pe.marked(pe.prepared(text or "")))[1] for i in pe._ids(v, p)]
+
+
+@pytest.mark.parametrize("chunk, fan", [(16, 2), (16, 64), (50, 3), (333, 64), (1 << 14, 64)])
+def test_ids_do_not_depend_on_chunks(table, vocabulary, monkeypatch, chunk, fan):
+    """Equal scores are cut alike everywhere, also where products are combined in several levels."""
+    monkeypatch.setattr(pe, "FAN", fan)
+    rng = random.Random(chunk)
+    texts = giant_texts() + ODD + ["".join(rng.choice("aabn l▁é ") for _ in range(rng.randrange(40, 400))) for _ in range(80)]
+    texts += ["a" * n for n in range(30, 60)] + ["na" * 40, "  " * 50 + "a" * 50]
+    got = by_id(encode_pieces(table([(i, t, "s") for i, t in enumerate(texts)]), MODEL, chunk))
+    for i, text in enumerate(texts):
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids_of(vocabulary, text), text and text[:40]
+
+
+def test_units_cut_together_equal_those_cut_alone(vocabulary):
+    rng = random.Random(4)
+    units = [" " * rng.randrange(3) + "".join(rng.choice("abcenoitß▁中😀\n") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    units += ["the", " the", " station", "aaaaaaaaaaaa", "▁", " ▁", "\x00", "😀"]
+    raw = [u.encode().replace("▁".encode(), b"\xff\x80\x80").replace(b" ", "▁".encode()) for u in units]
+    scores, counts, ids = pe.best_cuts(vocabulary, raw)
+    ends = np.cumsum(counts)
+    for i, u in enumerate(units):
+        score, pieces = pe.best_cut(vocabulary, pe.marked(u))
+        assert scores[i] == score
+        assert ids[ends[i] - counts[i] : ends[i]].tolist() == [x for p in pieces for x in pe._ids(vocabulary, p)], u
+
+
+def test_every_piece_is_found_by_hash(vocabulary):
+    assert (vocabulary.places(vocabulary.hashes) == np.arange(len(vocabulary.ids))).all()
+    assert (vocabulary.places(vocabulary.hashes + np.uint64(1)) == -1).all()
+
+
 @pytest.mark.parametrize("chunk", [16, 50, 333])
 def test_chunks_give_the_best_score_and_the_text(table, vocabulary, chunk):
     texts = giant_texts() + ODD
@@ -185,8 +220,7 @@ def test_chunks_give_the_best_score_and_the_text(table, vocabulary, chunk):
 
 
 def test_products_are_associative(vocabulary):
-    encoder = pe.UnitEncoder(MODEL)
-    encoder.v = vocabulary
+    encoder = pe.SliceEncoder(MODEL)
     text = pe.marked(" " + giant_texts()[1])
     a, b, c = (pe.transfer(encoder, text[i : i + 60 + vocabulary.longest - 1], 60) for i in (0, 60, 120))
     left = pe.product(pe.product(a, b), c)
