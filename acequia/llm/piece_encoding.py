@@ -101,13 +101,14 @@ def vocabulary(path: str) -> Vocabulary:
     for piece in ids:
         if len(piece) > 2:
             lengths.setdefault(piece[:3], set()).add(len(piece))
-    return with_places(Vocabulary(
+    return Vocabulary(
         scores, ids, max(map(len, ids)), byte_ids, -round(1000 * (math.log(size) + 5)), output,
-        {k: tuple(sorted(n)) for k, n in lengths.items()}, *(np.zeros(0, np.int64),) * 4))
+        {k: tuple(sorted(n)) for k, n in lengths.items()}, *(np.zeros(0, np.int64),) * 4)
 
 
 def with_places(v: Vocabulary) -> Vocabulary:
-    """Fill the table of pieces by hash."""
+    """Fill the table of pieces by hash. Only tasks need it, and the driver should not keep the powers
+    that hashing takes, which would go along with every function that it sends."""
     pieces = list(v.ids)
     raw = [p.encode() for p in pieces]
     ends = np.cumsum([len(x) for x in raw])
@@ -239,7 +240,7 @@ class SliceEncoder:
     are found and known by hash, and every one that is not yet known is cut once."""
 
     def __init__(self, path: str):
-        self.v = vocabulary(path)
+        self.v = with_places(vocabulary(path))
         self._forget()
 
     def _forget(self):

@@ -158,7 +158,7 @@ MODEL = tokenizer("piece_bpe_32k.model")
 
 @pytest.fixture(scope="module")
 def vocabulary():
-    return pe.vocabulary(MODEL)
+    return pe.with_places(pe.vocabulary(MODEL))
 
 
 def giant_texts():
