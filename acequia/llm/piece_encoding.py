@@ -39,12 +39,14 @@ SPACE = "▁"
 #: Stands for a low line of the text itself, which must not turn into a space. No text holds it.
 _OWN_LINE = "\udc81"
 NEVER = -(1 << 50)
+#: Bytes of text whose units are found at once.
+AT_ONCE = 1 << 19
 #: Units that a task remembers by hash.
 REMEMBERED = 500_000
 #: Chunks, or products of chunks, that one task combines at a time.
 FAN = 64
 #: Units up to so many characters are cut together, and so many characters at once.
-SHORT, TOGETHER = 48, 200_000
+SHORT, TOGETHER = 48, 50_000
 _LINE, _OWN_BYTES = SPACE.encode(), b"\xff\x80\x80"
 
 
@@ -485,7 +487,7 @@ def _first_pass(path: str, chunk: int):
             rows = row + np.arange(batch.num_rows)
             row += batch.num_rows
             at = np.flatnonzero(whole)
-            for s in slices(texts.take(pa.array(at))):
+            for s in slices(texts.take(pa.array(at)), AT_ONCE):
                 ids, scores = encoder.encode_slice(s)
                 own = at[s.rows[0] : s.rows[1]]
                 yield table(names, own, rows[own], np.zeros(s.n, np.int64), np.ones(s.n, np.int64), [None] * s.n, ids, scores)
