@@ -18,7 +18,7 @@ from acequia.llm.quality_rules import quality_rules
 from acequia.llm.suffix_dedup import suffix_dedup
 from acequia.llm.suffix_tree_lm import suffix_tree_scores
 from acequia.llm.token_files import token_files
-from acequia.llm.url_filters import Rule, filter_urls, listed_by_host_words
+from acequia.llm.url_filters import Rule, filter_urls, listed_by_content, listed_by_host_words
 from acequia.llm.warc_fixity import warc_fixity
 
 RULES = (
@@ -30,6 +30,9 @@ RULES = (
 #: Host labels of advertising, gambling and spam sites.
 BAD_LABELS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 
+#: A page with more such runs of symbols is taken for spam.
+SYMBOL_RUNS, MOST_RUNS = "[#*$%]{3}", 20
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Where every machine of the cluster has the public vocabulary files.
@@ -66,7 +69,8 @@ def op4_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
-    return filter_urls(pages, listed_by_host_words(pages, BAD_LABELS), RULES).select(
+    listed = listed_by_host_words(pages, BAD_LABELS).unionByName(listed_by_content(pages, SYMBOL_RUNS, MOST_RUNS))
+    return filter_urls(pages, listed, RULES).select(
         "page_id", "host", "path", "rule", "verdict", "listed")
 
 
@@ -78,7 +82,9 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
-    return warc_fixity(spark.read.parquet(f"{folder}/pages.parquet"))
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    damaged = F.when(F.crc32(F.col("page_id").cast("string").cast("binary")) % 97 == 0, F.reverse("html")).otherwise(F.col("html"))
+    return warc_fixity(pages, damaged)
 
 
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,15 +152,16 @@ SQL: dict[str, str] = {
         FROM t JOIN g USING (x)""",
     "op5_url_filters": rf"""
         WITH a AS (
-            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS x
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS x,
+                   len(regexp_extract_all(coalesce(html, ''), '{SYMBOL_RUNS}')) > {MOST_RUNS} AS spam
             FROM pages),
         p AS (
-            SELECT page_id, translate(regexp_extract(coalesce(x, ''), '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+            SELECT page_id, spam, translate(regexp_extract(coalesce(x, ''), '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
                    regexp_extract(coalesce(x, ''), '^[^/?#]*([^?#]*)', 1) AS path
             FROM a),
         c AS (
             SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/|\.html)$', '') AS address,
-                   regexp_matches('.' || host || '.', '\.({"|".join(BAD_LABELS)})\.') AS bad
+                   spam OR regexp_matches('.' || host || '.', '\.({"|".join(BAD_LABELS)})\.') AS bad
             FROM p),
         l AS (SELECT *, address IN (SELECT address FROM c WHERE bad) AS listed FROM c),
         r AS (

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from acequia.llm.shared import saved
+from acequia.llm.shared import numbered, saved
 from acequia.llm.words import Prefix, byte_values, mix, slices
 
 #: Bytes of stretches in a shard.
@@ -35,7 +35,9 @@ MANY_HERE, SALTS = 200, 64
 #: A longer text is taken in pieces of about this many bytes that overlap by a string less one byte.
 PIECE = 4 << 20
 
-_MARK, _LAST = -(1 << 63), (1 << 63) - 1
+_MARK = -(1 << 63)
+#: A stretch's number of starts, below ``length``, is packed into 14 bits.
+LONGEST = 1 << 14
 _WHOLE, _OPEN, _SPLIT, _LOCAL = 0, 1, 2, 3
 
 
@@ -80,15 +82,10 @@ def _pack(pos, count, kind):
     return (pos.astype(np.int64) << 16) | (count.astype(np.int64) << 2) | kind
 
 
-def _ids(batch) -> np.ndarray:
-    """doc_id as numbers; null comes after all others."""
-    return batch.column("doc_id").cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
-
-
 def _stretch_rows(length: int):
     def run(batches):
         for batch in batches:
-            ids, found = _ids(batch), []
+            ids, found = batch.column("own").to_numpy(), []
             for s in slices(batch.column("text")):
                 for buf, at, base in _pieces(s, length):
                     doc, pos, count, anchor, content = stretches(buf, at, length)
@@ -365,6 +362,25 @@ def _cut_out(batches):
             ], ["doc_id", "n_bytes", "kept", "spans"])
 
 
+def _numbered_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``own`` and ``text`` of every row; ``own`` orders documents by doc_id, null last.
+
+    It is the doc_id itself, unless some are null or repeated: then pairs of doc_id and text are
+    numbered in order, so that different texts are different documents.
+    """
+    text = F.coalesce("text", F.lit(""))
+    plain = docs.select("doc_id", F.col("doc_id").cast("long").alias("own"), text.alias("text"))
+    again = plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    if again.isEmpty():
+        return plain
+    known = plain.withColumns({"print": F.xxhash64("text"), "bytes": F.octet_length("text")}).drop("own")
+    pairs = saved(known.select("doc_id", "print", "bytes").distinct(), "documents")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("bytes"), F.col("print")]
+    k, o = known.alias("k"), numbered(pairs, order, "own", "documents").alias("o")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"o.{c}")) for c in pairs.columns]
+    return saved(k.join(o, same).select("k.doc_id", "own", "text"), "documents", "zstd")
+
+
 def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts earlier.
 
@@ -372,12 +388,16 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     they like and are judged on the input; none crosses documents. Reads ``doc_id`` (whole numbers)
     and ``text`` as UTF-8 bytes, other columns are ignored. Returns one row per row of ``docs``:
     ``doc_id``, ``n_bytes``, ``kept`` (the remaining bytes), ``spans`` (removed runs, start and end).
-    A null text is empty, a null ``doc_id`` comes after all others. Rows that repeat a ``doc_id``
-    are one document, so they are not each other's copies and lose the same bytes. An empty table
-    gives no rows.
+    A null text is empty, a null ``doc_id`` comes after all others. Rows that repeat a ``doc_id``, null
+    included, with other texts are documents of their own, the shorter text first; equal rows are one
+    document, so they are not each other's copies and lose the same bytes. A very long text is taken
+    in overlapping pieces, so no string is missed. An empty table gives no rows. ``length`` is
+    below ``LONGEST``.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").mapInArrow(
+    if not 0 < length < LONGEST:
+        raise ValueError(f"length must be between 1 and {LONGEST - 1}")
+    docs = _numbered_documents(docs)
+    rows = docs.select("own", "text").mapInArrow(
         _stretch_rows(length), "place long, content long, doc long, packed long")
     rows = rows.repartition("place").sortWithinPartitions("place", "content", "doc", "packed")
     settled = saved(rows.mapInArrow(_settle, "doc long, pos long, count long, place long, kind long"), "stretches")
@@ -394,8 +414,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
         deal = F.when(F.col("kind") == _SPLIT, F.xxhash64("doc", "pos")).otherwise(F.xxhash64("place"))
         open_ = open_.select("doc", F.struct("pos", "count", "kind", F.pmod(deal, F.lit(shards)).alias("shard")).alias("s"))
         wanted = open_.groupBy("doc").agg(F.collect_list("s").alias("stretches")).hint("shuffle_hash")
-        own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-        texts = docs.select(own.alias("doc"), F.col("text").cast("binary").alias("bytes")).join(wanted, "doc")
+        texts = docs.select(F.col("own").alias("doc"), F.col("text").cast("binary").alias("bytes")).join(wanted, "doc")
 
         def cut(batches):
             for batch in batches:
@@ -419,8 +438,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
 
     found = repeats.groupBy(F.col("doc").alias("found")).agg(
         F.collect_list("pos").alias("pos"), F.collect_list(F.col("pos") + F.col("count") + (length - 1)).alias("count"))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    joined = docs.select("doc_id", own.alias("own"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes")).join(
+    joined = docs.select("doc_id", "own", F.col("text").cast("binary").alias("bytes")).join(
         found.hint("shuffle_hash"), F.col("own") == F.col("found"), "left")
     kind = dict(docs.dtypes)["doc_id"]
     return joined.select("doc_id", "bytes", "pos", "count").mapInArrow(

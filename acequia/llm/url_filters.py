@@ -115,3 +115,12 @@ def listed_by_host_words(pages: DataFrame, words: Sequence[str]) -> DataFrame:
     return pages.select(host.alias("host"), path.alias("path")).where(
         F.arrays_overlap(labels, F.array(*map(F.lit, words)))).select(
         canonical(F.col("host"), F.col("path")).alias("canonical"))
+
+
+def listed_by_content(pages: DataFrame, pattern: str, most: int) -> DataFrame:
+    """Canonical addresses of the pages whose html holds more than ``most`` matches of ``pattern``. A page
+    of the same address under another spelling or query is then blocked whatever its own html holds."""
+    host, path = parts(F.col("url"))
+    bad = F.coalesce(F.regexp_count(F.col("html"), F.lit(pattern)) > most, F.lit(False))
+    return pages.where(bad).select(host.alias("host"), path.alias("path")).select(
+        canonical(F.col("host"), F.col("path")).alias("canonical"))

@@ -39,26 +39,42 @@ def warc_record(page_id: Column, url: Column, html: Column, date: str) -> Column
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), body)  # lines that are null fall away
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Write ``page_id``, ``url`` and ``html`` as gzipped WARC files. Spark's text writer ends each row
-    with the blank lines that end a record, and its committer publishes whole files only."""
-    record = warc_record(F.col("page_id"), F.col("url"), F.col("html"), date)
-    pages.sortWithinPartitions("page_id").select(record.alias("value")).write.options(
+def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", html: Column | None = None) -> None:
+    """Write ``page_id``, ``url`` and ``html`` (or another column in its place) as gzipped WARC files. Spark's
+    text writer ends each row with the blank lines that end a record, and its committer publishes
+    whole files only. Pages of one id are in order of url and html, so that every replica has them alike."""
+    record = warc_record(F.col("page_id"), F.col("url"), F.col("html") if html is None else html, date)
+    ordered = pages.sortWithinPartitions("page_id", "url", F.xxhash64("html"), F.octet_length("html"))
+    ordered.select(record.alias("value")).write.options(
         lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS).text(path)
 
 
 _NAME = re.compile(r"part-(\d+)-.*-c(\d+)")
 
 
-def _inflate(data: bytes) -> bytes:
-    """What can be read of a gzip file, up to where it is damaged."""
-    out, left = [], zlib.decompressobj(31)
-    try:
-        for i in range(0, len(data), 1 << 14):
-            out.append(left.decompress(data[i : i + (1 << 14)]))
-    except zlib.error:
-        pass
-    return b"".join(out)
+def _inflate(data: bytes) -> tuple[bytes, int]:
+    """What can be read of the members of a gzip file, up to where it is damaged, and the number of bytes
+    that are not part of a whole member: 0 for a sound file. Checksums and lengths are compared."""
+    out, at = [], 0
+    while at < len(data):
+        member, start = zlib.decompressobj(31), at
+        try:
+            while not member.eof and at < len(data):
+                before, step = member.copy(), data[at : at + (1 << 14)]
+                out.append(member.decompress(step))
+                at += len(step)
+        except zlib.error:
+            member = before
+            try:  # byte by byte up to the damage
+                for i in range(len(step)):
+                    out.append(member.decompress(step[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), len(data) - start
+        if not member.eof:
+            return b"".join(out), len(data) - start
+        at -= len(member.unused_data)
+    return b"".join(out), 0
 
 
 def _records(data: bytes):
@@ -85,9 +101,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 part, file = map(int, _NAME.search(name).groups())
-                data = _inflate(content.as_py())
-                rows += [(part, file, i, page, at, n, hashlib.sha256(data[at : at + n]).hexdigest())
+                raw = content.as_py()
+                data, unsound = _inflate(raw)
+                found = [(part, file, i, page, at, n, hashlib.sha256(data[at : at + n]).hexdigest())
                          for i, (at, n, page) in enumerate(_records(data))]
+                if unsound:  # one more record, so that the file differs from its sound replica
+                    found.append((part, file, len(found), None, len(data), 0, hashlib.sha256(raw[-unsound:]).hexdigest()))
+                rows += found
             columns = list(zip(*rows, strict=True)) or [()] * 7
             types = [pa.int64()] * 6 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -161,8 +181,9 @@ def audit(spark: SparkSession, one: str, two: str) -> DataFrame:
 
     Returns one row per record of the first replica: ``page_id``, ``part``, ``file``, ``offset``,
     ``length``, ``sha256``, ``intact`` (the second replica has the same bytes there). Records that only
-    the second holds follow with ``intact`` false and null length and hash. Damaged files are read as
-    far as they go. An empty replica has no records.
+    the second holds follow with ``intact`` false and null length and hash. Files are read as far as they
+    go, all gzip members of them; one whose end, checksum or length is wrong has one more record without
+    page_id and bytes, which is never intact. An empty replica has no records.
     """
     a, b = (saved(read_records(spark, path), "records") for path in (one, two))
     if not a.limit(1).count() or not b.limit(1).count():
@@ -173,21 +194,22 @@ def audit(spark: SparkSession, one: str, two: str) -> DataFrame:
             wrong = differing(*trees)
         else:  # one replica lacks files or records: no node lines up but those of the records
             wrong = differing(trees[0][:1], trees[1][:1])
-    if wrong is None:
+    if wrong is None:  # also where both replicas are damaged alike
         return a.select("page_id", "part", "file", "offset", "length", F.col("hash").alias("sha256"), F.lit(True).alias("intact"))
     marked = a.join(wrong.withColumn("wrong", F.lit(True)), ["part", "file", "idx"], "full")
     return marked.select("page_id", "part", "file", "offset", "length", F.col("hash").alias("sha256"), F.col("wrong").isNull().alias("intact"))
 
 
-def warc_fixity(pages: DataFrame) -> DataFrame:
+def warc_fixity(pages: DataFrame, damaged: Column | None = None) -> DataFrame:
     """Write two replicas of ``pages`` (``page_id``, ``url``, ``html``; other columns are ignored) as WARC
     files in the shared folder and audit one against the other, as ``audit`` returns it.
 
-    A null html is an empty body; a null url or page_id leaves its header line out. Repeated pages
-    are records of their own. An empty table gives no rows.
+    ``damaged`` is the html of the second replica where it is to differ. A null html is an empty body; a null
+    url or page_id leaves its header line out. Repeated pages are records of their own, in order of url
+    and html. A very long html is one record; a file holds ``RECORDS`` of them. An empty table gives no rows.
     """
     spark = pages.sparkSession
     paths = [new_path(spark, "warc") for _ in range(2)]
-    for path in paths:
-        write_warc(pages, path)
+    for path, html in zip(paths, (None, damaged), strict=True):
+        write_warc(pages, path, html=html)
     return audit(spark, *paths)

@@ -2,6 +2,7 @@
 
 import glob
 import gzip
+import hashlib
 import random
 import zlib
 
@@ -10,11 +11,12 @@ import pytest
 
 from acequia.llm import piece_encoding as pe
 from acequia.llm.piece_encoding import decode_pieces, encode_pieces
-from acequia.llm.queries import tokenizer
+from acequia.llm.queries import QUERIES, tokenizer
 from acequia.llm.shared import new_path
 from acequia.llm.token_coder import decode_block, encode_block
 from acequia.llm.token_files import token_files
-from acequia.llm.warc_fixity import audit, merkle_tree, read_records, warc_fixity, write_warc
+from acequia.llm.warc_fixity import _inflate, audit, merkle_tree, read_records, warc_fixity, write_warc
+from conftest import SF_SMALL
 from llm_helpers import by_id, table  # noqa: F401
 
 ODD = ["", None, " ", "\n\n", "Hello  world", "<|endoftext|> x", "été\u0301 e\u0301", "a" * 5000, "中文 字", "\x85\x1c\xa0y", "ΑΣ ΣΑΣ", "it's 'Tis 12ab", "😀\u200d👍", "▁ ▁▁x ▁"]
@@ -112,6 +114,66 @@ def damage(path, at, how):
         open(crc, "wb").close()
 
 
+@pytest.mark.parametrize("which", ["member", "trailer", "checksum", "zeros"])
+def test_damage_outside_the_records_is_reported(spark, pages, which):
+    """Records in a further gzip member, a lost or wrong checksum and bytes after the end are found."""
+    spark._jsc.hadoopConfiguration().set("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+    spark._jsc.hadoopConfiguration().set("fs.file.impl.disable.cache", "true")
+    try:
+        one, two = replicas(spark, pages)
+        record = b"WARC/1.1\r\nPage-ID: 77\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+
+        def wrong_sum(data):
+            raw = bytearray(gzip.compress(bytes(data)))
+            raw[-6] ^= 1
+            return bytes(raw)
+        damage(two, 0, {"member": lambda d: gzip.compress(bytes(d)) + gzip.compress(record),
+                        "trailer": lambda d: gzip.compress(bytes(d))[:-8], "checksum": wrong_sum,
+                        "zeros": lambda d: gzip.compress(bytes(d)) + bytes(20)}[which])
+        got = audit(spark, one, two).collect()
+    finally:
+        spark._jsc.hadoopConfiguration().unset("fs.file.impl")
+    assert [(r.page_id, r.sha256) for r in got if not r.intact] == [(None, None)]
+    assert len([r for r in got if r.sha256]) == 95
+
+
+def test_members_are_read_one_after_the_other():
+    whole = gzip.compress(b"a" * 50_000) + gzip.compress(b"") + gzip.compress(b"b" * 9)
+    assert _inflate(whole) == (b"a" * 50_000 + b"b" * 9, 0)
+    for cut in (1, 8, len(whole) - 5):
+        data, unsound = _inflate(whole[:-cut])
+        assert unsound > 0 and (b"a" * 50_000 + b"b" * 9).startswith(data)
+
+
+def test_the_query_finds_the_pages_that_differ(spark):
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect()
+    changed = {p.page_id for p in pages if zlib.crc32(str(p.page_id).encode()) % 97 == 0 and p.html and p.html != p.html[::-1]}
+    got = QUERIES["op7_warc_fixity"](spark, SF_SMALL).collect()
+    assert changed and {r.page_id for r in got if not r.intact} == changed
+    assert sorted(r.page_id for r in got) == sorted(p.page_id for p in pages)
+
+
+def brute_root(hashes):
+    """Root over one file of one part, by plain recursion over ranges of neighbours."""
+    nodes = hashes
+    while True:
+        nodes = [(c[0][0], c[-1][1], hashlib.sha256(";".join(f"{a}:{b}:{h}" for a, b, h in c).encode()).hexdigest())
+                 for c in (nodes[i : i + 16] for i in range(0, len(nodes), 16))]
+        if len(nodes) == 1:
+            return nodes[0]
+
+
+def test_the_root_is_that_of_a_plain_tree(spark, pages):
+    path = new_path(spark, "test-warc")
+    write_warc(pages.coalesce(1), path)
+    records = read_records(spark, path)
+    rows = sorted(records.collect(), key=lambda r: r.idx)
+    file = brute_root([(r.offset, r.offset + r.length, r.hash) for r in rows])
+    expected = brute_root([file])  # of the only part's only file
+    (root,) = merkle_tree(records)[-1].collect()
+    assert root.hash == expected[2]
+
+
 @pytest.mark.parametrize("which", ["byte", "cut", "gzip", "lost"])
 def test_planted_damage_is_located(spark, pages, which):
     spark._jsc.hadoopConfiguration().set("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")

@@ -223,6 +223,35 @@ def test_suffix_dedup_edge_cases(table):
     assert sorted(got, key=str) == [(7, 10), (7, 10), (None, 0)]
 
 
+_letters = random.Random(9)
+A, B, X = ("".join(_letters.choice("abcdefgh") for _ in range(400)) for _ in range(3))
+
+
+@pytest.mark.parametrize("rows, kept", [
+    # Null ids are documents of their own: clean B stays, the second A goes.
+    ([(1, A), (None, A), (None, B)], {(1, A): A, (None, A): "", (None, B): B}),
+    # Of null ids the shorter text comes first, so the longer one loses the passage.
+    ([(None, A), (None, X + A)], {(None, A): A, (None, X + A): X}),
+    ([(None, X + A), (None, A), (3, None)], {(None, A): A, (None, X + A): X, (3, None): ""}),
+    ([(1, A), (5, A), (5, B)], {(1, A): A, (5, A): "", (5, B): B}),
+    ([(5, B + X), (5, A), (5, A + B), (5, None), (None, None), (None, "")],
+     {(5, A): A, (5, B + X): B + X, (5, None): "", (None, None): "", (None, ""): ""}),
+])
+def test_suffix_dedup_of_null_and_repeated_ids(table, rows, kept):
+    sizes = sorted((i is None, i or 0, len((t or "").encode())) for i, t in rows)
+    got = suffix_dedup(table([(i, t, "s") for i, t in rows])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes) for r in got) == sizes
+    for (i, text), left in kept.items():
+        if (i, text) not in ((5, A + B), (5, B + X)):
+            found = [bytes(r.kept) for r in got if r.doc_id == i and r.n_bytes == len((text or "").encode())]
+            assert left.encode() in found
+
+
+def test_suffix_dedup_refuses_long_strings(table):
+    with pytest.raises(ValueError):
+        suffix_dedup(table([]), sd.LONGEST)
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
