@@ -526,7 +526,9 @@ def _giant_documents(giant: DataFrame, model: str) -> DataFrame:
     giant = giant.repartition("row", "chunk")
 
     def chunks(batch, *columns):
-        return zip(*([marked(t) for t in batch.column(c).to_pylist()] if c == "part" else batch.column(c).to_pylist() for c in columns), strict=True)
+        """Values of each row, one row at a time: a batch may hold many parts."""
+        for row in zip(*(batch.column(c) for c in columns), strict=True):
+            yield (marked(x.as_py()) if c == "part" else x.as_py() for c, x in zip(columns, row, strict=True))
 
     def matrices(batches):
         encoder = SliceEncoder(model)

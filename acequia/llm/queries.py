@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from acequia.llm.exact_dedup import exact_dedup
@@ -35,12 +36,13 @@ SYMBOL_RUNS, MOST_RUNS = "[#*$%]{3}", 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Where every machine of the cluster has the public vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Path of a public vocabulary file, the same on every machine: in ``TOKENIZER_DIR`` if that is set,
+    else where the package of public tokenizers has it."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
