@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from acequia.llm.components import components, relabelled
-from acequia.llm.shared import saved
+from acequia.llm.shared import lean, saved
 from acequia.llm.words import Prefix, lists, mix, slices, windows
 
 #: Bits of the narrow sketch.
@@ -178,7 +178,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
                 })
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, node long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, size long, node long, sketch array<long>")
 
 
 def banded(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -201,7 +201,7 @@ def banded(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     "keys": lists(np.bincount(d, minlength=s.n), pa.array(keys.view(np.int64))),
                 })
 
-    return docs.select("text").mapInArrow(run, "node long, keys array<long>")
+    return docs.select("text").mapInArrow(lean(run), "node long, keys array<long>")
 
 
 def _by_key(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +284,7 @@ class _Verifier:
                         [pa.array(prints.view(np.int64)), pa.array(sizes.astype(np.int64)), lists(words, pa.array(wide))],
                         ["node", "size", "wide"])
 
-        wide = self._texts(self.known).mapInArrow(run, "node long, size long, wide array<long>")
+        wide = self._texts(self.known).mapInArrow(lean(run), "node long, size long, wide array<long>")
         self.wide = saved(self._of(wide, self.known), "wide")
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ class _Verifier:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(prints.view(np.int64)), lists(sizes, pa.array(hashes.view(np.int64)))], ["node", "items"])
 
-        sets = saved(self._of(self._texts(wanted).mapInArrow(run, "node long, items array<long>"), wanted), "sets")
+        sets = saved(self._of(self._texts(wanted).mapInArrow(lean(run), "node long, items array<long>"), wanted), "sets")
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("xa"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("xb"))
         both = F.size(F.array_intersect("xa", "xb"))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from acequia.llm.shared import saved
+from acequia.llm.shared import lean, saved
 from acequia.llm.words import Prefix, byte_values, mix, slices
 
 #: Characters in a chunk; documents of more than two chunks are cut.
@@ -511,7 +511,7 @@ def encode_pieces(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """
     kind = dict(docs.dtypes)["doc_id"]
     first = saved(docs.select("doc_id", "text").mapInArrow(
-        _first_pass(model, chunk), f"doc_id {kind}, row long, chunk long, size long, part string, ids binary, score long"),
+        lean(_first_pass(model, chunk)), f"doc_id {kind}, row long, chunk long, size long, part string, ids binary, score long"),
         "pieces", "zstd")
     heads = first.where(F.col("chunk") == 0).select("doc_id", "row", "ids", "score")
     small = heads.where(F.col("ids").isNotNull()).select("doc_id", "ids", "score", F.lit(1).cast("long").alias("n_chunks"))
@@ -564,14 +564,14 @@ def _giant_documents(giant: DataFrame, model: str) -> DataFrame:
 
     k = vocabulary(model).longest
     start = np.where(np.arange(k) == 0, 0, NEVER).astype(np.int64).tobytes()
-    items = saved(giant.mapInArrow(matrices, "row long, chunk long, item binary"), "matrices")
+    items = saved(giant.mapInArrow(lean(matrices), "row long, chunk long, item binary"), "matrices")
     states = saved(scanned(items, start, _matrix_product, _score_states), "states")
     mapped = saved(giant.join(states, ["row", "chunk"]).select("row", "chunk", "part", "size", "state").mapInArrow(
-        maps, "row long, chunk long, item binary"), "maps")
+        lean(maps), "row long, chunk long, item binary"), "maps")
     leaves = scanned(mapped, np.zeros(1, np.int64).tobytes(), _map_product, _exit_states).withColumnRenamed("state", "leave")
     parts = giant.join(states, ["row", "chunk"]).join(leaves, ["row", "chunk"]).select(
-        "row", "chunk", "part", "size", "state", "leave").mapInArrow(traced, "row long, chunk long, ids binary")
-    ids = parts.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("parts")).mapInArrow(joined, "row long, joined binary")
+        "row", "chunk", "part", "size", "state", "leave").mapInArrow(lean(traced), "row long, chunk long, ids binary")
+    ids = parts.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("parts")).mapInArrow(lean(joined), "row long, joined binary")
     last = items.groupBy("row").agg(F.max("chunk").alias("chunk"))
     scores = items.join(last, ["row", "chunk"]).join(states, ["row", "chunk"]).groupBy("row").applyInArrow(
         totals, "row long, score long, n_chunks long")
@@ -591,4 +591,4 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
             yield batch.append_column("text", pa.array(texts, pa.string()))
 
     fields = ", ".join(f"{n} {t}" for n, t in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{fields}, text string")
+    return encoded.mapInArrow(lean(run), f"{fields}, text string")

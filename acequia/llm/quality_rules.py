@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from acequia.llm.shared import saved
+from acequia.llm.shared import lean, saved
 from acequia.llm.words import Prefix, byte_values, lists, mix, per_doc, slices, windows
 
 
@@ -104,7 +104,7 @@ def _measure(batches):
 def measure(docs: DataFrame) -> DataFrame:
     """One row per document: its measures, the hash of its text, and its distinct normalised lines."""
     return docs.select("doc_id", F.col("source").alias("host"), "text").mapInArrow(
-        _measure, f"doc_id {dict(docs.dtypes)['doc_id']}, host {dict(docs.dtypes)['source']}, {_MEASURES}, {_LINES}")
+        lean(_measure), f"doc_id {dict(docs.dtypes)['doc_id']}, host {dict(docs.dtypes)['source']}, {_MEASURES}, {_LINES}")
 
 
 def frequent_lines(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _own: list[str] = []
@@ -58,3 +60,18 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, label: str) -> D
     starts = sizes.select("acequia_part", F.coalesce(F.sum("acequia_rows").over(earlier), F.lit(0)).alias("acequia_start"))
     return split.join(starts, part == F.col("acequia_part")).select(
         *df.columns, (F.col("acequia_start") + F.col("acequia_at").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back to the system after each batch that it yields. Workers
+    are used again by later tasks, and what they keep counts against the executor."""
+    def wrapped(batches):
+        for batch in run(batches):
+            yield batch
+            batch = None
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+    return wrapped

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from acequia.llm.shared import new_path
+from acequia.llm.shared import lean, new_path
 from acequia.llm.token_coder import decode_block, encode_block
 from acequia.llm.words import Prefix, byte_values, mix, slices
 
 #: Ids after which a block is closed; documents are never cut.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Parts of words whose ids a task remembers.
 REMEMBERED = 600_000
 
@@ -162,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
             yield closed()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, _SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(lean(run), _SCHEMA).write.option("compression", "none").parquet(path)
 
 
 _SCHEMA = "part int, block int, doc_ids array<long>, sizes array<long>, first long, n_ids long, payload binary"
@@ -188,7 +188,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     pa.array([raw[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)], pa.binary()),
                 ], ["doc_id", "start", "ids"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
+    return placed.mapInArrow(lean(run), "doc_id long, start long, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -196,7 +196,8 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     Reads ``doc_id`` (whole numbers) and ``text``; other columns are ignored. Returns one row per
     row of ``docs``: ``doc_id``, ``start``, ``ids`` (unsigned 32-bit little-endian, the end id last).
-    A null text is empty and gives the end id alone. A null doc_id comes first; rows with one doc_id
+    A null text is empty and gives the end id alone; a very long one makes a block of its own length, for
+    documents are never cut. A null doc_id comes first; rows with one doc_id
     follow each other in no set order. An empty table gives no rows.
     """
     path = new_path(docs.sparkSession, "token-files")
