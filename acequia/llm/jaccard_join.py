@@ -33,6 +33,8 @@ from acequia.llm.components import components, relabelled
 from acequia.llm.shared import lean, saved
 from acequia.llm.words import Prefix, lists, mix, slices, windows
 
+#: Bytes of text whose shingles are made at once.
+AT_ONCE = 1 << 19
 #: Bits of the narrow sketch.
 BITS = 1024
 #: Nodes of a group that meet in one round, and the number of rounds.
@@ -167,7 +169,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for s in slices(batch.column("text")):
+            for s in slices(batch.column("text"), AT_ONCE):
                 doc, hashes = shingles(s, n)
                 sizes, prints = nodes(doc, hashes, s.n)
                 yield pa.RecordBatch.from_pydict({
@@ -188,7 +190,7 @@ def banded(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches):
         levels = Levels(percent, 1 << 12)
         for batch in batches:
-            for s in slices(batch.column("text")):
+            for s in slices(batch.column("text"), AT_ONCE):
                 doc, hashes = shingles(s, n)
                 sizes, prints = nodes(doc, hashes, s.n)
                 if s.n and sizes.max() >= levels.start[-1]:
@@ -276,7 +278,7 @@ class _Verifier:
 
         def run(batches):
             for batch in batches:
-                for s in slices(batch.column("text")):
+                for s in slices(batch.column("text"), AT_ONCE):
                     doc, hashes = shingles(s, n)
                     sizes, prints = nodes(doc, hashes, s.n)
                     words, wide = wide_sketches(doc, hashes, sizes)
@@ -330,7 +332,7 @@ class _Verifier:
 
         def run(batches):
             for batch in batches:
-                for s in slices(batch.column("text")):
+                for s in slices(batch.column("text"), AT_ONCE):
                     doc, hashes = shingles(s, n)
                     sizes, prints = nodes(doc, hashes, s.n)
                     yield pa.RecordBatch.from_arrays(
