@@ -81,7 +81,7 @@ BUILDS = {
     "build_measurements": lambda w: builds.measurements(w.fact),
     "build_basin_catalog": lambda w: builds.basin_catalog(w.fact),
     "scan_basin_catalog": lambda w: w.table("cuencas_regiones"),
-    "scan_daily_series": lambda w: w.table("series_tiempo").drop("ANIO"),
+    "scan_daily_series": lambda w: w.table("series_tiempo").drop(*S.SERIES_STATE),
     "build_reporters": lambda w: builds.reporters(w.fact),
     "build_points": lambda w: w.table("puntos_mapa"),
     "build_points_by_coord": lambda w: rollup.points_by_coord(w.table("rollup_puntos")),
