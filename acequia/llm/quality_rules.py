@@ -30,6 +30,8 @@ class Limits:
     part: float = 0.2
 
 
+#: Bytes of text that are measured at once.
+AT_ONCE = 1 << 19
 _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long"
 _LINES = "lines array<long>, line_words array<long>"
 
@@ -88,7 +90,7 @@ def _measured(s) -> dict[str, np.ndarray]:
 
 def _measure(batches):
     for batch in batches:
-        for s in slices(batch.column("text")):
+        for s in slices(batch.column("text"), AT_ONCE):
             i, j = s.rows
             m = _measured(s)
             counts = per_doc(m["line_doc"], s.n)
@@ -148,45 +150,50 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def _drop_lines(batches):
     for batch in batches:
-        column = batch.column("text")
-        texts, cuts = column.to_pylist(), batch.column("acequia_cut").to_pylist()
-        for s in slices(column):
-            if not any(cuts[s.rows[0] : s.rows[1]]):
+        column, cuts, parts = batch.column("text"), batch.column("acequia_cut").to_pylist(), []
+        for s in slices(column, AT_ONCE):
+            i, j = s.rows
+            if not any(cuts[i:j]):
+                parts.append(column.slice(i, j - i))
                 continue
+            texts = column.slice(i, j - i).to_pylist()
             s.lower()
             s.find_words()
-            hashes, i = s.word_hashes(), s.rows[0]
-            prefix = Prefix(hashes)
-            for k in range(i, s.rows[1]):
-                if cuts[k]:
-                    own, at, keep = set(cuts[k]), int(s.at[k - i]), []
+            prefix = Prefix(s.word_hashes())
+            for k, cut in enumerate(cuts[i:j]):
+                if cut:
+                    own, at, keep = set(cut), int(s.at[k]), []
                     for line in texts[k].encode().split(b"\n"):
                         w = np.searchsorted(s.starts, [at, at + len(line)])
                         if w[0] == w[1] or int(prefix.of(w[:1], w[1:]).view(np.int64)[0]) not in own:
                             keep.append(line)
                         at += len(line) + 1
                     texts[k] = b"\n".join(keep).decode()
+            parts.append(pa.array(texts, column.type))
+        text = pa.concat_arrays(parts) if parts else column
         yield pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+            [text if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
 
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that ``quality_rules`` keeps, without their lines above the limit.
 
-    All columns stay as they are, but for ``text`` and, where there is one, ``n_chars``.
+    All columns stay as they are, but for ``text`` and, where there is one, ``n_chars``. Null and empty texts
+    fail and go; a null doc_id or source is a value like any other; repeated rows stay if one does; a very
+    long text is cut line by line; an empty table gives no rows.
     """
     judged = quality_rules(docs, limits).where("kept").groupBy("doc_id", "host", "text_hash").agg(
         F.first("removed_lines").alias("acequia_cut"))
     hashed = docs.mapInArrow(
-        _with_hash, T.StructType([*docs.schema.fields, T.StructField("acequia_hash", T.LongType())])).alias("d")
+        lean(_with_hash), T.StructType([*docs.schema.fields, T.StructField("acequia_hash", T.LongType())])).alias("d")
     joined = hashed.join(judged.alias("j"), (F.col("d.acequia_hash") == F.col("j.text_hash"))
                          & F.col("d.doc_id").eqNullSafe(F.col("j.doc_id")) & F.col("d.source").eqNullSafe(F.col("j.host")))
     out = joined.select(*(F.col(f"d.{c}") for c in docs.columns), "j.acequia_cut")
-    out = out.mapInArrow(_drop_lines, out.schema).drop("acequia_cut")
+    out = out.mapInArrow(lean(_drop_lines), out.schema).drop("acequia_cut")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def _with_hash(batches):
     for batch in batches:
-        hashes = [Prefix(byte_values(s.buf)).of(s.at[:-1], s.at[1:]).view(np.int64) for s in slices(batch.column("text"))]
+        hashes = [Prefix(byte_values(s.buf)).of(s.at[:-1], s.at[1:]).view(np.int64) for s in slices(batch.column("text"), AT_ONCE)]
         yield batch.append_column("acequia_hash", pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)))
