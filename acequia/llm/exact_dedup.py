@@ -1,10 +1,11 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-Every distinct text is one entry of the index. Its key is a 64-bit hash whose leading
-bits name a slot of the directory. A bucket that holds more entries than it may is
-split, which doubles the directory whenever the bucket had used all its bits. Entries
-then go to owner tasks by ranges of keys; entries with one key form a chain. Texts are
-told apart by their bytes: the hash only finds the place.
+A text's key is a 64-bit hash whose leading bits name a slot of the directory. A bucket
+that holds more keys than it may is split, which doubles the directory whenever the
+bucket had used all its bits. Texts then go to owner tasks by ranges of slots and keys.
+An owner walks the texts of each key in the order of their bytes and compares each with
+the one before it: a text that differs is a further link of the key's chain, an equal
+one joins the link. The hash only finds the place; the bytes decide.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def _keyed(docs: DataFrame, key_bits: int) -> DataFrame:
 
 def _prefix(key: Column, bits: int) -> Column:
     """Leading ``bits`` of a 64-bit key as a whole number."""
-    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
+    return F.shiftright(F.shiftrightunsigned(key, 1), 63 - bits)
 
 
 def directory(entries: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
@@ -67,18 +68,24 @@ def build_index(docs: DataFrame, capacity: int = 4096, key_bits: int = 64) -> Da
 
     One row per entry: ``bucket``, ``local_depth``, ``key``, ``link`` (its place in the chain of
     entries with the same key, 1 for most), ``sha256``, ``newest`` (largest doc_id), ``copies``.
-    Copies are merged before the shuffle wherever a task holds several, so a group that holds a
-    third of all rows moves once per task.
+    Copies within a task are merged before they move, so a group that holds a third of all rows
+    reaches its owner as one row per task. A null text equals an empty one, a null doc_id is smaller
+    than all others, and a very long text moves whole, once per task that holds it.
     """
-    texts = _keyed(docs, key_bits).groupBy("acequia_key", "acequia_text").agg(
+    rows = _keyed(docs.select("doc_id", "text"), key_bits).withColumn("acequia_task", F.spark_partition_id())
+    slots, depth = directory(rows.select(F.col("acequia_key").alias("key")).distinct(), capacity)
+    merged = rows.groupBy("acequia_task", F.col("acequia_key").alias("key"), F.col("acequia_text").alias("text")).agg(
         F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("copies"))
-    entries = saved(texts.select(
-        F.col("acequia_key").alias("key"), F.unhex(F.sha2("acequia_text", 256)).alias("sha256"), "newest", "copies"), "entries")
-    slots, depth = directory(entries, capacity)
-    placed = entries.withColumn("slot", _prefix(F.col("key"), depth)).join(slots, "slot")
-    chain = Window.partitionBy("bucket", "key").orderBy(F.col("newest").desc_nulls_last(), "sha256")
-    owned = placed.repartitionByRange("bucket", "key").withColumn("link", F.row_number().over(chain))
-    return saved(owned.select("bucket", "local_depth", "key", "link", "sha256", "newest", "copies"), "index")
+    # Ranges of keys are ranges of slots, and so of buckets.
+    owned = merged.withColumn("sha256", F.unhex(F.sha2("text", 256))).repartitionByRange("key")
+    chain = Window.partitionBy("key").orderBy("text")
+    differs = ~F.col("text").eqNullSafe(F.lag("text").over(chain))
+    walked = owned.withColumn("differs", differs.cast("int")).select(
+        "key", F.sum("differs").over(chain.rowsBetween(Window.unboundedPreceding, 0)).alias("link"), "sha256", "newest", "copies")
+    entries = walked.groupBy("key", "link").agg(
+        F.max("sha256").alias("sha256"), F.max("newest").alias("newest"), F.sum("copies").alias("copies"))
+    return saved(entries.withColumn("slot", _prefix(F.col("key"), depth)).join(slots, "slot").select(
+        "bucket", "local_depth", "key", F.col("link").cast("int").alias("link"), "sha256", "newest", "copies"), "index")
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 4096, key_bits: int = 64) -> DataFrame:
@@ -103,7 +110,11 @@ def exact_dedup(docs: DataFrame, capacity: int = 4096, key_bits: int = 64) -> Da
 
 
 def distinct_documents(docs: DataFrame, capacity: int = 4096) -> DataFrame:
-    """The documents that ``exact_dedup`` keeps, one for each text, with all their columns."""
+    """The documents that ``exact_dedup`` keeps, one for each text, with all their columns.
+
+    Reads ``doc_id`` and ``text``; null and empty texts are one text, of repeated rows one stays, very
+    long texts are compared whole, and an empty table gives no rows. Names of other columns may clash.
+    """
     index = build_index(docs, capacity).alias("i")
     rows = _keyed(docs, 64).drop("acequia_text").withColumn(
         "acequia_sha", F.unhex(F.sha2(normalised(F.col("text")), 256))).alias("d")

@@ -71,6 +71,18 @@ def test_index_keeps_a_key_in_one_bucket(table):
     assert len(rows) == 70 and sum(r.copies for r in rows) == 300 and len({r.bucket for r in rows}) > 4
 
 
+def test_bytes_tell_apart_the_texts_of_a_key(table):
+    """With two bits of a key only four keys are left: the comparison alone keeps the texts apart."""
+    rows = [(i, f"text {i % 30}", "s") for i in range(300)]
+    index = build_index(table(rows).repartition(5), capacity=10, key_bits=2).collect()
+    assert len(index) == 30 and len({r.key for r in index}) <= 4
+    for key in {r.key for r in index}:
+        links = sorted(r.link for r in index if r.key == key)
+        assert links == list(range(1, len(links) + 1))
+    assert {r.copies for r in index} == {10} and sorted(r.newest for r in index) == list(range(270, 300))
+    assert {bytes(r.sha256) for r in index} == {hashlib.sha256(f"text {i}".encode()).digest() for i in range(30)}
+
+
 def test_exact_of_an_empty_table(table):
     assert exact_dedup(table([])).count() == 0 and distinct_documents(table([])).count() == 0
 
