@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -31,22 +31,39 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
+#: Has Spark remove an action's shuffle files as soon as the action ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Actions in this block leave no shuffle files, which otherwise stay until the driver happens to
+    collect its garbage. For results that are stored or collected, since nothing reads the files again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def saved(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+    with tidy(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables that ``saved`` wrote and no later step reads, and let Spark remove the shuffle
-    files of finished steps, which stay until the driver collects its garbage."""
+    """Delete tables that ``saved`` wrote and no later step reads."""
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str, label: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from acequia.llm.shared import dropped, saved
+from acequia.llm.shared import dropped, saved, tidy
 from acequia.llm.words import mix, slices
 
 #: Hash of the token that ends each document.
@@ -38,6 +38,14 @@ DISCOUNT = 0.75
 FIELD = 27
 #: Tokens for each bucket in which strings are summed and looked up.
 BUCKET = 2_000_000
+#: Rows whose strings are gathered together; a place among them fits 16 bits.
+PART = 3000
+#: Answers to so many parts are summed at once.
+ANSWERS = 100
+#: Bits of the field in a task that tells most strings from those looked up in memory, as a power of two.
+NEAR = 22
+#: Values of the tree that are packed together before they move.
+HELD = 500_000
 
 
 @dataclass(frozen=True)
@@ -80,106 +88,12 @@ def _sum_by(df: DataFrame, key: str) -> DataFrame:
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
     """A small table as arrays on the driver; callers state why it is small."""
-    table = df.toArrow()
+    with tidy(df.sparkSession):
+        table = df.toArrow()
     return [c.to_numpy() for c in table.columns]
 
 
-class Strings:
-    """The model in memory, over numbered symbols; the tables must agree with it.
-
-    Frequent strings of 1, 2, ... symbols, each as the number of its beginning times the number
-    of symbols plus its last symbol; in each length sorted by that code.
-    """
-
-    def __init__(self, symbols):
-        self.width = symbols.size
-        self.codes: list[np.ndarray] = [np.arange(symbols.size)]
-        self.counts: list[np.ndarray] = []
-
-    def find(self, length: int, codes: np.ndarray) -> np.ndarray:
-        """Numbers of strings of a length, -1 for those that are not frequent."""
-        if length == 1:
-            return codes
-        known = self.codes[length - 1]
-        if not len(known):
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        return np.where((codes >= 0) & (known[at] == codes), at, -1)
-
-    def ending(self, sym: np.ndarray, first: np.ndarray, length: int) -> list[np.ndarray]:
-        """For each length up to this one, the string that ends at each token, -1 for none; ``first``
-        is true where a text begins, and strings do not reach back beyond it."""
-        found = [sym]
-        for m in range(2, length + 1):
-            found.append(self.find(m, self.codes_of(found[-1], sym, first)))
-        return found
-
-    def codes_of(self, before: np.ndarray, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Codes of the strings that add each token to the string before it, -1 for none."""
-        prior = np.concatenate([[-1], before[:-1]])
-        return np.where(first | (prior < 0), -1, prior * self.width + sym)
-
-
-class SuffixTree:
-    """Smoothed next-symbol probabilities of the contexts that the divergence test keeps."""
-
-    def __init__(self, strings: Strings, symbol_counts: np.ndarray, depth: int, divergence: float):
-        if not 1 <= depth <= 3:
-            raise ValueError("contexts have one to three symbols")
-        self.strings, self.depth = strings, depth
-        self.root = symbol_counts / max(symbol_counts.sum(), 1)
-        width = strings.width
-        context_counts, probability = symbol_counts, self.root
-        suffix = None  # number of each context without its first symbol
-        self.own: list[np.ndarray] = []  # of each string of 2, 3, ... symbols, its discounted share
-        self.back: list[np.ndarray] = []  # of each context of 1, 2, ... symbols, the share of its suffix
-        for m in range(1, depth + 1):
-            codes, n = strings.codes[m], strings.counts[m - 1]
-            parent, last = codes // width, codes % width
-            total = np.maximum(context_counts[parent], 1)
-            if m == 1:
-                lower = probability[last]
-                shorter = last
-            else:
-                shorter = strings.find(m, suffix[parent] * width + last)
-                # A suffix of a frequent string is frequent.
-                lower = self.own[-1][shorter] + self.back[-1][suffix[parent]] * self._lower(m - 1, suffix, parent, last)
-            gain = n * np.log(np.maximum(n / total, 1e-300) / lower)
-            stays = np.bincount(parent, gain, len(context_counts)) >= divergence
-            own = np.where(stays[parent], np.maximum(n - DISCOUNT, 0) / total, 0.0)
-            back = np.where(stays, 1.0 - np.bincount(parent, own, len(context_counts)), 1.0)
-            self.own.append(own)
-            self.back.append(np.maximum(back, 1e-12))
-            suffix, context_counts = shorter, n
-        self.kept = [int((b < 1).sum()) for b in self.back]
-
-    def _lower(self, m: int, suffix, parent, last):
-        """Probability of ``last`` two steps up, for contexts of more than one symbol."""
-        if m == 1:
-            return self.root[last]
-        up = self.strings.codes[m - 1][suffix[parent]] % self.strings.width
-        code = up * self.strings.width + last
-        at = self.strings.find(2, code)
-        return np.where(at >= 0, self.own[0][at], 0.0) + self.back[0][up] * self.root[last]
-
-    def probabilities(self, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each token, given the longest context of the tree before it."""
-        p = self.root[sym]
-        ending = self.strings.ending(sym, first, self.depth)
-        for m in range(1, self.depth + 1):
-            context = np.concatenate([[-1], ending[m - 1][:-1]])
-            context[first] = -1
-            if not len(self.strings.codes[m]) and m > 1:
-                break
-            code = np.where(context >= 0, context * self.strings.width + sym, -1)
-            at = self.strings.find(m + 1, code)
-            own = np.where(at >= 0, self.own[m - 1][at] if len(self.own[m - 1]) else 0.0, 0.0)
-            back = np.where(context >= 0, self.back[m - 1][context] if len(self.back[m - 1]) else 1.0, 1.0)
-            p = own + back * p
-        return p
-
-
-def _parts(batches, rows: int = 3000):
+def _parts(batches, rows: int = PART):
     """Batches cut small: a part's arrays are many times as large as its rows."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
@@ -230,6 +144,49 @@ def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted ids as their differences, byte plane by byte plane: the upper planes are zeros, which compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """Ids of all rows of a column of ``_packed`` ids, one row after the other."""
+    found = [np.zeros(0, np.uint64)]
+    for packed in column.to_pylist():
+        planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
+        found.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64))
+    return np.concatenate(found)
+
+
+def _pack_tree(buckets: int):
+    """Values of the tree, packed for each bucket of ids."""
+
+    def pack(held):
+        table = pa.Table.from_batches(held)
+        keys = table["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, value, base = keys[order], table["value"].to_numpy()[order], table["base"].to_numpy()[order]
+        edge = _edges(keys, buckets)
+        full = np.flatnonzero(np.diff(edge))
+        return pa.RecordBatch.from_pydict({
+            "bucket": pa.array(full),
+            "keys": pa.array([_packed(keys[edge[b] : edge[b + 1]]) for b in full], pa.binary()),
+            **{k: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
+               for k, x in (("value", value), ("base", base))}})
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                yield pack(held)
+                held, n = [], 0
+        if held:
+            yield pack(held)
+    return run
+
+
 def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buckets: int) -> DataFrame:
     """Strings of a length that occur ``least`` times or more: string, before, after (its parts), n.
 
@@ -246,8 +203,11 @@ def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buck
                 there = there & _may_hold(shorter, before) & _may_hold(shorter, after)
                 found.append(np.stack([ids[there], before[there], after[there]]))
             found = np.concatenate(found, axis=1)
-            ids, at, n = np.unique(found[0], return_index=True, return_counts=True)
-            before, after, n = found[1][at], found[2][at], n.astype(np.uint32)
+            order = np.argsort(found[0])
+            ids = found[0][order]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+            n = np.diff(np.append(first, len(ids))).astype(np.uint32)
+            ids, before, after = ids[first], found[1][order[first]], found[2][order[first]]
             edge = _edges(ids, buckets)
             full = np.flatnonzero(np.diff(edge))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(full)} | {
@@ -256,9 +216,12 @@ def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buck
 
     def total(table: pa.Table) -> pa.Table:
         before, after, n = _bytes(table["before"], np.uint64), _bytes(table["after"], np.uint64), _bytes(table["n"], np.uint32)
-        ids, at, inverse = np.unique(_joined(before, after), return_index=True, return_inverse=True)
-        n = np.bincount(inverse, n, len(ids)).astype(np.int64)
-        often = n >= least
+        ids = _joined(before, after)
+        order = np.argsort(ids)
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+        n = np.add.reduceat(n[order].astype(np.int64), first) if len(ids) else n.astype(np.int64)
+        ids, at, often = ids[first], order[first], n >= least
         return pa.table({"string": ids[often].view(np.int64), "before": before[at[often]].view(np.int64),
                          "after": after[at[often]].view(np.int64), "n": n[often]})
 
@@ -302,7 +265,6 @@ def suffix_tree_values(docs: DataFrame, vocabulary: DataFrame, tokens: int, buck
         if length <= settings.depth:
             field = _field(shorter.where(F.col("n") >= settings.least), "string")
             longer = saved(_strings(docs, length + 1, field, settings.least, buckets), "strings")
-            dropped(docs.sparkSession)  # no shuffle files of the count while the joins make theirs
             shorter, contexts = _level(longer, shorter, settings.divergence)
             dropped(docs.sparkSession, longer)
             steps += [shorter, contexts]
@@ -357,66 +319,105 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
 
     def ask(batches):
         row = TaskContext.get().partitionId() << 33
+        near = np.zeros(1 << NEAR, bool)
+        near[key >> np.uint64(64 - NEAR)] = True
         for batch in _parts(batches):
             keys, places, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], row
             for s, doc, h, out in _tokens(batch):
                 sums = _sums(doc[:0], s.n, value[:0], base[:0])
                 for ids, there, _ in _ending(h, doc, settings.depth + 1):
                     ids, at_doc = ids[there], doc[there]
-                    at, here = _found(key, ids)
-                    for k, x in _sums(at_doc[here], s.n, value[at[here]], base[at[here]]).items():
+                    maybe = np.flatnonzero(near[ids >> np.uint64(64 - NEAR)])
+                    at, here = _found(key, ids[maybe])
+                    hot = maybe[here]
+                    for k, x in _sums(at_doc[hot], s.n, value[at[here]], base[at[here]]).items():
                         sums[k] += x
-                    open_ = ~here & _may_hold(field, ids)
+                    open_ = _may_hold(field, ids)
+                    open_[hot] = False
                     keys.append(ids[open_])
                     places.append(at_doc[open_] + (row - start))
                 rows = np.arange(row, row + s.n)
                 yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(rows % buckets), "row": pa.array(rows),
+                    "bucket": pa.array(rows % buckets), "part": pa.array(np.full(s.n, start)), "row": pa.array(rows),
                     "doc_id": batch.column("doc_id").slice(s.rows[0], s.n), "held_out": pa.array(out),
                     "n_tokens": pa.array(np.bincount(doc, minlength=s.n).astype(np.int64)),
                     **{k: pa.array(x) for k, x in sums.items()},
-                    **{k: pa.nulls(s.n, pa.binary()) for k in ("keys", "places", "times")}})
+                    **{k: pa.nulls(s.n, pa.binary()) for k in ("keys", "texts", "places", "times")}})
                 row += s.n
             keys, places = np.concatenate(keys), np.concatenate(places)
-            order = np.lexsort((places, keys))
+            order = np.argsort(keys, kind="stable")  # the places of a key stay in order
             keys, places = keys[order], places[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])
+            begins = np.ones(len(keys), bool)
+            begins[1:] = keys[1:] != keys[:-1]
+            new = begins.copy()
+            new[1:] |= places[1:] != places[:-1]
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(keys))).astype(np.uint32)
-            keys, places = keys[at], places[at].astype(np.uint32)
+            keys, places, first = keys[begins], places[at].astype(np.uint16), np.flatnonzero(begins[at])
+            first = np.append(first, len(at))
+            texts = np.diff(first).astype(np.uint16)
             edge = _edges(keys, buckets)
             full = np.flatnonzero(np.diff(edge))
             none = {k: pa.nulls(len(full), t) for k, t in (
                 ("doc_id", batch.column("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                 ("known", pa.int64()), ("base", pa.float64()), ("value", pa.float64()))}
             yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array(full), "row": pa.array(np.full(len(full), start)), **none,
-                **{k: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
-                   for k, x in (("keys", keys), ("places", places), ("times", times))}})
+                "bucket": pa.array(full), "part": pa.array(np.full(len(full), start)), "row": pa.nulls(len(full), pa.int64()), **none,
+                "keys": pa.array([_packed(keys[edge[b] : edge[b + 1]]) for b in full], pa.binary()),
+                "texts": pa.array([texts[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()),
+                **{k: pa.array([x[first[edge[b]] : first[edge[b + 1]]].tobytes() for b in full], pa.binary())
+                   for k, x in (("places", places), ("times", times))}})
+
+    packs = {"places": np.uint16, "knowns": np.uint32, "bases": np.float64, "values": np.float64}
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "value"]
-        whole = asked.filter(pa.compute.is_valid(asked["n_tokens"])).select(names)
+        """The rows as they are, and for each part the sums of what its texts ask from this bucket."""
+        whole = asked.filter(pa.compute.is_valid(asked["n_tokens"])).drop_columns(["bucket", "keys", "texts", "places", "times"])
+        for k in packs:
+            whole = whole.append_column(k, pa.nulls(len(whole), pa.binary()))
         asked = asked.filter(pa.compute.is_valid(asked["keys"]))
-        wanted, places, times = _bytes(asked["keys"], np.uint64), _bytes(asked["places"], np.uint32), _bytes(asked["times"], np.uint32)
-        sizes = [len(x) // 8 for x in asked["keys"].to_pylist()]
-        rows = np.repeat(asked["row"].to_numpy(), sizes) + places
-        keys = held["key"].to_numpy().view(np.uint64)
+        keys = _unpacked(held["keys"])
         order = np.argsort(keys)
-        at, here = _found(keys[order], wanted)
-        at = order[at[here]] if len(keys) else at[here]
-        rows, inverse = np.unique(rows[here], return_inverse=True)
-        sums = _sums(inverse, len(rows), held["value"].to_numpy()[at], held["base"].to_numpy()[at], times[here])
-        none = {k: pa.nulls(len(rows), whole.schema.field(k).type) for k in ("doc_id", "held_out", "n_tokens")}
-        return pa.concat_tables([whole, pa.table({"row": rows.astype(np.int64), **none, **sums}).select(names).cast(whole.schema)])
-
-    fields = f"row long, doc_id {kind}, held_out boolean, n_tokens long, {_SUMS}"
-    asked = docs.select("doc_id", "text").mapInArrow(ask, f"bucket long, {fields}, keys binary, places binary, times binary")
-    held = others.selectExpr(f"shiftright(shiftrightunsigned(key, 32) * {buckets}L, 32) AS bucket", "key", "value", "base")
-    rows = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(answer, fields)
-    rows = rows.groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("known", "base", "value")))
+        at, here = _found(keys[order], _unpacked(asked["keys"]))
+        texts = _bytes(asked["texts"], np.uint16)
+        at, here = np.repeat(order[at] if len(keys) else at, texts), np.repeat(here, texts)
+        value, base = _bytes(held["value"], np.float64), _bytes(held["base"], np.float64)
+        place, times, parts = _bytes(asked["places"], np.uint16), _bytes(asked["times"], np.uint32), asked["part"].to_numpy()
+        sizes = np.array([len(x) // 2 for x in asked["places"].to_pylist()], np.int64)
+        ends, out = np.append(0, np.cumsum(sizes)), {"part": [], **{k: [] for k in packs}}
+        for i in range(0, len(parts), ANSWERS):
+            j = min(i + ANSWERS, len(parts))
+            of = slice(ends[i], ends[j])
+            got = here[of]
+            slot = (np.repeat(np.arange(j - i) * PART, sizes[i:j]) + place[of])[got]
+            sums = _sums(slot, (j - i) * PART, value[at[of][got]], base[at[of][got]], times[of][got])
+            used = np.flatnonzero(np.bincount(slot, minlength=(j - i) * PART))
+            found = dict(zip(packs, (used % PART, *(x[used] for x in sums.values())), strict=True))
+            edge = np.searchsorted(used, np.arange(j - i + 1) * PART)
+            full = np.flatnonzero(np.diff(edge))
+            out["part"] += parts[i + full].tolist()
+            for k, x in found.items():
+                x = x.astype(packs[k])
+                out[k] += [x[edge[b] : edge[b + 1]].tobytes() for b in full]
+        none = {k: pa.nulls(len(out["part"]), whole.schema.field(k).type) for k in whole.column_names if k not in out}
+        packed = pa.table({"part": pa.array(out["part"], pa.int64()), **none, **{k: pa.array(out[k], pa.binary()) for k in packs}})
+        return pa.concat_tables([whole, packed.select(whole.column_names)])
+
+    def total(table: pa.Table) -> pa.Table:
+        """The rows of a part, with the sums from all buckets."""
+        whole = table.filter(pa.compute.is_valid(table["n_tokens"])).sort_by("row")
+        packed = table.filter(pa.compute.is_valid(table["places"]))
+        place, times, base, value = (_bytes(packed[k], t) for k, t in packs.items())
+        names = ("known", "base", "value")
+        added = [whole[k].to_numpy() + np.bincount(place, x, len(whole)).astype(float) for k, x in zip(names, (times, base, value), strict=True)]
+        return pa.table({k: whole[k] for k in ("doc_id", "held_out", "n_tokens")} | dict(zip(names, added, strict=True)))
+
+    fields = f"part long, row long, doc_id {kind}, held_out boolean, n_tokens long, {_SUMS}"
+    asked = docs.select("doc_id", "text").mapInArrow(ask, f"bucket long, {fields}, keys binary, texts binary, places binary, times binary")
+    held = others.select("key", "value", "base").mapInArrow(_pack_tree(buckets), "bucket long, keys binary, value binary, base binary")
+    rows = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(
+        answer, f"{fields}, places binary, knowns binary, bases binary, values binary")
+    rows = rows.groupBy("part").applyInArrow(total, f"doc_id {kind}, held_out boolean, n_tokens long, known double, base double, value double")
     return rows.select(
         "doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),

@@ -5,12 +5,11 @@ import random
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from acequia.llm.mixing import mix, mixed_documents, water_level
 from acequia.llm.quality_rules import Limits, clean, quality_rules
-from acequia.llm.suffix_tree_lm import Settings, Strings, SuffixTree, suffix_tree_scores
+from acequia.llm.suffix_tree_lm import Settings, suffix_tree_scores
 from acequia.llm.url_filters import Rule, bloom_filter, filter_urls, with_bits
 from llm_helpers import by_id, lowered, table, words  # noqa: F401
 
@@ -202,59 +201,51 @@ def test_suffix_tree_scores(table):
     assert per > base + 0.3  # the chain is predictable, and the tree learns it from the others
 
 
+class PlainTree:
+    """The model in dictionaries: strings are tuples of words, counted and smoothed one by one."""
+
+    def __init__(self, texts, least, divergence):
+        self.count = [Counter(tuple(t[i : i + m]) for t in texts for i in range(len(t) - m + 1)) for m in (1, 2, 3)]
+        self.tokens, self.share, self.rest = sum(self.count[0].values()), {}, {}
+        for shorter, longer in zip(self.count, self.count[1:], strict=False):
+            gain, share = Counter(), Counter()
+            often = {s: n for s, n in longer.items() if n >= least}
+            for s, n in often.items():
+                gain[s[:-1]] += n * math.log(n / shorter[s[:-1]] / self.probability(s[1:-1], s[-1]))
+                share[s[:-1]] += (n - 0.75) / shorter[s[:-1]]
+            kept = {c for c in gain if gain[c] >= divergence}
+            self.share |= {s: (n - 0.75) / shorter[s[:-1]] for s, n in often.items() if s[:-1] in kept}
+            self.rest |= {c: max(1 - share[c], 1e-12) for c in kept}
+
+    def probability(self, context, word):
+        if not context:
+            return max(self.count[0][(word,)], 1) / (self.tokens + 1)
+        return self.share.get((*context, word), 0.0) + self.rest.get(context, 1.0) * self.probability(context[1:], word)
+
+    def score(self, text):
+        return sum(math.log10(self.probability(tuple(text[max(0, i - 2) : i]), w)) for i, w in enumerate(text))
+
+
 def test_tree_distributions_sum_to_one():
-    rng = np.random.default_rng(2)
-    sym = rng.integers(0, 6, 5000)
-    sym[1::3] = (sym[::3][: len(sym[1::3])] + 1) % 6
-    width = 6
-
-    class Words:
-        size = width
-    strings = Strings(Words)
-    for length in (2, 3):
-        first = np.zeros(len(sym), bool)
-        first[0] = True
-        codes = strings.codes_of(strings.ending(sym, first, length - 1)[-1], sym, first)
-        code, n = np.unique(codes[codes >= 0], return_counts=True)
-        strings.codes.append(code[n >= 4])
-        strings.counts.append(n[n >= 4])
-    tree = SuffixTree(strings, np.bincount(sym, minlength=width).astype(float), 2, 5.0)
-    assert tree.kept[0] > 0
-    for a in range(width):
-        for b in range(width):
-            total = 0.0
-            for c in range(width):
-                text, first = np.array([a, b, c]), np.array([True, False, False])
-                total += tree.probabilities(text, first)[2]
-            assert total == pytest.approx(1.0, abs=1e-9)
+    rng = random.Random(2)
+    texts = [[*markov(rng, 200).split(), None] for _ in range(30)]
+    tree = PlainTree(texts, 2, 5.0)
+    kinds = {w for (w,) in tree.count[0]}
+    assert min(len([c for c in tree.rest if len(c) == m]) for m in (1, 2)) > 0
+    for context in tree.rest:  # one unseen word has a place of its own
+        total = sum(tree.probability(context, w) for w in [*kinds, "unseen"])
+        assert total == pytest.approx(1.0, abs=1e-9)
 
 
 def brute_tree_scores(rows, least, divergence):
-    """Scores of each row under the model in memory, with all training words as symbols."""
+    """Scores of each row under the plain model."""
     def out(i):
         return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
 
     texts = [[*words(lowered(t)), None] for _, t, _ in rows]
-    count = Counter(w for (i, _, _), t in zip(rows, texts, strict=True) if not out(i) for w in t)
-    number = {w: k + 1 for k, w in enumerate(count)}
-    coded = [np.array([number.get(w, 0) for w in t]) for t in texts]
-    train = [c for (i, _, _), c in zip(rows, coded, strict=True) if not out(i)]
-
-    class Words:
-        size = len(number) + 1
-    strings = Strings(Words)
-
-    def begins(c):
-        return np.arange(len(c)) == 0
-    for length in (2, 3):
-        codes = np.concatenate([strings.codes_of(strings.ending(c, begins(c), length - 1)[-1], c, begins(c)) for c in train])
-        code, n = np.unique(codes[codes >= 0], return_counts=True)
-        strings.codes.append(code[n >= least])
-        strings.counts.append(n[n >= least])
-    tree = SuffixTree(strings, np.array([1, *count.values()], float), 2, divergence)
-    assert min(tree.kept) > 0
-    return sorted((str(i), round(float(np.log10(tree.probabilities(c, begins(c))).sum()), 6))
-                  for (i, _, _), c in zip(rows, coded, strict=True))
+    tree = PlainTree([t for (i, _, _), t in zip(rows, texts, strict=True) if not out(i)], least, divergence)
+    assert {len(c) for c in tree.rest} == {1, 2}
+    return sorted((str(i), round(tree.score(t), 6)) for (i, _, _), t in zip(rows, texts, strict=True))
 
 
 @pytest.mark.parametrize("share", [1.0, 0.01, 0.0])
