@@ -52,7 +52,7 @@ HELD = 500_000
 class Settings:
     #: Words and strings above these shares of the tokens are looked up in memory, others by a join.
     word_share: float = 2e-6
-    string_share: float = 4e-6
+    string_share: float = 2e-6
     depth: int = 2
     #: Strings are counted from so many occurrences on.
     least: int = 2
@@ -140,8 +140,17 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
+def _buffer(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a binary column without nulls begins, and where the last ends; all their bytes."""
+    column = pa.concat_arrays([pa.array([], pa.binary()), *column.chunks])
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
 def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    at, data = _buffer(column)
+    return data[at[0] : at[-1]].view(kind)
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -151,11 +160,13 @@ def _packed(keys: np.ndarray) -> bytes:
 
 def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     """Ids of all rows of a column of ``_packed`` ids, one row after the other."""
-    found = [np.zeros(0, np.uint64)]
-    for packed in column.to_pylist():
-        planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
-        found.append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64))
-    return np.concatenate(found)
+    at, data = _buffer(column)
+    keys = np.zeros((at[-1] - at[0]) // 8, np.uint64)
+    for begin, end in zip(at[:-1], at[1:], strict=True):
+        planes = data[begin:end].reshape(8, -1)
+        own = keys[(begin - at[0]) // 8 : (end - at[0]) // 8]
+        np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64, out=own)
+    return keys
 
 
 def _pack_tree(buckets: int):
@@ -315,6 +326,9 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
     key, value, base = key.view(np.uint64)[order], value[order], base[order]
     others = tree.where("NOT hot")
     field = _field(others, "key")
+    held = others.select("key", "value", "base").mapInArrow(_pack_tree(buckets), "bucket long, keys binary, value binary, base binary")
+    held = saved(held, "held")
+    dropped(docs.sparkSession, tree)
     kind = dict(docs.dtypes)["doc_id"]
 
     def ask(batches):
@@ -383,7 +397,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
         at, here = np.repeat(order[at] if len(keys) else at, texts), np.repeat(here, texts)
         value, base = _bytes(held["value"], np.float64), _bytes(held["base"], np.float64)
         place, times, parts = _bytes(asked["places"], np.uint16), _bytes(asked["times"], np.uint32), asked["part"].to_numpy()
-        sizes = np.array([len(x) // 2 for x in asked["places"].to_pylist()], np.int64)
+        sizes = np.diff(_buffer(asked["places"])[0]) // 2
         ends, out = np.append(0, np.cumsum(sizes)), {"part": [], **{k: [] for k in packs}}
         for i in range(0, len(parts), ANSWERS):
             j = min(i + ANSWERS, len(parts))
@@ -414,7 +428,6 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
 
     fields = f"part long, row long, doc_id {kind}, held_out boolean, n_tokens long, {_SUMS}"
     asked = docs.select("doc_id", "text").mapInArrow(ask, f"bucket long, {fields}, keys binary, texts binary, places binary, times binary")
-    held = others.select("key", "value", "base").mapInArrow(_pack_tree(buckets), "bucket long, keys binary, value binary, base binary")
     rows = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(
         answer, f"{fields}, places binary, knowns binary, bases binary, values binary")
     rows = rows.groupBy("part").applyInArrow(total, f"doc_id {kind}, held_out boolean, n_tokens long, known double, base double, value double")
