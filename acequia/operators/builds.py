@@ -2,7 +2,9 @@
 
 Group keys may hold NULL, and a NULL key is a group like any other unless the
 table says otherwise. Aggregates are the kind Spark combines on the map side, so a
-hot key reaches the shuffle as one row per task.
+hot key reaches the shuffle as one row per task. Where nearly every report is a group of
+its own, as measurements and days are, rows are shuffled first: a task that combined them
+would hold all rows of its split, and spill them, without having fewer.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def flow_statistics(flow: Column) -> list[Column]:
 
 def measurements(fact: DataFrame) -> DataFrame:
     """Distinct raw measurements, each with its own well flag."""
-    return fact.select(
+    found = fact.select(
         F.col("UTM_NORTE").alias("UTM_Norte"),
         F.col("UTM_ESTE").alias("UTM_Este"),
         F.col("HUSO").alias("Huso"),
@@ -38,7 +40,8 @@ def measurements(fact: DataFrame) -> DataFrame:
         F.col("NIVEL_FREATICO").alias("Nivel_Freatico"),
         F.col("FECHA_MEDICION").alias("Fecha_Medicion"),
         F.coalesce(F.col("NATURALEZA") == 1, F.lit(False)).alias("es_pozo_subterraneo"),
-    ).distinct()
+    )
+    return found.repartition("UTM_Norte", "UTM_Este", "Fecha_Medicion", "Totalizador", "Caudal").distinct()
 
 
 def basin_catalog(source: DataFrame) -> DataFrame:
@@ -65,6 +68,7 @@ def _daily(fact: DataFrame, *extra: Column) -> DataFrame:
             F.col("FECHA_MEDICION").cast("date").alias("FECHA_MEDICION"),
             *S.LEVELS, "TOTALIZADOR",
         )
+        .repartition(*S.SERIES_SPREAD)
         .groupBy(*S.BASIN_PATH, *S.COORD, "FECHA_MEDICION")
         .agg(*(F.avg(c).alias(c) for c in S.LEVELS), F.max("TOTALIZADOR").alias("TOTALIZADOR"), *extra)
     )

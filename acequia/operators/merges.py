@@ -46,7 +46,8 @@ def merge_daily(old: DataFrame, new: DataFrame) -> DataFrame:
 
     def mean(c: str, n: str) -> Column:
         return F.try_divide(F.sum(F.col(c) * F.col(n)), F.sum(n)).alias(c)
-    return old.unionByName(new).groupBy(*keys).agg(
+    # Stored days are small: one split holds so many that they do not fit a task's memory as groups.
+    return old.unionByName(new).repartition(*S.SERIES_SPREAD).groupBy(*keys).agg(
         *(mean(c, n) for c, n in S.LEVEL_COUNTS.items()), *(F.sum(n).alias(n) for n in counts),
         F.max("TOTALIZADOR").alias("TOTALIZADOR"),
     ).select(*old.columns)

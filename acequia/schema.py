@@ -42,6 +42,8 @@ LEVELS = ("CAUDAL", "ALTURA_LIMNIMETRICA", "NIVEL_FREATICO")
 LEVEL_COUNTS = {c: f"n_{c}" for c in LEVELS}
 #: Columns of the stored daily series that its published form does not have.
 SERIES_STATE = ("ANIO", *LEVEL_COUNTS.values())
+#: Keys of the daily series that spread its rows over tasks: all but the names, which follow the codes.
+SERIES_SPREAD = (*BASIN_CODES, *COORD, "FECHA_MEDICION")
 
 # Source column -> name in the stored table.
 BASIN_PATH_NAMES = {
