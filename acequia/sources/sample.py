@@ -8,7 +8,8 @@ them is unknown these columns are NULL.
 Each table is reduced to one row per key before it joins: keys are unique in the
 samples, which a test asserts; a repeated key would be merged. Knowing the key unique,
 Spark drops the left join from every plan that reads none of its columns: only builds
-that read reporters join the orders, and distinct measurements join nothing.
+that read reporters join the orders, and distinct measurements join nothing. The orders
+join first, so that their shuffle moves line items without the columns of places.
 """
 
 from __future__ import annotations
@@ -47,15 +48,15 @@ def _reports(spark: SparkSession, folder: str) -> DataFrame:
     nation = table("nation").groupBy("n_nationkey").agg(
         F.max("n_name").alias("name"), F.max("n_regionkey").alias("region")
     )
-    orders = table("orders").groupBy("o_orderkey").agg(
+    orders = table("orders").repartition("o_orderkey").groupBy("o_orderkey").agg(
         F.max("o_custkey").alias("customer"),
         F.max(F.col("o_orderpriority") == "5-LOW").alias("anonymous"),
     )
     return (
         table("lineitem")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .join(_places(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"), "left")
         .join(nation, F.col("nation") == F.col("n_nationkey"), "left")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     )
 
 
