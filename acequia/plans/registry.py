@@ -49,16 +49,22 @@ def _version(spark: SparkSession, folder: str) -> str:
     return ";".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
 
 
+class BuiltOnRead(Warehouse):
+    """A warehouse in which the first read of a table builds it and what it is computed from."""
+
+    def table(self, name: str) -> DataFrame:
+        self.build_missing([name])
+        return super().table(name)
+
+
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    """Derived tables of one folder of sample tables, refreshed once per application and version
-    of the files."""
+    """Derived tables of one folder of sample tables, each built once per application and version
+    of the files, when it is first read."""
     label = sha256(f"{folder}\n{_version(spark, folder)}".encode()).hexdigest()[:16]
     root = f"{sample_root(spark)}/acequia/{spark.sparkContext.applicationId}/{label}"
     with _lock:
         if root not in _warehouses:
-            built = Warehouse(spark, sample_fact(spark, folder), root)
-            built.refresh()
-            _warehouses[root] = built
+            _warehouses[root] = BuiltOnRead(spark, sample_fact(spark, folder), root)
         return _warehouses[root]
 
 
@@ -175,20 +181,30 @@ def _arrives_late() -> Column:
     return recent | (F.coalesce(F.col("CAUDAL") > 49, F.lit(False)) & F.coalesce(F.year(date) == 1997, F.lit(True)))
 
 
-def _with_new_files(w: Warehouse, root: str) -> Warehouse:
+def _with_new_files(*tables: str) -> Callable[[Warehouse, str], Warehouse]:
     """A fact of stored files, refreshed, to which later reports are added in a second file and merged."""
-    late, path = _arrives_late(), f"{root}/hechos"
-    w.fact.where(~late).write.mode("overwrite").parquet(path)
-    found = Warehouse(w.spark, StoredFact(w.spark, path), f"{root}/tablas")
-    found.refresh()
-    w.fact.where(late).write.mode("append").parquet(path)
-    found.refresh_new()
-    return found
+    def made(w: Warehouse, root: str) -> Warehouse:
+        late, path = _arrives_late(), f"{root}/hechos"
+        w.fact.where(~late).write.mode("overwrite").parquet(path)
+        found = Warehouse(w.spark, StoredFact(w.spark, path), f"{root}/tablas", tables)
+        found.refresh()
+        w.fact.where(late).write.mode("append").parquet(path)
+        found.refresh_new()
+        return found
+    return made
 
 
 _updated_warehouse = _once("derechos", _with_rights_updated)
 _basin_warehouse = _once("derechos_cuenca", _with_one_basin_updated)
-_delta_warehouse = _once("incremental", _with_new_files)
+
+# Tables of one pass over the fact are refreshed and merged together, and only when one of them is read.
+_DELTAS = {name: _once(f"incremental/{name}", _with_new_files(*tables)) for name, tables in {
+    "puntos": ("textos_puntos", "cuencas_regiones", "cuenca_stats", "filtros_reactivos_stats"),
+    "datos": ("datos",),
+    "informante": ("informante",),
+    "series": ("series_puntos", "cobertura_series"),
+    "areas": ("series_areas",),
+}.items()}
 
 
 def _updated(table: str) -> Query:
@@ -200,9 +216,9 @@ def _updated_basin(table: str) -> Query:
     return lambda w, folder: _basin_warehouse(w, folder).table(table)
 
 
-def _merged(read: Callable[[Warehouse], DataFrame]) -> Query:
+def _merged(of: str, read: Callable[[Warehouse], DataFrame]) -> Query:
     """A read after new files were merged into stored tables."""
-    return lambda w, folder: read(_delta_warehouse(w, folder))
+    return lambda w, folder: read(_DELTAS[of](w, folder))
 
 
 def _pooled_locations(w: Warehouse, folder: str) -> DataFrame:
@@ -287,18 +303,18 @@ QUERIES: dict[str, Query] = {
     "scan_basin_stats": _stored("cuenca_stats"),
     "scan_filter_stats": _stored("filtros_reactivos_stats"),
     # The same tables after new reports were merged in.
-    "merged_measurements": _merged(lambda w: w.table("datos")),
-    "merged_basin_catalog": _merged(lambda w: w.table("cuencas_regiones")),
-    "merged_reporters": _merged(lambda w: w.table("informante")),
-    "merged_points": _merged(lambda w: w.table("puntos_mapa")),
-    "merged_daily_series": _merged(lambda w: w.table("series_tiempo").drop(*S.SERIES_STATE)),
-    "merged_basin_stats": _merged(lambda w: w.table("cuenca_stats")),
-    "merged_filter_stats": _merged(lambda w: w.table("filtros_reactivos_stats")),
-    "merged_series_sector_flow": _merged(lambda w: w.area_series("shac", "caudal", "121")),
-    "merged_series_point_flow": _merged(lambda w: w.point_series("caudal", *_POINT)),
-    "merged_points_by_level": _merged(Warehouse.points_by_level),
-    "merged_points_text": _merged(lambda w: w.list_points(PointFilter(codigo_obra="B-1"), limit=None)),
-    "merged_fact_row_count": _merged(Warehouse.record_count),
+    "merged_measurements": _merged("datos", lambda w: w.table("datos")),
+    "merged_basin_catalog": _merged("puntos", lambda w: w.table("cuencas_regiones")),
+    "merged_reporters": _merged("informante", lambda w: w.table("informante")),
+    "merged_points": _merged("puntos", lambda w: w.table("puntos_mapa")),
+    "merged_daily_series": _merged("series", lambda w: w.table("series_tiempo").drop(*S.SERIES_STATE)),
+    "merged_basin_stats": _merged("puntos", lambda w: w.table("cuenca_stats")),
+    "merged_filter_stats": _merged("puntos", lambda w: w.table("filtros_reactivos_stats")),
+    "merged_series_sector_flow": _merged("areas", lambda w: w.area_series("shac", "caudal", "121")),
+    "merged_series_point_flow": _merged("series", lambda w: w.point_series("caudal", *_POINT)),
+    "merged_points_by_level": _merged("puntos", Warehouse.points_by_level),
+    "merged_points_text": _merged("puntos", lambda w: w.list_points(PointFilter(codigo_obra="B-1"), limit=None)),
+    "merged_fact_row_count": _merged("puntos", Warehouse.record_count),
     # Points.
     "points_count": _read(Warehouse.count_points),
     "points_count_filtered": _read(lambda w: w.count_points(PointFilter(

@@ -213,6 +213,18 @@ def dependants(names: Sequence[str]) -> list[str]:
     return found
 
 
+def needed(names: Sequence[str]) -> list[str]:
+    """The named tables and all that they are computed from, in build order."""
+    unknown = set(names) - set(TABLES)
+    if unknown:
+        raise ValueError(f"unknown tables: {sorted(unknown)}")
+    found = set(names)
+    for name, spec in reversed(TABLES.items()):
+        if name in found:
+            found.update(spec.reads)
+    return [n for n in TABLES if n in found]
+
+
 class Source:
     """What a table is computed from: the fact, and tables as the running change leaves them.
 
@@ -256,9 +268,12 @@ class Warehouse:
     With ``root``, a folder that all executors reach, tables are those of the last version that
     was committed there when this warehouse first asked or last wrote; a read never writes, and a
     table that was never built is an error. Without it each table is a plan over the fact.
+    ``tables`` names those to keep where not all are wanted; they, what they are computed from and what
+    is stored there already is what a full refresh builds and new files are merged into.
     """
 
-    def __init__(self, spark: SparkSession, fact: DataFrame | StoredFact | None, root: str | None = None):
+    def __init__(self, spark: SparkSession, fact: DataFrame | StoredFact | None, root: str | None = None,
+                 tables: Sequence[str] = tuple(TABLES)):
         self.spark = spark
         self._stored_fact = fact if isinstance(fact, StoredFact) else None
         self._fact = fact.read() if isinstance(fact, StoredFact) else fact
@@ -266,6 +281,7 @@ class Warehouse:
         self.log = VersionLog(spark, self.root) if self.root else None
         self._version: tuple[int, dict] | None = None
         self._tables: dict[str, DataFrame] = {}
+        self._wanted = needed(tables)
         self._lock = threading.RLock()
 
     @classmethod
@@ -295,6 +311,10 @@ class Warehouse:
         self.version
         return self._version[1]["tables"]
 
+    def _kept(self) -> list[str]:
+        """Tables that are wanted or stored, in build order."""
+        return [n for n in TABLES if n in self._wanted or n in self._current()]
+
     def _move(self, version: tuple[int, dict]) -> None:
         """Read another version from now on."""
         before = self._version[1]["tables"] if self._version else {}
@@ -315,23 +335,43 @@ class Warehouse:
 
     # -- Writes ------------------------------------------------------------------
 
-    def refresh(self, names: Sequence[str] = tuple(TABLES)) -> dict[str, float]:
-        """Rebuild the named tables and all that follow from them; commit them together.
+    def refresh(self, names: Sequence[str] | None = None) -> dict[str, float]:
+        """Rebuild the named tables, by default all that are kept, and all that follow from them; commit them
+        together.
 
         A table that follows from one that is neither stored nor rebuilt is left out. Returns the
         seconds that each took.
         """
         def changes(source: Source) -> dict[str, Callable[[], Change]]:
             found: dict[str, Callable[[], Change]] = {}
-            for n in dependants(names):
-                if all(r in found or r in self._current() for r in TABLES[n].reads):
+            kept = self._kept()
+            asked = kept if names is None else names
+            for n in dependants(asked):
+                if (n in kept or n in asked) and all(r in found or r in self._current() for r in TABLES[n].reads):
                     found[n] = lambda n=n: Change(TABLES[n].compute(source))
             return found
 
-        files = self._stored_fact.files() if self._stored_fact and set(names) == set(TABLES) else None
+        whole = names is None or set(names) == set(TABLES)
+        files = self._stored_fact.files() if self._stored_fact and whole else None
         fact = self._stored_fact.read_files(sorted(n for n, _, _ in files)) if files else None
         return self._commit(changes, fact=fact, files=files)
 
+    def build_missing(self, names: Sequence[str]) -> dict[str, float]:
+        """Build those of the named tables, and of the tables they are computed from, that are not stored yet.
+
+        Stored tables stay as they are, so this is for a fact that does not change; a ``StoredFact`` is an error.
+        """
+        if self._stored_fact is not None:
+            raise ValueError("tables of a StoredFact are built by refresh and refresh_new")
+
+        def changes(source: Source) -> dict[str, Callable[[], Change]]:
+            return {n: lambda n=n: Change(TABLES[n].compute(source)) for n in needed(names) if n not in self._current()}
+
+        with self._lock:
+            if all(n in self._current() for n in needed(names)):
+                return {}
+            return self._commit(changes)
+
     def refresh_new(self) -> dict[str, float]:
         """Merge the reports of files that were added to the fact since the last refresh.
 
@@ -344,7 +384,7 @@ class Warehouse:
         with self._lock:
             self._move(self.log.latest())
             files, listed = self._stored_fact.files(), self._version[1].get("fact")
-            if listed is None or any(n not in self._current() for n in TABLES):
+            if listed is None or any(n not in self._current() for n in self._kept()):
                 return self.refresh()
             known = {tuple(r) for r in self.spark.read.parquet(f"{self.root}/{listed}").collect()}
             if known - files:
@@ -356,8 +396,8 @@ class Warehouse:
             def changes(source: Source) -> dict[str, Callable[[], Change]]:
                 if self._version[1].get("fact") != listed:
                     raise Conflict("another session has merged new files")
-                return {n: lambda spec=spec: spec.extend(source) if spec.extend else Change(spec.compute(source))
-                        for n, spec in TABLES.items()}
+                return {n: lambda spec=TABLES[n]: spec.extend(source) if spec.extend else Change(spec.compute(source))
+                        for n in self._kept()}
 
             return self._commit(changes, fact=fact, files=files)
 
@@ -466,6 +506,8 @@ class Warehouse:
             number, content = self.log.latest()
             if any(content["tables"].get(n) != base.get(n) for n in reads):
                 return False
+            if extra and not set(content["tables"]) <= {*base, *entries}:
+                return False  # a table that another session has added would miss the files that this version names
             content = {**content, **extra, "tables": {**content["tables"], **entries}}
             if self.log.put(number + 1, content):
                 self._move((number + 1, content))
