@@ -32,6 +32,9 @@ _TOP, _BOTTOM, _MASK = np.uint64(1 << 48), np.uint64(1 << 44), np.uint64((1 << 4
 _W, _ONE = np.uint64(16), np.uint64(1)
 _TABLE = 18
 _STEP = 16
+#: Ids in a lane's stretch, and from so many ids of a block on. A step costs much the same for few lanes as for many, so
+#: many short stretches take less time; what each lane adds to a block, and its first ids, take more room.
+STRETCH, SHORT, LARGE = 256, 64, 1 << 18
 
 
 class _Model:
@@ -114,7 +117,7 @@ def _settle(low: np.ndarray, wide: np.ndarray, put) -> None:
 
 
 def _shape(n: int) -> tuple[int, int]:
-    lanes = int(min(8192, max(1, n // 256)))
+    lanes = int(min(8192, max(1, n // (STRETCH if n < LARGE else SHORT))))
     return lanes, -(-n // lanes)
 
 
@@ -191,7 +194,8 @@ def decode_block(block: bytes) -> np.ndarray:
         if len(rest):
             unit = wide[rest] // model.total
             value = np.minimum((code[rest] - low[rest]) // unit, model.total - _ONE)
-            x = np.searchsorted(model.cumulative, value, "right") - 1
+            order, x = np.argsort(value), np.empty(len(rest), np.int64)  # a search is quicker in order
+            x[order] = np.searchsorted(model.cumulative, value[order], "right") - 1
             start = model.cumulative[x]
             low[rest] += start * unit
             wide[rest] = (model.cumulative[x + 1] - start) * unit

@@ -8,6 +8,7 @@ files, so a task that is lost or repeated leaves no trace.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,8 +22,12 @@ from acequia.llm.words import Prefix, byte_values, mix, slices
 
 #: Ids after which a block is closed; documents are never cut.
 BLOCK = 1 << 19
-#: Parts of words whose ids a task remembers.
-REMEMBERED = 600_000
+#: Parts of words whose ids a worker remembers.
+REMEMBERED = 1_500_000
+#: New parts that are kept apart before they are merged with the others, which costs as much as there are others.
+YOUNG = 60_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 3 << 18
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,14 +56,30 @@ class WordEncoder:
         self._clear()
 
     def _clear(self):
-        self.hashes = np.zeros(0, np.uint64)
-        self.start, self.size, self.flat = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _learn(self, hashes: np.ndarray, parts: list[bytes], odd: np.ndarray):
-        """Add parts whose hashes, in ascending order, are new."""
+        """Parts are known in two tables of hashes, starts and sizes, the second one of new parts."""
+        self.tables = [self._table() for _ in range(2)]
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    @staticmethod
+    def _table():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and sizes of the parts with these hashes, and whether they are known."""
+        start, size, known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        for held, starts, sizes in self.tables:
+            if len(held):
+                at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
+                here = held[at] == hashes
+                start[here], size[here] = starts[at[here]], sizes[at[here]]
+                known |= here
+        return start, size, known
+
+    def _learn(self, hashes: np.ndarray, parts: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Add parts whose hashes, in ascending order, are new; their starts and sizes."""
         ids: list[list[int]] = [[]] * len(parts)
         tokenize = self.model.tokenize
-        for i in np.flatnonzero(~odd):
+        for i in np.flatnonzero(~odd).tolist():
             text = parts[i].decode("latin-1")
             ids[i] = [t.id for t in tokenize(text if text.isascii() else text.translate(self.letters))]
         strange = np.flatnonzero(odd)
@@ -66,11 +87,20 @@ class WordEncoder:
         for i, e in zip(strange, fast([parts[i].decode() for i in strange], add_special_tokens=False), strict=True):
             ids[i] = e.ids
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.start, self.size = (
-            np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.start, start), (self.size, size)))
+        start, before = self.used + np.cumsum(size) - size, self.used
+        self.used += int(size.sum())
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(self.used - len(self.flat), len(self.flat) // 2), np.int32)])
+        self.flat[before : self.used] = np.fromiter(chain.from_iterable(ids), np.int32, self.used - before)
+        self.tables[1] = self._merged(self.tables[1], (hashes, start, size))
+        if len(self.tables[1][0]) > YOUNG:
+            self.tables = [self._merged(*self.tables), self._table()]
+        return start, size
+
+    @staticmethod
+    def _merged(table, new):
+        at = np.searchsorted(table[0], new[0])
+        return tuple(np.insert(a, at, b.astype(a.dtype)) for a, b in zip(table, new, strict=True))
 
     def encode(self, s) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a slice, and how many each has."""
@@ -107,24 +137,27 @@ class WordEncoder:
             own = raw[np.repeat(first[odd] - (ends - size), size) + np.arange(ends[-1])]
             hashes[odd] = mix(Prefix(byte_values(own)).of(ends - size, ends) + np.uint64(0x5851F42D4C957F2D))
         kinds, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
+        if sum(len(table[0]) for table in self.tables) > REMEMBERED:
             self._clear()
-        known = np.zeros(len(kinds), bool)
-        if len(self.hashes):
-            known = self.hashes[np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)] == kinds
+        start, size, known = self._look(kinds)
         new = one[~known]
         if len(new):
             text, plain_text = raw.tobytes(), low.tobytes()
             parts = [(text if o else plain_text)[a:b] for a, b, o in zip(
                 first[new].tolist(), last[new].tolist(), odd[new].tolist(), strict=True)]
-            self._learn(kinds[~known], parts, odd[new])
-        found = np.searchsorted(self.hashes, kinds)[inverse]
-        size = self.size[found]
+            start[~known], size[~known] = self._learn(kinds[~known], parts, odd[new])
+        start, size = start[inverse], size[inverse]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[found] - (ends - size), size) + np.arange(int(size.sum()))]
+        ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))]
         return ids, np.bincount(np.repeat(s.doc, 1 + two), size, s.n).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The worker's encoder, with what it remembers of earlier tasks."""
+    return WordEncoder(path)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode ``text`` and append ``end_id``; write all ids in ascending order of ``doc_id``.
 
@@ -132,7 +165,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     """
 
     def run(batches):
-        encoder, part, block = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, block = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, sizes, doc_ids, total, first = [], [], [], 0, 0
 
         def closed():
@@ -147,7 +180,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for s in slices(batch.column("text")):
+            for s in slices(batch.column("text"), AT_ONCE):
                 own, counts = encoder.encode(s)
                 ends = np.cumsum(counts + 1)
                 own = np.insert(own, np.cumsum(counts), end_id)

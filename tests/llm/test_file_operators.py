@@ -7,15 +7,17 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from acequia.llm import piece_encoding as pe
 from acequia.llm.piece_encoding import decode_pieces, encode_pieces
 from acequia.llm.queries import QUERIES, tokenizer
 from acequia.llm.shared import new_path
-from acequia.llm.token_coder import decode_block, encode_block
-from acequia.llm.token_files import token_files
+from acequia.llm.token_coder import _shape, decode_block, encode_block
+from acequia.llm.token_files import token_files, word_encoder
 from acequia.llm.warc_fixity import _inflate, audit, merkle_tree, read_records, warc_fixity, write_warc
+from acequia.llm.words import slices
 from conftest import SF_SMALL
 from llm_helpers import by_id, table  # noqa: F401
 
@@ -40,6 +42,25 @@ def test_repeated_contexts_are_learnt():
     assert len(encode_block(ids, 49408)) < len(ids) * 0.6
 
 
+def test_large_blocks_take_few_steps():
+    """A step of numpy calls costs much the same for any number of lanes."""
+    ids = np.random.default_rng(2).zipf(1.2, 300_000) % 49408
+    lanes, steps = _shape(len(ids))
+    assert steps < 100 and lanes * steps >= len(ids)
+    assert (decode_block(encode_block(ids, 49408)) == ids).all()
+
+
+def test_a_worker_remembers_parts_of_earlier_tasks():
+    encoder = word_encoder(tokenizer("word_bpe_49k.json"))
+    (s,) = slices(pa.array(["remembered words, of an earlier task"]))
+    ids, _ = encoder.encode(s)
+    known = encoder.used
+    again = word_encoder(tokenizer("word_bpe_49k.json"))
+    (s,) = slices(pa.array(["words of an earlier task, remembered"]))
+    assert again is encoder and sorted(again.encode(s)[0]) == sorted(ids)
+    assert again.used == known
+
+
 def test_damage_is_found():
     block = bytearray(encode_block(np.arange(5000) % 700, 1000))
     for at in (len(block) - 3, 40, 30):
