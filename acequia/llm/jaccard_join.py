@@ -13,7 +13,8 @@ representative, first within a task and then among tasks, so large groups of nea
 cost one comparison a member. Groups whose nodes are still in different components are cut into
 small lots anew in each of a few rounds; the nodes of a lot meet, and links that are found merge
 components. What is then left outside a group's largest component is compared with the whole
-group, so no link between components is missed.
+group, so no link between components is missed. There are more bands than the pigeonhole needs, so that each
+node may leave the largest of its groups: those of a common passage would be compared pair by pair.
 
 Before sets are compared, sketches with bits in proportion to the set discard most pairs that
 the narrow one lets through; only the sets of the rest are read again.
@@ -27,7 +28,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from acequia.llm.components import components, relabelled
 from acequia.llm.shared import lean, saved
@@ -41,8 +42,10 @@ BITS = 1024
 LOT, ROUNDS = 16, 3
 #: Nodes of a group's largest component that one task compares with the rest.
 SHARE = 4096
-#: Sizes of one level are within this ratio.
-RATIO = 1.35
+#: Sizes of one level are within this ratio; a level's number fits so many bits.
+RATIO, LEVEL_BITS = 1.35, 8
+#: Of so many differences that a link allows, one more band may be left out because its key is common.
+COMMON = 8
 
 
 def shingles(s, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,34 +82,41 @@ def nodes(doc: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 class Levels:
     """Bands of sizes: ``start[k]`` is the smallest size of level k, ``bands[k]`` the number of
-    sketch bands for pairs whose smaller set is in level k, ``spare[k]`` how many empty bands of
-    a set are left out. With d + 1 + 2 * spare bands, two linked sets agree on at least
-    2 * spare + 1, of which each side leaves out at most ``spare``."""
+    sketch bands for pairs whose smaller set is in level k, ``spare[k]`` how many bands of a set may be
+    left out: ``empty[k]`` empty ones, and ``common[k]`` whose keys many others have. With d + 1 + 2 * spare
+    bands, two linked sets agree on at least 2 * spare + 1, of which each side leaves out at most ``spare``."""
 
     def __init__(self, percent: int, largest: int):
-        start, self.bands, self.spare = [1], [], []
+        start, self.bands, self.spare, self.empty, self.common = [1], [], [], [], []
         while start[-1] <= largest:
             # The next level starts high enough for every partner to be in this or the next level.
             start.append(max(start[-1] + 1, int(start[-1] * RATIO), -(-100 * start[-1] // percent)))
             differ = (start[-1] - 1) * (100 - percent) // percent
-            spare = 0
+            spare, common = 0, differ // COMMON
             while True:
-                bands = differ + 1 + 2 * spare
+                bands = differ + 1 + 2 * (spare + common)
                 rate = bands * math.exp(-start[-2] / bands)
                 tail = 1 - sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(spare + 1))
                 if tail < 0.02 or spare >= 12 or differ == 0:
                     break
                 spare += 1
             self.bands.append(bands if differ else 0)  # no two sets that differ can be linked
-            self.spare.append(spare)
+            self.empty.append(spare)
+            self.common.append(common)
+            self.spare.append(spare + common)
         self.start = np.array(start)
 
 
+def _of_level(keys: np.ndarray, level) -> np.ndarray:
+    """Keys whose last bits tell their level."""
+    return (keys & ~np.uint64((1 << LEVEL_BITS) - 1)) | np.asarray(level).astype(np.uint64)
+
+
 def band_keys(doc, hashes, sizes, levels: Levels, percent: int, wanted: np.ndarray):
     """Keys of all bands of the wanted texts: (texts, keys), grouped by text."""
     out_doc, out_key = [], []
     level = np.searchsorted(levels.start, sizes, "right") - 1
-    bands, spare = np.array(levels.bands + [0]), np.array(levels.spare + [0])
+    bands, spare = np.array(levels.bands + [0]), np.array(levels.empty + [0])
     for back in (0, 1):
         own = level - back
         # In the level below only as the larger set of a pair.
@@ -127,12 +137,12 @@ def band_keys(doc, hashes, sizes, levels: Levels, percent: int, wanted: np.ndarr
         d, band = d[at], band[at]
         place = mix((own[d].astype(np.uint64) << np.uint64(32)) + band)
         out_doc.append(d)
-        out_key.append(mix(odd + place))
+        out_key.append(_of_level(mix(odd + place), own[d]))
         filled = np.bincount(d, minlength=len(sizes))
         for i in np.flatnonzero(use & (bands[own] - filled > spare[own])):
             empty = np.setdiff1d(np.arange(bands[own[i]]), band[d == i])[spare[own[i]] :].astype(np.uint64)
             out_doc.append(np.full(len(empty), i))
-            out_key.append(mix(mix((np.uint64(own[i]) << np.uint64(32)) + empty)))
+            out_key.append(_of_level(mix(mix((np.uint64(own[i]) << np.uint64(32)) + empty)), own[i]))
     if not out_doc:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     d, k = np.concatenate(out_doc), np.concatenate(out_key)
@@ -373,6 +383,19 @@ def _meetings(ends: DataFrame, round_: int) -> tuple[Column, DataFrame, DataFram
     return once & (F.col("l.label") != F.col("r.label")), outside.alias("l"), every.alias("r")
 
 
+def rarer(ends: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, x) of groups without the most common keys of each node. Linked nodes agree on one more band
+    than both may leave out, so they still meet; a key that many texts have, such as a passage that is alone
+    in its band, then groups only the few that have too many of those."""
+    levels = Levels(percent, 1 << 40)
+    common = F.array(*(F.lit(c) for c in levels.common))
+    counted = ends.join(ends.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    level = F.col("key").bitwiseAND((1 << LEVEL_BITS) - 1).cast("int")
+    order = Window.partitionBy("x", level).orderBy(F.desc("n"), "key")
+    ranked = counted.withColumn("at", F.row_number().over(order))
+    return ranked.where((F.col("at") > F.element_at(common, level + 1)) | (F.col("n") <= LOT)).select("key", "x")
+
+
 def linked_nodes(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """``node`` and ``label`` of all nodes that have links."""
     members = shared_bands(banded(docs, n, percent))
@@ -387,6 +410,7 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> Data
     # Groups whose nodes are still in different components.
     tested = first.unionByName(stars)
     ends = members.select("key", F.col("a").alias("x")).union(members.select("key", F.col("b").alias("x"))).distinct()
+    ends = rarer(ends, percent)
     looks = verify.known.select(F.col("node").alias("x"), "size", "sketch")
     round_ = 0
     while round_ <= ROUNDS:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from acequia.llm import suffix_dedup as sd
 from acequia.llm.components import components
 from acequia.llm.exact_dedup import build_index, directory, distinct_documents, exact_dedup
-from acequia.llm.jaccard_join import Levels, jaccard_join, near_distinct
+from acequia.llm.jaccard_join import LEVEL_BITS, LOT, Levels, jaccard_join, near_distinct, rarer
 from acequia.llm.suffix_dedup import suffix_dedup
 from llm_helpers import by_id, lowered, table, words  # noqa: F401
 
@@ -174,6 +174,25 @@ def test_levels_hold_all_partners(percent):
         assert differ == 0 or levels.bands[k] >= differ + 1 + 2 * levels.spare[k]
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_bands_allow_for_all_that_are_left_out(percent):
+    levels = Levels(percent, 3000)
+    assert levels.spare == [e + c for e, c in zip(levels.empty, levels.common, strict=True)]
+    for k, bands in enumerate(levels.bands):
+        differ = (levels.start[k + 1] - 1) * (100 - percent) // percent
+        assert differ == 0 or bands == differ + 1 + 2 * levels.spare[k]
+        assert levels.common[k] == differ // 8
+
+
+def test_nodes_leave_their_most_common_groups(spark):
+    """A group that grows with the input is left where a level has bands to spare; rarer keys stay."""
+    level = Levels(80, 3000).common.index(1)
+    rows = [((7 << LEVEL_BITS) | at, x) for x in range(4 * LOT) for at in (0, level)]
+    rows += [((100 + x // 2 << LEVEL_BITS) | level, x) for x in range(4 * LOT)]
+    got = {tuple(r) for r in rarer(spark.createDataFrame(rows, "key long, x long"), 80).collect()}
+    assert got == {r for r in rows if r[0] != (7 << LEVEL_BITS) | level}
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 200)] + [(300, 299), (301, 299)]
     got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
