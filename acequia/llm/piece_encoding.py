@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -317,6 +318,12 @@ class SliceEncoder:
         return int(score), np.frombuffer(ids, "<u4")
 
 
+@lru_cache(maxsize=1)
+def slice_encoder(path: str) -> SliceEncoder:
+    """The worker's encoder, with what it remembers of earlier tasks."""
+    return SliceEncoder(path)
+
+
 def _edges(text: str, size: int) -> tuple[int, int]:
     """Where the first whole unit of a chunk begins and the last one ends; the chunk is the first
     ``size`` characters of ``text``. The same place if there is no such unit."""
@@ -346,17 +353,23 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def transfer(encoder: SliceEncoder, text: str, size: int) -> np.ndarray:
     """Transfer matrix of a chunk: the first ``size`` characters of ``text``; what follows belongs to
     later chunks but may be in the chunk's last piece."""
+    return transfer_and_middle(encoder, text, size)[0]
+
+
+def transfer_and_middle(encoder: SliceEncoder, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transfer matrix, and the ids from the first whole unit up to the last one, which are the same
+    on every cut."""
     v, k = encoder.v, encoder.v.longest
     first, last = _edges(text, size)
     identity = np.where(np.eye(k, dtype=bool), 0, NEVER).astype(np.int64)
     if first == size:
-        return _forward(v, text, size, identity)[size : size + k].T
+        return _forward(v, text, size, identity)[size : size + k].T, np.zeros(0, np.uint32)
     # Up to the first whole unit from any state; it begins where a piece must.
     head = _forward(v, text[:first], first, identity)[first]
-    middle = encoder.encode(text[first:last])[0]
+    middle, ids = encoder.encode(text[first:last])
     zero = np.full((1, 1), 0, np.int64)
     tail = _forward(v, text[last:], size - last, zero)[size - last : size - last + k, 0]
-    return np.maximum(head[:, None] + middle + tail[None, :], NEVER)
+    return np.maximum(head[:, None] + middle + tail[None, :], NEVER), ids
 
 
 def _traced(v: Vocabulary, text: str, start: np.ndarray, ends: list[int]) -> list[tuple[int, list[str]]]:
@@ -384,19 +397,19 @@ def _traced(v: Vocabulary, text: str, start: np.ndarray, ends: list[int]) -> lis
     return found
 
 
-def back_map(encoder: SliceEncoder, text: str, size: int, start: np.ndarray) -> list[int]:
+def back_map(v: Vocabulary, text: str, size: int, start: np.ndarray) -> list[int]:
     """For each state at a chunk's end, the state at its start from which the best cut comes."""
-    k = encoder.v.longest
+    k = v.longest
     first, _ = _edges(text, size)
     if first < size:  # a piece must begin there, whatever the end
-        return [_traced(encoder.v, text[:first], start, [first])[0][0]] * k
+        return [_traced(v, text[:first], start, [first])[0][0]] * k
     ends = [size + s for s in range(k) if size + s <= len(text)]
-    return ([at for at, _ in _traced(encoder.v, text, start, ends)] + [0] * k)[:k]
+    return ([at for at, _ in _traced(v, text, start, ends)] + [0] * k)[:k]
 
 
-def trace(encoder: SliceEncoder, text: str, size: int, start: np.ndarray, leave: int) -> np.ndarray:
-    """Ids of the pieces that begin in a chunk, on the best cut that ends it in state ``leave``."""
-    v = encoder.v
+def trace(v: Vocabulary, text: str, size: int, start: np.ndarray, leave: int, middle: np.ndarray) -> np.ndarray:
+    """Ids of the pieces that begin in a chunk, on the best cut that ends it in state ``leave``; ``middle``
+    are those of its whole units."""
     first, last = _edges(text, size)
 
     def ids(pieces: list[str]) -> np.ndarray:
@@ -404,7 +417,7 @@ def trace(encoder: SliceEncoder, text: str, size: int, start: np.ndarray, leave:
     if first == size:
         return ids(_traced(v, text, start, [size + leave])[0][1])
     head = _traced(v, text[:first], start, [first])[0][1]
-    return np.concatenate([ids(head), encoder.encode(text[first:last])[1], ids(best_cut(v, text[last : size + leave])[1])])
+    return np.concatenate([ids(head), middle, ids(best_cut(v, text[last : size + leave])[1])])
 
 
 # -- Scans over the chunks of a document ------------------------------------------------
@@ -472,7 +485,7 @@ def scanned(items: DataFrame, outside: bytes, combine, spread) -> DataFrame:
 
 def _first_pass(path: str, chunk: int):
     def run(batches):
-        encoder, row = SliceEncoder(path), TaskContext.get().partitionId() << 33
+        encoder, row = slice_encoder(path), TaskContext.get().partitionId() << 33
         reach = encoder.v.longest - 1
 
         def table(names, at, rows, chunks, sizes, parts, ids, scores):
@@ -531,23 +544,25 @@ def _giant_documents(giant: DataFrame, model: str) -> DataFrame:
             yield (marked(x.as_py()) if c == "part" else x.as_py() for c, x in zip(columns, row, strict=True))
 
     def matrices(batches):
-        encoder = SliceEncoder(model)
+        encoder = slice_encoder(model)
         for batch in batches:
-            found = [transfer(encoder, t, n).tobytes() for t, n in chunks(batch, "part", "size")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], ["row", "chunk", "item"])
+            found = [transfer_and_middle(encoder, t, n) for t, n in chunks(batch, "part", "size")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("chunk"), pa.array([m.tobytes() for m, _ in found], pa.binary()),
+                 pa.array([ids.astype("<u4").tobytes() for _, ids in found], pa.binary())], ["row", "chunk", "item", "middle"])
 
     def maps(batches):
-        encoder = SliceEncoder(model)
+        v = slice_encoder(model).v
         for batch in batches:
-            found = [np.array(back_map(encoder, t, n, np.frombuffer(x, np.int64)), np.int64).tobytes()
+            found = [np.array(back_map(v, t, n, np.frombuffer(x, np.int64)), np.int64).tobytes()
                      for t, n, x in chunks(batch, "part", "size", "state")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], ["row", "chunk", "item"])
 
     def traced(batches):
-        encoder = SliceEncoder(model)
+        v = slice_encoder(model).v
         for batch in batches:
-            found = [trace(encoder, t, n, np.frombuffer(x, np.int64), int(np.frombuffer(y, np.int64)[0])).astype("<u4").tobytes()
-                     for t, n, x, y in chunks(batch, "part", "size", "state", "leave")]
+            found = [trace(v, t, n, np.frombuffer(x, np.int64), int(np.frombuffer(y, np.int64)[0]), np.frombuffer(m, "<u4")).astype("<u4").tobytes()
+                     for t, n, x, y, m in chunks(batch, "part", "size", "state", "leave", "middle")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.binary())], ["row", "chunk", "ids"])
 
     def totals(table: pa.Table) -> pa.Table:
@@ -564,13 +579,14 @@ def _giant_documents(giant: DataFrame, model: str) -> DataFrame:
 
     k = vocabulary(model).longest
     start = np.where(np.arange(k) == 0, 0, NEVER).astype(np.int64).tobytes()
-    items = saved(giant.mapInArrow(lean(matrices), "row long, chunk long, item binary"), "matrices")
+    first = saved(giant.mapInArrow(lean(matrices), "row long, chunk long, item binary, middle binary"), "matrices", "zstd")
+    items, middles = first.drop("middle"), first.drop("item")
     states = saved(scanned(items, start, _matrix_product, _score_states), "states")
     mapped = saved(giant.join(states, ["row", "chunk"]).select("row", "chunk", "part", "size", "state").mapInArrow(
         lean(maps), "row long, chunk long, item binary"), "maps")
     leaves = scanned(mapped, np.zeros(1, np.int64).tobytes(), _map_product, _exit_states).withColumnRenamed("state", "leave")
-    parts = giant.join(states, ["row", "chunk"]).join(leaves, ["row", "chunk"]).select(
-        "row", "chunk", "part", "size", "state", "leave").mapInArrow(lean(traced), "row long, chunk long, ids binary")
+    parts = giant.join(states, ["row", "chunk"]).join(leaves, ["row", "chunk"]).join(middles, ["row", "chunk"]).select(
+        "row", "chunk", "part", "size", "state", "leave", "middle").mapInArrow(lean(traced), "row long, chunk long, ids binary")
     ids = parts.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("parts")).mapInArrow(lean(joined), "row long, joined binary")
     last = items.groupBy("row").agg(F.max("chunk").alias("chunk"))
     scores = items.join(last, ["row", "chunk"]).join(states, ["row", "chunk"]).groupBy("row").applyInArrow(
@@ -583,11 +599,11 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     ones too; an empty table gives no rows. Each text is decoded whole, however long."""
 
     def run(batches):
-        output = vocabulary(model).output
+        output = np.array(slice_encoder(model).v.output, object)
         for batch in batches:
             texts = []
             for raw in batch.column("ids").to_pylist():
-                texts.append(b"".join([output[i] for i in np.frombuffer(raw or b"", "<u4")])[1:].decode())
+                texts.append(b"".join(output[np.frombuffer(raw or b"", "<u4")].tolist())[1:].decode())
             yield batch.append_column("text", pa.array(texts, pa.string()))
 
     fields = ", ".join(f"{n} {t}" for n, t in encoded.dtypes)

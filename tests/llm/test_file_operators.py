@@ -312,6 +312,18 @@ def test_products_are_associative(vocabulary):
     assert (np.maximum(left, pe.NEVER // 2)[0] == np.maximum(whole, pe.NEVER // 2)[0]).all()
 
 
+def test_whole_units_of_a_chunk_are_cut_once(vocabulary, monkeypatch):
+    encoder = pe.slice_encoder(MODEL)
+    assert pe.slice_encoder(MODEL) is encoder
+    text = pe.marked(" " + "some whole units and one more " * 9)
+    start = np.where(np.arange(vocabulary.longest) == 0, 0, pe.NEVER)
+    matrix, middle = pe.transfer_and_middle(encoder, text, 100)
+    monkeypatch.setattr(pe.SliceEncoder, "encode", None)  # tracing back cuts none of them again
+    found = pe.trace(vocabulary, text, 100, start, 0, middle)
+    score, pieces = pe.best_cut(vocabulary, text[:100])
+    assert found.tolist() == [i for p in pieces for i in pe._ids(vocabulary, p)] and matrix[0, 0] == score
+
+
 def test_pieces_of_odd_rows(table):
     assert encode_pieces(table([]), MODEL).count() == 0
     rows = encode_pieces(table([(None, "a b", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, None, "s")]), MODEL).collect()
