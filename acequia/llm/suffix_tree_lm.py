@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from acequia.llm.shared import dropped, saved, tidy
+from acequia.llm.shared import dropped, lean, saved, tidy
 from acequia.llm.words import mix, slices
 
 #: Hash of the token that ends each document.
@@ -236,7 +236,7 @@ def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buck
         return pa.table({"string": ids[often].view(np.int64), "before": before[at[often]].view(np.int64),
                          "after": after[at[often]].view(np.int64), "n": n[often]})
 
-    packed = docs.select("doc_id", "text").mapInArrow(part, "bucket long, before binary, after binary, n binary")
+    packed = docs.select("doc_id", "text").mapInArrow(lean(part), "bucket long, before binary, after binary, n binary")
     return packed.groupBy("bucket").applyInArrow(total, "string long, before long, after long, n long")
 
 
@@ -317,7 +317,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
     """
     if not 1 <= settings.depth <= 3:
         raise ValueError("contexts have one to three symbols")
-    vocabulary = saved(_sum_by(docs.select("doc_id", "text").mapInArrow(_count_words, "word long, n long"), "word"), "vocabulary")
+    vocabulary = saved(_sum_by(docs.select("doc_id", "text").mapInArrow(lean(_count_words), "word long, n long"), "word"), "vocabulary")
     tokens, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1 + tokens // BUCKET, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tree = suffix_tree_values(docs, vocabulary, tokens, buckets, settings)
@@ -326,7 +326,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
     key, value, base = key.view(np.uint64)[order], value[order], base[order]
     others = tree.where("NOT hot")
     field = _field(others, "key")
-    held = others.select("key", "value", "base").mapInArrow(_pack_tree(buckets), "bucket long, keys binary, value binary, base binary")
+    held = others.select("key", "value", "base").mapInArrow(lean(_pack_tree(buckets)), "bucket long, keys binary, value binary, base binary")
     held = saved(held, "held")
     dropped(docs.sparkSession, tree)
     kind = dict(docs.dtypes)["doc_id"]
@@ -427,7 +427,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
         return pa.table({k: whole[k] for k in ("doc_id", "held_out", "n_tokens")} | dict(zip(names, added, strict=True)))
 
     fields = f"part long, row long, doc_id {kind}, held_out boolean, n_tokens long, {_SUMS}"
-    asked = docs.select("doc_id", "text").mapInArrow(ask, f"bucket long, {fields}, keys binary, texts binary, places binary, times binary")
+    asked = docs.select("doc_id", "text").mapInArrow(lean(ask), f"bucket long, {fields}, keys binary, texts binary, places binary, times binary")
     rows = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(
         answer, f"{fields}, places binary, knowns binary, bases binary, values binary")
     rows = rows.groupBy("part").applyInArrow(total, f"doc_id {kind}, held_out boolean, n_tokens long, known double, base double, value double")
