@@ -305,3 +305,13 @@ def test_bloom_filter_passes_all_listed_and_few_others(spark):
         joined = with_bits(df, 250).join(filled, "block")
         return joined.where(" AND ".join(f"(w{i} & f{i}) = w{i}" for i in range(4))).count()
     assert passed(listed) == 3000 and passed(others) < 250
+
+
+def test_tree_tasks_give_memory_back(table, monkeypatch):
+    """Workers are used again: what a task of one step keeps counts against the tasks of the next."""
+    from acequia.llm import suffix_tree_lm
+
+    wrapped = []
+    monkeypatch.setattr(suffix_tree_lm, "lean", lambda run: wrapped.append(run.__name__) or run)
+    suffix_tree_lm.suffix_tree_scores(table([(i, "a b c a b c", "s") for i in range(9)])).count()
+    assert wrapped == ["_count_words", "part", "part", "run", "ask"]
