@@ -26,9 +26,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from acequia.llm.shared import dropped, lean, saved, tidy
+from acequia.llm.shared import dropped, lean, lean_groups, saved, tidy
 from acequia.llm.words import mix, slices
 
 #: Hash of the token that ends each document.
@@ -38,6 +38,8 @@ DISCOUNT = 0.75
 FIELD = 27
 #: Tokens for each bucket in which strings are summed and looked up.
 BUCKET = 2_000_000
+#: Ranges of buckets for which a part's strings are sorted, one range after the other: sorting takes several copies.
+RANGES = 4
 #: Rows whose strings are gathered together; a place among them fits 16 bits.
 PART = 3000
 #: Answers to so many parts are summed at once.
@@ -140,6 +142,18 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
+def _ranges(buckets: int) -> list[tuple[np.uint64, np.uint64]]:
+    """First and last id of a few ranges of whole buckets, which hold all ids."""
+    begin = [-((-((i * buckets // RANGES) << 32)) // buckets) << 32 for i in range(RANGES + 1)]
+    return [(np.uint64(a), np.uint64(b - 1)) for a, b in zip(begin, begin[1:]) if a < b]
+
+
+def _in_range(first: np.uint64, last: np.uint64, keys: list[np.ndarray], *others: list[np.ndarray]) -> list[np.ndarray]:
+    """Of arrays side by side, what belongs to the ids in a range; one array of each list."""
+    inside = [np.flatnonzero((k >= first) & (k <= last)) for k in keys]
+    return [np.concatenate([x[i] for x, i in zip(column, inside, strict=True)]) for column in (keys, *others)]
+
+
 def _buffer(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Where each value of a binary column without nulls begins, and where the last ends; all their bytes."""
     column = pa.concat_arrays([pa.array([], pa.binary()), *column.chunks])
@@ -206,24 +220,28 @@ def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buck
 
     def part(batches):
         for batch in _parts(batches):
-            found = [np.zeros((3, 0), np.uint64)]
+            found = [[np.zeros(0, np.uint64)] for _ in range(3)]
             for _, doc, h, out in _tokens(batch):
                 train = ~out[doc]
                 h, doc = h[train], doc[train]
                 *_, (after, _, _), (ids, there, before) = _ending(h, doc, length)
                 there = there & _may_hold(shorter, before) & _may_hold(shorter, after)
-                found.append(np.stack([ids[there], before[there], after[there]]))
-            found = np.concatenate(found, axis=1)
-            order = np.argsort(found[0])
-            ids = found[0][order]
-            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
-            n = np.diff(np.append(first, len(ids))).astype(np.uint32)
-            ids, before, after = ids[first], found[1][order[first]], found[2][order[first]]
-            edge = _edges(ids, buckets)
-            full = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full)} | {
-                k: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
-                for k, x in (("before", before), ("after", after), ("n", n))})
+                for held, x in zip(found, (ids, before, after), strict=True):
+                    held.append(x[there])
+            for first, last in _ranges(buckets):
+                yield packed_range(*_in_range(first, last, *found))
+
+    def packed_range(ids, before, after):
+        order = np.argsort(ids)
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+        n = np.diff(np.append(first, len(ids))).astype(np.uint32)
+        ids, before, after = ids[first], before[order[first]], after[order[first]]
+        edge = _edges(ids, buckets)
+        full = np.flatnonzero(np.diff(edge))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(full)} | {
+            k: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())
+            for k, x in (("before", before), ("after", after), ("n", n))})
 
     def total(table: pa.Table) -> pa.Table:
         before, after, n = _bytes(table["before"], np.uint64), _bytes(table["after"], np.uint64), _bytes(table["n"], np.uint32)
@@ -237,7 +255,7 @@ def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buck
                          "after": after[at[often]].view(np.int64), "n": n[often]})
 
     packed = docs.select("doc_id", "text").mapInArrow(lean(part), "bucket long, before binary, after binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(total, "string long, before long, after long, n long")
+    return packed.groupBy("bucket").applyInArrow(lean_groups(total), "string long, before long, after long, n long")
 
 
 def _level(strings: DataFrame, shorter: DataFrame, divergence: float) -> tuple[DataFrame, DataFrame]:
@@ -245,20 +263,23 @@ def _level(strings: DataFrame, shorter: DataFrame, divergence: float) -> tuple[D
     contexts of the tree with log10 of the share of their suffix)."""
     before = shorter.select(F.col("string").alias("before"), F.col("n").alias("total"))
     after = shorter.select(F.col("string").alias("after"), F.col("log_p").alias("lower"))
-    known = saved(strings.join(after, "after").join(before, "before").select("string", "before", "n", "total", "lower"), "known")
+    known = strings.join(after, "after").join(before, "before")
     own = (F.col("n") - DISCOUNT) / F.col("total")
     gain = F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("lower") * math.log(10))
-    contexts = known.groupBy("before").agg(F.sum(gain).alias("gain"), F.sum(own).alias("own")).where(
-        F.col("gain") >= divergence)
-    contexts = saved(contexts.select("before", F.log10(F.greatest(1 - F.col("own"), F.lit(1e-12))).alias("back")), "contexts")
+    # The join by contexts leaves the rows where a context is summed.
+    context = Window.partitionBy("before")
+    known = known.select("string", "before", "n", "lower", own.alias("own"), F.sum(gain).over(context).alias("gain"),
+                         F.sum(own).over(context).alias("share"), F.min("string").over(context).alias("one"))
+    known = known.withColumn("back", F.when(F.col("gain") >= divergence, F.log10(F.greatest(1 - F.col("share"), F.lit(1e-12)))))
     in_tree = F.col("back").isNotNull()
-    p = own + F.pow(F.lit(10.0), F.col("back") + F.col("lower"))
-    level = known.join(contexts, "before", "left").select(
+    p = F.col("own") + F.pow(F.lit(10.0), F.col("back") + F.col("lower"))
+    named = in_tree & (F.col("string") == F.col("one"))  # a context is named by one of its rows
+    level = saved(known.select(
         "string", "n", F.when(in_tree, F.log10(p)).otherwise(F.col("lower")).alias("log_p"),
-        F.when(in_tree, F.log10(p) - F.col("lower") - F.col("back")).otherwise(0.0).alias("adds"))
-    level = saved(level, "level")
-    dropped(known.sparkSession, known)
-    return level, contexts
+        F.when(in_tree, F.log10(p) - F.col("lower") - F.col("back")).otherwise(0.0).alias("adds"),
+        F.when(named, F.col("before")).alias("context"), F.when(named, F.col("back")).alias("back")), "level")
+    contexts = level.where("context IS NOT NULL").select(F.col("context").alias("before"), "back")
+    return level.drop("context", "back"), contexts
 
 
 def suffix_tree_values(docs: DataFrame, vocabulary: DataFrame, tokens: int, buckets: int, settings: Settings) -> DataFrame:
@@ -278,7 +299,7 @@ def suffix_tree_values(docs: DataFrame, vocabulary: DataFrame, tokens: int, buck
             longer = saved(_strings(docs, length + 1, field, settings.least, buckets), "strings")
             shorter, contexts = _level(longer, shorter, settings.divergence)
             dropped(docs.sparkSession, longer)
-            steps += [shorter, contexts]
+            steps.append(shorter)
             level = level.join(contexts.withColumnRenamed("before", "string"), "string", "left").withColumn("adds", F.col("adds") + F.coalesce("back", F.lit(0.0)))
         level = level.select(F.col("string").alias("key"), F.col("adds").alias("value"), base.alias("base"), hot.alias("hot"))
         level = level.where("value <> 0 OR base > 0")
@@ -336,7 +357,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
         near = np.zeros(1 << NEAR, bool)
         near[key >> np.uint64(64 - NEAR)] = True
         for batch in _parts(batches):
-            keys, places, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], row
+            keys, places, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], row
             for s, doc, h, out in _tokens(batch):
                 sums = _sums(doc[:0], s.n, value[:0], base[:0])
                 for ids, there, _ in _ending(h, doc, settings.depth + 1):
@@ -349,7 +370,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
                     open_ = _may_hold(field, ids)
                     open_[hot] = False
                     keys.append(ids[open_])
-                    places.append(at_doc[open_] + (row - start))
+                    places.append((at_doc[open_] + (row - start)).astype(np.uint16))
                 rows = np.arange(row, row + s.n)
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(rows % buckets), "part": pa.array(np.full(s.n, start)), "row": pa.array(rows),
@@ -358,29 +379,33 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
                     **{k: pa.array(x) for k, x in sums.items()},
                     **{k: pa.nulls(s.n, pa.binary()) for k in ("keys", "texts", "places", "times")}})
                 row += s.n
-            keys, places = np.concatenate(keys), np.concatenate(places)
-            order = np.argsort(keys, kind="stable")  # the places of a key stay in order
-            keys, places = keys[order], places[order]
-            begins = np.ones(len(keys), bool)
-            begins[1:] = keys[1:] != keys[:-1]
-            new = begins.copy()
-            new[1:] |= places[1:] != places[:-1]
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(keys))).astype(np.uint32)
-            keys, places, first = keys[begins], places[at].astype(np.uint16), np.flatnonzero(begins[at])
-            first = np.append(first, len(at))
-            texts = np.diff(first).astype(np.uint16)
-            edge = _edges(keys, buckets)
-            full = np.flatnonzero(np.diff(edge))
-            none = {k: pa.nulls(len(full), t) for k, t in (
-                ("doc_id", batch.column("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                ("known", pa.int64()), ("base", pa.float64()), ("value", pa.float64()))}
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array(full), "part": pa.array(np.full(len(full), start)), "row": pa.nulls(len(full), pa.int64()), **none,
-                "keys": pa.array([_packed(keys[edge[b] : edge[b + 1]]) for b in full], pa.binary()),
-                "texts": pa.array([texts[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()),
-                **{k: pa.array([x[first[edge[b]] : first[edge[b + 1]]].tobytes() for b in full], pa.binary())
-                   for k, x in (("places", places), ("times", times))}})
+            for first, last in _ranges(buckets):
+                yield questions(start, batch.column("doc_id").type, *_in_range(first, last, keys, places))
+
+    def questions(start, kind, keys, places):
+        """What a part's texts ask from a range of buckets: each key once, with the texts that have it, and how often."""
+        order = np.argsort(keys, kind="stable")  # the places of a key stay in order
+        keys, places = keys[order], places[order]
+        begins = np.ones(len(keys), bool)
+        begins[1:] = keys[1:] != keys[:-1]
+        new = begins.copy()
+        new[1:] |= places[1:] != places[:-1]
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(keys))).astype(np.uint32)
+        keys, places, first = keys[begins], places[at], np.flatnonzero(begins[at])
+        first = np.append(first, len(at))
+        texts = np.diff(first).astype(np.uint16)
+        edge = _edges(keys, buckets)
+        full = np.flatnonzero(np.diff(edge))
+        none = {k: pa.nulls(len(full), t) for k, t in (
+            ("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+            ("known", pa.int64()), ("base", pa.float64()), ("value", pa.float64()))}
+        return pa.RecordBatch.from_pydict({
+            "bucket": pa.array(full), "part": pa.array(np.full(len(full), start)), "row": pa.nulls(len(full), pa.int64()), **none,
+            "keys": pa.array([_packed(keys[edge[b] : edge[b + 1]]) for b in full], pa.binary()),
+            "texts": pa.array([texts[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()),
+            **{k: pa.array([x[first[edge[b]] : first[edge[b + 1]]].tobytes() for b in full], pa.binary())
+               for k, x in (("places", places), ("times", times))}})
 
     packs = {"places": np.uint16, "knowns": np.uint32, "bases": np.float64, "values": np.float64}
 
@@ -429,8 +454,8 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
     fields = f"part long, row long, doc_id {kind}, held_out boolean, n_tokens long, {_SUMS}"
     asked = docs.select("doc_id", "text").mapInArrow(lean(ask), f"bucket long, {fields}, keys binary, texts binary, places binary, times binary")
     rows = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(
-        answer, f"{fields}, places binary, knowns binary, bases binary, values binary")
-    rows = rows.groupBy("part").applyInArrow(total, f"doc_id {kind}, held_out boolean, n_tokens long, known double, base double, value double")
+        lean_groups(answer), f"{fields}, places binary, knowns binary, bases binary, values binary")
+    rows = rows.groupBy("part").applyInArrow(lean_groups(total), f"doc_id {kind}, held_out boolean, n_tokens long, known double, base double, value double")
     return rows.select(
         "doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),

@@ -315,3 +315,18 @@ def test_tree_tasks_give_memory_back(table, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "lean", lambda run: wrapped.append(run.__name__) or run)
     suffix_tree_lm.suffix_tree_scores(table([(i, "a b c a b c", "s") for i in range(9)])).count()
     assert wrapped == ["_count_words", "part", "part", "run", "ask"]
+
+
+def test_strings_are_sorted_range_by_range(table, monkeypatch):
+    """Sorting takes several copies of what a task holds, so it takes a few ranges of buckets in turn; groups give memory back."""
+    from acequia.llm import suffix_tree_lm
+
+    for buckets in (1, 3, 4, 10, 211):
+        ranges = [(int(a), int(b)) for a, b in suffix_tree_lm._ranges(buckets)]
+        assert ranges[0][0] == 0 and ranges[-1][1] == 2**64 - 1 and len(ranges) == min(buckets, suffix_tree_lm.RANGES)
+        assert all(b + 1 == c for (_, b), (c, _) in zip(ranges, ranges[1:], strict=False))
+        assert all((((b >> 32) * buckets) >> 32) < (((b + 1 >> 32) * buckets) >> 32) for _, b in ranges[:-1])  # whole buckets
+    wrapped = []
+    monkeypatch.setattr(suffix_tree_lm, "lean_groups", lambda run: wrapped.append(run.__name__) or run)
+    suffix_tree_lm.suffix_tree_scores(table([(i, "a b c a b c", "s") for i in range(9)])).count()
+    assert wrapped == ["total", "total", "answer", "total"]
