@@ -30,6 +30,7 @@ _HEAD_SIZE = struct.calcsize(_HEAD)
 # falls below 2**44, which leaves room for both parts of a step (2**16 and up to 2**26).
 _TOP, _BOTTOM, _MASK = np.uint64(1 << 48), np.uint64(1 << 44), np.uint64((1 << 44) - 1)
 _W, _ONE = np.uint64(16), np.uint64(1)
+_LANE, _OF_LANE = np.uint64(13), np.uint64((1 << 13) - 1)  # there are up to 2**13 lanes
 _TABLE = 18
 _STEP = 16
 #: Ids in a lane's stretch, and from so many ids of a block on. A step costs much the same for few lanes as for many, so
@@ -194,8 +195,9 @@ def decode_block(block: bytes) -> np.ndarray:
         if len(rest):
             unit = wide[rest] // model.total
             value = np.minimum((code[rest] - low[rest]) // unit, model.total - _ONE)
-            order, x = np.argsort(value), np.empty(len(rest), np.int64)  # a search is quicker in order
-            x[order] = np.searchsorted(model.cumulative, value[order], "right") - 1
+            value = np.sort((value << _LANE) | np.arange(len(rest), dtype=np.uint64))  # a search is quicker in order
+            order, x = (value & _OF_LANE).astype(np.int64), np.empty(len(rest), np.int64)
+            x[order] = np.searchsorted(model.cumulative, value >> _LANE, "right") - 1
             start = model.cumulative[x]
             low[rest] += start * unit
             wide[rest] = (model.cumulative[x + 1] - start) * unit

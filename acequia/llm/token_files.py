@@ -20,6 +20,8 @@ from acequia.llm.shared import lean, new_path
 from acequia.llm.token_coder import decode_block, encode_block
 from acequia.llm.words import Prefix, byte_values, mix, slices
 
+#: What may follow the letters of a plain word: the tokenizer takes such a run as one part. An apostrophe may begin others.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ids after which a block is closed; documents are never cut.
 BLOCK = 1 << 19
 #: Parts of words whose ids a worker remembers.
@@ -41,18 +43,21 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that a text's ids are its words' ids.
 
-    A plain word has letters, then perhaps closing marks; the tokenizer lower-cases and splits it
+    A plain word has letters, then perhaps marks; the tokenizer lower-cases and splits it
     just there, so both parts go straight to its model. Letters are those of ASCII and of U+00C0 to
     U+00FF, which are the same in composed text and have one lower-case form. Any other word goes
     through the whole tokenizer. Every distinct part is encoded once; parts are known by hash.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.alphabet = self.tokenizer.model, self.tokenizer.get_vocab_size()
-        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.alphabet = self.tokenizer.get_vocab_size()
+        self.plain = Tokenizer(self.tokenizer.model)  # the model alone: no letter that writes a byte is white space
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        (self.digit,) = self.plain.encode("0", add_special_tokens=False).ids  # stands between plain parts, which have no digits
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items() if b != 32})
         self._clear()
 
     def _clear(self):
@@ -77,26 +82,37 @@ class WordEncoder:
 
     def _learn(self, hashes: np.ndarray, parts: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Add parts whose hashes, in ascending order, are new; their starts and sizes."""
-        ids: list[list[int]] = [[]] * len(parts)
-        tokenize = self.model.tokenize
-        for i in np.flatnonzero(~odd).tolist():
-            text = parts[i].decode("latin-1")
-            ids[i] = [t.id for t in tokenize(text if text.isascii() else text.translate(self.letters))]
-        strange = np.flatnonzero(odd)
-        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i, e in zip(strange, fast([parts[i].decode() for i in strange], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        start, before = self.used + np.cumsum(size) - size, self.used
-        self.used += int(size.sum())
+        size, start, found = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), []
+        plain, strange = np.flatnonzero(~odd), np.flatnonzero(odd)
+        if len(plain):
+            text = b" 0 ".join([*(parts[i] for i in plain.tolist()), b""]).decode("latin-1")
+            if not text.isascii():
+                text = text.translate(self.letters)
+            (e,) = self._fast(self.plain)([text], add_special_tokens=False)
+            own = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(own == self.digit)
+            found.append(own)
+            start[plain] = np.append(0, ends[:-1] + 1)
+            size[plain] = ends - start[plain]
+        if len(strange):
+            ids = [e.ids for e in self._fast(self.tokenizer)([parts[i].decode() for i in strange], add_special_tokens=False)]
+            size[strange] = np.fromiter(map(len, ids), np.int64, len(ids))
+            start[strange] = np.cumsum(size[strange]) - size[strange] + sum(map(len, found))
+            found.append(np.fromiter(chain.from_iterable(ids), np.int32, int(size[strange].sum())))
+        start, before = start + self.used, self.used
+        self.used += sum(map(len, found))
         if self.used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(self.used - len(self.flat), len(self.flat) // 2), np.int32)])
-        self.flat[before : self.used] = np.fromiter(chain.from_iterable(ids), np.int32, self.used - before)
+        self.flat[before : self.used] = np.concatenate(found)
         self.tables[1] = self._merged(self.tables[1], (hashes, start, size))
         if len(self.tables[1][0]) > YOUNG:
             self.tables = [self._merged(*self.tables), self._table()]
         return start, size
 
+    @staticmethod
+    def _fast(tokenizer):
+        return getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+
     @staticmethod
     def _merged(table, new):
         at = np.searchsorted(table[0], new[0])
@@ -115,7 +131,7 @@ class WordEncoder:
         letter = ((low >= 97) & (low <= 122)) | accent
         letter[:-1] |= (low[:-1] == 0xC3) & accent[1:]
         mark = np.zeros(256, bool)
-        mark[np.frombuffer(b".,;:!?", np.uint8)] = True
+        mark[np.frombuffer(MARKS, np.uint8)] = True
         letters = np.concatenate([[0], np.cumsum(letter)])
         marks = np.concatenate([[0], np.cumsum(mark[low])])
         begin, end = s.starts, s.ends

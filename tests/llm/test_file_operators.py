@@ -15,7 +15,7 @@ from acequia.llm.piece_encoding import decode_pieces, encode_pieces
 from acequia.llm.queries import QUERIES, tokenizer
 from acequia.llm.shared import new_path
 from acequia.llm.token_coder import _shape, decode_block, encode_block
-from acequia.llm.token_files import token_files, word_encoder
+from acequia.llm.token_files import WordEncoder, token_files, word_encoder
 from acequia.llm.warc_fixity import _inflate, audit, merkle_tree, read_records, warc_fixity, write_warc
 from acequia.llm.words import slices
 from conftest import SF_SMALL
@@ -61,6 +61,26 @@ def test_a_worker_remembers_parts_of_earlier_tasks():
     assert again.used == known
 
 
+def test_words_before_marks_are_plain_parts():
+    """They skip the tokenizer's normaliser, and a slice's new plain parts are encoded in one call."""
+    from tokenizers import Tokenizer
+
+    encoder, calls = WordEncoder(tokenizer("word_bpe_49k.json")), []
+    marks = [chr(b) for b in range(33, 127) if not chr(b).isalnum()]
+    words = [w + m * n for w in ("Word", "Été", "don't", "it's", "x9", "") for m in marks for n in (1, 3)] + ["<|endoftext|>", "a<|endoftext|>"]
+    whole = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    fast = encoder._fast
+    encoder._fast = lambda t: lambda texts, **k: calls.append((t, len(texts))) or fast(t)(texts, **k)
+    (s,) = slices(pa.array([" ".join(words)]))
+    assert encoder.encode(s)[0].tolist() == whole.encode(" ".join(words), add_special_tokens=False).ids
+    odd = [n for t, n in calls if t is encoder.tokenizer]
+    assert [n for t, n in calls if t is encoder.plain] == [1] and odd[0] < len(words) * 0.7
+    calls.clear()
+    (s,) = slices(pa.array(["new*** words|| before## marks%%"]))
+    encoder.encode(s)
+    assert [t for t, _ in calls] == [encoder.plain]
+
+
 def test_damage_is_found():
     block = bytearray(encode_block(np.arange(5000) % 700, 1000))
     for at in (len(block) - 3, 40, 30):
