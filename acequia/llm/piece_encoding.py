@@ -47,11 +47,11 @@ REMEMBERED = 500_000
 #: Chunks, or products of chunks, that one task combines at a time.
 FAN = 64
 #: Units up to so many characters are cut together, and so many characters at once.
-SHORT, TOGETHER = 48, 50_000
+SHORT, TOGETHER = 48, 200_000
 _LINE, _OWN_BYTES = SPACE.encode(), b"\xff\x80\x80"
 
 
-_SLOT_BITS = 18
+_SLOT_BITS, _BEGUN_BITS = 18, 20
 
 
 @dataclass
@@ -69,6 +69,8 @@ class Vocabulary:
     hashes: np.ndarray
     by_place: np.ndarray
     id_by_place: np.ndarray
+    #: Whether a piece may go on after the characters with a hash, by the hash's first bits.
+    begun: np.ndarray
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Place of the piece with each hash, -1 where there is none."""
@@ -106,7 +108,7 @@ def vocabulary(path: str) -> Vocabulary:
             lengths.setdefault(piece[:3], set()).add(len(piece))
     return Vocabulary(
         scores, ids, max(map(len, ids)), byte_ids, -round(1000 * (math.log(size) + 5)), output,
-        {k: tuple(sorted(n)) for k, n in lengths.items()}, *(np.zeros(0, np.int64),) * 4)
+        {k: tuple(sorted(n)) for k, n in lengths.items()}, *(np.zeros(0, np.int64),) * 5)
 
 
 def with_places(v: Vocabulary) -> Vocabulary:
@@ -124,6 +126,11 @@ def with_places(v: Vocabulary) -> Vocabulary:
         while v.slots[at] >= 0:
             at = (at + 1) & ((1 << _SLOT_BITS) - 1)
         v.slots[at] = place
+    begun = [x.encode() for x in sorted({p[:i] for p in pieces for i in range(1, len(p))})]
+    ends = np.cumsum([len(x) for x in begun])
+    hashes = Prefix(byte_values(np.frombuffer(b"".join(begun), np.uint8))).of(ends - [len(x) for x in begun], ends)
+    v.begun = np.zeros(1 << _BEGUN_BITS, bool)
+    v.begun[hashes >> np.uint64(64 - _BEGUN_BITS)] = True
     return v
 
 
@@ -181,52 +188,63 @@ def best_cut(v: Vocabulary, text: str) -> tuple[int, list[str]]:
 def best_cuts(v: Vocabulary, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores, numbers of ids and all ids of units given as marked bytes, cut together: one step of all
     units at a time, with the rule of ``best_cut`` for equal scores."""
-    m, buf = len(units), np.frombuffer(b"".join(units), np.uint8)
-    byte_end = np.cumsum(np.fromiter(map(len, units), np.int64, m))
-    char_at = np.flatnonzero((buf & 0xC0) != 0x80)
+    return _cuts(v, np.frombuffer(b"".join(units), np.uint8), np.fromiter(map(len, units), np.int64, len(units)))
+
+
+def _cuts(v: Vocabulary, buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_cuts`` of units that follow each other in ``buf``, each of so many bytes."""
+    m, char_at = len(sizes), np.flatnonzero((buf & 0xC0) != 0x80)
     n = len(char_at)
     bounds = np.append(char_at, len(buf))
-    end = np.searchsorted(char_at, byte_end)
+    end = np.searchsorted(char_at, np.cumsum(sizes))
     first = np.append(0, end[:-1])
     size = end - first
-    stop = np.repeat(end, size)  # where the unit of each character ends
+    unit = np.repeat(np.arange(m), size)
     prefix = Prefix(byte_values(buf))
-    k = min(v.longest, int(size.max()))
-    score = np.full((k + 1, n), NEVER, np.int64)
-    piece = np.full((k + 1, n), -1, np.int64)
-    for length in range(1, k + 1):
-        at = np.flatnonzero(np.arange(n) + length <= stop)
-        found = v.places(prefix.of(bounds[at], bounds[at + length]))
-        at, found = at[found >= 0], found[found >= 0]
-        score[length, at], piece[length, at] = v.by_place[found], found
-    alone = np.flatnonzero(piece[1] < 0)
-    score[1, alone] = v.byte_score * (bounds[alone + 1] - bounds[alone])
-
-    # Places of a unit are its characters and its end, one more than it has characters.
+
+    # All pieces in the units: where each begins, its length, place and score. A character goes on being
+    # looked at only while pieces begin like this.
+    begin, length, place = [], [], []
+    at = np.arange(n)
+    for k in range(1, min(v.longest, int(size.max())) + 1):
+        at = at[at + k <= end[unit[at]]]
+        hashes = prefix.of(bounds[at], bounds[at + k])
+        found = v.places(hashes)
+        here = np.flatnonzero((found >= 0) | (k == 1))  # a character alone is a piece, or bytes
+        begin.append(at[here])
+        length.append(np.full(len(here), k))
+        place.append(found[here])
+        at = at[v.begun[hashes >> np.uint64(64 - _BEGUN_BITS)]]
+    begin, length, place = np.concatenate(begin), np.concatenate(length), np.concatenate(place)
+    step = (begin - first[unit[begin]]).astype(np.uint16)
+    order = np.argsort(step, kind="stable")
+    begin, length, place = begin[order], length[order], place[order]
+    edge = np.searchsorted(step[order], np.arange(int(size.max()) + 1))
+    score = np.where(place >= 0, v.by_place[place], v.byte_score * (bounds[begin + 1] - bounds[begin]))
+
+    # Places of a unit are its characters and its end, one more than it has characters. One step goes on
+    # from the same character of all units; its pieces end at different places.
     base = first + np.arange(m)
     best, back = np.full(n + m, NEVER, np.int64), np.zeros(n + m, np.int64)
     best[base] = 0
-    order = np.argsort(-size, kind="stable")
-    by_size = -size[order]
-    for r in range(int(size.max())):
-        live = order[: np.searchsorted(by_size, -r, "left")]  # units of more than r characters
-        here, char = best[base[live] + r], first[live] + r
-        for length in range(1, min(k, int(size[order[0]]) - r) + 1):
-            total = here + score[length, char]
-            to = np.minimum(base[live] + r + length, n + m - 1)
-            better = (score[length, char] > NEVER) & (total > best[to])
-            best[to[better]], back[to[better]] = total[better], length
+    source = begin + unit[begin]
+    target = source + length
+    for a, b in zip(edge.tolist(), edge[1:].tolist()):
+        total, to = best[source[a:b]] + score[a:b], target[a:b]
+        better = np.flatnonzero(total > best[to])
+        to = to[better]
+        best[to], back[to] = total[better], a + better
     scores = best[base + size]
 
-    taken = np.zeros(n, np.int64)  # length of the piece that begins at a character
-    at, unit = size.copy(), np.arange(m)
-    while len(unit):
-        length = back[base[unit] + at]
-        at = at - length
-        taken[first[unit] + at] = length
-        unit, at = unit[at > 0], at[at > 0]
-    begins = np.flatnonzero(taken)
-    known = piece[taken[begins], begins]
+    taken = np.full(n, -1, np.int64)  # the piece of the cut that begins at a character
+    at = base + size
+    while len(at):
+        piece = back[at]
+        taken[begin[piece]] = piece
+        at = source[piece]
+        at = at[begin[piece] > first[unit[begin[piece]]]]
+    begins = np.flatnonzero(taken >= 0)
+    known = place[taken[begins]]
     wide = np.where(known >= 0, 1, bounds[begins + 1] - bounds[begins])
     where = np.cumsum(wide) - wide
     ids = np.zeros(int(wide.sum()), np.uint32)
@@ -234,8 +252,13 @@ def best_cuts(v: Vocabulary, units: list[bytes]) -> tuple[np.ndarray, np.ndarray
     for i in np.flatnonzero(known < 0):
         raw = buf[bounds[begins[i]] : bounds[begins[i] + 1]].tobytes()
         ids[where[i] : where[i] + wide[i]] = [v.byte_ids[b] for b in (_LINE if raw == _OWN_BYTES else raw)]
-    counts = np.bincount(np.searchsorted(end, begins, "right"), wide, m).astype(np.int64)
-    return scores, counts, ids
+    return scores, np.bincount(unit[begins], wide, m).astype(np.int64), ids
+
+
+def _gathered(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of a buffer, one after the other."""
+    ends = np.cumsum(size)
+    return buf[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))]
 
 
 class SliceEncoder:
@@ -251,26 +274,29 @@ class SliceEncoder:
         self.start, self.size, self.score = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
-        """Cut new units, given as plain bytes, in ascending order of their hashes."""
-        marked_ = [u.replace(_LINE, _OWN_BYTES).replace(b" ", _LINE) for u in units]
-        score, size, ids = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [np.zeros(0, np.uint32)] * len(units)
-        lot, held = [], 0
-        for i, unit in enumerate([*marked_, None]):
-            if lot and (unit is None or held + len(unit) > TOGETHER):
-                score[lot], size[lot], flat = best_cuts(self.v, [marked_[j] for j in lot])
-                for j, x in zip(lot, np.split(flat, np.cumsum(size[lot])[:-1]), strict=True):
-                    ids[j] = x
-                lot, held = [], 0
-            if unit is not None and len(unit) <= SHORT:
-                lot.append(i)
-                held += len(unit)
-            elif unit is not None:
-                score[i], pieces = best_cut(self.v, marked(units[i].decode()))
-                ids[i] = np.array([x for p in pieces for x in _ids(self.v, p)], np.uint32)
-                size[i] = len(ids[i])
-        start = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, *ids])
+    def _learn(self, hashes: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
+        """Cut new units, given as plain bytes one after the other, in ascending order of their hashes."""
+        ends = np.cumsum(sizes)
+        spaces = np.add.reduceat((raw == 32).astype(np.int64), ends - sizes)
+        wide = sizes + (len(_LINE) - 1) * spaces  # bytes of each unit once it is marked
+        buf = np.frombuffer(raw.tobytes().replace(_LINE, _OWN_BYTES).replace(b" ", _LINE), np.uint8)
+        begins = np.cumsum(wide) - wide
+        score, size, start = (np.zeros(len(sizes), np.int64) for _ in range(3))
+        flat, used = [self.flat], len(self.flat)
+        short = np.flatnonzero(wide <= SHORT)
+        lots = (np.cumsum(wide[short]) - 1) // TOGETHER
+        for lot in np.split(short, np.flatnonzero(np.diff(lots)) + 1) if len(short) else []:
+            score[lot], size[lot], ids = _cuts(self.v, _gathered(buf, begins[lot], wide[lot]), wide[lot])
+            start[lot] = used + np.cumsum(size[lot]) - size[lot]
+            flat.append(ids)
+            used += len(ids)
+        for i in np.flatnonzero(wide > SHORT).tolist():
+            score[i], pieces = best_cut(self.v, marked(raw[ends[i] - sizes[i] : ends[i]].tobytes().decode()))
+            ids = np.array([x for p in pieces for x in _ids(self.v, p)], np.uint32)
+            start[i], size[i] = used, len(ids)
+            flat.append(ids)
+            used += len(ids)
+        self.flat = np.concatenate(flat)
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.start, self.size, self.score = (np.insert(a, at, b) for a, b in (
             (self.hashes, hashes), (self.start, start), (self.size, size), (self.score, score)))
@@ -298,9 +324,13 @@ class SliceEncoder:
         if len(self.hashes):
             known = self.hashes[np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)] == kinds
         if not known.all():
-            new, raw = one[~known], buf.tobytes()
-            self._learn(kinds[~known], [(b" " if h else b"") + raw[a:b] for a, b, h in zip(
-                first[new].tolist(), last[new].tolist(), lead[new].tolist(), strict=True)])
+            new = one[~known]
+            own, sizes = (last - first)[new], (last - first)[new] + lead[new]
+            raw = np.full(int(sizes.sum()), 32, np.uint8)  # the space in front, where a unit has one
+            inner = np.ones(len(raw), bool)
+            inner[(np.cumsum(sizes) - sizes)[lead[new]]] = False
+            raw[inner] = _gathered(buf, first[new], own)
+            self._learn(kinds[~known], raw, sizes)
         found = np.searchsorted(self.hashes, kinds)[inverse]
         size = self.size[found]
         ends = np.cumsum(size)

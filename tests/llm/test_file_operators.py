@@ -302,6 +302,15 @@ def test_units_cut_together_equal_those_cut_alone(vocabulary):
         assert ids[ends[i] - counts[i] : ends[i]].tolist() == [x for p in pieces for x in pe._ids(vocabulary, p)], u
 
 
+def test_characters_are_looked_up_while_a_piece_may_go_on(vocabulary, monkeypatch):
+    """Most stretches of a text begin no piece, so only few of them are hashed and looked up."""
+    rng, asked, places = random.Random(5), [], pe.Vocabulary.places
+    monkeypatch.setattr(pe.Vocabulary, "places", lambda v, hashes: asked.append(len(hashes)) or places(v, hashes))
+    units = [("▁" + "".join(rng.choice("qxzjkvwy#*09") for _ in range(15))).encode() for _ in range(500)]
+    pe.best_cuts(vocabulary, units)
+    assert sum(asked) < 4 * 16 * len(units)
+
+
 def test_every_piece_is_found_by_hash(vocabulary):
     assert (vocabulary.places(vocabulary.hashes) == np.arange(len(vocabulary.ids))).all()
     assert (vocabulary.places(vocabulary.hashes + np.uint64(1)) == -1).all()
