@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from acequia.llm.shared import lean, saved
+from acequia.llm.shared import kept, lean, saved
 from acequia.llm.words import Prefix, byte_values, mix, slices
 
 #: Characters in a chunk; documents of more than two chunks are cut.
@@ -348,9 +347,9 @@ class SliceEncoder:
         return int(score), np.frombuffer(ids, "<u4")
 
 
-@lru_cache(maxsize=1)
+@kept
 def slice_encoder(path: str) -> SliceEncoder:
-    """The worker's encoder, with what it remembers of earlier tasks."""
+    """The worker's encoder, with what it remembers of earlier tasks of this module."""
     return SliceEncoder(path)
 
 

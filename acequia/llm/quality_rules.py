@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from acequia.llm.shared import lean, saved
+from acequia.llm.shared import lean, parts, saved
 from acequia.llm.words import Prefix, byte_values, lists, mix, per_doc, slices, windows
 
 
@@ -32,6 +32,8 @@ class Limits:
 
 #: Bytes of text that are measured at once.
 AT_ONCE = 1 << 19
+#: Rows that a task returns at once: a whole batch of texts is held several times, here and by Spark.
+ROWS = 2000
 _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long"
 _LINES = "lines array<long>, line_words array<long>"
 
@@ -149,12 +151,12 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def _drop_lines(batches):
-    for batch in batches:
-        column, cuts, parts = batch.column("text"), batch.column("acequia_cut").to_pylist(), []
+    for batch in parts(batches, ROWS):
+        column, cuts, pieces = batch.column("text"), batch.column("acequia_cut").to_pylist(), []
         for s in slices(column, AT_ONCE):
             i, j = s.rows
             if not any(cuts[i:j]):
-                parts.append(column.slice(i, j - i))
+                pieces.append(column.slice(i, j - i))
                 continue
             texts = column.slice(i, j - i).to_pylist()
             s.lower()
@@ -169,8 +171,8 @@ def _drop_lines(batches):
                             keep.append(line)
                         at += len(line) + 1
                     texts[k] = b"\n".join(keep).decode()
-            parts.append(pa.array(texts, column.type))
-        text = pa.concat_arrays(parts) if parts else column
+            pieces.append(pa.array(texts, column.type))
+        text = pa.concat_arrays(pieces) if pieces else column
         yield pa.RecordBatch.from_arrays(
             [text if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
@@ -194,6 +196,6 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def _with_hash(batches):
-    for batch in batches:
+    for batch in parts(batches, ROWS):
         hashes = [Prefix(byte_values(s.buf)).of(s.at[:-1], s.at[1:]).view(np.int64) for s in slices(batch.column("text"), AT_ONCE)]
         yield batch.append_column("acequia_hash", pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)))

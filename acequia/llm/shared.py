@@ -7,11 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import lru_cache
 from inspect import signature
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from acequia.llm.words import forget_powers
+
 _own: list[str] = []
 
 
@@ -80,13 +83,45 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, label: str) -> D
         *df.columns, (F.col("acequia_start") + F.col("acequia_at").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
+#: Clears what a process keeps for later tasks, by the module whose tasks use it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def kept(make: Callable) -> Callable:
+    """Has a process keep what a function makes for later tasks of its module. Tasks of other modules let it go."""
+    held = lru_cache(maxsize=1)(make)
+    _kept[make.__module__] = held.cache_clear
+    return held
+
+
+def _let_go(user: str) -> None:
+    for module, clear in _kept.items():
+        if module != user:
+            clear()
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut small: a part's arrays are many times as large as its rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function that gives freed memory back to the system after each batch that it yields. Workers
-    are used again by later tasks, and what they keep counts against the executor."""
+    """A task's function that gives freed memory back to the system after each batch that it yields, and at its
+    end, when its own arrays are gone. Workers are used again by later tasks, or stay idle, and what they keep
+    counts against the executor: so a task first lets go what other modules' tasks have left."""
+    user = run.__module__
+
     def wrapped(batches):
-        for batch in run(batches):
-            yield batch
-            batch = None
+        _let_go(user)
+        try:
+            for batch in run(batches):
+                yield batch
+                batch = None
+                _give_back()
+        finally:
+            forget_powers()
             _give_back()
     return wrapped
 

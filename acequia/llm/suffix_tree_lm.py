@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from acequia.llm.shared import dropped, lean, lean_groups, saved, tidy
+from acequia.llm.shared import dropped, lean, lean_groups, parts, saved, tidy
 from acequia.llm.words import mix, slices
 
 #: Hash of the token that ends each document.
@@ -78,7 +78,7 @@ def _tokens(batch):
 
 
 def _count_words(batches):
-    for batch in _parts(batches):
+    for batch in parts(batches, PART):
         found = [h[~out[doc]] for _, doc, h, out in _tokens(batch)]
         word, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
@@ -95,13 +95,6 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in table.columns]
 
 
-def _parts(batches, rows: int = PART):
-    """Batches cut small: a part's arrays are many times as large as its rows."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
 def _joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Id of a string from the ids of its parts: without its last word, and without its first."""
     return mix(mix(before + np.uint64(0x9E3779B97F4A7C15)) + after)
@@ -219,7 +212,7 @@ def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buck
     """
 
     def part(batches):
-        for batch in _parts(batches):
+        for batch in parts(batches, PART):
             found = [[np.zeros(0, np.uint64)] for _ in range(3)]
             for _, doc, h, out in _tokens(batch):
                 train = ~out[doc]
@@ -356,7 +349,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
         row = TaskContext.get().partitionId() << 33
         near = np.zeros(1 << NEAR, bool)
         near[key >> np.uint64(64 - NEAR)] = True
-        for batch in _parts(batches):
+        for batch in parts(batches, PART):
             keys, places, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], row
             for s, doc, h, out in _tokens(batch):
                 sums = _sums(doc[:0], s.n, value[:0], base[:0])

@@ -8,7 +8,6 @@ files, so a task that is lost or repeated leaves no trace.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from acequia.llm.shared import lean, new_path
+from acequia.llm.shared import kept, lean, new_path
 from acequia.llm.token_coder import decode_block, encode_block
 from acequia.llm.words import Prefix, byte_values, mix, slices
 
@@ -168,9 +167,9 @@ class WordEncoder:
         return ids, np.bincount(np.repeat(s.doc, 1 + two), size, s.n).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
+@kept
 def word_encoder(path: str) -> WordEncoder:
-    """The worker's encoder, with what it remembers of earlier tasks."""
+    """The worker's encoder, with what it remembers of earlier tasks of this module."""
     return WordEncoder(path)
 
 

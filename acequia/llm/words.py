@@ -45,6 +45,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def forget_powers() -> None:
+    """Drop the powers that are kept; they are quickly made again."""
+    _powers.clear()
+
+
 class Prefix:
     """Prefix sums of ``values`` (uint64), from which stretches are hashed."""
 

@@ -76,3 +76,31 @@ def test_queries_match_their_sql(spark, name):
 
 def test_every_operator_has_a_query():
     assert [f"op{n}_" for n in range(1, 14)] == sorted({f"{k.split('_')[0]}_" for k in QUERIES}, key=lambda k: int(k[2:-1]))
+
+
+def test_a_step_lets_go_what_others_left_in_its_worker():
+    """Workers serve all steps, also idle, so what a task keeps counts against steps that have no use for it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from acequia.llm import piece_encoding, quality_rules, words as arrays
+    from acequia.llm.shared import lean
+
+    model = tokenizer("piece_bpe_32k.model")
+    encoder = piece_encoding.slice_encoder(model)
+
+    def later(batches):
+        yield from batches
+    later.__module__ = piece_encoding.__name__
+    assert list(lean(later)(iter([]))) == [] and piece_encoding.slice_encoder(model) is encoder
+    texts = [f"text {i} " * 9 for i in range(2 * quality_rules.ROWS + 1)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    found = list(lean(quality_rules._with_hash)(iter([batch])))
+    assert [b.num_rows for b in found] == [quality_rules.ROWS, quality_rules.ROWS, 1]
+    assert [x for b in found for x in b.column("text").to_pylist()] == texts
+    whole = np.concatenate([b.column("acequia_hash").to_numpy() for b in found])
+    s = next(arrays.slices(pa.array(texts), 1 << 30))
+    assert (whole == arrays.Prefix(arrays.byte_values(s.buf)).of(s.at[:-1], s.at[1:]).view(np.int64)).all()
+    assert piece_encoding.slice_encoder(model) is not encoder
+    list(lean(quality_rules._with_hash)(iter([batch])))
+    assert not arrays._powers
