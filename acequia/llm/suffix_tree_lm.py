@@ -40,6 +40,8 @@ FIELD = 27
 BUCKET = 2_000_000
 #: Ranges of buckets for which a part's strings are sorted, one range after the other: sorting takes several copies.
 RANGES = 4
+#: Bytes of text whose words are found at once: what is computed for them stays in a core's cache.
+AT_ONCE = 1 << 19
 #: Rows whose strings are gathered together; a place among them fits 16 bits.
 PART = 3000
 #: Answers to so many parts are summed at once.
@@ -69,7 +71,7 @@ def held_out(doc_id) -> bool:
 def _tokens(batch):
     """Slices of a batch: (slice, text of each token, token hashes, whether each text is held out)."""
     out = np.array([held_out(x) for x in batch.column("doc_id").to_pylist()], bool)
-    for s in slices(batch.column("text")):
+    for s in slices(batch.column("text"), AT_ONCE):
         s.lower()
         s.find_words()
         at = np.searchsorted(s.doc, np.arange(s.n), "right")  # an end after each text's words
@@ -182,7 +184,7 @@ def _pack_tree(buckets: int):
     def pack(held):
         table = pa.Table.from_batches(held)
         keys = table["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         keys, value, base = keys[order], table["value"].to_numpy()[order], table["base"].to_numpy()[order]
         edge = _edges(keys, buckets)
         full = np.flatnonzero(np.diff(edge))
@@ -225,7 +227,7 @@ def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buck
                 yield packed_range(*_in_range(first, last, *found))
 
     def packed_range(ids, before, after):
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")  # merges sorted stretches, and is the quicker one for repeated ids
         ids = ids[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
         n = np.diff(np.append(first, len(ids))).astype(np.uint32)
@@ -239,7 +241,7 @@ def _strings(docs: DataFrame, length: int, shorter: np.ndarray, least: int, buck
     def total(table: pa.Table) -> pa.Table:
         before, after, n = _bytes(table["before"], np.uint64), _bytes(table["after"], np.uint64), _bytes(table["n"], np.uint32)
         ids = _joined(before, after)
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")  # merges sorted stretches, and is the quicker one for repeated ids
         ids = ids[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
         n = np.add.reduceat(n[order].astype(np.int64), first) if len(ids) else n.astype(np.int64)
@@ -409,7 +411,7 @@ def suffix_tree_scores(docs: DataFrame, settings: Settings = Settings()) -> Data
             whole = whole.append_column(k, pa.nulls(len(whole), pa.binary()))
         asked = asked.filter(pa.compute.is_valid(asked["keys"]))
         keys = _unpacked(held["keys"])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")
         at, here = _found(keys[order], _unpacked(asked["keys"]))
         texts = _bytes(asked["texts"], np.uint16)
         at, here = np.repeat(order[at] if len(keys) else at, texts), np.repeat(here, texts)
