@@ -33,6 +33,8 @@ _W, _ONE = np.uint64(16), np.uint64(1)
 _LANE, _OF_LANE = np.uint64(13), np.uint64((1 << 13) - 1)  # there are up to 2**13 lanes
 _TABLE = 18
 _STEP = 16
+#: What a confidence of 0 to 7 changes by, if the predicted id did not follow, and if it did.
+_STEPS = np.array([-1] * 8 + [1] * 7 + [0], np.int32)
 #: Ids in a lane's stretch, and from so many ids of a block on. A step costs much the same for few lanes as for many, so
 #: many short stretches take less time; what each lane adds to a block, and its first ids, take more room.
 STRETCH, SHORT, LARGE = 256, 64, 1 << 18
@@ -43,8 +45,9 @@ class _Model:
 
     def __init__(self, lanes: int, alphabet: int):
         self.alphabet = alphabet
-        self.one = np.zeros(lanes, np.int32)
-        self.two = np.zeros(lanes, np.int32)
+        # Values that are used as indices are int64, which numpy takes as they are.
+        self.one = np.zeros(lanes, np.int64)
+        self.two = np.zeros(lanes, np.int64)
         # The id that followed each context, times eight, plus the confidence in it.
         self.after1, self.after2 = np.zeros(alphabet, np.int32), np.zeros(1 << _TABLE, np.int32)
         # Hits of order 2, of order 1 alone, and of neither, by confidences and agreement.
@@ -64,10 +67,11 @@ class _Model:
 
     def predict(self):
         """Predicted ids of order 2 and 1, and the ends of their parts of 0 .. 2**16."""
-        self.at2 = ((self.two * np.int32(40503) + self.one * np.int32(30011)) ^ (self.one >> 3)) & np.int32((1 << _TABLE) - 1)
-        self.e2, self.e1 = self.after2[self.at2], self.after1[self.one]
+        self.at2 = ((self.two * 40503 + self.one * 30011) ^ (self.one >> 3)) & ((1 << _TABLE) - 1)
+        self.e2, self.e1 = self.after2.take(self.at2), self.after1.take(self.one)
         self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
-        self.row = ((self.e2 & 7) << 4) | ((self.e1 & 7) << 1) | (self.p1 == self.p2)
+        self.sure2, self.sure1 = self.e2 & 7, self.e1 & 7
+        self.row = ((self.sure2 << 4) | (self.sure1 << 1) | (self.p1 == self.p2)).astype(np.int64)
         share = self.hits * 32512 // self.hits.sum(axis=1, keepdims=True)  # 256 of 2**15 are left for all that is rare
         end2 = share[:, 0] + 64
         end1 = end2 + share[:, 1] + np.where(self.hits[:, 1] > 0, 64, 0)
@@ -79,8 +83,8 @@ class _Model:
         """Start and size of the part of each outcome (0: order 2, 1: order 1, 2: neither)."""
         at = self.row * 4 + outcome
         ends = self.ends.reshape(-1)
-        start = ends[at]
-        return start, ends[at + 1] - start
+        start = ends.take(at)
+        return start, ends.take(at + 1) - start
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray):
         self.hits += np.bincount(self.row * 3 + outcome, minlength=384).reshape(128, 3)
@@ -88,12 +92,13 @@ class _Model:
         if full.any():
             self.hits[full] = (self.hits[full] + 1) >> 1
             self.hits[1::2, 1] = 0
-        for table, at, entry, right in ((self.after2, self.at2, self.e2, outcome == 0), (self.after1, self.one, self.e1, ids == self.p1)):
-            sure = entry & 7
-            wrong = np.where(sure > 1, entry - 1, (ids << 3) | 1)
-            table[at] = np.where(right, entry + (sure < 7), wrong)
+        new = (ids << 3) | 1
+        for table, at, entry, sure, right in ((self.after2, self.at2, self.e2, self.sure2, outcome == 0), (self.after1, self.one, self.e1, self.sure1, ids == self.p1)):
+            after = entry + _STEPS.take(sure + (right << 3))
+            np.copyto(after, new, where=~right & (sure <= 1))
+            table[at] = after
         self.pending.append(ids[outcome == 2])
-        self.two, self.one = self.one, ids
+        self.two, self.one = self.one, ids.astype(np.int64)
         self.steps += 1
         if self.steps <= 8 or self.steps % 8 == 0:
             self._sum()
@@ -139,7 +144,8 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
 
     for now in grid:
         p2, p1, _ = model.predict()
-        outcome = np.where(now == p2, 0, np.where(now == p1, 1, 2))
+        missed = now != p2
+        outcome = missed + (missed & (now != p1)).astype(np.int64)
         start, size = model.parts(outcome)
         unit = wide >> _W
         low += start * unit

@@ -28,7 +28,7 @@ REMEMBERED = 1_500_000
 #: New parts that are kept apart before they are merged with the others, which costs as much as there are others.
 YOUNG = 60_000
 #: Bytes of text that are encoded at once.
-AT_ONCE = 3 << 18
+AT_ONCE = 1 << 19
 
 
 def byte_letters() -> dict[int, str]:
