@@ -359,3 +359,19 @@ def test_pieces_of_odd_rows(table):
     assert len({bytes(r.ids) for r in rows if r.doc_id != 2}) == 1
     assert [(bytes(r.ids), r.score) for r in rows if r.doc_id == 2] == [(b"", 0)]
     assert zlib.crc32(b"") == 0
+
+
+def test_the_coder_looks_up_by_whole_indices():
+    """Others would be converted at each step; confidences go up to 7 and down to 1, then the id is replaced."""
+    from acequia.llm import token_coder, token_files
+
+    assert token_files.AT_ONCE <= 1 << 19
+    model = token_coder._Model(3, 50)
+    for ids in ([1, 2, 3], [1, 2, 4], [1, 2, 3]):
+        p2, p1, _ = model.predict()
+        ids = np.array(ids, np.int32)
+        model.learn(ids, np.where(ids == p2, 0, np.where(ids == p1, 1, 2)))
+        assert model.one.dtype == model.two.dtype == model.at2.dtype == model.row.dtype == np.int64
+    assert model.after1[1] == (1 << 3 | 2) and model.after1[4] == (3 << 3 | 1)
+    for sure in range(8):
+        assert token_coder._STEPS[sure] == -1 and token_coder._STEPS[8 + sure] == (sure < 7)

@@ -330,3 +330,16 @@ def test_strings_are_sorted_range_by_range(table, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "lean_groups", lambda run: wrapped.append(run.__name__) or run)
     suffix_tree_lm.suffix_tree_scores(table([(i, "a b c a b c", "s") for i in range(9)])).count()
     assert wrapped == ["total", "total", "answer", "total"]
+
+
+def test_tree_words_are_found_in_small_slices():
+    """Half a megabyte at once: what is computed for it stays in a core's cache. Longer texts are slices of their own."""
+    import pyarrow as pa
+
+    from acequia.llm import suffix_tree_lm
+
+    texts = ["ab cd " * 30_000] * 6 + [None, "x " * 300_000, "y"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": texts})
+    found = list(suffix_tree_lm._tokens(batch))
+    assert [s.n for s, *_ in found] == [2, 2, 3, 1, 1]
+    assert sum(len(h) for _, _, h, _ in found) == 6 * 60_000 + 300_000 + 1 + 9
